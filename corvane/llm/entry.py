@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chatformat, winnow
+from . import chatformat, quality, superminhash, toxicity, winnow
 from .common import table
 from .sql import SQL
 
 
+def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = superminhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digest(winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -21,8 +27,23 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.digest(chatformat.format_chats(rows))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), train=~quality.held_out())
+    out = quality.score(docs, model)
+    return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = quality.held_out(folds=3, fold=1)
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=~apart)
+    out = toxicity.score(docs, lexicon)
+    return out.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_winnowing": op6_winnowing, "op7_chat_format": op7_chat_format}
+    return {"op2_superminhash": op2_superminhash, "op6_winnowing": op6_winnowing, "op7_chat_format": op7_chat_format, "op8_quality": op8_quality, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -47,4 +47,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM n GROUP BY conv_id
 """
 
-SQL = {"op6_winnowing": OP6, "op7_chat_format": OP7}
+_W2 = f"regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^ \\x09-\\x0D]+')"
+
+OP2 = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_W2} AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, w[i : i + 1] AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0) x
+),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ids AS MATERIALIZED (SELECT doc_id, dense_rank() OVER (ORDER BY sh) AS t FROM s),
+pair AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM ids a JOIN ids b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT x, y FROM (SELECT x, y, c, p.n AS nx, q.n AS ny FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y) z WHERE 100 * c >= 80 * (nx + ny - c)
+),
+both_ways AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(r.m, d.doc_id)) AS component_id, d.doc_id <= coalesce(r.m, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) r USING (doc_id)
+"""
+
+SQL = {"op2_superminhash": OP2, "op6_winnowing": OP6, "op7_chat_format": OP7}
