@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, quality, suffix, superminhash, toxicity, winnow
+from . import chatformat, quality, suffix, superminhash, tiff, toxicity, winnow
 from .common import table
 from .sql import SQL
 
@@ -17,6 +17,12 @@ def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tiff.text_images(table(spark, sf_dir, "documents"))
+    stored = files.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    return tiff.digest(tiff.tiff_pages(stored))
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix.digest(docs, suffix.repeated_spans(docs))
@@ -48,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_superminhash": op2_superminhash, "op5_suffix": op5_suffix, "op6_winnowing": op6_winnowing, "op7_chat_format": op7_chat_format, "op8_quality": op8_quality, "op10_toxicity": op10_toxicity}
+    return {"op2_superminhash": op2_superminhash, "op3_tiff": op3_tiff, "op5_suffix": op5_suffix, "op6_winnowing": op6_winnowing, "op7_chat_format": op7_chat_format, "op8_quality": op8_quality, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
