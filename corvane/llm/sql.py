@@ -66,4 +66,60 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) r USING (doc_id)
 """
 
-SQL = {"op2_superminhash": OP2, "op6_winnowing": OP6, "op7_chat_format": OP7}
+OP1 = r"""
+WITH p AS (SELECT page_id AS i, url, coalesce(html, '') AS html, substr(md5(coalesce(html, '')), 1, 16) AS tag, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+q AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))), '&') AS args
+  FROM p
+),
+c AS (
+  SELECT *, CASE WHEN regexp_matches(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//') THEN host || path || CASE WHEN args <> '' THEN '?' || args ELSE '' END ELSE u END AS canon,
+    (i * 37) % 86400 AS t0, (i * 37) % 86400 + (i % 7) * 3600 AS t1, lpad(CAST(i AS VARCHAR), 12, '0') AS n
+  FROM q
+),
+best AS (
+  SELECT v.i, max(struct_pack(t := r.t0, n := r.n, tag := r.tag, html := r.html)) AS r
+  FROM c v JOIN c r ON r.canon = v.canon AND r.t0 < v.t1 GROUP BY v.i
+),
+j AS (
+  SELECT c.*, b.r, CASE WHEN i % 13 = 0 THEN NULL WHEN i % 11 = 0 THEN 'x' || tag ELSE tag END AS mine
+  FROM c LEFT JOIN best b USING (i)
+),
+s AS (SELECT *, CASE WHEN r IS NULL THEN 'missing' WHEN mine IS NULL THEN 'unvalidated' WHEN mine = r.tag THEN 'resolved' ELSE 'mismatch' END AS status FROM j)
+SELECT 'v' || n AS record_id, canon AS canonical_url, status, 'r' || r.n AS response_id,
+  coalesce('W/"' || mine || '"', '') AS etag, 'max-age=' || CAST(i % 100 AS VARCHAR) AS cache_control,
+  CASE WHEN status = 'resolved' THEN 'text/html' ELSE 'text/plain' END AS content_type, CASE WHEN status = 'resolved' THEN '' ELSE 'HIT' END AS x_cache,
+  CAST(CASE WHEN status = 'resolved' THEN strlen(r.html) ELSE 0 END AS BIGINT) AS n_body, CASE WHEN status = 'resolved' THEN md5(r.html) ELSE '' END AS body_md5
+FROM s
+"""
+
+
+def _op9() -> str:
+    from .mixing import TARGETS
+
+    dims = list(TARGETS)
+    share = {d: "CASE " + d + " " + " ".join(f"WHEN '{k}' THEN CAST({v!r} AS DOUBLE)" for k, v in TARGETS[d].items()) + " END" for d in dims}
+    out = """
+WITH d AS MATERIALIZED (
+  SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+')) AS BIGINT) AS n, source, lang,
+    CASE WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '[Ll]icen[sc]e|[Cc]opyright|[Ww]arranty') THEN 'legal' WHEN regexp_matches(text, '@|password|https?://') THEN 'contact' ELSE 'prose' END AS topic
+  FROM documents
+),
+c0 AS (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS n, CAST(1 AS DOUBLE) AS w FROM d GROUP BY ALL HAVING sum(n) > 0),
+""".replace("\\\\", "\\")
+    named = {d: f"(SELECT sum(s) FROM (SELECT DISTINCT {d}, {share[d]} AS s FROM c0) z)" for d in dims}
+    k = 0
+    for _ in range(25):
+        for d in dims:
+            out += f"c{k + 1} AS MATERIALIZED (SELECT source, lang, topic, n, w * ({share[d]} / {named[d]}) / (sum(n * w) OVER (PARTITION BY {d}) / sum(n) OVER ()) AS w FROM c{k}),\n"
+            k += 1
+    return out + f"""top AS (SELECT max(w) AS m FROM c{k})
+SELECT doc_id, d.n AS mix_tokens, round(w, 6) AS mix_weight, round(least(1.0, w / m), 6) AS mix_prob,
+  CAST('0x' || substr(md5('mix/' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < least(1.0, w / m) AS mix_kept
+FROM d LEFT JOIN c{k} c USING (source, lang, topic), top
+"""
+
+
+SQL = {"op1_revisits": OP1, "op2_superminhash": OP2, "op6_winnowing": OP6, "op7_chat_format": OP7, "op9_mixing": _op9()}

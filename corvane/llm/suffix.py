@@ -355,6 +355,20 @@ def whole_characters(raw: bytes, spans: list[int]) -> list[int]:
     return out
 
 
+def cut_texts(found: DataFrame) -> DataFrame:
+    """(text_key, kept): each text of repeated_spans() without its spans, cut at whole characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                raw = t.encode("utf-8", "surrogatepass")
+                kept.append(cut_out(raw, whole_characters(raw, s)).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array(kept, pa.string())], names=["text_key", "kept"])
+
+    return found.mapInArrow(run, "text_key binary, kept string")
+
+
 def digest(docs: DataFrame, found: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
 
