@@ -260,45 +260,50 @@ def _count_windows(frags: DataFrame, length: int) -> DataFrame:
     return each.join(twice, "w").groupBy("h", "f").agg(F.array_sort(F.collect_list("i")).alias("is")).select("h", "f", F.flatten(F.transform("is", lambda i: F.array(i, i))).alias("runs"))
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, k: int = 48, max_group: int = 100_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, k: int = 32, max_group: int = 100_000) -> DataFrame:
     """(text_key, text, spans) of each distinct text with repeated bytes; spans: flat array of first byte and end of the runs, merged and in order."""
     spark = docs.sparkSession
     texts = docs.select(text_key(F.col(text)).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
+            hs, fs = [], []
             for t in b.column("text").to_pylist():
-                for c, x in zip(cols, anchors(t.encode("utf-8", "surrogatepass"), length, k), strict=True):
-                    c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("text_key"), *[pa.array(c, pa.list_(t)) for c, t in zip(cols, kinds, strict=True)]], names=["text_key", "p", "lo", "n", "h", "f"])
+                _, _, _, h, f = anchors(t.encode("utf-8", "surrogatepass"), length, k)
+                hs.append(h)
+                fs.append(f)
+            yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array(hs, pa.list_(pa.int64())), pa.array(fs, pa.list_(pa.int64()))], names=["text_key", "h", "f"])
 
     paths: list[str] = []
-    made = texts.filter(F.octet_length("text") >= length).mapInArrow(find, "text_key binary, p array<long>, lo array<long>, n array<int>, h array<long>, f array<long>")
+    made = texts.filter(F.octet_length("text") >= length).mapInArrow(find, "text_key binary, h array<long>, f array<long>")
     made = materialize(made.withColumn("rid", F.monotonically_increasing_id()), paths)
     each = made.select("rid", F.posexplode(F.arrays_zip("h", "f")).alias("i", "x")).select("rid", "i", "x.h", "x.f")
     again = each.groupBy("h").agg(F.count("*").alias("c"), F.min("f").alias("f0"), F.max("f").alias("f1")).filter("c > 1").select("h", (F.col("f0") != F.col("f1")).alias("mixed"))
     spots = each.select("h", "rid", "i").join(again, "h").groupBy("rid").agg(F.collect_list(F.when(F.col("mixed"), -1 - F.col("i")).otherwise(F.col("i"))).alias("at"))
-    # one row per distinct text from here on; copies is how often it occurs
-    per_text = made.join(spots, "rid").groupBy("text_key").agg(F.min(F.struct("rid", "p", "lo", "n", "h", "f", "at")).alias("r"), F.count("*").alias("copies"))
-    hit = per_text.select("text_key", "copies", "r.p", "r.lo", "r.n", "r.h", "r.f", "r.at").join(texts, "text_key").dropDuplicates(["text_key"])
-    hit = materialize(hit, paths)
+    # one row per distinct text from here on, with its copies; anchors are found again rather than shuffled
+    per_text = made.select("rid", "text_key").join(spots, "rid").groupBy("text_key").agg(F.min_by("at", "rid").alias("at"), F.count("*").alias("copies"))
+    hit = materialize(per_text.join(texts, "text_key").dropDuplicates(["text_key"]), paths)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for copies, p, lo, n, h, f, at, t in zip(*(b.column(c).to_pylist() for c in ("copies", "p", "lo", "n", "h", "f", "at", "text")), strict=True):
-                if any(i < 0 for i in at):
-                    raw = t.encode("utf-8", "surrogatepass")
-                    for i in at:
-                        if i < 0:
-                            j = -1 - i
-                            rows.append((h[j], f[j], p[j] - lo[j], n[j], raw[lo[j] : lo[j] + n[j] - 1 + length], copies))
+            for copies, at, t in zip(*(b.column(c).to_pylist() for c in ("copies", "at", "text")), strict=True):
+                raw = t.encode("utf-8", "surrogatepass")
+                p, lo, n, h, f = (x.tolist() for x in anchors(raw, length, k))
+                rows += [(h[j], f[j], p[j] - lo[j], n[j], raw[lo[j] : lo[j] + n[j] - 1 + length], copies) for j in (-1 - i for i in at if i < 0)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=["h", "f", "at", "n", "frag", "copies"])
 
-    frags = hit.select("copies", "p", "lo", "n", "h", "f", "at", "text").mapInArrow(cut, "h long, f long, at int, n int, frag binary, copies long")
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, at, t in zip(*(b.column(c).to_pylist() for c in ("text_key", "at", "text")), strict=True):
+                h, f = (x.tolist() for x in anchors(t.encode("utf-8", "surrogatepass"), length, k)[3:])
+                rows += [(key, j, h[j], f[j]) for j in (-1 - i for i in at if i < 0)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.binary(), pa.int32(), pa.int64(), pa.int64()))], names=["text_key", "i", "h", "f"])
+
+    mixed = hit.filter(F.exists("at", lambda i: i < 0))
+    frags = mixed.select("copies", "at", "text").mapInArrow(cut, "h long, f long, at int, n int, frag binary, copies long")
     frags = materialize(frags.groupBy("h", "f").agg(F.min(F.struct("at", "n", "frag")).alias("x"), F.sum("copies").alias("copies")).select("h", "f", "x.at", "x.n", "x.frag", "copies"), paths)
     crowded = materialize(frags.groupBy("h").count().filter(F.col("count") > max_group).select("h"), paths)
     if crowded.isEmpty():
@@ -306,13 +311,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, k: in
     else:
         known = _sort_groups(frags.join(crowded, "h", "left_anti"), length, k).unionByName(_count_windows(frags.join(crowded, "h"), length))
     known = materialize(known, paths)
-    mixed = hit.select("text_key", "h", "f", F.explode(F.filter("at", lambda i: i < 0)).alias("i")).select("text_key", F.expr("-1 - i").alias("i"), F.expr("h[-1 - i]").alias("h"), F.expr("f[-1 - i]").alias("f"))
-    solved = mixed.join(known, ["h", "f"]).groupBy("text_key").agg(F.collect_list(F.struct("i", "runs")).alias("solved"))
+    wanted = mixed.select("text_key", "at", "text").mapInArrow(places, "text_key binary, i int, h long, f long")
+    solved = wanted.join(known, ["h", "f"]).groupBy("text_key").agg(F.collect_list(F.struct("i", "runs")).alias("solved"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for lo, n, at, solved_ in zip(*(b.column(c).to_pylist() for c in ("lo", "n", "at", "solved")), strict=True):
+            for t, at, solved_ in zip(*(b.column(c).to_pylist() for c in ("text", "at", "solved")), strict=True):
+                _, lo, n, _, _ = (x.tolist() for x in anchors(t.encode("utf-8", "surrogatepass"), length, k))
                 runs = [(lo[i], lo[i] + n[i] - 1) for i in at if i >= 0]
                 for s in solved_ or ():
                     r = s["runs"]
@@ -326,7 +332,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, k: in
                 out.append(spans)
             yield pa.RecordBatch.from_arrays([b.column("text_key"), b.column("text"), pa.array(out, pa.list_(pa.int64()))], names=["text_key", "text", "spans"])
 
-    full = hit.select("text_key", "text", "lo", "n", "at").join(solved, "text_key", "left").mapInArrow(merge, "text_key binary, text string, spans array<long>")
+    full = hit.select("text_key", "text", "at").join(solved, "text_key", "left").mapInArrow(merge, "text_key binary, text string, spans array<long>")
     out = materialize(full.filter(F.size("spans") > 0))
     discard(spark, paths)
     return out
