@@ -171,7 +171,7 @@ def index_type_ok(value: Column, kind: str) -> Column:
     """Whether a metadata value, as text, suits a typed index: string, integer (32 bits), number, boolean."""
     v = F.trim(value)
     if kind == "integer":
-        return F.coalesce(F.try_cast(v, "int").isNotNull() & F.rlike(v, F.lit(r"^[+-]?\d+$")), F.lit(False)) if hasattr(F, "try_cast") else F.coalesce(v.try_cast("int").isNotNull() & F.rlike(v, F.lit(r"^[+-]?\d+$")), F.lit(False))
+        return F.coalesce(v.try_cast("int").isNotNull() & F.rlike(v, F.lit(r"^[+-]?\d+$")), F.lit(False))
     if kind == "number":
         return F.coalesce(F.rlike(v, F.lit(r"^[+-]?(\d[\d_]*(\.[\d_]*)?|\.\d[\d_]*)([eE][+-]?\d+)?$|^0[xX][0-9a-fA-F_]+$")), F.lit(False))
     if kind == "boolean":

@@ -110,12 +110,6 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def lines(text: Column) -> Column:
-    """Lines by \\r\\n or \\n: array of (line, start), start in code points."""
-    parts = F.regexp_extract_all(text, F.lit(r"[^\n]*(?:\n|\z)"), F.lit(0))
-    return parts
-
-
 def fold_merge(target: object, patch: object) -> object:
     """Merge patch: null deletes, objects recurse, anything else replaces."""
     if not isinstance(patch, dict):

@@ -85,3 +85,12 @@ def test_rejections():
 def test_errors_are_collected(spark):
     cond, errors = M.compile_filters(F.col("m"), [{"key": "k", "operator": "regex", "value": "x"}, {"key": "k", "operator": "in", "value": []}, {"key": "k", "operator": "gt", "value": True}])
     assert cond is None and len(errors) == 3
+
+
+def test_index_types(spark):
+    df = spark.createDataFrame([("1",), ("-7",), ("2147483648",), ("1.5",), ("0x1F",), ("1_000",), ("true",), ("x",), (None,)], "v string")
+    got = [tuple(r) for r in df.select(*[M.index_type_ok(F.col("v"), k) for k in ("string", "integer", "number", "boolean")]).collect()]
+    assert [r[0] for r in got] == [True] * 8 + [False]
+    assert [r[1] for r in got] == [True, True, False, False, False, False, False, False, False]
+    assert [r[2] for r in got] == [True, True, True, True, True, True, False, False, False]
+    assert [bool(r[3]) for r in got] == [True, False, False, False, False, False, True, False, False]
