@@ -14,7 +14,6 @@ clashing names are refused. Pixels are rows of samples, little-endian.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ PHOTOMETRIC, TILE_W, TILE_H, TILE_AT, TILE_N, FORMAT = 262, 322, 323, 324, 325,
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 CODEC = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", DEFLATE_OLD: "deflate", PACKBITS: "packbits"}
 
-PAGE = "page int, width int, height int, samples int, bits int, compression string, predictor int, pixels binary, error string"
+PAGE = "page int, width int, height int, samples int, bits int, compression string, predictor int, pixels binary, feature string, error string"
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -296,13 +295,27 @@ def write_tiff(pages: list[np.ndarray], codec: int = DEFLATE, predictor: int = 2
     return bytes(out)
 
 
+def page_feature(pixels: bytes, width: int) -> str:
+    """Mean, spread and a 64-bit difference hash over an 8 x 9 grid of means."""
+    x = np.frombuffer(pixels, np.uint8).reshape(-1, width).astype(np.float64)
+    rows = np.linspace(0, len(x), 9).astype(int)
+    cols = np.linspace(0, width, 10).astype(int)
+    sums = np.zeros((len(x) + 1, width + 1))
+    sums[1:, 1:] = x.cumsum(0).cumsum(1)
+    hi, lo = np.maximum(rows[1:], rows[:-1] + 1).clip(max=len(x)), np.minimum(rows[:-1], len(x) - 1)
+    cell = sums[np.ix_(hi, cols[1:])] - sums[np.ix_(lo, cols[1:])] - sums[np.ix_(hi, cols[:-1])] + sums[np.ix_(lo, cols[:-1])]
+    cell /= (hi - lo)[:, None] * np.diff(cols)[None, :]
+    mark = np.packbits(cell[:, 1:] > cell[:, :-1]).tobytes().hex()
+    return f"mean={x.mean():.3f};std={x.std():.3f};dhash={mark}"
+
+
 def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
     """One row per page of each file, with the other columns of files."""
     rest = [f for f in files.schema.fields if f.name != media]
     schema = T.StructType([*rest, *T._parse_datatype_string(PAGE).fields])
     if len(set(schema.names)) < len(schema.names):
         raise ValueError(f"columns clash with those of a page: {sorted(x for x in schema.names if schema.names.count(x) > 1)}")
-    kinds = {"page": pa.int32(), "width": pa.int32(), "height": pa.int32(), "samples": pa.int32(), "bits": pa.int32(), "compression": pa.string(), "predictor": pa.int32(), "pixels": pa.binary(), "error": pa.string()}
+    kinds = {"page": pa.int32(), "width": pa.int32(), "height": pa.int32(), "samples": pa.int32(), "bits": pa.int32(), "compression": pa.string(), "predictor": pa.int32(), "pixels": pa.binary(), "feature": pa.string(), "error": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -311,7 +324,7 @@ def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
                 rows, of = [], []
                 for i, raw in enumerate(own.slice(start, 256).to_pylist()):
                     pages = read_pages(raw)
-                    rows += pages
+                    rows += [p | {"feature": page_feature(p["pixels"], p["width"] * p["samples"])} if p.get("bits") == 8 and p["pixels"] else p for p in pages]
                     of += [start + i] * len(pages)
                 made = [pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()]
                 yield pa.RecordBatch.from_arrays([*(b.column(f.name).take(pa.array(of, pa.int64())) for f in rest), *made], names=schema.names)
@@ -338,30 +351,8 @@ def text_images(docs: DataFrame, doc: str = "doc_id", text: str = "text", width:
     return src.mapInArrow(run, T.StructType([src.schema["doc_id"], *T._parse_datatype_string("n_bytes long, media binary").fields]))
 
 
-def page_feature(pixels: bytes, width: int) -> str:
-    """Mean, spread and a 64-bit difference hash over an 8 x 9 grid of means."""
-    x = np.frombuffer(pixels, np.uint8).reshape(-1, width).astype(np.float64)
-    rows = np.linspace(0, len(x), 9).astype(int)
-    cols = np.linspace(0, width, 10).astype(int)
-    sums = np.zeros((len(x) + 1, width + 1))
-    sums[1:, 1:] = x.cumsum(0).cumsum(1)
-    hi, lo = np.maximum(rows[1:], rows[:-1] + 1).clip(max=len(x)), np.minimum(rows[:-1], len(x) - 1)
-    cell = sums[np.ix_(hi, cols[1:])] - sums[np.ix_(lo, cols[1:])] - sums[np.ix_(hi, cols[:-1])] + sums[np.ix_(lo, cols[:-1])]
-    cell /= (hi - lo)[:, None] * np.diff(cols)[None, :]
-    mark = np.packbits(cell[:, 1:] > cell[:, :-1]).tobytes().hex()
-    return f"mean={x.mean():.3f};std={x.std():.3f};dhash={mark}"
-
-
 def digest(pages: DataFrame) -> DataFrame:
     """Digests of the pixels read back; pages has doc_id, n_bytes, media_bytes, media_sha256 and a page's columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for pixels, width in zip(b.column("pixels").to_pylist(), b.column("width").to_pylist(), strict=True):
-                rows.append((len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-64:]), page_feature(pixels, width)))
-            made = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), made[0], made[1], made[2], b.column("media_bytes"), b.column("media_sha256"), made[3]], names=out.names)
-
-    out = T.StructType([pages.schema["doc_id"], *T._parse_datatype_string("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").fields])
-    return pages.select("doc_id", "n_bytes", "pixels", "width", "media_bytes", "media_sha256").mapInArrow(run, out)
+    return pages.select(
+        "doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+    )
