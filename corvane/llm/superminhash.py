@@ -8,9 +8,9 @@ level by level, stopping once no higher rank can lower any slot.
 
 Documents with equal sets are one node. Nodes that agree in a whole band share
 a bucket. Buckets are searched by stars, never by all pairs: each member is compared with a
-centre (the smallest key, then one drawn per bucket). Only what is
-then still in different components of one bucket and was not compared is compared member by
-member. A comparison passes a filter on size and signature, then is decided on the
+centre (the smallest key, then one drawn per bucket). Members of a bucket that are
+then still in different components are compared block against block in numpy, by counting
+common hashes of whole sets, and only one link per member and other component leaves a block. A comparison passes a filter on size and signature, then is decided on the
 full sets, read from the whole texts. Verified links are grouped by
 union-find: within partitions first, then by star contraction across them.
 
@@ -220,6 +220,68 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, per
     return close.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(same, "a binary, b binary")
 
 
+def _residue(left: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 500) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, differ in root and are similar: for each node at most one per other root and block.
+
+    left: (band, node, members, root). The members of a bucket are dealt to blocks, and a task compares two blocks by
+    32-bit hashes of their whole sets, with room for two collisions; the pairs are still to be verified.
+    """
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique((s ^ (s >> U(32))).astype(np.uint32)).tobytes() for s in (shingle_set(t, size) for t in b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    whole = materialize(texts.join(left.select("node").distinct(), "node").select("node", "text").mapInArrow(hashes, "node binary, set binary"))
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    own = left.join(whole, "node").withColumn("k", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = own.select("band", "node", "root", "set", "k", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")).select("band", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "node", "root", "set")
+
+    def compare(rows: list[tuple]) -> Iterator[tuple]:
+        """Members outside the commonest root against all others, through an index from hashes to members."""
+        ids: dict[bytes, int] = {}
+        root = np.array([ids.setdefault(r[5], len(ids)) for r in rows])
+        if len(ids) < 2:
+            return
+        sets = [np.frombuffer(r[6], np.uint32) for r in rows]
+        k, n = np.array([r[3] for r in rows]), np.array([len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(rows)), n)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        main = np.bincount(root).argmax()
+        for x in np.flatnonzero(root != main):
+            lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+            runs = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+            both = np.bincount(owner[at], minlength=len(rows)) + 2
+            ok = (100 * both >= percent * (n[x] + n - both)) & (root != root[x])
+            if rows[x][1] != rows[x][2]:
+                ok &= k != k[x]
+            best: dict[int, int] = {}
+            for y in np.flatnonzero(ok):
+                if both[y] > both[best.get(root[y], y)] or root[y] not in best:
+                    best[root[y]] = y
+            for y in best.values():
+                yield rows[x][4], rows[y][4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        batch = lambda f: pa.RecordBatch.from_arrays([pa.array([p[c] for p in f], pa.binary()) for c in (0, 1)], names=["a", "b"])
+        for b in batches:
+            found: set[tuple] = set()
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group and group[0][:3] != r[:3]:
+                    found.update((max(p), min(p)) for p in compare(group))
+                    group.clear()
+                group.append(r)
+            yield batch(list(found))
+        if group:
+            yield batch(list({(max(p), min(p)) for p in compare(group)}))
+
+    cols = ["band", "i", "j", "k", "node", "root", "set"]
+    return dealt.select(*cols).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a binary, b binary").filter("a is not null")
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 2) -> DataFrame:
     """One row per input row: doc_id, text_key, n_shingles, component_id (smallest id of the group), links (verified links of its set found)."""
     spark = docs.sparkSession
@@ -227,7 +289,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     nodes = materialize(sketches.filter("node is not null").select("node", "n_shingles", "bands", "sig", "text_key").dropDuplicates(["node"]))
     spread = nodes.select("node", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members")).filter("low != high")
-    buckets = materialize(spread.join(shared.select("band", "low", "members"), "band"))
+    shared = materialize(shared.select("band", "low", "members"))  # so that the join's skewed partitions can be split
+    buckets = materialize(spread.join(shared, "band"))
     named = buckets.select("node").distinct().join(nodes.select("node", "text_key"), "node")
     texts = materialize(docs.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text")).join(named, "text_key").dropDuplicates(["node"]).select("node", "text"))
 
@@ -239,12 +302,11 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
         else:
             known = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             open_ = known.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("node", F.xxhash64("node", "band", F.lit(r))).alias("centre"), F.min_by("root", F.xxhash64("node", "band", F.lit(r))).alias("centre_root")).filter("r0 != r1")
-            left = materialize(known.filter(F.col("members") > r + 1).join(open_.drop("r0", "r1"), "band").select("band", "node", "members", "root", "centre", "centre_root"))
+            left = materialize(known.filter("members > 2").join(open_.drop("r0", "r1"), "band").select("band", "node", "members", "root", "centre", "centre_root"))
             if r < rounds:
                 pairs = left.filter("root != centre_root").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-            else:  # what no star has reached: members of different components, each pair once
-                x, y = (left.select("band", F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in ("a", "b"))
-                pairs = x.join(y, "band").filter("a > b and ra != rb").select("a", "b")
+            else:
+                pairs = _residue(left, texts, size, percent)
             left = left.select("band", "node", "members")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
