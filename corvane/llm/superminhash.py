@@ -9,8 +9,8 @@ level by level, stopping once no higher rank can lower any slot.
 Documents with equal sets are one node. Nodes that agree in a whole band share
 a bucket. Buckets are searched by stars, never by all pairs: each member is compared with a
 centre (the smallest key, then one drawn per bucket). Members of a bucket that are
-then still in different components are compared block against block in numpy, by counting
-common hashes of whole sets, and only one link per member and other component leaves a block. A comparison passes a filter on size and signature, then is decided on the
+then still in different components are compared block against block in numpy, every pair on the
+full sets, and of the links found one per member and other component leaves a block. A comparison of a star passes a filter on size and signature, then is decided on the
 full sets, read from the whole texts. Verified links are grouped by
 union-find: within partitions first, then by star contraction across them.
 
@@ -221,15 +221,15 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, per
 
 
 def _residue(left: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 500) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket, differ in root and are similar: for each node at most one per other root and block.
+    """Links (a, b) of nodes that share a bucket and differ in root: for each node at most one per other root and block.
 
     left: (band, node, members, root). The members of a bucket are dealt to blocks, and a task compares two blocks by
-    32-bit hashes of their whole sets, with room for two collisions; the pairs are still to be verified.
+    their whole sets, so each pair is decided exactly before one per root is kept.
     """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique((s ^ (s >> U(32))).astype(np.uint32)).tobytes() for s in (shingle_set(t, size) for t in b.column("text").to_pylist())]
+            sets = [shingle_set(t, size).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
     whole = materialize(texts.join(left.select("node").distinct(), "node").select("node", "text").mapInArrow(hashes, "node binary, set binary"))
@@ -243,9 +243,9 @@ def _residue(left: DataFrame, texts: DataFrame, size: int, percent: int, block:
         root = np.array([ids.setdefault(r[5], len(ids)) for r in rows])
         if len(ids) < 2:
             return
-        sets = [np.frombuffer(r[6], np.uint32) for r in rows]
+        sets = [np.frombuffer(r[6], U) for r in rows]
         k, n = np.array([r[3] for r in rows]), np.array([len(s) for s in sets])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(rows)), n)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(rows), dtype=np.int32), n)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         main = np.bincount(root).argmax()
@@ -253,7 +253,7 @@ def _residue(left: DataFrame, texts: DataFrame, size: int, percent: int, block:
             lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
             runs = hi - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
-            both = np.bincount(owner[at], minlength=len(rows)) + 2
+            both = np.bincount(owner[at], minlength=len(rows))
             ok = (100 * both >= percent * (n[x] + n - both)) & (root != root[x])
             if rows[x][1] != rows[x][2]:
                 ok &= k != k[x]
@@ -309,11 +309,12 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
                 pairs = _residue(left, texts, size, percent)
             left = left.select("band", "node", "members")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
+        exact = 0 < r == rounds  # links of the residue are decided already
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None and not exact else pairs)
         if r and pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionAll(pairs)
-        found = materialize(_verify(pairs, nodes.select("node", "n_shingles", "sig"), texts, size, percent))
+        found = pairs if exact else materialize(_verify(pairs, nodes.select("node", "n_shingles", "sig"), texts, size, percent))
         links = found if links is None else links.unionAll(found)
         roots = materialize(components(links))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))

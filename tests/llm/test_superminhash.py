@@ -110,3 +110,21 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
     got = {r["node"]: r["root"] for r in S.components(df).collect()}
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1] or x in got}
+
+
+def test_near_miss_does_not_hide_a_link(spark):
+    """Of two linked nodes, the one with the larger overlap with x is no link and the other is; the star's centre decides nothing."""
+    span = lambda p, a, b: " ".join(f"{p}{i}" for i in range(a, b))
+    for p in (f"w{i}x" for i in range(200)):
+        texts = [span(p, 0, 100), span(p, 0, 127), span(p, 3, 110)]
+        sets = [S.shingle_set(t, 1) for t in texts]
+        with np.errstate(over="ignore"):
+            keys = [np.array([S.mix(s).sum(dtype=S.U), S.mix(s ^ S._GOLD).sum(dtype=S.U)]).tobytes() for s in sets]
+        if keys[1] == min(keys) and len({S.signature(s, 1)[0] for s in sets}) == 1:
+            break
+    else:
+        raise AssertionError("no such words")
+    assert brute(list(enumerate(texts)), 1) == [(0, 100, 0), (1, 127, 0), (2, 107, 0)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = S.near_duplicates(df, size=1, bands=1, rows=1, rounds=1).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["links"]) for r in got) == [(0, 100, 0, 1), (1, 127, 0, 1), (2, 107, 0, 2)]
