@@ -30,8 +30,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[/!?]?[a-zA-Z\[](?:[^>\"']|\"[^\"]*\"|'[
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-#: HTML element names. Elements of RAW hold no text of the page; VOID ones never close.
+#: HTML element names. Elements of RAW hold no text of the page, those of UNPARSED no markup either; VOID ones never close.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "select", "textarea", "title", "canvas", "audio", "video", "button"}
+UNPARSED = {k: re.compile(rf"</{k}(?=[\s/>]|\Z)", re.I) for k in ("script", "style", "noscript", "iframe", "textarea", "title")}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -65,8 +66,9 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             text.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page or ""):
-        tok = m.group()
+    page, at = page or "", 0
+    while m := TOKEN.match(page, at):
+        tok, at = m.group(), m.end()
         if tok[0] != "<" or tok == "<" or not (n := NAME.match(tok)):
             if tok[0] == "<" and len(tok) > 1:
                 continue  # comment or declaration
@@ -77,6 +79,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         name = n.group(1).lower()
         closing = tok[1] == "/"
+        if name in UNPARSED and not closing and not tok.endswith("/>"):
+            if end := UNPARSED[name].search(page, at):
+                at = end.start()
+            elif not skip:
+                at = len(page)
         if skip:
             if closing and name == skip:
                 skip = ""

@@ -62,3 +62,12 @@ def test_batches_agree(spark):
     got = {r["page_id"]: r for r in H.extract(df).collect()}
     assert len(got) == 6 and got[0]["text"] == got[3]["text"] == text(PAGE) and got[1]["text"] == "" and got[1]["n_chars"] == 0
     assert got[4]["n_chars"] == len(("long words " * 20_000).strip()) and H.extract(df.limit(0)).count() == 0
+
+
+def test_markup_inside_scripts():
+    words = lambda page: [b[1] for b in H.blocks(page)]
+    assert words("<script>for(i=0;i<n;i++){x();}</script><p>ARTICLE</p>") == ["ARTICLE"]
+    assert words("<p>a</p><SCRIPT>if(a<b&&c=='\"')<!--x</Script ><p>b</p><style>a<b{}</style><p>c</p><textarea><i title='</textarea><p>d") == ["a", "b", "c", "d"]
+    assert words("<template><script>a<b</script><p>x</p></template><p>e</p>") == ["e"]
+    assert words("<p>f</p><script>var s='</scripts>';a<b</script><p>g</p>") == ["f", "g"] and words("<p>h</p><script>a<b <p>i</p>") == ["h"]
+    assert words("<svg><!-- </svg> --><text>x</text></svg><p>j</p>") == ["j"]
