@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[/!?]?[a-zA-Z\[](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none\b", re.I)
 #: HTML element names. Elements of RAW hold no text of the page, those of UNPARSED no markup either; VOID ones never close.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "select", "textarea", "title", "canvas", "audio", "video", "button"}
 UNPARSED = {k: re.compile(rf"</{k}(?=[\s/>]|\Z)", re.I) for k in ("script", "style", "noscript", "iframe", "textarea", "title")}
@@ -47,6 +48,15 @@ INPUT = PATH_DIM + WORD_DIM + EXTRA
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_weights.npz")
 
 
+def _hidden(tag: str, start: int) -> bool:
+    """Whether an opening tag, whose attributes begin at start, hides its element."""
+    for name, *values in ATTRIBUTE.findall(tag, start):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """Leaf blocks in page order: (path words, text, characters inside links)."""
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -113,11 +123,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         closes = SELF_CLOSING.get(name, {"p"})
         while stack and stack[-1][0] in closes:
             stack.pop()
-        words = [name]
+        words, hides = [name], len(tok) > n.end() + 1 and _hidden(tok, n.end())
         if "=" in tok:
             for a in MARKS.findall(tok):
                 words += ["." + w for w in re.split(r"[^a-z]+", "".join(a).lower()) if w]
-        stack.append((name, tuple(words), bool(HIDDEN.search(tok))))
+        stack.append((name, tuple(words), hides))
     flush()
     return out
 

@@ -71,3 +71,11 @@ def test_markup_inside_scripts():
     assert words("<template><script>a<b</script><p>x</p></template><p>e</p>") == ["e"]
     assert words("<p>f</p><script>var s='</scripts>';a<b</script><p>g</p>") == ["f", "g"] and words("<p>h</p><script>a<b <p>i</p>") == ["h"]
     assert words("<svg><!-- </svg> --><text>x</text></svg><p>j</p>") == ["j"]
+
+
+def test_hidden_is_an_attribute():
+    kept = ['class="post overflow-hidden"', 'style="overflow:hidden"', "data-hidden", 'aria-hidden="false"', 'data-x="a hidden b"', "class=hidden", "title='display:none'", 'style="--display:none"', 'data-aria-hidden="true"']
+    for a in kept:
+        assert [b[1] for b in H.blocks(f"<article {a}><p>x</p></article>")] == ["x"], a
+    for a in ["hidden", "HIDDEN=''", 'class="a"hidden', "hidden=hidden", 'aria-hidden="true"', "aria-hidden=TRUE", 'style="color:red; DISPLAY : none"', "style=display:none", "hidden/"]:
+        assert H.blocks(f"<article {a}><p>x</p></article>") == [], a
