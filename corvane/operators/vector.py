@@ -47,11 +47,9 @@ def nearest(entry: str = "context_id") -> list[Column]:
 
 
 def search_many(chunks: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", vector: str = "vector", entry: str = "context_id", max_queries: int = 10_000) -> DataFrame:
-    """k nearest entries of each of a bounded table of queries, best first."""
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries at once")
-    pairs = chunks.crossJoin(F.broadcast(queries)).withColumn("distance", l2(F.transform("embedding", lambda x: x.cast("double")), F.transform(vector, lambda x: x.cast("double"))))
+    """k nearest entries of each query, best first; up to max_queries are broadcast, more are met block by block."""
+    few = queries.limit(max_queries + 1).count() <= max_queries
+    pairs = chunks.crossJoin(F.broadcast(queries) if few else queries.hint("shuffle_replicate_nl")).withColumn("distance", l2(F.transform("embedding", lambda x: x.cast("double")), F.transform(vector, lambda x: x.cast("double"))))
     best = pairs.groupBy(query_id, entry).agg(F.min("distance").alias("distance"))
     w = Window.partitionBy(query_id).orderBy("distance", entry)  # cut to k rows per query before the shuffle
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_id, "rank", entry, "distance")

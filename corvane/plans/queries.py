@@ -284,6 +284,13 @@ def knn_many(spark, d):
     return vector.search_many(c, q, 5).select("query_id", "rank", "context_id", F.round("distance", 5).alias("distance"))
 
 
+@query
+def knn_many_all(spark, d):
+    """Five nearest entries of every vector whose id is divisible by 20."""
+    q = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector.search_many(chunks(spark, d), q, 5).select("query_id", "rank", "context_id", F.round("distance", 5).alias("distance"))
+
+
 @query
 def quantized_knn(spark, d):
     q = quant.Quantizer(64, 4, "ip")
