@@ -120,7 +120,12 @@ class Tools:
             from pyspark.sql import Window
 
             ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(*fusion.best_first()))).join(self._entries().select("id", "text_content"), "id")  # at most the ranked depth
-            rows = fusion.rerank(ranked, F.substring("text_content", 1, 2000), scorer)
+            start, end = None, None
+            if near is not None:
+                ranked = ranked.join(near.select("id", "start_index", "end_index"), "id", "left")
+                start, end = F.col("start_index"), F.col("end_index")
+            marked = F.when(F.col("fts_rank").isNotNull(), fts.highlight(F.col("text_content"), fts.parse(query, "match", self.language), self.language))
+            rows = fusion.rerank(ranked, textops.rerank_text(F.col("text_content"), marked, start, end), scorer).drop("start_index", "end_index")
             return out | {"rows": rows.offset(offset).limit(limit)}
         return out | {"rows": scan.ranked_page(rows, fusion.best_first(), limit, offset)}
 

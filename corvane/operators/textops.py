@@ -137,6 +137,14 @@ def chunk_rows(entries: DataFrame, size: int = 1500, overlap: int = 150, doc: st
     return _table(entries, doc, text, "chunk_index int, start_index int, end_index int, chunk string", lambda t: chunking.chunks(t, size, overlap))
 
 
+def rerank_text(text: Column, marked: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    """What a reranker reads: the passage around the matches if marked is given, else the matched chunk, else the head; never nothing."""
+    out = F.when(marked.isNotNull(), passage_column(text, marked))
+    if start is not None and end is not None:
+        out = out.when(end > start, F.substring(text, start + 1, end - start))
+    return F.coalesce(F.nullif(out.otherwise(F.substring(text, 1, passages.MAX_PASSAGE)), F.lit("")), text)
+
+
 def passage_column(text: Column, marked: Column, **options) -> Column:
     """Passage of each row; for the rows of a ranked page."""
 

@@ -369,7 +369,9 @@ def hybrid_rerank(spark, d):
     from pyspark.sql import Window
 
     ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(*fusion.best_first())))  # at most 100 rows
-    return fusion.rerank(ranked, F.substring("text_content", 1, 2000), fusion.lexical_scorer("for was only")).select("id", "rank", "rerank_score")
+    tree = fts.parse("for was only", "match", "simple")
+    marked = F.when(F.col("fts_rank").isNotNull(), fts.highlight(F.col("text_content"), tree))
+    return fusion.rerank(ranked, textops.rerank_text(F.col("text_content"), marked), fusion.lexical_scorer("for was only")).select("id", "rank", "rerank_score")
 
 
 @query
