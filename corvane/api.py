@@ -110,7 +110,8 @@ class Tools:
 
     def hybrid_search_context(self, query: str, q: list[float] | None, limit: int = 10, offset: int = 0, k: int = 60, scorer=None, **conditions) -> dict:
         kept = self._kept(conditions) if conditions else None
-        words = fts.search(self._entries(), query, "match", self.language, keep=kept) if query.strip() else None
+        tree = fts.hybrid_query(query, language=self.language)
+        words = fts.search(self._entries(), tree, language=self.language, keep=kept) if query.strip() else None
         near = vector.search(self.store.read("chunks"), q, kept).withColumnRenamed("context_id", "id") if q else None
         out = fusion.hybrid(words, near, k)
         if out["rows"] is None:
@@ -124,7 +125,7 @@ class Tools:
             if near is not None:
                 ranked = ranked.join(near.select("id", "start_index", "end_index"), "id", "left")
                 start, end = F.col("start_index"), F.col("end_index")
-            marked = F.when(F.col("fts_rank").isNotNull(), fts.highlight(F.col("text_content"), fts.parse(query, "match", self.language), self.language))
+            marked = F.when(F.col("fts_rank").isNotNull(), fts.highlight(F.col("text_content"), tree, self.language))
             rows = fusion.rerank(ranked, textops.rerank_text(F.col("text_content"), marked, start, end), scorer).drop("start_index", "end_index")
             return out | {"rows": rows.offset(offset).limit(limit)}
         return out | {"rows": scan.ranked_page(rows, fusion.best_first(), limit, offset)}

@@ -184,10 +184,10 @@ def _every_leaf(tree: Leaf | Node) -> list[Leaf]:
     return [tree] if isinstance(tree, Leaf) else list(dict.fromkeys(x for k in tree.kids for x in _every_leaf(k)))
 
 
-def search(docs: DataFrame, query: str, mode: str = "match", language: str = "english", doc: str = "id", text: str = "text_content", keep: DataFrame | None = None) -> DataFrame:
-    """(id, score) of the matching documents, score by BM25 over the whole corpus; keep, a table of ids, filters after that."""
+def search(docs: DataFrame, query: str | Leaf | Node | None, mode: str = "match", language: str = "english", doc: str = "id", text: str = "text_content", keep: DataFrame | None = None) -> DataFrame:
+    """(id, score) of the matching documents, score by BM25 over the whole corpus; keep, a table of ids, filters after that. query may be parsed already."""
     schema = f"{doc} {docs.schema[doc].dataType.simpleString()}, score double"
-    tree = parse(query, mode, language)
+    tree = parse(query, mode, language) if isinstance(query, str) else query
     if tree is None:
         return docs.sparkSession.createDataFrame([], schema)
     toks = tokens(F.col(text))

@@ -322,6 +322,13 @@ def fts_bm25_topk(spark, d):
     return h.orderBy(*fts.ranked(h)).limit(20)
 
 
+@query
+def fts_hybrid_words(spark, d):
+    """The full-text leg of a hybrid search of many words: any of them."""
+    h = fts.search(documents(spark, d), fts.hybrid_query("for was only that with", language="simple"), language="simple")
+    return h.select("id", F.round("score", 6).alias("score"))
+
+
 @query
 def fts_stemmed(spark, d):
     return fts.search(documents(spark, d), "thats oner", "match", "english")
