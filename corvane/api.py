@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import outline
 from .functions.text import uuid7
 from .operators import dml, filters, fts, fusion, quant, scan, stats, textops, vector
-from .schema import MAX_PAGE, RANK_DEPTH
+from .schema import RANK_DEPTH
 from .sources.store import Store
 
 
@@ -52,7 +52,7 @@ class Tools:
         if "patch" in changes.columns:
             e = dml.patch_metadata(e, changes.filter("patch is not null"))
         out, conflicts = dml.update(e, changes)
-        ids = [r["id"] for r in conflicts.limit(MAX_PAGE).collect()]
+        ids = [r["id"] for r in conflicts.select("id").collect()]
         self.store.replace("entries", out)
         return ids
 
