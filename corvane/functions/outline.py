@@ -29,79 +29,83 @@ def slug(title: str) -> str:
     return s[:SLUG_CHARS].rstrip("-") or "section"
 
 
-def _opens(line: str) -> tuple[str, int] | None:
+def _fence(line: str) -> tuple[str, int, bool, bool] | None:
+    """(sign, length, may open, may close) of a code fence line."""
     m = FENCE.match(line)
-    return None if not m or (m[1][0] == "`" and "`" in m[2]) else (m[1][0], len(m[1]))
+    return m and (m[1][0], len(m[1]), m[1][0] == "~" or "`" not in m[2], not m[2].strip())
 
 
 def headings(text: str) -> list[tuple[int, str, int]]:
-    """(level, title, start), skipping closed code fences."""
+    """(level, title, start) of ATX and setext headings, by the block rules of Markdown; code fences count if they close.
+
+    One pass forward over the lines keeps the open fence and the open paragraph; whether a fence
+    closes is known from the longest closing fence of its sign below, found from the end first.
+    """
     lines, starts = split_lines(text)
-    # closing fences by character, to be searched forward only
-    closers = {c: [(i, len(m[1])) for i, x in enumerate(lines) if (m := FENCE.match(x)) and m[1][0] == c and not m[2].strip()] for c in "`~"}
-    hopeless: dict[str, int] = {}
-    out, i = [], 0
-    in_paragraph = lambda x: bool(x.strip()) and not (STARTS_BLOCK.match(x) or CODE.match(x) or RULE.match(x))
-    while i < len(lines):
-        line = lines[i]
-        if fence := _opens(line):
-            c, n = fence
-            end = None
-            if n < hopeless.get(c, 1 << 30):
-                end = next((j for j, m in closers[c] if j > i and m >= n), None)
-                if end is None:
-                    hopeless[c] = n
-            i = i + 1 if end is None else end + 1
-            continue
-        if m := ATX.match(line):
-            title = (m[2] or "").strip()
-            title = "" if title and not title.strip("#") else re.sub(r"[ \t]+#+$", "", title).strip()
-            out.append((len(m[1]), title, starts[i]))
-        elif in_paragraph(line) and i + 1 < len(lines) and (m := SETEXT.match(lines[i + 1])):
-            first = i
-            while first and in_paragraph(p := lines[first - 1]) and not (ATX.match(p) or _opens(p) or SETEXT.match(p)):
-                first -= 1
-            out.append((1 if m[1] else 2, " ".join(x.strip() for x in lines[first : i + 1]), starts[first]))
-            i += 1
-        i += 1
+    fences = [_fence(x) for x in lines]
+    below, longest = [], {"`": 0, "~": 0}
+    for f in reversed(fences):
+        below.append((longest["`"], longest["~"]))
+        if f and f[3]:
+            longest[f[0]] = max(longest[f[0]], f[1])
+    below.reverse()
+
+    out: list[tuple[int, str, int]] = []
+    paragraph: list[tuple[str, int]] = []
+    closer: tuple[str, int] | None = None
+    for line, start, fence, after in zip(lines, starts, fences, below, strict=True):
+        if closer:
+            if fence and fence[3] and fence[0] == closer[0] and fence[1] >= closer[1]:
+                closer = None
+        elif fence and fence[2]:
+            paragraph.clear()
+            if after["`~".index(fence[0])] >= fence[1]:
+                closer = fence[:2]
+        elif m := ATX.match(line):
+            paragraph.clear()
+            out.append((len(m[1]), re.sub(r"(?:^|[ \t]+)#+$", "", (m[2] or "").strip()).strip(), start))
+        elif paragraph and (m := SETEXT.match(line)):
+            out.append((1 if m[1] else 2, " ".join(x.strip() for x, _ in paragraph), paragraph[0][1]))
+            paragraph.clear()
+        elif not line.strip() or STARTS_BLOCK.match(line) or CODE.match(line) or RULE.match(line):
+            paragraph.clear()
+        else:
+            if paragraph and SETEXT.match(paragraph[-1][0]):  # an underline below nothing is text, but joins no paragraph
+                paragraph.clear()
+            paragraph.append((line, start))
     return out
 
 
 def outline(text: str, max_depth: int = 6) -> list[dict]:
-    """Nodes in order: node_id, level, ordinal, title, char_start, char_end, parent_id. Ids don't depend on max_depth."""
-    found = headings(text)
-    used: dict[str, tuple[dict[str, int], set[str]]] = {"": ({ROOT: 1}, {ROOT})}
-    stack: list[tuple[int, str]] = [(0, "")]
-    nodes = []
-    for level, title, start in found:
-        while len(stack) > 1 and stack[-1][0] >= level:
-            stack.pop()
-        parent = stack[-1][1]
-        counts, taken = used.setdefault(parent, ({}, set()))
-        base = slug(title)
-        n = counts.get(base, 0) + 1
-        name = base if n == 1 else f"{base}-{n}"
-        while name in taken:
+    """Nodes in order: node_id, level, ordinal, title, char_start, char_end, parent_id. Ids don't depend on max_depth.
+
+    An id is the path of slugs; a slug that siblings have taken gets the next free number, which is its ordinal.
+    """
+    nodes: list[dict] = []
+    above: list[dict] = []
+    taken, last = {ROOT}, {}
+    for level, title, start in headings(text):
+        above = [x for x in above if x["level"] < level]
+        base = f"{above[-1]['node_id']}/{slug(title)}" if above else slug(title)
+        n = last.get(base, 0) + 1
+        while (node_id := base if n == 1 else f"{base}-{n}") in taken:
             n += 1
-            name = f"{base}-{n}"
-        counts[base] = n
-        taken.add(name)
-        node_id = f"{parent}/{name}" if parent else name
-        stack.append((level, node_id))
-        nodes.append({"node_id": node_id, "level": level, "ordinal": n, "title": title, "char_start": start})
+        taken.add(node_id)
+        last[base] = n
+        above.append({"node_id": node_id, "level": level, "ordinal": n, "title": title, "char_start": start})
+        nodes.append(above[-1])
     shown = [x for x in nodes if x["level"] <= max_depth]
-    end_of: list[tuple[int, int]] = []  # open sections: (level, index)
-    parents: list[tuple[int, str]] = []
-    for k, x in enumerate(shown):
-        while end_of and end_of[-1][0] >= x["level"]:
-            shown[end_of.pop()[1]]["char_end"] = x["char_start"]
-        while parents and parents[-1][0] >= x["level"]:
-            parents.pop()
-        x["parent_id"] = parents[-1][1] if parents else ROOT
-        parents.append((x["level"], x["node_id"]))
-        end_of.append((x["level"], k))
-    for _, k in end_of:
-        shown[k]["char_end"] = len(text)
+    following: list[dict] = []  # later nodes that may end a section, nearest last
+    for x in reversed(shown):
+        while following and following[-1]["level"] > x["level"]:
+            following.pop()
+        x["char_end"] = following[-1]["char_start"] if following else len(text)
+        following.append(x)
+    above = []
+    for x in shown:
+        above = [y for y in above if y["level"] < x["level"]]
+        x["parent_id"] = above[-1]["node_id"] if above else ROOT
+        above.append(x)
     return [{"node_id": ROOT, "level": 0, "ordinal": 1, "title": "", "char_start": 0, "char_end": len(text), "parent_id": None}, *shown]
 
 
