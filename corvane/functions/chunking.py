@@ -1,58 +1,66 @@
-"""Recursive character splitting with overlap and offsets."""
+"""Recursive character splitting with overlap and exact offsets.
+
+A text is cut before every paragraph break; what is still too long there is cut before
+line breaks, then sentences, words and characters. Neighbouring pieces are packed into chunks of at most
+`size` characters that repeat up to `overlap` of the one before. Everything is done on positions, so a
+chunk's offsets are those it was cut at, also where its text occurs more than once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
-def _pieces(text: str, sep: str) -> list[str]:
-    """Split with each separator kept at the start of what follows it."""
+def _bounds(text: str, a: int, z: int, sep: str) -> list[int]:
+    """a, the starts of separators, z; neighbours enclose a piece."""
     if not sep:
-        return list(text)
-    parts = text.split(sep)
-    return [p for p in [parts[0], *(sep + p for p in parts[1:])] if p]
-
-
-def _join(parts: list[str], size: int, overlap: int) -> list[str]:
-    out: list[str] = []
-    held: list[str] = []
-    total = 0
-    for p in parts:
-        if held and total + len(p) > size:
-            out.append("".join(held).strip())
-            while held and (total > overlap or total + len(p) > size):
-                total -= len(held.pop(0))
-        held.append(p)
-        total += len(p)
-    out.append("".join(held).strip())
-    return [x for x in out if x]
-
-
-def _split(text: str, seps: tuple[str, ...], size: int, overlap: int) -> list[str]:
-    sep = next((s for s in seps if s == "" or s in text), seps[-1])
-    rest = seps[seps.index(sep) + 1 :]
-    out: list[str] = []
-    fit: list[str] = []
-    for p in _pieces(text, sep):
-        if len(p) < size:
-            fit.append(p)
+        return list(range(a, z + 1))
+    out, at = [a], text.find(sep, a, z)
+    while at >= 0:
+        if at > a:
+            out.append(at)
+        at = text.find(sep, at + len(sep), z)
+    return [*out, z]
+
+
+def _packed(bounds: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Chunks of whole pieces, greedily filled."""
+    first = 0
+    for k in range(1, len(bounds)):
+        if k - 1 > first and bounds[k] - bounds[first] > size:
+            yield bounds[first], bounds[k - 1]
+            while first < k - 1 and (bounds[k - 1] - bounds[first] > overlap or bounds[k] - bounds[first] > size):
+                first += 1
+    yield bounds[first], bounds[-1]
+
+
+def _spans(text: str, a: int, z: int, level: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    while SEPARATORS[level] and text.find(SEPARATORS[level], a, z) < 0:
+        level += 1
+    run = [a]
+    for lo, hi in pairwise(_bounds(text, a, z, SEPARATORS[level])):
+        if hi - lo < size or level + 1 == len(SEPARATORS):
+            run.append(hi)
             continue
-        if fit:
-            out += _join(fit, size, overlap)
-            fit = []
-        out += _split(p, rest, size, overlap) if rest else [p]
-    return out + (_join(fit, size, overlap) if fit else [])
+        if len(run) > 1:
+            yield from _packed(run, size, overlap)
+        yield from _spans(text, lo, hi, level + 1, size, overlap)
+        run = [hi]
+    if len(run) > 1:
+        yield from _packed(run, size, overlap)
 
 
 def chunks(text: str, size: int = 1500, overlap: int = 150) -> list[tuple[int, int, int, str]]:
-    """(index, start, end, chunk); a short text is one chunk, so is one that splits into nothing."""
+    """(index, start, end, chunk), outer white space left out; a short text is one chunk, so is one that has nothing else."""
     if overlap >= size:
         raise ValueError("overlap must be below the size")
-    if len(text) <= size or not (parts := _split(text, SEPARATORS, size, overlap)):
-        return [(0, 0, len(text), text)]
-    out, at, before = [], 0, 0
-    for i, p in enumerate(parts):
-        start = text.find(p, max(0, at + before - overlap))
-        at, before = max(start, 0), len(p)
-        out.append((i, at, at + len(p), p))
-    return out
+    out: list[tuple[int, int, int, str]] = []
+    for a, z in _spans(text, 0, len(text), 0, size, overlap) if len(text) > size else ():
+        piece = text[a:z]
+        a += len(piece) - len(piece.lstrip())
+        if piece := piece.strip():
+            out.append((len(out), a, a + len(piece), piece))
+    return out or [(0, 0, len(text), text)]
