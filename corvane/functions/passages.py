@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 MAX_PASSAGE = int(0.95 * 512 * 4)
@@ -29,24 +31,31 @@ def regions(marked: str, text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def snap(text: str, at: int, left: bool, reach: int = 200) -> int:
-    """Just past the nearest of the strongest separator within reach; `at` if there is none."""
-    lo, hi = (max(0, at - reach), at) if left else (at, min(len(text), at + reach))
-    for s in SEPARATORS:
-        i = text.rfind(s, lo, hi) if left else text.find(s, lo, hi)
-        if i >= 0:
-            return i + len(s)
+def breaks(text: str) -> list[list[int]]:
+    """For each separator, strongest first, the sorted positions just behind it."""
+    return [[m.start() + len(s) for m in re.finditer(f"(?={re.escape(s)})", text)] for s in SEPARATORS]
+
+
+def snap(ends: list[list[int]], at: int, left: bool, reach: int = 200) -> int:
+    """The nearest of the strongest breaks on one side within reach; `at` if there is none."""
+    for s, cuts in zip(SEPARATORS, ends, strict=True):
+        if left:
+            i = bisect_right(cuts, at) - 1
+            if i >= 0 and cuts[i] >= max(0, at - reach) + len(s):
+                return cuts[i]
+        else:
+            i = bisect_left(cuts, at + len(s))
+            if i < len(cuts) and cuts[i] <= at + reach:
+                return cuts[i]
     return at
 
 
 def coalesce(spans: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1] + gap:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+    """Spans no more than gap apart become one."""
+    spans = sorted(spans)
+    reached = list(accumulate((b for _, b in spans), max))
+    heads = [i for i in range(len(spans)) if not i or spans[i][0] > reached[i - 1] + gap]
+    return [(spans[i][0], reached[j - 1]) for i, j in zip(heads, [*heads, len(spans)][1:], strict=True)]
 
 
 def shorten(text: str, width: int) -> str:
@@ -62,5 +71,6 @@ def passage(text: str, marked: str | None, window: int = 750, limit: int = MAX_P
     found = regions(marked, text) if marked else []
     if not found:
         return clean(text[:limit])
-    wide = [(snap(text, max(0, a - window), True), snap(text, min(len(text), b + window), False)) for a, b in found]
+    ends = breaks(text)
+    wide = [(snap(ends, max(0, a - window), True), snap(ends, min(len(text), b + window), False)) for a, b in found]
     return clean(shorten(" ... ".join(text[a:b] for a, b in coalesce(wide, gap)), limit))
