@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import outline
 from .functions.text import uuid7
 from .operators import dml, filters, fts, fusion, quant, scan, stats, textops, vector
+from .sources import text_index
 from .schema import RANK_DEPTH
 from .sources.store import Store
 
@@ -25,51 +26,75 @@ class Tools:
     def store_context(self, rows: DataFrame, atomic: bool = True) -> DataFrame:
         """Store rows (thread_id, source, text_content, metadata, tags, images; created_at optional); gives the failures.
 
-        A row equal to the newest of its thread and source updates that one. One pass serves one row or many.
+        A row equal to the newest of its thread and source updates that one, and its tags and images, if it has any,
+        take the place of the former. One pass serves one row or many. The rows are written
+        aside first, so that their new ids are the same in every table, whatever happens to an executor.
         """
         good, bad = dml.accepted(rows, atomic)
         good = good.withColumn("created_at", F.current_timestamp() if "created_at" not in rows.columns else F.coalesce("created_at", F.current_timestamp()))
         good = good.withColumn("id", uuid7(F.col("created_at"), F.col("thread_id"), F.col("source"), F.col("text_content"), F.monotonically_increasing_id()))
-        good = good.persist()
+        self.store.write("incoming", good.select("id", "thread_id", "source", "content_type", "text_content", "metadata", "content_hash", "created_at", "tags", F.coalesce("images", F.array().cast("array<string>")).alias("images")))
+        good = self.store.read("incoming")
         new = good.select("id", "thread_id", "source", "content_type", "text_content", "metadata", F.lit(None).cast("string").alias("summary"), "content_hash", F.lit(1).cast("bigint").alias("version"), "created_at", F.col("created_at").alias("updated_at"))
-        touched = self._entries().join(new.select("thread_id").distinct(), "thread_id", "left_semi")
-        rest = self._entries().join(new.select("thread_id").distinct(), "thread_id", "left_anti")
-        folded = dml.fold_duplicates(touched.select(new.columns).unionByName(new))
-        tags = good.select(F.col("id").alias("context_entry_id"), F.explode("tags").alias("tag"))
-        images = good.filter(F.size(F.coalesce("images", F.array().cast("array<string>"))) > 0).select(F.col("id").alias("context_entry_id"), F.posexplode("images").alias("position", "i"))
-        images = images.select("context_entry_id", dml.decoded_image(F.col("i")).alias("image_data"), F.lit("image/png").alias("mime_type"), F.lit(None).cast("string").alias("image_metadata"), "position")
-        self.store.append("tags", tags)
-        self.store.append("images", images)
-        self.store.replace("entries", rest.select(new.columns).unionByName(folded.select(new.columns)))
-        good.unpersist()
+        entries, kept = dml.fold_new(self._entries(), new)
+        self.store.write("incoming-ids", kept)
+        kept = self.store.read("incoming-ids")
+        self.store.write("entries", entries)
+        last = lambda c: good.filter(F.size(c) > 0).select(F.col("id").alias("new_id"), c).join(kept, "new_id").groupBy("id").agg(F.max_by(c, "new_id").alias("x"))
+        tags = last("tags").select(F.col("id").alias("context_entry_id"), F.explode("x").alias("tag"))
+        images = last("images").select(F.col("id").alias("context_entry_id"), F.posexplode("x").alias("position", "i")).withColumn("image_data", dml.decoded_image(F.col("i")))
+        self.store.upsert("tags", tags)
+        self.store.upsert("images", images.withColumn("mime_type", dml.image_type(F.col("image_data"))).withColumn("image_metadata", F.lit(None).cast("string")))
+        for name in ("incoming", "incoming-ids"):
+            self.store.drop(name)
+        self._changed()
         return bad
 
     store_context_batch = store_context
 
     def update_context(self, changes: DataFrame) -> list[str]:
-        """Apply changes (see dml.update; patch merges into metadata); ids that conflict."""
-        e = self._entries()
-        if "patch" in changes.columns:
-            e = dml.patch_metadata(e, changes.filter("patch is not null"))
-        out, conflicts = dml.update(e, changes)
+        """Apply changes (see dml.update; patch merges into metadata); ids that conflict. tags, if given, replace those of the entries that don't."""
+        out, conflicts = dml.update(self._entries(), changes)
         ids = [r["id"] for r in conflicts.select("id").collect()]
-        self.store.replace("entries", out)
+        if "tags" in changes.columns:
+            done = changes.select("id", "tags").join(self._entries().select("id"), "id", "left_semi").join(conflicts, "id", "left_anti")
+            self.store.write("tags", dml.replace_tags(self.store.read("tags"), done))
+        self.store.write("entries", out)
+        self._changed()
         return ids
 
     update_context_batch = update_context
 
     def delete_context(self, **criteria) -> int:
-        """Delete by criteria of dml.matching(), in all tables; the number of entries."""
-        doomed = dml.matching(self._entries(), **criteria).persist()
+        """Delete by criteria of dml.matching(), in all tables that hold something of it; the number of entries."""
+        self.store.write("doomed", dml.matching(self._entries(), **criteria))
+        doomed = self.store.read("doomed")
         n = doomed.count()
-        names = ["tags", "images", "embedding_metadata", "chunks", "chunks_compressed", "index_nodes", "entries"]
-        for name, df in dml.delete({k: self.store.read(k) for k in names}, doomed).items():
-            self.store.replace(name, df)
-        doomed.unpersist()
+        if n:
+            self.store.delete_of(doomed, ("tags", "images", "embedding_metadata", "chunks", "chunks_compressed", "index_nodes", "entries"))
+            self._changed()
+        self.store.drop("doomed")
         return n
 
     delete_context_batch = delete_context
 
+    def store_index_nodes(self, nodes: DataFrame) -> None:
+        """Nodes (columns of index_nodes) take the place of their entries' former ones."""
+        self.store.upsert("index_nodes", nodes)
+
+    # the full-text index
+    def build_index(self, language: str | None = None) -> None:
+        """Build or rebuild the index; another language becomes that of the tools. Without an index searches read the texts."""
+        self.language = language or self.language
+        text_index.build(self.store, self._entries(), self.language)
+
+    def _index(self) -> text_index.TextIndex | None:
+        return text_index.open_index(self.store, self.language)
+
+    def _changed(self) -> None:
+        """Entries have changed: an index would give stale hits."""
+        text_index.drop(self.store)
+
     # reads
     def get_context_by_ids(self, ids: Iterable[str], include_images: bool = False) -> DataFrame:
         e = scan.by_ids(self._entries(), ids)
@@ -84,7 +109,7 @@ class Tools:
     def fts_search_context(self, query: str, mode: str = "match", limit: int = 10, offset: int = 0, highlight: bool = False, **conditions) -> dict:
         try:
             tree = fts.parse(query, mode, self.language)
-            hits = fts.search(self._entries(), query, mode, self.language, keep=self._kept(conditions) if conditions else None)
+            hits = self._words(tree, self._kept(conditions) if conditions else None)
         except (fts.QueryError, filters.InvalidFilter) as e:
             return {"rows": self._entries().limit(0), "error": "validation failed", "validation_errors": [str(e)]}
         page = scan.ranked_page(hits, fts.ranked(hits), limit, offset).join(self._entries(), "id").orderBy(*fts.ranked(hits))
@@ -92,6 +117,11 @@ class Tools:
             page = page.withColumn("highlighted", fts.highlight(F.col("text_content"), tree, self.language))
         return {"rows": page, "stats": {"filters_applied": filters.filters_applied(**conditions), "rank_depth_limit": RANK_DEPTH}}
 
+    def _words(self, tree: fts.Leaf | fts.Node | None, keep: DataFrame | None) -> DataFrame:
+        if index := self._index():
+            return index.search(tree, keep=keep)
+        return fts.search(self._entries(), tree, language=self.language, keep=keep)
+
     def _nearest(self, q: list[float], conditions: Mapping, quantizer: quant.Quantizer | None) -> DataFrame:
         kept = self._kept(conditions) if conditions else None
         if quantizer:
@@ -109,9 +139,12 @@ class Tools:
         return {"rows": page.orderBy("distance", "id"), "stats": {"filters_applied": filters.filters_applied(**conditions), "rank_depth_limit": RANK_DEPTH}}
 
     def hybrid_search_context(self, query: str, q: list[float] | None, limit: int = 10, offset: int = 0, k: int = 60, scorer=None, **conditions) -> dict:
-        kept = self._kept(conditions) if conditions else None
-        tree = fts.hybrid_query(query, language=self.language)
-        words = fts.search(self._entries(), tree, language=self.language, keep=kept) if query.strip() else None
+        try:
+            kept = self._kept(conditions) if conditions else None
+            tree = fts.hybrid_query(query, language=self.language)
+        except (fts.QueryError, filters.InvalidFilter) as e:
+            return {"rows": self._entries().limit(0), "error": "validation failed", "validation_errors": [str(e)]}
+        words = self._words(tree, kept) if query.strip() else None
         near = vector.search(self.store.read("chunks"), q, kept).withColumnRenamed("context_id", "id") if q else None
         out = fusion.hybrid(words, near, k)
         if out["rows"] is None:
@@ -158,5 +191,10 @@ class Tools:
         return stats.thread_list(self._entries(), limit, offset)
 
     def get_statistics(self) -> dict:
-        out = stats.statistics(self._entries(), self.store.read("tags"), self.store.read("images"))
-        return out | {"embeddings": stats.embedding_stats(self._entries(), self.store.read("embedding_metadata")), "compressed": stats.payload_bytes(self.store.read("chunks_compressed"))}
+        meta, e = self.store.read("embedding_metadata"), self._entries()
+        out = stats.statistics(e, self.store.read("tags"), self.store.read("images"))
+        index = self._index()
+        return out | {
+            "embeddings": stats.embedding_stats(e, meta), "models": meta.select("model_name", "dimensions").distinct(), "compressed": stats.payload_bytes(self.store.read("chunks_compressed")),
+            "fts": stats.fts_coverage(e, index.lengths if index else None), "fts_language": self.language if index else None, "nodes": self.store.read("index_nodes").agg(F.count("*").alias("total_nodes"), F.countDistinct("context_id").alias("entries_with_nodes")),
+        }

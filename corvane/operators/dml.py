@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, merge_patch
-from ..schema import ENTRY_KEY, MAX_IMAGES, MAX_TAG_CHARS, MAX_TAGS, MAX_THREAD_CHARS
+from ..schema import ENTRY_KEY, MAX_IMAGE_BYTES, MAX_IMAGES, MAX_TAG_CHARS, MAX_TAGS, MAX_THREAD_CHARS
 from .filters import normalised_tags
 
 
@@ -21,19 +21,34 @@ def adjacent_runs(entries: DataFrame, thread: str = "thread_id", source: str = "
     return e.withColumn("_new", F.when(F.row_number().over(w) == 1, 1).otherwise(new.cast("int"))).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_h")
 
 
-def fold_duplicates(entries: DataFrame) -> DataFrame:
+def fold_duplicates(entries: DataFrame, order: str = "id") -> DataFrame:
     """Consecutive entries of one thread and source with one text become the first of them.
 
     Its metadata, summary and update time are the last that are not null; version counts the repeats.
     """
-    runs = adjacent_runs(entries)
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
-    first = lambda c: F.min_by(c, "id").alias(c)
+    runs = adjacent_runs(entries, order=order)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+    first = lambda c: F.min_by(c, order).alias(c)
     out = runs.groupBy("thread_id", "run").agg(
-        F.min("id").alias("id"), first("source"), first("content_type"), first("text_content"), last("metadata"), last("summary"), F.min_by("content_hash", "id").alias("content_hash"),
-        (F.min_by("version", "id") + F.count("*") - 1).alias("version"), first("created_at"), F.max("updated_at").alias("updated_at"),
+        first("id"), first("source"), first("content_type"), first("text_content"), last("metadata"), last("summary"), first("content_hash"),
+        (F.min_by("version", order) + F.count("*") - 1).alias("version"), first("created_at"), F.max("updated_at").alias("updated_at"),
     )
-    return out.drop("run").select(entries.columns)
+    return out.drop("run").select([c for c in entries.columns if c in out.columns])
+
+
+def fold_new(entries: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Store new entries, in the order of their ids, after those of entries (the columns of entries).
+
+    A new entry equal in source and text to its thread's newest, or to the new one before it, folds
+    into that. Gives all entries, older ones untouched, and (new_id, id): the entry that each new one became.
+    """
+    newest = entries.join(new.select("thread_id").distinct(), "thread_id", "left_semi").groupBy("thread_id").agg(F.max_by(F.struct(*entries.columns), "id").alias("e")).select("e.*")
+    both = newest.withColumn("_at", F.concat(F.lit("0"), "id")).unionByName(new.select(entries.columns).withColumn("_at", F.concat(F.lit("1"), "id")))
+    runs = adjacent_runs(both, order="_at")
+    first = runs.groupBy("thread_id", "run").agg(F.min_by("id", "_at").alias("_kept"))
+    kept = runs.filter(F.col("_at").startswith("1")).join(first, ["thread_id", "run"]).select(F.col("id").alias("new_id"), F.col("_kept").alias("id"))
+    folded = fold_duplicates(both, order="_at")
+    return entries.join(newest.select("id"), "id", "left_anti").select(entries.columns).unionByName(folded.select(entries.columns)), kept
 
 
 def would_fold(entries: DataFrame, thread_id: str, source: str, text: str) -> DataFrame:
@@ -42,31 +57,40 @@ def would_fold(entries: DataFrame, thread_id: str, source: str, text: str) -> Da
 
 
 def update(entries: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply changes (id, any of text_content, metadata, summary; expected_version): entries, and the ids that conflict."""
+    """Apply changes (id, any of text_content, metadata, summary, content_type, patch; expected_version): entries, and the ids that conflict.
+
+    A patch merges into the metadata after a change of it; a change whose version isn't the stored one does nothing.
+    """
     cols = [c for c in ("text_content", "metadata", "summary", "content_type") if c in changes.columns]
-    c = changes.select(F.col("id"), *[F.col(x).alias(f"_{x}") for x in cols], (F.col("expected_version") if "expected_version" in changes.columns else F.lit(None).cast("bigint")).alias("_v"), F.lit(True).alias("_hit"))
+    given = [*cols, *(["patch"] if "patch" in changes.columns else [])]
+    c = changes.select(F.col("id"), *[F.col(x).alias(f"_{x}") for x in given], (F.col("expected_version") if "expected_version" in changes.columns else F.lit(None).cast("bigint")).alias("_v"), F.lit(True).alias("_hit"))
     j = entries.join(c, "id", "left")
     ok = F.col("_hit").isNotNull() & (F.col("_v").isNull() | (F.col("_v") == F.col("version")))
-    out = j.select(*[
-        F.when(ok, F.coalesce(F.col(f"_{x}"), F.col(x))).otherwise(F.col(x)).alias(x) if x in cols
-        else F.when(ok, F.col("version") + 1).otherwise(F.col("version")).alias(x) if x == "version"
-        else F.when(ok, F.current_timestamp()).otherwise(F.col("updated_at")).alias(x) if x == "updated_at"
-        else F.when(ok & F.col("_text_content").isNotNull(), content_hash(F.col("_text_content"))).otherwise(F.col(x)).alias(x) if x == "content_hash" and "text_content" in cols
-        else F.col(x) for x in entries.columns
-    ])
-    return out, j.filter(F.col("_hit").isNotNull() & ~ok).select("id")
+    new = {x: F.when(ok, F.coalesce(F.col(f"_{x}"), F.col(x))).otherwise(F.col(x)) for x in cols}
+    new["version"] = F.when(ok, F.col("version") + 1).otherwise(F.col("version"))
+    new["updated_at"] = F.when(ok, F.current_timestamp()).otherwise(F.col("updated_at"))
+    if "text_content" in cols:
+        new["content_hash"] = F.when(ok & F.col("_text_content").isNotNull(), content_hash(F.col("_text_content"))).otherwise(F.col("content_hash"))
+    if "patch" in given:
+        before = new.get("metadata", F.col("metadata"))
+        new["metadata"] = F.when(ok & F.col("_patch").isNotNull(), merge_patch(F.coalesce(before, F.lit("{}")), F.when(ok, F.col("_patch")))).otherwise(before)
+    return j.select(*[new.get(x, F.col(x)).alias(x) for x in entries.columns]), j.filter(F.col("_hit").isNotNull() & ~ok).select("id")
 
 
-def patch_metadata(entries: DataFrame, patches: DataFrame) -> DataFrame:
-    """Merge patches (id, patch) into metadata."""
-    return entries.join(patches.select("id", F.col("patch").alias("_p")), "id", "left").withColumn("metadata", F.when(F.col("_p").isNotNull(), merge_patch(F.coalesce("metadata", F.lit("{}")), F.col("_p"))).otherwise(F.col("metadata"))).drop("_p").select(entries.columns)
+def touch(entries: DataFrame, ids: DataFrame, content_type: Column | None = None) -> DataFrame:
+    """entries with a new time of update, and a content type if given, for the ids; versions stay."""
+    j = entries.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
+    new = {"updated_at": F.when(F.col("_hit"), F.current_timestamp()).otherwise(F.col("updated_at"))}
+    if content_type is not None:
+        new["content_type"] = F.when(F.col("_hit"), content_type).otherwise(F.col("content_type"))
+    return j.select(*[new.get(x, F.col(x)).alias(x) for x in entries.columns])
 
 
-def flat_patch(metadata: Column, patch: Column) -> Column:
-    """Merge patch of one level without Python: maps of text values, null deletes."""
-    t, p = F.coalesce(metadata, F.create_map().cast("map<string,string>")), patch
-    kept = F.map_filter(t, lambda k, v: ~F.array_contains(F.map_keys(p), k))
-    return F.map_concat(kept, F.map_filter(p, lambda k, v: v.isNotNull()))
+def replace_tags(tags: DataFrame, given: DataFrame) -> DataFrame:
+    """The tags (context_entry_id, tag) with those of the ids in given (id, tags) in place of their former ones; an empty list removes all, null none."""
+    own = given.filter("tags is not null").select(F.col("id").alias("context_entry_id"), "tags")
+    new = own.select("context_entry_id", F.explode(normalised_tags(F.col("tags"))).alias("tag"))
+    return tags.join(own.select("context_entry_id"), "context_entry_id", "left_anti").select(tags.columns).unionByName(new.select(tags.columns))
 
 
 def matching(entries: DataFrame, ids: Iterable[str] | None = None, thread_ids: Iterable[str] | None = None, source: str | None = None, older_than_days: float | None = None, now: Column | None = None) -> DataFrame:
@@ -96,6 +120,12 @@ def decoded_image(data: Column) -> Column:
     return F.try_to_binary(F.regexp_replace(F.regexp_replace(data, "^data:[^,]*,", ""), r"\s", ""), F.lit("base64"))
 
 
+def image_type(data: Column) -> Column:
+    """Media type by the first bytes of an image: png, jpeg, gif, webp; else octet-stream."""
+    head = F.hex(F.substring(data, 1, 12))
+    return F.when(head.startswith("89504E47"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("47494638"), "image/gif").when(head.startswith("52494646") & head.endswith("57454250"), "image/webp").otherwise("application/octet-stream")
+
+
 def validated(batch: DataFrame) -> DataFrame:
     """Rows to store (thread_id, source, text_content, tags, images) with error, null if valid, and what is derived."""
     bad = lambda c, m: F.when(c, F.lit(m))
@@ -104,6 +134,7 @@ def validated(batch: DataFrame) -> DataFrame:
         bad(F.trim(F.coalesce("thread_id", F.lit(""))) == "", "thread_id is empty"), bad(F.length("thread_id") > MAX_THREAD_CHARS, "thread_id is too long"), bad(~F.coalesce(F.col("source").isin("user", "agent"), F.lit(False)), "source is neither user nor agent"),
         bad(F.trim(F.coalesce("text_content", F.lit(""))) == "", "text is empty"), bad(F.size("tags") > MAX_TAGS, "too many tags"), bad(F.exists("tags", lambda t: F.length(t) > MAX_TAG_CHARS), "tag is too long"),
         bad(F.size(F.coalesce("images", F.array().cast("array<string>"))) > MAX_IMAGES, "too many images"), bad(F.exists(F.coalesce("images", F.array().cast("array<string>")), lambda i: decoded_image(i).isNull()), "image isn't base64"),
+        bad(F.exists(F.coalesce("images", F.array().cast("array<string>")), lambda i: F.octet_length(decoded_image(i)) > MAX_IMAGE_BYTES), "image is too large"),
     )
     out = out.withColumn("error", error).withColumn("content_hash", content_hash(F.col("text_content")))
     return out.withColumn("content_type", F.when(F.size(F.coalesce("images", F.array().cast("array<string>"))) > 0, "multimodal").otherwise("text"))

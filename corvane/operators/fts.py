@@ -1,9 +1,9 @@
 """Full-text search: match, prefix, phrase and boolean queries, BM25, cover density, highlighting.
 
 A query is parsed on the driver into a small tree; each leaf becomes a count
-over a document's token array. Ranking needs corpus totals only, one row of
-them, so a search is one scan, one one-row aggregate and a top-k, without a
-shuffle of postings. postings() builds the inverted index for stored use.
+over a document's token array. search() reads whole texts, where no index exists: one scan that leaves
+a row of counts per document, one one-row aggregate and a top-k. postings() builds the inverted
+index; sources/text_index.py stores it and searches it, with the same results.
 """
 
 from __future__ import annotations
@@ -66,6 +66,8 @@ def parse(query: str, mode: str = "match", language: str = "english") -> Leaf |
         raise QueryError("query too long")
     if "\0" in query or any(0xD800 <= ord(c) <= 0xDFFF for c in query):
         raise QueryError("query holds a NUL or a lone surrogate")
+    if language.lower() not in LANGUAGES:
+        raise QueryError(f"language {language!r} isn't known")
     st = language.lower() == "english"
     drop = language.lower() in STOPWORD_LANGUAGES
     if mode == "phrase":
@@ -180,8 +182,18 @@ def matches(tree: Leaf | Node, n: dict[Leaf, Column]) -> Column:
     return out
 
 
-def _every_leaf(tree: Leaf | Node) -> list[Leaf]:
-    return [tree] if isinstance(tree, Leaf) else list(dict.fromkeys(x for k in tree.kids for x in _every_leaf(k)))
+def every_leaf(tree: Leaf | Node) -> list[Leaf]:
+    return [tree] if isinstance(tree, Leaf) else list(dict.fromkeys(x for k in tree.kids for x in every_leaf(k)))
+
+
+def bm25(every: list[Leaf], ranked: list[Leaf]) -> Column:
+    """The score from n<i> of every leaf, dl, and docs, avgdl and df<i> of the ranked ones."""
+    score = F.lit(0.0)
+    for i, x in enumerate(ranked):
+        tf = F.col(f"n{every.index(x)}").cast("double")
+        idf = F.greatest(F.ln((F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(LEAST_IDF))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return score
 
 
 def search(docs: DataFrame, query: str | Leaf | Node | None, mode: str = "match", language: str = "english", doc: str = "id", text: str = "text_content", keep: DataFrame | None = None) -> DataFrame:
@@ -191,19 +203,14 @@ def search(docs: DataFrame, query: str | Leaf | Node | None, mode: str = "match"
     if tree is None:
         return docs.sparkSession.createDataFrame([], schema)
     toks = tokens(F.col(text))
-    every, ranked = _every_leaf(tree), leaves(tree)
+    every, ranked = every_leaf(tree), leaves(tree)
     # the array goes through a lambda, so that it is built once per row
     counted = docs.select(doc, F.transform(F.array(stems(toks) if language.lower() == "english" else toks), lambda t: F.struct(F.size(t).alias("dl"), *[count(t, x).alias(f"n{i}") for i, x in enumerate(every)]))[0].alias("c")).select(doc, "c.*")
     total = counted.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"n{every.index(x)}") > 0).alias(f"df{i}") for i, x in enumerate(ranked)])
     hit = counted.filter(matches(tree, {x: F.col(f"n{i}") for i, x in enumerate(every)}))
     if keep is not None:
         hit = hit.join(keep.select(doc), doc, "left_semi")
-    score = F.lit(0.0)
-    for i, x in enumerate(ranked):
-        tf = F.col(f"n{every.index(x)}").cast("double")
-        idf = F.greatest(F.ln((F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(LEAST_IDF))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.crossJoin(F.broadcast(total)).select(doc, score.alias("score"))  # total is one row
+    return hit.crossJoin(F.broadcast(total)).select(doc, bm25(every, ranked).alias("score"))  # total is one row
 
 
 def ranked(hits: DataFrame, doc: str = "id") -> list[Column]:
@@ -219,20 +226,6 @@ def postings(docs: DataFrame, doc: str = "id", text: str = "text_content", langu
     return index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
 
 
-def search_index(index: DataFrame, query: str, language: str = "simple", n_docs: int | None = None) -> DataFrame:
-    """(doc, score) from postings for a match query of single terms; reads only the buckets of its terms if partitioned."""
-    terms = [x.words[0] for x in leaves(parse(query, "match", language)) if len(x.words) == 1]
-    if not terms:
-        return index.select("doc", F.lit(0.0).alias("score")).limit(0)
-    sizes = index.select("doc", "dl").distinct().agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    own = index.filter(F.col("term").isin(terms))
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    scored = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(sizes))  # df has a row per query term, sizes one
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("doc").agg(F.sum(part).alias("score"), F.count("*").alias("n")).filter(F.col("n") == len(set(terms))).drop("n")
-
-
 def highlight(text: Column, tree: Leaf | Node | None, language: str = "simple") -> Column:
     """The whole text with <mark> around what the leaves match; for the rows of a page."""
     want = leaves(tree)
@@ -282,8 +275,8 @@ def _positions(toks: Column, word: str) -> Column:
 
 
 def cover_rank(docs: DataFrame, query: str, doc: str = "id", text: str = "text_content", language: str = "simple") -> DataFrame:
-    """(id, score) of documents with all terms, by cover density."""
-    want = [x for x in leaves(parse(query, "match", language)) if len(x.words) == 1]
+    """(id, score) of documents with all words, those of phrases too, by cover density."""
+    want = list(dict.fromkeys(Leaf((w,)) for x in leaves(parse(query, "match", language)) for w in x.words))
     toks = tokens(F.col(text))
     pos = docs.select(doc, F.transform(F.array(stems(toks) if language.lower() == "english" else toks), lambda t: F.array(*[_positions(t, x.words[0]) for x in want]))[0].alias("ps"))
     pos = pos.filter(F.forall("ps", lambda p: F.size(p) > 0))

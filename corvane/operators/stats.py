@@ -79,3 +79,9 @@ def statistics(entries: DataFrame, tags: DataFrame, images: DataFrame) -> dict:
         "totals": totals(entries), "by_source": counts_by(entries, "source"), "by_content_type": counts_by(entries, "content_type"), "images": images.agg(F.count("*").alias("total_images")),
         "tags": tags.agg(F.count_distinct("tag").alias("unique_tags")), "avg_per_thread": average_per(entries, "thread_id"), "top_threads": top(entries, "thread_id", 5), "top_tags": top(tags, "tag", 10), "summaries": summary_coverage(entries),
     }
+
+
+def fts_coverage(entries: DataFrame, indexed: DataFrame | None) -> DataFrame:
+    """total_entries, indexed, coverage in percent; indexed has a column id, None if there is no index."""
+    own = entries.select("id").join(indexed.select("id", F.lit(1).alias("_in")), "id", "left") if indexed is not None else entries.select("id", F.lit(None).cast("int").alias("_in"))
+    return own.agg(F.count("*").alias("total_entries"), F.count("_in").alias("indexed"), F.coalesce(F.round(F.try_divide(100.0 * F.count("_in"), F.count("*")), 2), F.lit(0.0)).alias("coverage"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +26,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only where that setting is absent on a local master (tests, a single machine) a folder
+    under the temp directory is chosen; without it a cluster has no place that all executors see.
+    """
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = getattr(spark.sparkContext, "_corvane_dir", None)
+        if not d:
+            d = "file://" + tempfile.mkdtemp(prefix="corvane-")
+            spark.sparkContext._corvane_dir = d
+    return d.rstrip("/")

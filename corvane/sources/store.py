@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import uuid7
-from ..operators import quant
+from ..operators import quant, textops
 from ..schema import ENTRY_KEY, TABLES
 
 
 class Store:
-    """A folder with a Parquet table per name."""
+    """A folder with a folder per table, which holds versions as Parquet. The current version is the
+    highest that was written to its end, so replacing a table has no moment without one, and a
+    job that fails leaves the old one. The version before stays for readers that have begun."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -26,30 +28,88 @@ class Store:
             if not self.exists(name):
                 self.write(name, self.spark.createDataFrame([], schema))
 
-    def _fs(self, name: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}.parquet")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _fs(self):
+        return self._path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self, name: str) -> list[int]:
+        """Numbers of the complete versions, in order."""
+        fs, top = self._fs(), self._path(f"{self.path}/{name}")
+        if not fs.exists(top):
+            return []
+        found = [x.getPath().getName() for x in fs.listStatus(top)]
+        return sorted(int(x[1:]) for x in found if x[:1] == "v" and x[1:].isdigit() and fs.exists(self._path(f"{self.path}/{name}/{x}/_SUCCESS")))
+
+    def _at(self, name: str, version: int) -> str:
+        return f"{self.path}/{name}/v{version:08d}"
 
     def exists(self, name: str) -> bool:
-        fs, p = self._fs(name)
-        return fs.exists(p)
+        return bool(self._versions(name))
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}.parquet")
+    def drop(self, name: str) -> None:
+        self._fs().delete(self._path(f"{self.path}/{name}"), True)
 
-    def write(self, name: str, df: DataFrame, mode: str = "overwrite") -> None:
-        df.select(TABLES[name].names).write.mode(mode).parquet(f"{self.path}/{name}.parquet")
+    def read(self, name: str) -> DataFrame:
+        have = self._versions(name)
+        if not have:
+            raise LookupError(f"no table {name}")
+        r = self.spark.read.schema(TABLES[name]) if name in TABLES else self.spark.read
+        return r.parquet(self._at(name, have[-1]))
+
+    def write(self, name: str, df: DataFrame, partition: str | None = None) -> None:
+        """Make df, which may be read from the table, its new version; any table, those of TABLES in their columns."""
+        have = self._versions(name)
+        out = df.select(TABLES[name].names) if name in TABLES else df
+        w = out.write.mode("overwrite")
+        (w.partitionBy(partition) if partition else w).parquet(self._at(name, have[-1] + 1 if have else 1))
+        for old in have[:-1]:
+            self._fs().delete(self._path(self._at(name, old)), True)
+
+    replace = write
 
     def append(self, name: str, df: DataFrame) -> None:
-        self.write(name, df, "append")
-
-    def replace(self, name: str, df: DataFrame) -> None:
-        """Overwrite a table that df may be read from: written beside it, then moved."""
-        beside = f"{name}-next"
-        df.select(TABLES[name].names).write.mode("overwrite").parquet(f"{self.path}/{beside}.parquet")
-        fs, old = self._fs(name)
-        fs.delete(old, True)
-        fs.rename(self._fs(beside)[1], old)
+        df.select(TABLES[name].names).write.mode("append").parquet(self._at(name, (self._versions(name) or [1])[-1]))
+
+    def upsert(self, name: str, df: DataFrame, key: str | None = None) -> None:
+        """Replace all rows of the entries that df names by those of df: chunks, embedding metadata, index nodes, tags, images."""
+        key = key or ENTRY_KEY[name]
+        own = self.read(name)
+        self.write(name, own.join(df.select(key).distinct(), key, "left_anti").select(own.columns).unionByName(df.select(own.columns)))
+
+    def delete_of(self, ids: DataFrame, names: Iterable[str]) -> None:
+        """Delete what belongs to ids (a column id) from the tables that have any of it."""
+        for name in names:
+            own = self.read(name)
+            named = ids.select(F.col("id").alias(ENTRY_KEY[name]))
+            if not own.join(named, ENTRY_KEY[name], "left_semi").limit(1).isEmpty():
+                self.write(name, own.join(named, ENTRY_KEY[name], "left_anti"))
+
+
+def store_chunks(store: Store, chunks: DataFrame, model: str) -> None:
+    """Chunks (context_id, chunk_index, start_index, end_index, embedding) take the place of their entries' former ones, and so does the entries' embedding metadata.
+
+    A dimension other than the stored one is refused, and so are vectors of several dimensions.
+    """
+    sizes = chunks.select(F.size("embedding").alias("d")).distinct().limit(2).collect()
+    if len(sizes) > 1 or (sizes and conflicting_dimension(store.read("embedding_metadata"), sizes[0]["d"])):
+        raise ValueError("the vectors' dimension isn't the stored one")
+    meta = chunks.groupBy("context_id").agg(F.lit(model).alias("model_name"), F.max(F.size("embedding")).alias("dimensions"), F.count("*").cast("int").alias("chunk_count"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"))
+    store.upsert("chunks", chunks)
+    store.upsert("embedding_metadata", meta)
+
+
+def chunks_exist(store: Store, ids: DataFrame) -> DataFrame:
+    """id and has_chunks for ids (a column id)."""
+    have = store.read("chunks").select(F.col("context_id").alias("id"), F.lit(True).alias("has_chunks")).distinct()
+    return ids.select("id").join(have, "id", "left").select("id", F.coalesce("has_chunks", F.lit(False)).alias("has_chunks"))
+
+
+def chunked(entries: DataFrame, encoder: Callable[[list[str]], list[list[float]]], size: int = 1500, overlap: int = 150) -> DataFrame:
+    """Chunks of entries with the encoder's embeddings, ready for store_chunks()."""
+    rows = textops.chunk_rows(entries, size, overlap)
+    return embed(rows, encoder).select(F.col("id").alias("context_id"), "chunk_index", "start_index", "end_index", "embedding")
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, partition: str | None = None, bounds: tuple[int, int] = (0, 1), parts: int = 16, **options: str) -> DataFrame:

@@ -20,10 +20,18 @@ def counts(feed: DataFrame, window: str = "1 hour", late: str = "1 day") -> Data
 
 
 def merge_into(feed: DataFrame, store: Store, checkpoint: str):
-    """Append each batch to the store, consecutive duplicates within it folded, ids that are there already left out."""
+    """Store each batch behind the entries there are: what repeats its thread's newest, or the row before it, folds into that; ids that are there already are left out.
+
+    A batch that folds into no older entry is appended; else the table gets a new version.
+    """
 
     def one(batch: DataFrame, _: int) -> None:
-        fresh = dml.fold_duplicates(batch).join(store.read("entries").select("id"), "id", "left_anti")
-        store.append("entries", fresh)
+        old = store.read("entries")
+        fresh = batch.join(old.select("id"), "id", "left_anti")
+        whole, kept = dml.fold_new(old, fresh)
+        if kept.join(old.select("id"), "id", "left_semi").limit(1).isEmpty():
+            store.append("entries", dml.fold_duplicates(fresh))
+        else:
+            store.write("entries", whole)
 
     return feed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)

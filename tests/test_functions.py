@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from corvane.functions import chunking, outline, passages
 from corvane.functions import text as tx
 from corvane.operators import fts, quant
+from corvane.sources import text_index
+from corvane.sources.store import Store
 
 
 def test_outline():
@@ -106,6 +108,18 @@ def test_search_ties_and_highlight(spark):
     assert fts.search(d, "and", "match", "english").count() == 0
     got = d.filter("id = 'd'").select(fts.highlight(F.col("text_content"), fts.parse("resume", "match", "simple"))).first()[0]
     assert got == "<mark>Résumé</mark> thing"
-    index = fts.postings(d)
-    a = {r["id"]: round(r["score"], 9) for r in fts.search(d.filter("text_content is not null"), "same words", "match", "simple").collect()}
-    assert {r["doc"]: round(r["score"], 9) for r in fts.search_index(index, "same words").collect()} == a
+
+
+@pytest.mark.parametrize("language", ["simple", "english"])
+def test_index_gives_what_the_texts_give(spark, tmp_path, language):
+    texts = ["same words here", "same words here", "words same", "Résumé thing the things", None, "", "the same thing the same", "full-text search of the words", "wordy worded words"]
+    d = spark.createDataFrame([(f"e{i}", t) for i, t in enumerate(texts)], "id string, text_content string")
+    st = Store(spark, str(tmp_path))
+    text_index.build(st, d, language)
+    index = text_index.open_index(st, language)
+    assert text_index.open_index(st, "simple" if language == "english" else "english") is None
+    for q, mode in (("same words", "match"), ("same words", "phrase"), ("wor th", "prefix"), ('"the same" OR (words AND NOT here)', "boolean"), ('"same wo"*', "boolean"), ("full-text", "match"), ("absent", "match"), ("the the", "match"), ("", "match")):
+        a, b = (sorted((r["id"], round(r["score"], 9)) for r in h.collect()) for h in (fts.search(d, q, mode, language), index.search(fts.parse(q, mode, language))))
+        assert a == b, (q, mode)
+    plan = index.search(fts.parse("same words", "match", language))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.api import Tools
@@ -117,3 +118,78 @@ def test_stream(spark, tmp_path):
     q = feed.counts(feed.read_feed(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("c").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("c").first()["n"] == 2
+
+
+def test_repeats_keep_their_satellites(spark, tmp_path):
+    """A repeat folds into the thread's newest entry with its tags; older history stays as it is; a failed table write loses nothing."""
+    st = S.Store(spark, str(tmp_path))
+    st.init()
+    tools = Tools(st)
+    one = lambda *d: tools.store_context(rows(spark, d))
+    one(("t", "user", "a", None, ["x", "y"], None), ("t", "user", "b", None, [], ["iVBORw0KGgo="]))
+    one(("t", "user", "b", '{"n":1}', ["z"], None), ("t", "user", "a", None, ["w"], None), ("t", "user", "a", None, [], None))
+    e = st.read("entries").orderBy("id").collect()
+    assert [(r["text_content"], r["version"]) for r in e] == [("a", 1), ("b", 2), ("a", 2)] and e[1]["metadata"] == '{"n":1}'
+    by = {r["id"]: i for i, r in enumerate(e)}
+    assert sorted((by[r["context_entry_id"]], r["tag"]) for r in st.read("tags").collect()) == [(0, "x"), (0, "y"), (1, "z"), (2, "w")]
+    assert [(by[r["context_entry_id"]], r["mime_type"]) for r in st.read("images").collect()] == [(1, "image/png")]
+    one(("t", "user", "a", None, ["v"], None))
+    assert sorted((by[r["context_entry_id"]], r["tag"]) for r in st.read("tags").collect()) == [(0, "x"), (0, "y"), (1, "z"), (2, "v")]
+    try:
+        st.write("entries", st.read("entries").withColumn("text_content", F.raise_error(F.lit("no"))))
+    except Exception:  # noqa: BLE001
+        pass
+    assert st.read("entries").count() == 3
+    assert tools.update_context(spark.createDataFrame([(e[0]["id"], ["Q"])], "id string, tags array<string>")) == []
+    assert [r["tag"] for r in st.read("tags").filter(F.col("context_entry_id") == e[0]["id"]).collect()] == ["q"]
+
+
+def test_patch_obeys_the_version(spark, tmp_path):
+    st = S.Store(spark, str(tmp_path))
+    st.init()
+    tools = Tools(st)
+    tools.store_context(rows(spark, [("t", "user", "a", '{"k":{"x":1,"y":2}}', [], None)]))
+    i = st.read("entries").first()["id"]
+    assert tools.update_context(spark.createDataFrame([(i, '{"k":null}', 7)], "id string, patch string, expected_version bigint")) == [i]
+    assert st.read("entries").first()["metadata"] == '{"k":{"x":1,"y":2}}'
+    assert tools.update_context(spark.createDataFrame([(i, '{"k":{"x":null},"z":1}', 1)], "id string, patch string, expected_version bigint")) == []
+    r = st.read("entries").first()
+    assert r["metadata"] == '{"k":{"y":2},"z":1}' and r["version"] == 2
+    out = dml.touch(st.read("entries"), st.read("entries").select("id"), F.lit("multimodal")).first()
+    assert out["content_type"] == "multimodal" and out["version"] == 2 and out["updated_at"] > r["updated_at"]
+
+
+def test_chunks_take_the_place_of_former_ones(spark, tmp_path):
+    st = S.Store(spark, str(tmp_path))
+    st.init()
+    tools = Tools(st)
+    tools.store_context(rows(spark, [("t", "user", "words " * 100, None, [], None), ("u", "user", "other", None, [], None)]))
+    encoder = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    S.store_chunks(st, S.chunked(st.read("entries"), encoder, 200, 20), "m")
+    n = st.read("chunks").groupBy("context_id").count().orderBy("count").collect()
+    assert [r["count"] for r in n] == [1, 4]
+    S.store_chunks(st, S.chunked(st.read("entries").filter("thread_id = 't'"), encoder, 1000, 20), "m")
+    assert sorted(r["count"] for r in st.read("chunks").groupBy("context_id").count().collect()) == [1, 1]
+    assert {r["chunk_count"] for r in st.read("embedding_metadata").collect()} == {1}
+    with pytest.raises(ValueError, match="dimension"):
+        S.store_chunks(st, st.read("chunks").withColumn("embedding", F.array(F.lit(1.0).cast("float"))), "m")
+    tools.store_index_nodes(textops.outline_nodes(st.read("entries")).select(F.col("id").alias("context_id"), "node_id", "level", "ordinal", "title", F.lit("s").alias("node_summary"), "char_start", "char_end"))
+    tools.store_index_nodes(st.read("index_nodes").limit(1).withColumn("node_summary", F.lit("new")))
+    assert sorted(r["node_summary"] for r in st.read("index_nodes").collect()) == ["new", "s"]
+    assert {r["has_chunks"] for r in S.chunks_exist(st, st.read("entries").select("id")).collect()} == {True}
+
+
+def test_search_reads_the_index(spark, tmp_path):
+    st = S.Store(spark, str(tmp_path))
+    st.init()
+    tools = Tools(st)
+    tools.store_context(rows(spark, [(f"t{i}", "user", f"hello number{i} runs", None, [], None) for i in range(5)]))
+    before = [r["id"] for r in tools.fts_search_context("hello running")["rows"].collect()]
+    tools.build_index()
+    assert tools.get_statistics()["fts"].first()["coverage"] == 100.0
+    assert [r["id"] for r in tools.fts_search_context("hello running")["rows"].collect()] == before and len(before) == 5
+    tools.build_index("simple")
+    assert tools.fts_search_context("running")["rows"].count() == 0 and tools.fts_search_context("runs")["rows"].count() == 5
+    tools.store_context(rows(spark, [("t9", "user", "hello late runs", None, [], None)]))
+    assert tools._index() is None and tools.fts_search_context("runs")["rows"].count() == 6
+    assert "validation_errors" in tools.hybrid_search_context("a", None, metadata_filters=[{"key": "k", "operator": "no"}])
