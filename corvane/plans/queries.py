@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import metadata as meta
 from ..functions import text as tx
 from ..operators import dml, filters, fts, fusion, quant, scan, stats, textops, vector
+from ..session import shared_dir
+from ..sources import text_index
+from ..sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -244,6 +247,20 @@ def merge_patch_flat(spark, d):
     return e.select("id", tx.merge_patch("props", "patch").alias("metadata"))
 
 
+@query
+def merge_patch_nested(spark, d):
+    patch = F.concat(F.lit('{"k":null,"a":{"b":{"c":'), F.col("id").cast("string"), F.lit(',"d":null},"e":[1,null]}}'))
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.lit('{"k":1,"a":{"b":{"d":2,"f":3}}}').alias("props")).withColumn("patch", patch)
+    return e.select("id", tx.merge_patch("props", "patch").alias("metadata"))
+
+
+@query
+def tags_replaced(spark, d):
+    """Even entries get new tags, every fourth loses all."""
+    given = documents(spark, d).filter("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(" New "), F.lit("new"), F.col("lang"))).alias("tags"))
+    return dml.replace_tags(tags(spark, d), given).select("context_entry_id", "tag")
+
+
 @query
 def retention_delete(spark, d):
     e = events(spark, d)
@@ -278,14 +295,6 @@ def best_chunk_per_entry(spark, d):
 
 @query
 def knn_many(spark, d):
-    """Five nearest entries of each of the first vectors of every fifth entry."""
-    c = chunks(spark, d)
-    q = c.filter("chunk_index = 0 and context_id % 5 = 0 and context_id < 500").select(F.col("context_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return vector.search_many(c, q, 5).select("query_id", "rank", "context_id", F.round("distance", 5).alias("distance"))
-
-
-@query
-def knn_many_all(spark, d):
     """Five nearest entries of every vector whose id is divisible by 20."""
     q = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return vector.search_many(chunks(spark, d), q, 5).select("query_id", "rank", "context_id", F.round("distance", 5).alias("distance"))
@@ -302,9 +311,23 @@ def quantized_size(spark, d):
     return stats.payload_bytes(quant.compress(chunks(spark, d).drop("label"), quant.Quantizer(64, 3, "mse")))
 
 
+#: Indexes of the documents, by session and folder; written once to the shared folder, like the full-text table of a store.
+INDEXES: dict[tuple[str, str, str], text_index.TextIndex] = {}
+
+
+def index(spark, d, language: str = "simple") -> text_index.TextIndex:
+    """The full-text index of the documents; built at its first use in a session."""
+    key = (spark.sparkContext.applicationId, d, language)
+    if key not in INDEXES:
+        store = Store(spark, f"{shared_dir(spark)}/fts-{len(INDEXES)}-{uuid.uuid4().hex}")
+        text_index.build(store, documents(spark, d), language)
+        INDEXES[key] = text_index.open_index(store, language)
+    return INDEXES[key]
+
+
 def _fts(name: str, text: str, mode: str):
     def run(spark, d):
-        return fts.search(documents(spark, d), text, mode, "simple").select("id", F.round("score", 6).alias("score"))
+        return index(spark, d).search(fts.parse(text, mode, "simple")).select("id", F.round("score", 6).alias("score"))
 
     run.__name__ = name
     query(run)
@@ -318,25 +341,31 @@ _fts("fts_boolean", '("of the" OR with) AND that NOT clown', "boolean")
 
 @query
 def fts_bm25_topk(spark, d):
-    h = fts.search(documents(spark, d), "for was only", "match", "simple").withColumn("score", F.round("score", 6))
+    h = index(spark, d).search(fts.parse("for was only", "match", "simple")).withColumn("score", F.round("score", 6))
     return h.orderBy(*fts.ranked(h)).limit(20)
 
 
 @query
 def fts_hybrid_words(spark, d):
     """The full-text leg of a hybrid search of many words: any of them."""
-    h = fts.search(documents(spark, d), fts.hybrid_query("for was only that with", language="simple"), language="simple")
+    h = index(spark, d).search(fts.hybrid_query("for was only that with", language="simple"))
     return h.select("id", F.round("score", 6).alias("score"))
 
 
+@query
+def fts_scan(spark, d):
+    """The search without an index, over the texts."""
+    return fts.search(documents(spark, d), "that with", "match", "simple").select("id", F.round("score", 6).alias("score"))
+
+
 @query
 def fts_stemmed(spark, d):
-    return fts.search(documents(spark, d), "thats oner", "match", "english")
+    return index(spark, d, "english").search(fts.parse("thats oner", "match", "english"))
 
 
 @query
 def fts_cover_density(spark, d):
-    return fts.cover_rank(documents(spark, d), "that with")
+    return fts.cover_rank(documents(spark, d), "that with").select("id", F.round("score", 9).alias("score"))
 
 
 @query
@@ -348,13 +377,13 @@ def fts_postings(spark, d):
 @query
 def fts_highlight(spark, d):
     tree = fts.parse("that with", "match", "simple")
-    h = fts.search(documents(spark, d), "that with", "match", "simple")
+    h = index(spark, d).search(tree)
     top = h.orderBy(*fts.ranked(h)).limit(20).join(documents(spark, d), "id")
     return top.select("id", fts.highlight(F.col("text_content"), tree).alias("highlighted"))
 
 
 def _legs(spark, d):
-    h = fts.search(documents(spark, d), "for was only", "match", "simple").withColumn("score", F.round("score", 6))
+    h = index(spark, d).search(fts.parse("for was only", "match", "simple")).withColumn("score", F.round("score", 6))
     s = vector.distances(table(spark, d, "embeddings"), Q).select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("distance"))
     return h, s
 
@@ -394,7 +423,7 @@ def grep_count(spark, d):
 @query
 def grep_content(spark, d):
     m = textops.grep(documents(spark, d), "idiot", context=1)
-    return textops.grep_content(m, 100).select("id", "line_number", "line", "start", "end", "before", "after", "truncated")
+    return textops.grep_content(m, 100).select("id", "line_number", "line", "start", "end", F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"), "truncated")
 
 
 @query
@@ -444,8 +473,3 @@ def uuid7_ids(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
-
-
-def pattern_is_portable(p: str) -> bool:
-    """Whether a pattern means the same to Java, RE2 and Python: no look-around or back-references."""
-    return not re.search(r"\(\?[=!<]|\\[1-9]", p)

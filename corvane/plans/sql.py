@@ -135,17 +135,32 @@ SELECT min(id) AS id, thread_id, min_by(source, id) AS source, count(*) AS versi
     "latest_per_thread_source": CH + "SELECT thread_id, source, max(id) AS id, sha256(max_by(text, id)) AS content_hash FROM c GROUP BY thread_id, source",
     "content_hash": "SELECT doc_id AS id, sha256(text) AS content_hash FROM documents",
     "merge_patch_flat": "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN '{\"n\":' || CAST(event_id AS VARCHAR) || '}' ELSE '{\"k\":1,\"n\":' || CAST(event_id AS VARCHAR) || '}' END AS metadata FROM events",
+    "merge_patch_nested": "SELECT event_id AS id, '{\"a\":{\"b\":{\"c\":' || CAST(event_id AS VARCHAR) || ',\"f\":3},\"e\":[1,null]}}' AS metadata FROM events",
+    "tags_replaced": TG + "SELECT doc_id AS context_entry_id, tag FROM t WHERE tag IS NOT NULL AND doc_id % 2 <> 0 UNION ALL SELECT DISTINCT doc_id, tag FROM (SELECT doc_id, unnest(['new', lower(trim(lang))]) AS tag FROM documents WHERE doc_id % 4 = 2) x WHERE tag IS NOT NULL AND tag <> ''",
+    "fts_cover_density": f"""WITH t AS (SELECT doc_id, {TOKENS} AS t FROM documents), p AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS w FROM t),
+m AS (SELECT doc_id, i, w, lag(i) OVER o AS j, lag(w) OVER o AS v FROM p WHERE w IN ('that', 'with') WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id AS id, round(sum(CASE WHEN v <> w THEN 0.1e0 / (i - j) ELSE 0 END), 9) AS score FROM m GROUP BY doc_id HAVING count(DISTINCT w) = 2""",
+    "fts_highlight": "WITH " + _bm25([_word("that"), _word("with")], "n0 > 0 AND n1 > 0") + r""", top AS (SELECT id FROM f ORDER BY score DESC, id DESC LIMIT 20)
+SELECT id, array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'), lambda x: CASE WHEN strip_accents(lower(x)) IN ('that', 'with') THEN '<mark>' || x || '</mark>' ELSE x END), '') AS highlighted FROM top JOIN documents ON doc_id = id""".replace("\\\\", "\\"),
+    "grep_content": """WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS id, string_split(text, chr(10)) AS ls FROM documents WHERE contains(lower(text), 'idiot')),
+x AS (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS n FROM l),
+y AS (SELECT *, ls[n] AS line, CAST(coalesce(list_sum(list_transform(ls[1:n - 1], lambda z: length(z) + 1)), 0) AS BIGINT) AS at FROM x WHERE contains(lower(ls[n]), 'idiot')),
+z AS (SELECT *, unnest(list_filter(range(1, length(line) - 3), lambda i: lower(substr(line, i, 5)) = 'idiot')) AS i FROM y),
+r AS (SELECT *, row_number() OVER (ORDER BY id, at + i) AS rn, count(*) OVER () AS total FROM z)
+SELECT id, CAST(n AS INTEGER) AS line_number, line, CAST(at + i - 1 AS INTEGER) AS start, CAST(at + i + 4 AS INTEGER) AS "end", CASE WHEN n > 1 THEN ls[n - 1] ELSE '' END AS before, CASE WHEN n < len(ls) THEN ls[n + 1] ELSE '' END AS after, total > 100 AS truncated FROM r WHERE rn <= 100""",
     "retention_delete": EV + "SELECT id FROM e WHERE NOT (CAST(thread_id AS BIGINT) < 50 AND created_at < TIMESTAMP '2024-01-15')",
     "version_update": CH + "SELECT id, CAST(CASE WHEN length(text) > 400 AND length(text) % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version, CASE WHEN length(text) > 400 AND length(text) % 2 = 0 THEN 'short' ELSE '' END AS summary FROM c",
     "knn_l2": f"SELECT vec_id, {DIST} AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 20",
     "knn_filtered": f"SELECT vec_id, {DIST} AS distance FROM embeddings WHERE label % 3 = 0 ORDER BY distance, vec_id LIMIT 20",
     "best_chunk_per_entry": f"""WITH c AS (SELECT vec_id // 10 AS context_id, list_distance(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {VEC}) AS d, CAST(vec_id % 10 * 100 AS INTEGER) AS start_index FROM embeddings)
 SELECT context_id, round(d, 6) AS distance, start_index, start_index + 100 AS end_index FROM c QUALIFY row_number() OVER (PARTITION BY context_id ORDER BY d, start_index) = 1""",
-    "knn_many": """WITH c AS (SELECT vec_id // 10 AS context_id, vec_id % 10 AS i, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-b AS (SELECT q.context_id AS query_id, c.context_id, min(list_distance(q.v, c.v)) AS d FROM c q, c WHERE q.i = 0 AND q.context_id % 5 = 0 AND q.context_id < 500 GROUP BY ALL)
+    "knn_many": """WITH c AS (SELECT vec_id, vec_id // 10 AS context_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+b AS (SELECT q.vec_id AS query_id, c.context_id, min(list_distance(q.v, c.v)) AS d FROM c q, c WHERE q.vec_id % 20 = 0 GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, context_id) AS INTEGER) AS rank, context_id, round(d, 5) AS distance FROM b QUALIFY rank <= 5""",
     "quantized_size": "SELECT CAST(count(*) * (12 + 24) AS BIGINT) AS bytes FROM embeddings",
     "fts_match": "WITH " + _bm25([_word("that"), _word("with")], "n0 > 0 AND n1 > 0") + "SELECT * FROM f",
+    "fts_scan": "WITH " + _bm25([_word("that"), _word("with")], "n0 > 0 AND n1 > 0") + "SELECT * FROM f",
+    "fts_hybrid_words": "WITH " + _bm25([_word(w) for w in ("for", "was", "only", "that", "with")], "n0 > 0 OR n1 > 0 OR n2 > 0 OR n3 > 0 OR n4 > 0") + "SELECT * FROM f",
     "fts_prefix": "WITH " + _bm25([_prefix("edin"), _prefix("thoug")], "n0 > 0 AND n1 > 0") + "SELECT * FROM f",
     "fts_phrase": "WITH " + _bm25([_phrase("of", "the")], "n0 > 0") + "SELECT * FROM f",
     "fts_boolean": "WITH " + _bm25([_phrase("of", "the"), _word("with"), _word("that")], "(n0 > 0 OR n1 > 0) AND n2 > 0 AND doc_id NOT IN (SELECT doc_id FROM t WHERE list_contains(t.t, 'clown'))") + "SELECT * FROM f",
