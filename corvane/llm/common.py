@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import contextlib
+import contextvars
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -16,31 +19,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+#: Paths written since each open scratch(), outermost first.
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
+
 
-    Only where that setting is absent (tests, a single machine) a folder under
-    the temp directory is chosen and set as the checkpoint directory.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not d:
-        d = getattr(spark.sparkContext, "_corvane_dir", None)
-        if not d:
-            d = "file://" + tempfile.mkdtemp(prefix="corvane-")
-            spark.sparkContext._corvane_dir = d
-    return d.rstrip("/")
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that materialize() wrote meanwhile, but for those with outer."""
+    mine: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), mine))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        discard(spark, mine)
 
 
-def materialize(df: DataFrame, keep: list | None = None) -> DataFrame:
+def materialize(df: DataFrame, keep: list | None = None, outer: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage
     and survives lost executors. keep, if given, collects the paths so that the
-    caller can delete them with :func:`discard` once they are used up."""
+    caller can delete them with :func:`discard` once they are used up; else the innermost
+    :func:`scratch` does, with outer the one around that, and without one the table stays."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    scopes = _SCOPES.get()
     if keep is not None:
         keep.append(path)
+    elif len(scopes) > outer:
+        scopes[-1 - outer].append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -67,19 +75,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def small(df: DataFrame, max_rows: int = 1_000_000) -> bool:
-    """True if df (already materialized) has at most max_rows rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def small(df: DataFrame, max_rows: int, max_bytes: int = 32 << 20) -> bool:
+    """True if df (already materialized) has at most max_rows rows and max_bytes bytes as JSON."""
+    r = df.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return r["n"] <= max_rows and r["b"] <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """A broadcast hint behind a count; larger sides are left to a shuffle join."""
+    """A broadcast hint behind a count of rows and bytes; larger sides are left to a shuffle join, with the same result."""
     return F.broadcast(df) if small(df, max_rows) else df
 
 
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
-def query_path() -> str:
-    return os.path.dirname(os.path.abspath(__file__))
+def refuse_clash(df: DataFrame, *names: str) -> None:
+    """Raises if df has a column of one of these names, in any case."""
+    if clash := sorted({c for c in df.columns if c.lower() in {n.lower() for n in names}}):
+        raise ValueError(f"columns clash with those that are added: {clash}")
