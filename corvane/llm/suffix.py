@@ -6,26 +6,33 @@ smallest of its k-gram hashes. Equal windows have equal anchors at equal
 offsets, so only suffixes that start at anchors need sorting, to the right and,
 reversed, to the left, and only among occurrences of one anchor:
 
-1. Anchors of all texts are counted by hash. Windows of an anchor that occurs
+1. Texts that occur more than once are repeated whole. Each distinct text stands
+   for its copies from here on.
+2. Anchors of all texts are counted by hash. Windows of an anchor that occurs
    once are unique and leave.
-2. If all occurrences of an anchor stand in equal fragments (the bytes of all
-   its windows), every one of those windows is repeated.
-3. Otherwise the distinct fragments are sorted by deep-shallow sorting: multikey
+3. The bytes of all windows of an anchor are its fragment. Fragments are counted; one
+   that occurs again has all its windows repeated, and one row stands for it.
+4. The distinct fragments of an anchor are sorted by deep-shallow sorting: multikey
    quicksort to a shallow depth, then a blind trie for each group that still
    shares a prefix. Common prefixes to the right and left of the anchor tell
-   which windows two fragments share.
+   which windows two fragments share. Only fragments that occur once want an answer.
+5. An anchor with more than max_group distinct fragments is split: the offsets that
+   its windows can have are halved, and in each half fragments part by the bytes
+   that all windows of these offsets hold. The parts are counted and sorted like anchors, or
+   halved again; at one offset a part is a single window, so the halving ends.
 
-Nothing is collected beyond one anchor's distinct fragments; an anchor with more
-than max_group of them is counted window by window instead, which is exact too
-and splits freely.
+No task sorts more than max_group fragments, whatever an anchor's share of all rows, and the
+result doesn't depend on max_group. Fragments are compared by 128-bit cryptographic
+hashes where they are counted and by their bytes where they are sorted.
 
 Defined results: null text counts as empty; texts shorter than a window lose
 nothing; repeated documents are copies of each other and lose every byte that a
-window covers; other columns are ignored.
+window covers; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +40,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_key
-from .superminhash import _BYTE, _GOLD, U, _powers, mix
+from .common import materialize, scratch, text_key
+from .superminhash import U, mix
 
 BLOCK = 1 << 19
+_BYTE = np.random.default_rng(20170616).integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
+_BASE = U(0x9E3779B97F4A7C15 | 1)
+_INVERSE = U(pow(int(_BASE), -1, 2**64))
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the rolling hash's base and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 14)
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.concatenate([[U(1)], np.full(size, x, U)])) for x in (_BASE, _INVERSE)]
+    return _POWERS[0], _POWERS[1]
 
 
 def anchors(raw: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Arrays (p, lo, n, h, f): anchor position, first window, number of windows, hash of the k-gram, hash of the fragment."""
+    """Arrays (p, s, n, h): anchor position, first window, number of windows, hash of the k-gram."""
     w, parts = length - k + 1, []
     for a in range(0, max(0, len(raw) - length + 1), BLOCK):
         part = np.frombuffer(raw, np.uint8, min(len(raw), a + BLOCK + length - 1) - a, a)
@@ -56,14 +76,12 @@ def anchors(raw: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
             if step < w:
                 low = np.minimum(low[: len(low) - (w - step)], low[w - step :])
             at = (low & U(0xFFFFF)).astype(np.int64)
-            lo = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-            p = at[lo]
-            n = np.diff(np.concatenate([lo, [len(at)]]))
-            f = mix((sums[lo + n - 1 + length] - sums[lo]) * inverse[lo] + (p - lo).astype(U) * _GOLD + n.astype(U))
-        parts.append((p + a, lo + a, n, v[p].astype(np.int64), f.astype(np.int64)))
+            s = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+            n = np.diff(np.concatenate([s, [len(at)]]))
+        parts.append((at[s] + a, s + a, n, v[at[s]].astype(np.int64)))
     if not parts:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z
+        return z, z, z, z
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -163,7 +181,7 @@ def deep_shallow(strings: list[bytes], known: int = 0, shallow: int = 32, step:
     return order, lcp
 
 
-def repeated_windows(frags: list[bytes], at: list[int], count: list[int], copies: list[int], length: int, k: int) -> list[np.ndarray]:
+def repeated_windows(frags: list[bytes], at: list[int], count: list[int], copies: list[int], length: int) -> list[np.ndarray]:
     """For the distinct fragments of one anchor: which of its windows (by start) are repeated.
 
     A fragment has its anchor at byte `at` and `count` windows, of offsets at..at-count+1 before the anchor.
@@ -172,7 +190,7 @@ def repeated_windows(frags: list[bytes], at: list[int], count: list[int], copies
     out = [np.full(c, m > 1) for c, m in zip(count, copies, strict=True)]
     if n == 1:
         return out
-    right, rl = deep_shallow([x[a:] for x, a in zip(frags, at, strict=True)], known=k)
+    right, rl = deep_shallow([x[a:] for x, a in zip(frags, at, strict=True)], shallow=64)
     left, ll = deep_shallow([x[:a][::-1] for x, a in zip(frags, at, strict=True)])
     if n <= 24:
         rp, lp = [0] * n, [0] * n
@@ -211,120 +229,163 @@ def _runs(flags: np.ndarray) -> list[int]:
     return np.column_stack([edge[::2], edge[1::2] - 1]).ravel().tolist()
 
 
-def _sort_groups(frags: DataFrame, length: int, k: int) -> DataFrame:
-    """(h, f, runs) of fragments, groups of h being complete within a task and sorted."""
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds.values())], names=list(kinds))
+
+
+#: An occurrence: anchor, hash of the fragment's bytes, text, first window, number of windows, anchor position, weight (1: wants an answer; 2: stands for several).
+SPOT = {"h": pa.int64(), "f": pa.int64(), "g": pa.int64(), "rid": pa.int64(), "s": pa.int32(), "n": pa.int32(), "p": pa.int32(), "w": pa.int32()}
+SPOT_DDL = "h long, f long, g long, rid long, s int, n int, p int, w int"
+
+
+def _content(piece: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(piece, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _spots(hit: DataFrame, length: int, k: int) -> DataFrame:
+    """The occurrences of repeated anchors; hit: rid, text, at (numbers of anchors), w."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for rid, t, at, w in zip(*(b.column(c).to_pylist() for c in ("rid", "text", "at", "w")), strict=True):
+                raw = t.encode("utf-8", "surrogatepass")
+                p, s, n, h = (x.tolist() for x in anchors(raw, length, k))
+                rows += [(h[i], *_content(raw[s[i] : s[i] + n[i] - 1 + length]), rid, s[i], n[i], p[i], w) for i in at]
+                if len(rows) > 20_000:
+                    yield _batch(rows, **SPOT)
+                    rows = []
+            yield _batch(rows, **SPOT)
+
+    return hit.select("rid", "text", "at", "w").mapInArrow(run, SPOT_DDL)
+
+
+def _with_text(spots: DataFrame, texts: DataFrame) -> DataFrame:
+    """rid, text, xs: the spots of each text, so that a text travels once."""
+    return spots.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "n", "p", "lone")).alias("xs")).join(texts, "rid").select("rid", "text", "xs")
+
+
+def _sorted(spots: DataFrame, texts: DataFrame, length: int, k: int) -> DataFrame:
+    """(rid, s, e): ranges of windows of lone fragments that are repeated; groups of h being complete within a task."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"h": pa.int64(), "at": pa.int32(), "n": pa.int32(), "frag": pa.binary(), "lone": pa.bool_(), "rid": pa.int64(), "s": pa.int32()}
+        for b in batches:
+            rows = []
+            for rid, t, xs in zip(*(b.column(c).to_pylist() for c in ("rid", "text", "xs")), strict=True):
+                raw = t.encode("utf-8", "surrogatepass")
+                rows += [(x["h"], x["p"] - x["s"], x["n"], raw[x["s"] : x["s"] + x["n"] - 1 + length], x["lone"], rid, x["s"]) for x in xs]
+                if len(rows) > 20_000:
+                    yield _batch(rows, **kinds)
+                    rows = []
+            yield _batch(rows, **kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         done: list[tuple] = []
+        kinds = {"rid": pa.int64(), "s": pa.int32(), "e": pa.int32()}
 
         def flush() -> None:
             if rows:
-                found = repeated_windows([r[4] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[5] for r in rows], length, k)
-                done.extend((r[0], r[1], x) for r, flags in zip(rows, found, strict=True) if (x := _runs(flags)))
+                found = repeated_windows([r[3] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [1 if r[4] else 2 for r in rows], length)
+                for r, flags in zip(rows, found, strict=True):
+                    if r[4]:
+                        x = _runs(flags)
+                        done.extend((r[5], r[6] + x[j], r[6] + x[j + 1]) for j in range(0, len(x), 2))
                 rows.clear()
 
-        def take() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], pa.int64()), pa.array([r[1] for r in done], pa.int64()), pa.array([r[2] for r in done], pa.list_(pa.int32()))], names=["h", "f", "runs"])
-            done.clear()
-            return b
-
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if rows and rows[0][0] != r[0]:
                     flush()
                 rows.append(r)
             if len(done) > 20_000:
-                yield take()
+                yield _batch(done, **kinds)
+                done.clear()
         flush()
-        yield take()
+        yield _batch(done, **kinds)
 
-    cols = frags.select("h", "f", "at", "n", "frag", "copies")
-    return cols.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, "h long, f long, runs array<int>")
+    frags = _with_text(spots, texts).mapInArrow(cut, "h long, at int, n int, frag binary, lone boolean, rid long, s int")
+    return frags.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, "rid long, s int, e int")
 
 
-def _count_windows(frags: DataFrame, length: int) -> DataFrame:
-    """The same by counting every window, for anchors with very many distinct fragments."""
+def _split(spots: DataFrame, texts: DataFrame, length: int, k: int, width: int) -> DataFrame:
+    """The spots anew, a row for each range of `width` offsets that their windows have; those of one range and one anchor part by the bytes all its windows hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for b in batches:
             rows = []
-            for h, f, n, frag, copies in zip(*(b.column(c).to_pylist() for c in ("h", "f", "n", "frag", "copies")), strict=True):
-                rows += [(h, f, i, copies, hashlib.md5(frag[i : i + length]).digest()) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["h", "f", "i", "copies", "w"])
-
-    each = materialize(frags.select("h", "f", "n", "frag", "copies").mapInArrow(run, "h long, f long, i int, copies long, w binary"))
-    twice = each.groupBy("w").agg(F.sum("copies").alias("c")).filter("c > 1").select("w")
-    return each.join(twice, "w").groupBy("h", "f").agg(F.array_sort(F.collect_list("i")).alias("is")).select("h", "f", F.flatten(F.transform("is", lambda i: F.array(i, i))).alias("runs"))
+            for rid, t, xs in zip(*(b.column(c).to_pylist() for c in ("rid", "text", "xs")), strict=True):
+                raw = t.encode("utf-8", "surrogatepass")
+                for x in xs:
+                    p, first, last = x["p"], x["p"] - x["s"] - x["n"] + 1, x["p"] - x["s"]
+                    for a in range(first // width * width, last + 1, width):
+                        z = min(a + width - 1, length - k)
+                        lo, hi = max(a, first), min(z, last)
+                        own = hashlib.blake2b(b"%d %d %d " % (x["h"], width, a) + raw[p - a : p + length - z], digest_size=8).digest()
+                        s, n = p - hi, hi - lo + 1
+                        rows.append((int.from_bytes(own, "little", signed=True), *_content(raw[s : s + n - 1 + length]), rid, s, n, p, 1 if x["lone"] else 2))
+                if len(rows) > 20_000:
+                    yield _batch(rows, **SPOT)
+                    rows = []
+            yield _batch(rows, **SPOT)
+
+    return _with_text(spots, texts).mapInArrow(run, SPOT_DDL)
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, k: int = 32, max_group: int = 1000) -> DataFrame:
+    """(text_key, text, spans) of each distinct text with repeated bytes; spans: flat array of first byte and end of the runs, merged and in order.
+
+    max_group bounds what one task sorts at a time; the result is the same for any.
+    """
+    with scratch(docs.sparkSession):
+        return materialize(_spans(docs, text, length, k, max_group), outer=True)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, k: int = 32, max_group: int = 100_000) -> DataFrame:
-    """(text_key, text, spans) of each distinct text with repeated bytes; spans: flat array of first byte and end of the runs, merged and in order."""
-    spark = docs.sparkSession
-    texts = docs.select(text_key(F.col(text)).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def _spans(docs: DataFrame, text: str, length: int, k: int, max_group: int) -> DataFrame:
+    long_enough = docs.select(text_key(F.col(text)).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, fs = [], []
-            for t in b.column("text").to_pylist():
-                _, _, _, h, f = anchors(t.encode("utf-8", "surrogatepass"), length, k)
-                hs.append(h)
-                fs.append(f)
-            yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array(hs, pa.list_(pa.int64())), pa.array(fs, pa.list_(pa.int64()))], names=["text_key", "h", "f"])
-
-    paths: list[str] = []
-    made = texts.filter(F.octet_length("text") >= length).mapInArrow(find, "text_key binary, h array<long>, f array<long>")
-    made = materialize(made.withColumn("rid", F.monotonically_increasing_id()), paths)
-    each = made.select("rid", F.posexplode(F.arrays_zip("h", "f")).alias("i", "x")).select("rid", "i", "x.h", "x.f")
-    again = each.groupBy("h").agg(F.count("*").alias("c"), F.min("f").alias("f0"), F.max("f").alias("f1")).filter("c > 1").select("h", (F.col("f0") != F.col("f1")).alias("mixed"))
-    spots = each.select("h", "rid", "i").join(again, "h").groupBy("rid").agg(F.collect_list(F.when(F.col("mixed"), -1 - F.col("i")).otherwise(F.col("i"))).alias("at"))
-    # one row per distinct text from here on, with its copies; anchors are found again rather than shuffled
-    per_text = made.select("rid", "text_key").join(spots, "rid").groupBy("text_key").agg(F.min_by("at", "rid").alias("at"), F.count("*").alias("copies"))
-    hit = materialize(per_text.join(texts, "text_key").dropDuplicates(["text_key"]), paths)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for copies, at, t in zip(*(b.column(c).to_pylist() for c in ("copies", "at", "text")), strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
-                p, lo, n, h, f = (x.tolist() for x in anchors(raw, length, k))
-                rows += [(h[j], f[j], p[j] - lo[j], n[j], raw[lo[j] : lo[j] + n[j] - 1 + length], copies) for j in (-1 - i for i in at if i < 0)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=["h", "f", "at", "n", "frag", "copies"])
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for key, at, t in zip(*(b.column(c).to_pylist() for c in ("text_key", "at", "text")), strict=True):
-                h, f = (x.tolist() for x in anchors(t.encode("utf-8", "surrogatepass"), length, k)[3:])
-                rows += [(key, j, h[j], f[j]) for j in (-1 - i for i in at if i < 0)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.binary(), pa.int32(), pa.int64(), pa.int64()))], names=["text_key", "i", "h", "f"])
-
-    mixed = hit.filter(F.exists("at", lambda i: i < 0))
-    frags = mixed.select("copies", "at", "text").mapInArrow(cut, "h long, f long, at int, n int, frag binary, copies long")
-    frags = materialize(frags.groupBy("h", "f").agg(F.min(F.struct("at", "n", "frag")).alias("x"), F.sum("copies").alias("copies")).select("h", "f", "x.at", "x.n", "x.frag", "copies"), paths)
-    crowded = materialize(frags.groupBy("h").count().filter(F.col("count") > max_group).select("h"), paths)
-    if crowded.isEmpty():
-        known = _sort_groups(frags, length, k)
-    else:
-        known = _sort_groups(frags.join(crowded, "h", "left_anti"), length, k).unionByName(_count_windows(frags.join(crowded, "h"), length))
-    known = materialize(known, paths)
-    wanted = mixed.select("text_key", "at", "text").mapInArrow(places, "text_key binary, i int, h long, f long")
-    solved = wanted.join(known, ["h", "f"]).groupBy("text_key").agg(F.collect_list(F.struct("i", "runs")).alias("solved"))
+            hs = [anchors(t.encode("utf-8", "surrogatepass"), length, k)[3] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array(hs, pa.list_(pa.int64()))], names=["text_key", "hs"])
+
+    made = long_enough.mapInArrow(find, "text_key binary, hs array<long>").groupBy("text_key").agg(F.first("hs").alias("hs"), F.count("*").alias("copies"))
+    made = materialize(made.select(F.monotonically_increasing_id().alias("rid"), "text_key", "hs", F.least("copies", F.lit(2)).cast("int").alias("w")))
+    each = made.select("rid", "w", F.posexplode("hs").alias("i", "h"))
+    again = materialize(each.groupBy("h").agg(F.sum("w").alias("c")).filter("c > 1").select("h"))
+    spots = each.select("h", "rid", "i").join(again, "h").groupBy("rid").agg(F.collect_list("i").alias("at"))
+    texts = long_enough.groupBy("text_key").agg(F.first("text").alias("text"))
+    hit = materialize(texts.join(made.select("rid", "text_key", "w").join(spots, "rid"), "text_key"))
+
+    found = []
+    own, width = hit.select("rid", "text"), length - k + 1
+    now = materialize(_spots(hit, length, k))
+    while True:
+        parts = now.groupBy("h", "f", "g").agg(F.sum("w").alias("c"), F.min(F.struct("rid", "s", "n", "p")).alias("o"))
+        parts = materialize(parts.select("h", "f", "g", "c", "o.*"))
+        many = parts.filter("c > 1").select("h", "f", "g")
+        found.append(materialize(now.filter("w = 1").join(many, ["h", "f", "g"]).select("rid", "s", (F.col("s") + F.col("n") - 1).alias("e"))))
+        keys = parts.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("lone")).filter("kinds > 1 and lone > 0")
+        keys = materialize(keys.select("h", "kinds"))
+        need = materialize(parts.join(keys, "h").select("h", "rid", "s", "n", "p", (F.col("c") == 1).alias("lone"), "kinds"))
+        found.append(materialize(_sorted(need.filter(F.col("kinds") <= max_group), own, length, k)))
+        crowded = need.filter(F.col("kinds") > max_group)
+        if width == 1 or crowded.isEmpty():
+            break
+        width = (width + 1) // 2
+        now = materialize(_split(crowded, own, length, k, width))
+    runs = found[0]
+    for x in found[1:]:
+        runs = runs.unionAll(x)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, at, solved_ in zip(*(b.column(c).to_pylist() for c in ("text", "at", "solved")), strict=True):
-                _, lo, n, _, _ = (x.tolist() for x in anchors(t.encode("utf-8", "surrogatepass"), length, k))
-                runs = [(lo[i], lo[i] + n[i] - 1) for i in at if i >= 0]
-                for s in solved_ or ():
-                    r = s["runs"]
-                    runs += [(lo[s["i"]] + r[j], lo[s["i"]] + r[j + 1]) for j in range(0, len(r), 2)]
-                spans: list[int] = []
-                for a, z in sorted(runs):
+            for t, w, xs in zip(*(b.column(c).to_pylist() for c in ("text", "w", "xs")), strict=True):
+                spans: list[int] = [0, len(t.encode("utf-8", "surrogatepass"))] if w > 1 else []
+                for a, z in sorted((x["s"], x["e"]) for x in xs or ()):
                     if spans and a <= spans[-1]:
                         spans[-1] = max(spans[-1], z + length)
                     else:
@@ -332,10 +393,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, k: in
                 out.append(spans)
             yield pa.RecordBatch.from_arrays([b.column("text_key"), b.column("text"), pa.array(out, pa.list_(pa.int64()))], names=["text_key", "text", "spans"])
 
-    full = hit.select("text_key", "text", "at").join(solved, "text_key", "left").mapInArrow(merge, "text_key binary, text string, spans array<long>")
-    out = materialize(full.filter(F.size("spans") > 0))
-    discard(spark, paths)
-    return out
+    per_text = runs.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("xs"))
+    full = hit.select("rid", "text_key", "text", "w").join(per_text, "rid", "left").filter("w > 1 or xs is not null")
+    return full.select("text_key", "text", "w", "xs").mapInArrow(merge, "text_key binary, text string, spans array<long>")
 
 
 def cut_out(raw: bytes, spans: list[int]) -> bytes:
@@ -362,7 +422,7 @@ def whole_characters(raw: bytes, spans: list[int]) -> list[int]:
 
 
 def cut_texts(found: DataFrame) -> DataFrame:
-    """(text_key, kept): each text of repeated_spans() without its spans, cut at whole characters."""
+    """(text_key): each text of repeated_spans() without its spans, cut at whole characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -379,8 +439,6 @@ def digest(docs: DataFrame, found: DataFrame, doc: str = "doc_id", text: str = "
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for b in batches:
             rows = []
             for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):

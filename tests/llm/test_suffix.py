@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from corvane.llm import suffix
 
@@ -49,9 +50,14 @@ def test_brute_force(spark):
     assert run(spark, texts) == brute(texts)
 
 
-def test_crowded_anchors_and_blocks(spark):
-    texts = corpus(2)
-    assert run(spark, texts, max_group=1) == brute(texts)
+@pytest.mark.parametrize("most", [1, 3])
+def test_crowded_anchors(spark, most):
+    """Anchors are split down to single offsets; the result is that of one task."""
+    rng = random.Random(4)
+    line = "a very common line of more than thirty-two bytes"
+    texts = corpus(2) + [f"{rng.random()}" * 9 + line + f"{rng.random()}" * 9 for _ in range(12)]
+    texts += [f"{i}" * 150 + texts[0][50:330] + f"{i * 7}" * 150 for i in range(8)]
+    assert run(spark, texts, max_group=most) == brute(texts)
 
 
 def test_blocks(monkeypatch):
@@ -89,7 +95,7 @@ def test_large_groups():
     core = bytes(rng.choice(b"abcd") for _ in range(60))
     frags = list({bytes(rng.choice(b"ab") for _ in range(3)) + core[:20] + core[20:] + bytes(rng.choice(b"ab") for _ in range(3)) for _ in range(60)})
     at, count, length = [23] * len(frags), [7] * len(frags), 60
-    got = suffix.repeated_windows(frags, at, count, [1] * len(frags), length, 10)
+    got = suffix.repeated_windows(frags, at, count, [1] * len(frags), length)
     seen = Counter(f[i : i + length] for f in frags for i in range(7))
     assert len(frags) > 24 and [list(g) for g in got] == [[seen[f[i : i + length]] > 1 for i in range(7)] for f in frags]
 
