@@ -125,6 +125,9 @@ class Tools:
     def _nearest(self, q: list[float], conditions: Mapping, quantizer: quant.Quantizer | None) -> DataFrame:
         kept = self._kept(conditions) if conditions else None
         if quantizer:
+            recorded = self.store.read("compression").first()
+            if recorded is not None and recorded["codebook_fingerprint"] != quantizer.fingerprint():
+                raise ValueError("the quantizer isn't the one that made the payloads")
             return quant.search(self.store.read("chunks_compressed"), q, quantizer, kept)
         return vector.search(self.store.read("chunks"), q, kept)
 
@@ -168,8 +171,14 @@ class Tools:
         return {"content": lambda: textops.grep_content(m, max_results), "count": lambda: textops.grep_counts(m), "files_with_matches": lambda: textops.grep_files(m)}[output]()
 
     def navigate_context(self, entry_id: str, max_depth: int = 6) -> DataFrame:
+        """The outline of an entry with stored summaries; the root's is the entry's. navigation_tree() nests it."""
         own = self._entries().filter(F.col("id") == entry_id)
-        return textops.navigate(textops.outline_nodes(own, max_depth), self.store.read("index_nodes").filter(F.col("context_id") == entry_id)).orderBy("char_start", "level")
+        rows = textops.navigate(textops.outline_nodes(own, max_depth), self.store.read("index_nodes").filter(F.col("context_id") == entry_id))
+        rows = rows.join(own.select("id", "summary"), "id")
+        return rows.withColumn("node_summary", F.when(F.col("node_id") == outline.ROOT, F.col("summary")).otherwise(F.col("node_summary"))).drop("summary").orderBy("char_start", "level")
+
+    def navigation_tree(self, entry_id: str, max_depth: int = 6) -> dict | None:
+        return textops.nested([r.asDict() for r in self.navigate_context(entry_id, max_depth).collect()])  # the nodes of one entry
 
     def read_context_range(self, entry_id: str, chars: tuple[int, int] | None = None, lines: tuple[int, int] | None = None, node_id: str | None = None) -> dict | None:
         """Exactly one of chars, lines and node_id."""

@@ -103,16 +103,32 @@ def _equals(s: _Value, x: object, sensitive: bool, op: str = "eq") -> Column:
 
 
 def _listed(s: _Value, xs: list, sensitive: bool) -> Column:
-    return reduce(Column.__or__, [F.coalesce(_equals(s, x, sensitive), F.lit(False)) for x in xs])
+    """Equality with any of xs, as _equals() has it; a membership test for each kind of value."""
+    out = F.lit(False)
+    if flags := [x for x in xs if isinstance(x, bool)]:
+        out = out | F.coalesce(s.boolean().isin(flags), F.lit(False))
+    if words := [x for x in xs if isinstance(x, str)]:
+        own = s.string() if sensitive else fold(s.string())
+        out = out | F.coalesce(own.isin([F.lit(x) if sensitive else fold(F.lit(x)) for x in words]), F.lit(False))
+    if numbers := [x for x in xs if isinstance(x, (int, float)) and not isinstance(x, bool)]:
+        whole = [int(x) for x in numbers if INT_MIN <= x <= INT_MAX and x == int(x)]
+        is_whole = (s.kind == "BIGINT") & F.try_variant_get(s.v, "$", "bigint").isin(whole) if whole else F.lit(False)
+        is_real = (s.kind.startswith("DECIMAL") | s.kind.isin("DOUBLE", "FLOAT")) & F.try_variant_get(s.v, "$", "double").isin([float(x) for x in numbers])
+        out = out | F.coalesce(is_whole, F.lit(False)) | F.coalesce(is_real, F.lit(False))
+    return out
 
 
 def predicate(metadata: Column, key: str, operator: str, value: object = None, case_sensitive: bool = False) -> Column:
-    """A boolean Column, never null."""
+    """A boolean Column, never null; the metadata is parsed once a row."""
     if operator not in OPERATORS:
         raise FilterError(f"unknown operator: {operator!r}")
-    s = _Value(F.try_variant_get(F.try_parse_json(metadata), path_of(key), "variant"))
     for x in value if isinstance(value, (list, tuple)) else [value]:
         check_value(x)
+    found = F.try_variant_get(F.try_parse_json(metadata), path_of(key), "variant")
+    return F.coalesce(F.transform(F.array(found), lambda v: _holds(_Value(v), operator, value, case_sensitive))[0], F.lit(False))
+
+
+def _holds(s: _Value, operator: str, value: object, case_sensitive: bool) -> Column:
     if operator in ("exists", "is_not_null"):
         out = s.present()
     elif operator == "not_exists":
@@ -140,7 +156,7 @@ def predicate(metadata: Column, key: str, operator: str, value: object = None, c
             raise FilterError(f"{operator} takes a string")
         a, b = (s.string(), F.lit(value)) if case_sensitive else (fold(s.string()), fold(F.lit(value)))
         out = {"contains": F.contains, "starts_with": F.startswith, "ends_with": F.endswith}[operator](a, b)
-    return F.coalesce(out, F.lit(False))
+    return out
 
 
 def simple_equality(metadata: Column, wanted: Mapping[str, object]) -> list[Column]:

@@ -17,6 +17,8 @@ WORD = r"[\p{L}\p{N}]+"
 _ACCENTED = [c for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii()]
 _PLAIN = [unicodedata.normalize("NFD", c)[0] for c in _ACCENTED]
 
+_TO_PLAIN = str.maketrans("".join(_ACCENTED), "".join(_PLAIN))
+
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, lower-cased, without Latin accents."""
@@ -30,8 +32,7 @@ def tokenize(text: str) -> list[tuple[str, int, int]]:
         if unicodedata.category(c)[0] in "LN":
             start = i if start is None else start
         elif start is not None:
-            w = text[start:i].lower()
-            out.append(("".join(dict(zip(_ACCENTED, _PLAIN, strict=True)).get(x, x) for x in w) if not w.isascii() else w, start, i))
+            out.append((text[start:i].lower().translate(_TO_PLAIN), start, i))
             start = None
     return out
 
@@ -106,6 +107,22 @@ def stems(ws: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda a: [stem(x) for x in a])
 
 
+def storable(text: Column) -> Column:
+    """Whether every store can hold a text: no NUL."""
+    return ~F.contains(text, F.lit("\0"))
+
+
+def repaired(text: Column) -> Column:
+    """A generated text without the characters that a store can't hold."""
+    return F.replace(text, F.lit("\0"), F.lit(""))
+
+
+def storable_metadata(metadata: Column) -> Column:
+    """Whether metadata is null or a JSON object without NUL; NaN and infinities are no JSON."""
+    kind = F.schema_of_variant(F.try_parse_json(metadata))
+    return metadata.isNull() | (F.coalesce(kind.startswith("OBJECT"), F.lit(False)) & ~F.contains(metadata, F.lit("\\u0000")) & ~F.contains(metadata, F.lit("\0")))
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 

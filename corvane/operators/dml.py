@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, merge_patch
+from ..functions.text import content_hash, merge_patch, storable, storable_metadata
 from ..schema import ENTRY_KEY, MAX_IMAGE_BYTES, MAX_IMAGES, MAX_TAG_CHARS, MAX_TAGS, MAX_THREAD_CHARS
 from .filters import normalised_tags
 
@@ -127,12 +127,12 @@ def image_type(data: Column) -> Column:
 
 
 def validated(batch: DataFrame) -> DataFrame:
-    """Rows to store (thread_id, source, text_content, tags, images) with error, null if valid, and what is derived."""
+    """Rows to store (thread_id, source, text_content, metadata, tags, images) with error, null if valid, and what is derived."""
     bad = lambda c, m: F.when(c, F.lit(m))
     out = batch.withColumn("tags", normalised_tags(F.coalesce("tags", F.array().cast("array<string>"))))
     error = F.coalesce(
         bad(F.trim(F.coalesce("thread_id", F.lit(""))) == "", "thread_id is empty"), bad(F.length("thread_id") > MAX_THREAD_CHARS, "thread_id is too long"), bad(~F.coalesce(F.col("source").isin("user", "agent"), F.lit(False)), "source is neither user nor agent"),
-        bad(F.trim(F.coalesce("text_content", F.lit(""))) == "", "text is empty"), bad(F.size("tags") > MAX_TAGS, "too many tags"), bad(F.exists("tags", lambda t: F.length(t) > MAX_TAG_CHARS), "tag is too long"),
+        bad(F.trim(F.coalesce("text_content", F.lit(""))) == "", "text is empty"), bad(~storable(F.col("text_content")), "text holds a NUL"), bad(~storable_metadata(F.col("metadata")), "metadata isn't a JSON object"), bad(F.size("tags") > MAX_TAGS, "too many tags"), bad(F.exists("tags", lambda t: F.length(t) > MAX_TAG_CHARS), "tag is too long"),
         bad(F.size(F.coalesce("images", F.array().cast("array<string>"))) > MAX_IMAGES, "too many images"), bad(F.exists(F.coalesce("images", F.array().cast("array<string>")), lambda i: decoded_image(i).isNull()), "image isn't base64"),
         bad(F.exists(F.coalesce("images", F.array().cast("array<string>")), lambda i: F.octet_length(decoded_image(i)) > MAX_IMAGE_BYTES), "image is too large"),
     )

@@ -49,9 +49,9 @@ def codebook(bits: int) -> np.ndarray:
     return levels
 
 
-def pack(codes: np.ndarray, bits: int) -> bytes:
-    """Little-endian packing of small integers."""
-    return np.packbits(((codes[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
+def _pack_rows(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Little-endian packing of the small integers of each row."""
+    return np.packbits(((codes[:, :, None] >> np.arange(bits)) & 1).astype(np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")
 
 
 def unpack(raw: bytes, bits: int, n: int) -> np.ndarray:
@@ -77,20 +77,31 @@ class Quantizer:
         """Identifies the rotation; a store keeps it, as it depends on the linear algebra library."""
         return hashlib.sha256(rotation(self.dim, self.seed).astype("<f8").tobytes()).hexdigest()
 
+    def warm_up(self) -> None:
+        """Make the matrices and the codebook, which the first call would."""
+        rotation(self.dim, self.seed), codebook(self.code_bits)
+        if self.variant == "ip":
+            sketch_matrix(self.dim, self.seed)
+
     def encode(self, x: np.ndarray) -> bytes:
+        return self.encode_many(np.asarray(x, np.float64)[None])[0]
+
+    def encode_many(self, x: np.ndarray) -> list[bytes]:
+        """A payload for each row; one matrix product rotates all."""
         x = np.asarray(x, np.float64)
-        if x.shape != (self.dim,):
-            raise ValueError(f"vector has {x.shape} values, not {self.dim}")
-        norm = float(np.linalg.norm(x))
-        y = rotation(self.dim, self.seed) @ (x / norm if norm else x)
+        if x.ndim != 2 or x.shape[1] != self.dim:
+            raise ValueError(f"vectors have {x.shape[1:]} values, not {self.dim}")
+        norms = np.linalg.norm(x, axis=1)
+        y = (x / np.where(norms > 0, norms, 1.0)[:, None]) @ rotation(self.dim, self.seed).T
         levels = codebook(self.code_bits) / math.sqrt(self.dim)
         codes = np.searchsorted((levels[1:] + levels[:-1]) / 2, y)
-        head = MAGIC + struct.pack("<BBHf", self.bits, self.variant == "ip", self.dim, norm)
-        out = head + pack(codes, self.code_bits)
-        if self.variant == "ip":
-            rest = y - levels[codes]
-            out += struct.pack("<f", float(np.linalg.norm(rest))) + pack((sketch_matrix(self.dim, self.seed) @ rest >= 0).astype(np.int64), 1)
-        return out
+        packed = _pack_rows(codes, self.code_bits)
+        heads = [MAGIC + struct.pack("<BBHf", self.bits, self.variant == "ip", self.dim, n) for n in norms]
+        if self.variant == "mse":
+            return [h + p.tobytes() for h, p in zip(heads, packed, strict=True)]
+        rest = y - levels[codes]
+        signs = _pack_rows(rest @ sketch_matrix(self.dim, self.seed).T >= 0, 1)
+        return [h + p.tobytes() + struct.pack("<f", r) + s.tobytes() for h, p, r, s in zip(heads, packed, np.linalg.norm(rest, axis=1), signs, strict=True)]
 
     def _parts(self, raw: bytes) -> tuple[float, np.ndarray, float, np.ndarray | None]:
         bits, ip, dim, norm = struct.unpack_from("<BBHf", raw, 4)
@@ -103,10 +114,15 @@ class Quantizer:
         return norm, y, struct.unpack_from("<f", raw, 12 + n)[0], unpack(raw[16 + n :], 1, dim) * 2 - 1
 
     def decode(self, raw: bytes) -> np.ndarray:
-        norm, y, rest, signs = self._parts(raw)
-        if signs is not None:
-            y = y + math.sqrt(math.pi / 2) / self.dim * rest * (sketch_matrix(self.dim, self.seed).T @ signs)
-        return norm * (rotation(self.dim, self.seed).T @ y)
+        return self.decode_many([raw])[0]
+
+    def decode_many(self, payloads: list[bytes]) -> np.ndarray:
+        parts = [self._parts(p) for p in payloads]
+        norms, y = np.array([p[0] for p in parts]), np.array([p[1] for p in parts]).reshape(len(parts), self.dim)
+        if self.variant == "ip":
+            signs = np.array([p[3] for p in parts]).reshape(len(parts), self.dim)
+            y = y + math.sqrt(math.pi / 2) / self.dim * np.array([p[2] for p in parts])[:, None] * (signs @ sketch_matrix(self.dim, self.seed))
+        return norms[:, None] * (y @ rotation(self.dim, self.seed))
 
     def distances(self, payloads: list[bytes], q: np.ndarray) -> np.ndarray:
         """ip: minus the estimated inner product; mse: L2 to the decoded vector. One matrix product for all."""
@@ -127,7 +143,7 @@ def compress(chunks: DataFrame, quantizer: Quantizer, column: str = "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = pa.array([quantizer.encode(np.array(v)) for v in b.column(column).to_pylist()], pa.binary())
+            made = pa.array(quantizer.encode_many(np.array(b.column(column).to_pylist(), np.float64)) if len(b) else [], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), made], names=schema.names)
 
     return chunks.mapInArrow(run, schema)
@@ -139,7 +155,7 @@ def decompress(compressed: DataFrame, quantizer: Quantizer) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = pa.array([quantizer.decode(p).astype(np.float32) for p in b.column("payload").to_pylist()], pa.list_(pa.float32()))
+            made = pa.array(list(quantizer.decode_many(b.column("payload").to_pylist()).astype(np.float32)), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), made], names=schema.names)
 
     return compressed.mapInArrow(run, schema)

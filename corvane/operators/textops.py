@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -127,6 +127,15 @@ def navigate(nodes: DataFrame, stored: DataFrame) -> DataFrame:
     return by_id.join(by_span, ["id", "char_start", "char_end"], "left").withColumn("node_summary", F.coalesce("node_summary", "_other")).drop("_other")
 
 
+def nested(rows: Iterable[Mapping]) -> dict | None:
+    """The nodes of one entry as a tree: each with children, in order of their start."""
+    made = {r["node_id"]: {**r, "children": []} for r in rows}
+    for x in sorted(made.values(), key=lambda x: (x["char_start"], x["level"])):
+        if x["parent_id"] in made:
+            made[x["parent_id"]]["children"].append(x)
+    return made.get(outline.ROOT)
+
+
 def read_node(entries: DataFrame, nodes: DataFrame, node_id: str, doc: str = "id", text: str = "text_content") -> DataFrame:
     """The section of a node in each entry that has it."""
     own = nodes.filter(F.col("node_id") == node_id).select("id", "char_start", "char_end")

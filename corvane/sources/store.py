@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import uuid7
+from ..functions.text import repaired, uuid7
 from ..operators import quant, textops
 from ..schema import ENTRY_KEY, TABLES
 
@@ -217,7 +217,16 @@ def embed(chunks: DataFrame, encoder: Callable[[list[str]], list[list[float]]],
 def summarise(entries: DataFrame, summariser: Callable[[str], str], least_chars: int = 500) -> DataFrame:
     """entries with a summary, where the text is long enough."""
     run = F.pandas_udf(lambda s: s.map(summariser), "string")
-    return entries.withColumn("summary", F.when(F.length("text_content") >= least_chars, run("text_content")).otherwise(F.col("summary")))
+    return entries.withColumn("summary", F.when(F.length("text_content") >= least_chars, repaired(run("text_content"))).otherwise(F.col("summary")))
+
+
+def summarised_nodes(entries: DataFrame, summariser: Callable[[str], str], max_depth: int = 6, least_chars: int = 500) -> DataFrame:
+    """Index nodes of entries (columns of index_nodes), each section long enough with a summary of its own."""
+    nodes = textops.outline_nodes(entries, max_depth).filter("node_id != 'root'")
+    run = F.pandas_udf(lambda s: s.map(summariser), "string")
+    cut = nodes.join(entries.select(F.col("id"), "text_content"), "id").withColumn("section", F.substring("text_content", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
+    made = cut.withColumn("node_summary", F.when(F.length("section") >= least_chars, repaired(run("section"))))
+    return made.select(F.col("id").alias("context_id"), "node_id", "level", "ordinal", "title", "node_summary", "char_start", "char_end")
 
 
 def embedding_models(embedding_metadata: DataFrame) -> DataFrame:

@@ -193,3 +193,15 @@ def test_search_reads_the_index(spark, tmp_path):
     tools.store_context(rows(spark, [("t9", "user", "hello late runs", None, [], None)]))
     assert tools._index() is None and tools.fts_search_context("runs")["rows"].count() == 6
     assert "validation_errors" in tools.hybrid_search_context("a", None, metadata_filters=[{"key": "k", "operator": "no"}])
+
+
+def test_what_cannot_be_stored(spark, tmp_path):
+    st = S.Store(spark, str(tmp_path))
+    st.init()
+    tools = Tools(st)
+    bad = tools.store_context(rows(spark, [("t", "user", "a\0b", None, [], None), ("t", "user", "b", "{x", [], None), ("t", "user", "c", '{"k":NaN}', [], None), ("t", "user", "d", "[1]", [], None), ("t", "user", "# A\nx\n## B\ny\n# C", '{"k":1}', [], None)]), atomic=False)
+    assert sorted(r["error"] for r in bad.collect()) == ["metadata isn't a JSON object"] * 3 + ["text holds a NUL"]
+    e = st.read("entries")
+    tools.store_index_nodes(S.summarised_nodes(e, lambda t: f"s{len(t)}\0", least_chars=5))
+    tree = tools.navigation_tree(e.first()["id"])
+    assert [(x["node_id"], x["node_summary"], [y["node_id"] for y in x["children"]]) for x in tree["children"]] == [("a", "s13", ["a/b"]), ("c", None, [])]
