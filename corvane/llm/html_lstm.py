@@ -8,8 +8,9 @@ are trained by train() on generated pages, whose labels are known, and kept
 beside this module.
 
 Defined results: null or empty html, and pages without main text, give an empty text;
-unclosed and crossed tags are tolerated; repeated pages are extracted alike;
-other columns of the input are ignored.
+unclosed and crossed tags are tolerated: an open element ends with the one around it, scripts and styles
+at their closing tag in the source or with the page; repeated pages are extracted alike; an empty table
+gives an empty result; other columns of the input are ignored. A page is held at once, as 232 floats a block.
 """
 
 from __future__ import annotations
@@ -26,14 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[/!?]?[a-zA-Z\[](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|[^<]+|<", re.S)
+#: A comment, a tag with its attributes (quotes count only where a value begins), another declaration, text, or a lone sign.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|</?[a-zA-Z][^\s/>]*+(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+|=)*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|[^<]+|<", re.S
+)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none\b", re.I)
-#: HTML element names. Elements of RAW hold no text of the page, those of UNPARSED no markup either; VOID ones never close.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "select", "textarea", "title", "canvas", "audio", "video", "button"}
+#: HTML element names. Elements of UNPARSED hold no text of the page and no markup, those of HIDDEN no text of the
+#: page; of these, any block ends one that can't hold blocks. VOID ones never close.
 UNPARSED = {k: re.compile(rf"</{k}(?=[\s/>]|\Z)", re.I) for k in ("script", "style", "noscript", "iframe", "textarea", "title")}
+HIDDEN = {"template", "svg", "math", "object", "select", "canvas", "audio", "video", "button"}
+ENDED_BY_BLOCKS = {"svg", "math", "select", "audio", "video", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -43,7 +49,7 @@ BLOCK = {
 #: Elements that an opening tag of the same kind, or any block for p, closes.
 SELF_CLOSING = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 
-PATH_DIM, WORD_DIM, EXTRA, HIDDEN_DIM = 96, 32, 8, 16
+PATH_DIM, WORD_DIM, EXTRA, HIDDEN_DIM = 192, 32, 8, 16
 INPUT = PATH_DIM + WORD_DIM + EXTRA
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_weights.npz")
 
@@ -62,7 +68,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []
     text: list[str] = []
-    linked, in_link, skip = 0, 0, ""
+    linked, in_link = 0, 0
+    mute = -1  # place in the stack of the outermost open element of HIDDEN
 
     def flush() -> None:
         nonlocal linked
@@ -76,58 +83,64 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             text.clear()
         linked = 0
 
+    def close(name: str) -> None:
+        """End the innermost element of this name and what is open inside; a block outside HIDDEN ends its text too."""
+        nonlocal mute, in_link
+        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), len(stack))
+        if name in BLOCK and (mute < 0 or at < mute):
+            flush()
+            in_link = 0
+        del stack[at:]
+        if at <= mute:
+            mute = -1
+
     page, at = page or "", 0
     while m := TOKEN.match(page, at):
         tok, at = m.group(), m.end()
         if tok[0] != "<" or tok == "<" or not (n := NAME.match(tok)):
-            if tok[0] == "<" and len(tok) > 1:
-                continue  # comment or declaration
-            if not skip:
+            if (tok[0] != "<" or tok == "<") and mute < 0:  # else a comment or declaration
                 text.append(tok)
                 if in_link:
                     linked += len(tok)
             continue
         name = n.group(1).lower()
-        closing = tok[1] == "/"
-        if name in UNPARSED and not closing and not tok.endswith("/>"):
-            if end := UNPARSED[name].search(page, at):
-                at = end.start()
-            elif not skip:
-                at = len(page)
-        if skip:
-            if closing and name == skip:
-                skip = ""
-            continue
-        if name in RAW:
-            if not closing and not tok.endswith("/>"):
-                skip = name
-            continue
-        if name == "br":
-            text.append(" ")
-            continue
-        if name == "a":
+        closing, empty = tok[1] == "/", tok.endswith("/>")
+        if name in UNPARSED:
+            if not closing and not empty:
+                if end := UNPARSED[name].search(page, at):
+                    at = end.start()
+                elif name in ("script", "style"):
+                    at = len(page)
+        elif closing and (name in BLOCK or name in HIDDEN):
+            close(name)
+        elif name in HIDDEN:
+            if not closing and not empty:
+                if mute < 0:
+                    mute = len(stack)
+                stack.append((name, (), False))
+        elif name == "br":
+            if mute < 0:
+                text.append(" ")
+        elif name == "a":
             in_link = 0 if closing else 1
-            continue
-        if name not in BLOCK:
-            continue
-        flush()
-        in_link = 0
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            continue
-        if name in VOID:
-            continue
-        closes = SELF_CLOSING.get(name, {"p"})
-        while stack and stack[-1][0] in closes:
-            stack.pop()
-        words, hides = [name], len(tok) > n.end() + 1 and _hidden(tok, n.end())
-        if "=" in tok:
-            for a in MARKS.findall(tok):
-                words += ["." + w for w in re.split(r"[^a-z]+", "".join(a).lower()) if w]
-        stack.append((name, tuple(words), hides))
+        elif name in BLOCK:
+            while mute >= 0 and stack[-1][0] in ENDED_BY_BLOCKS:
+                stack.pop()
+                if len(stack) == mute:
+                    mute = -1
+            if mute < 0:
+                flush()
+                in_link = 0
+            if name in VOID:
+                continue
+            closes = SELF_CLOSING.get(name, {"p"})
+            while len(stack) > mute + 1 and stack[-1][0] in closes:
+                stack.pop()
+            words, hides = [name], len(tok) > n.end() + 1 and _hidden(tok, n.end())
+            if "=" in tok:
+                for a in MARKS.findall(tok):
+                    words += ["." + w for w in re.split(r"[^a-z]+", "".join(a).lower()) if w]
+            stack.append((name, tuple(words), hides))
     flush()
     return out
 
@@ -250,18 +263,24 @@ def made_page(rng: np.random.Generator) -> str:
     def sentence(n: int = 40) -> str:
         return ". ".join(line(1, 18).capitalize() for _ in range(rng.integers(1, max(2, n // 8)))) + pick(".", ".", "", "!", "***", " |")
 
+    def noise() -> str:
+        """Class words that say nothing."""
+        return " ".join(pick("wide", "clearfix", "row", "container", "lead", "text-large", "overflow-hidden", "js-x", word(), word()) for _ in range(rng.integers(1, 4)))
+
     def element(tag: str, mark: str, text: str, close: float = 0.93) -> str:
         inner = f"{mark}{text}"
+        attrs = f' class="{noise()}"' if rng.random() < 0.15 else ""
         if rng.random() < 0.1:
             inner = f"<b>{inner}" + pick("</b>", "<br>", "")
-        return f"<{tag}>{inner}" + (f"</{tag}>" if rng.random() < close else "")
+        return f"<{tag}{attrs}>{inner}" + (f"</{tag}>" if rng.random() < close else "")
 
     def links(mark: str, n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/x">{mark}{line(1, 4)}</a></li>' for _ in range(n)) + "</ul>"
 
     def box(names: tuple[str, ...], body: str, tags: tuple[str, ...] = ("div", "section", "div")) -> str:
         tag = pick(*tags)
-        return f'<{tag} {pick("class", "id")}="{pick(*names)}{pick("", "", "-box", " wide")}">{body}</{tag}>'
+        own = [pick(*names) + pick("", "", "-box")] + ([noise()] if rng.random() < 0.35 else [])
+        return f'<{tag} {pick("class", "id")}="{" ".join(own if rng.random() < 0.7 else own[::-1])}">{body}</{tag}>'
 
     def article_part() -> str:
         r = rng.random()
@@ -277,12 +296,12 @@ def made_page(rng: np.random.Generator) -> str:
             return "<table>" + "".join("<tr>" + "".join(element("td", MAIN, line(1, 4)) for _ in range(3)) + "</tr>" for _ in range(rng.integers(1, 4))) + "</table>"
         if r < 0.97:
             return element("pre", MAIN, line(3, 30))
-        return box(("ad", "advert", "ads", "sponsor", "promo", "banner"), OTHER + sentence(20))
+        return box(("ad", "advert", "adverts", "ads", "sponsor", "promo", "banner"), element("p", OTHER, sentence(20)) if rng.random() < 0.5 else OTHER + sentence(20))
 
-    parts = [article_part() for _ in range(rng.integers(1, 24))]
-    body = element("h1", MAIN, line(2, 12), 1.0) + "".join(parts)
-    if rng.random() < 0.8:
-        body = f"<article>{body}</article>"
+    parts = [article_part() for _ in range(rng.integers(1, 24) if rng.random() < 0.75 else rng.integers(1, 4))]
+    body = (element(pick("h1", "h1", "h1", "h2"), MAIN, line(1, 12), 1.0) if rng.random() < 0.85 else "") + "".join(parts)
+    if rng.random() < 0.7:
+        body = f'<article class="{noise()}">{body}</article>' if rng.random() < 0.25 else f"<article>{body}</article>"
         if rng.random() < 0.3:
             body = f"<main>{body}</main>"
     else:
@@ -290,7 +309,7 @@ def made_page(rng: np.random.Generator) -> str:
     p = element("p", OTHER, sentence(20))
     small = OTHER + pick(sentence(12), "&copy; " + line(1, 3), line(1, 6))
     before = [
-        f"<nav>{links(OTHER, rng.integers(2, 9))}</nav>", f"<header>{element('p', OTHER, line(1, 6))}{links(OTHER, 3)}</header>", box(("ad", "advert", "ads", "sponsor", "promo"), small),
+        f"<nav>{links(OTHER, rng.integers(2, 9))}</nav>", f"<header>{element(pick('p', 'p', 'h1', 'h2'), OTHER, line(1, 6), 1.0)}{links(OTHER, 3) if rng.random() < 0.7 else ''}</header>", box(("ad", "advert", "ads", "sponsor", "promo"), small),
         box(("cookie", "notice", "consent", "banner", "alert", "gdpr"), p, ("div", "aside")), box(("menu", "nav", "navbar", "breadcrumb"), links(OTHER, 4)), f"<form>{element('label', OTHER, line(1, 4))}<input></form>",
     ]
     after = [
@@ -313,7 +332,7 @@ def made_sample(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     return features(found), np.array(y, np.float32)
 
 
-def train(steps: int = 200, batch: int = 16, rate: float = 0.02, seed: int = 5) -> tuple[dict, list[float]]:
+def train(steps: int = 500, batch: int = 16, rate: float = 0.02, seed: int = 5) -> tuple[dict, list[float]]:
     """Adam on freshly generated pages; gives the weights and the losses."""
     rng = np.random.default_rng(seed)
     p = start_weights()
