@@ -144,10 +144,10 @@ SELECT doc_id AS id, round(sum(CASE WHEN v <> w THEN 0.1e0 / (i - j) ELSE 0 END)
 SELECT id, array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'), lambda x: CASE WHEN strip_accents(lower(x)) IN ('that', 'with') THEN '<mark>' || x || '</mark>' ELSE x END), '') AS highlighted FROM top JOIN documents ON doc_id = id""".replace("\\\\", "\\"),
     "grep_content": """WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS id, string_split(text, chr(10)) AS ls FROM documents WHERE contains(lower(text), 'idiot')),
 x AS (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS n FROM l),
-y AS (SELECT *, ls[n] AS line, CAST(coalesce(list_sum(list_transform(ls[1:n - 1], lambda z: length(z) + 1)), 0) AS BIGINT) AS at FROM x WHERE contains(lower(ls[n]), 'idiot')),
+y AS (SELECT *, ls[n] AS line, CAST(coalesce(list_sum(list_transform(ls[1:n - 1], lambda z: length(z) + 1)), 0) AS BIGINT) AS pos FROM x WHERE contains(lower(ls[n]), 'idiot')),
 z AS (SELECT *, unnest(list_filter(range(1, length(line) - 3), lambda i: lower(substr(line, i, 5)) = 'idiot')) AS i FROM y),
-r AS (SELECT *, row_number() OVER (ORDER BY id, at + i) AS rn, count(*) OVER () AS total FROM z)
-SELECT id, CAST(n AS INTEGER) AS line_number, line, CAST(at + i - 1 AS INTEGER) AS start, CAST(at + i + 4 AS INTEGER) AS "end", CASE WHEN n > 1 THEN ls[n - 1] ELSE '' END AS before, CASE WHEN n < len(ls) THEN ls[n + 1] ELSE '' END AS after, total > 100 AS truncated FROM r WHERE rn <= 100""",
+r AS (SELECT *, row_number() OVER (ORDER BY id, pos + i) AS rn, count(*) OVER () AS total FROM z)
+SELECT id, CAST(n AS INTEGER) AS line_number, line, CAST(pos + i - 1 AS INTEGER) AS start, CAST(pos + i + 4 AS INTEGER) AS "end", CASE WHEN n > 1 THEN ls[n - 1] ELSE '' END AS before, CASE WHEN n < len(ls) THEN ls[n + 1] ELSE '' END AS after, total > 100 AS truncated FROM r WHERE rn <= 100""",
     "retention_delete": EV + "SELECT id FROM e WHERE NOT (CAST(thread_id AS BIGINT) < 50 AND created_at < TIMESTAMP '2024-01-15')",
     "version_update": CH + "SELECT id, CAST(CASE WHEN length(text) > 400 AND length(text) % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version, CASE WHEN length(text) > 400 AND length(text) % 2 = 0 THEN 'short' ELSE '' END AS summary FROM c",
     "knn_l2": f"SELECT vec_id, {DIST} AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 20",
