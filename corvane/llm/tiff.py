@@ -7,13 +7,16 @@ stores 8- or 16-bit samples with any of these codecs.
 
 Defined results: a null or empty file, and one that is no TIFF, gives one row
 with page null and the reason in error; a page that can't be decoded gives a
-row with its number and error; pages before it are kept; repeated rows
-are decoded each; other columns of the input are kept beside the page's, and
-clashing names are refused. Pixels are rows of samples, little-endian.
+row with its number and error; pages before it are kept; no damaged file raises; repeated rows
+are decoded each; an empty table gives an empty result; other columns of the input are kept beside the page's, and
+clashing names are refused. Pixels are rows of samples, little-endian. A block is decoded up to the size
+that its page states, so that a small file can't unfold to any size.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,9 +37,14 @@ CODEC = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", DEFLATE_OLD: "deflate", P
 PAGE = "page int, width int, height int, samples int, bits int, compression string, predictor int, pixels binary, feature string, error string"
 
 
-def unpack_bits(data: bytes) -> bytes:
+#: Decoded bytes of one block and of one page at most.
+MAX_BLOCK, MAX_PIXELS = 1 << 28, 1 << 30
+_RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
+def unpack_bits(data: bytes, limit: int = MAX_BLOCK) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < limit:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -49,30 +57,29 @@ def unpack_bits(data: bytes) -> bytes:
 
 
 def pack_bits(row: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(row):
-        j = i
-        while j < len(row) and row[j] == row[i] and j - i < 128:
-            j += 1
-        if j - i >= 2:
-            out += bytes([257 - (j - i), row[i]])
-        else:
-            while j < len(row) and j - i < 128 and not (j + 1 < len(row) and row[j] == row[j + 1]):
-                j += 1
-            out += bytes([j - i - 1]) + row[i:j]
-        i = j
+    out, at = bytearray(), 0
+    for m in [*_RUN.finditer(row), None]:
+        end = m.start() if m else len(row)
+        while at < end:
+            n = min(128, end - at)
+            out.append(n - 1)
+            out += row[at : at + n]
+            at += n
+        if m:
+            out += bytes([257 - len(m.group()), row[end]])
+            at = m.end()
     return bytes(out)
 
 
-def un_lzw(data: bytes) -> bytes:
+def un_lzw(data: bytes, limit: int = MAX_BLOCK) -> bytes:
     """Codes of 9 to 12 bits, highest bit first; 256 clears the table, 257 ends; widths grow one code early."""
     table: list[bytes] = []
     out: list[bytes] = []
-    bits = held = pos = 0
+    bits = held = pos = size = 0
     width, before = 9, b""
     base = [bytes([i]) for i in range(256)] + [b"", b""]
     table = base.copy()
-    while True:
+    while size < limit:
         while bits < width:
             if pos >= len(data):
                 return b"".join(out)
@@ -93,10 +100,12 @@ def un_lzw(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code out of range")
         out.append(word)
+        size += len(word)
         if before:
             table.append(before + word[:1])
         before = word
         width = min(12, max(9, (len(table) + 1).bit_length()))
+    return b"".join(out)
 
 
 def to_lzw(data: bytes) -> bytes:
@@ -137,15 +146,20 @@ def to_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def decode_block(data: bytes, codec: int) -> bytes:
+def decode_block(data: bytes, codec: int, limit: int = MAX_BLOCK) -> bytes:
+    """At least the first `limit` bytes of a block, if it has them."""
     if codec == NONE:
         return data
     if codec in (DEFLATE, DEFLATE_OLD):
-        return zlib.decompress(data)
+        z = zlib.decompressobj()
+        out = z.decompress(data, limit)
+        if not z.eof and len(out) < limit:
+            raise ValueError("deflate data is cut off")
+        return out
     if codec == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, limit)
     if codec == LZW:
-        return un_lzw(data)
+        return un_lzw(data, limit)
     raise ValueError(f"compression {codec} isn't known")
 
 
@@ -154,7 +168,8 @@ def undo_predictor(raw: bytes, predictor: int, width: int, samples: int, bits: i
     if bits not in (8, 16, 32, 64):
         if predictor != 1:
             raise ValueError(f"predictor {predictor} with {bits} bits")
-        return np.frombuffer(raw, np.uint8).reshape(-1, (width * samples * bits + 7) // 8)
+        row = (width * samples * bits + 7) // 8
+        return np.frombuffer(raw, np.uint8, len(raw) // row * row).reshape(-1, row)
     size = bits // 8
     per_row = width * samples
     rows = len(raw) // (per_row * size)
@@ -201,18 +216,27 @@ def _directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
 
 
 def _page(raw: bytes, order: str, tags: dict[int, tuple]) -> dict:
-    one = lambda t, d: tags.get(t, (d,))[0]
+    one = lambda t, d: (tags.get(t) or (d,))[0]
     width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
     codec, predictor, planes = one(COMPRESSION, 1), one(PREDICTOR, 1), samples if one(PLANAR, 1) == 2 else 1
     info = {"width": width, "height": height, "samples": samples, "bits": bits, "compression": CODEC.get(codec, str(codec)), "predictor": predictor}
-    per = samples // planes
-    tiled = TILE_AT in tags
-    bw, bh = (tags[TILE_W][0], tags[TILE_H][0]) if tiled else (width, min(one(ROWS, height), height))
-    at, size = (tags[TILE_AT], tags[TILE_N]) if tiled else (tags[STRIP_AT], tags[STRIP_N])
+    if min(width, height) < 0 or samples < 1 or bits < 1 or len(set(tags.get(BITS, ()))) > 1:
+        raise ValueError("sizes or samples aren't valid")
     if not width or not height:
         return info | {"pixels": b""}
+    per = samples // planes
+    tiled = TILE_AT in tags
+    bw, bh = (one(TILE_W, 0), one(TILE_H, 0)) if tiled else (width, min(one(ROWS, height), height))
+    if bw < 1 or bh < 1:
+        raise ValueError("blocks have no size")
+    need = bh * ((bw * per * bits + 7) // 8)
+    if need > MAX_BLOCK or height * ((width * samples * bits + 7) // 8) > MAX_PIXELS:
+        raise ValueError("page is too large")
     across, down = -(-width // bw), -(-height // bh)
-    if len(at) < across * down * planes:
+    at, size = (tags.get(TILE_AT, ()), tags.get(TILE_N, ())) if tiled else (tags.get(STRIP_AT, ()), tags.get(STRIP_N, ()))
+    if not size and codec == NONE:
+        size = (need,) * len(at)
+    if min(len(at), len(size)) < across * down * planes:
         raise ValueError("blocks are missing")
     whole = bits % 8 == 0
     made = []
@@ -222,10 +246,10 @@ def _page(raw: bytes, order: str, tags: dict[int, tuple]) -> dict:
             row = []
             for x in range(across):
                 b = (plane * down + y) * across + x
-                if at[b] + size[b] > len(raw):
-                    raise ValueError(f"block {b} lies outside the file")
-                block = undo_predictor(decode_block(raw[at[b] : at[b] + size[b]], codec), predictor, bw, per, bits, order)
                 h = min(bh, height - y * bh)
+                if min(at[b], size[b]) < 0 or at[b] + size[b] > len(raw):
+                    raise ValueError(f"block {b} lies outside the file")
+                block = undo_predictor(decode_block(raw[at[b] : at[b] + size[b]], codec, need)[:need], predictor, bw, per, bits, order)
                 if len(block) < h:
                     raise ValueError(f"block {b} is short")
                 row.append(block[:h])
@@ -243,10 +267,10 @@ def read_pages(raw: bytes | None) -> list[dict]:
         for order, tags in _directories(raw or b""):
             try:
                 out.append({"page": len(out)} | _page(raw, order, tags))
-            except (ValueError, KeyError, struct.error, zlib.error) as e:
+            except (ValueError, LookupError, ArithmeticError, TypeError, MemoryError, struct.error, zlib.error) as e:
                 out.append({"page": len(out), "error": f"{type(e).__name__}: {e}"})
-    except (ValueError, struct.error) as e:
-        out.append({"error": str(e)})
+    except (ValueError, ArithmeticError, MemoryError, struct.error) as e:
+        out.append({"error": f"{type(e).__name__}: {e}"})
     return out
 
 
@@ -332,27 +356,78 @@ def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
+def text_file(raw: bytes, width: int = 64, rows_per_page: int = 1024) -> bytes:
+    """Bytes, padded with zeros to full rows, as 8-bit samples of a TIFF file.
+
+    Codec, predictor, strips or tiles and byte order follow from a checksum of the bytes, so that equal bytes give equal files
+    and many texts use all of them; every rows_per_page rows are a page.
+    """
+    draw = zlib.crc32(raw)
+    rows = np.frombuffer(raw.ljust(max(1, -(-len(raw) // width)) * width, b"\0"), np.uint8).reshape(-1, width)
+    codec = (LZW, PACKBITS, PACKBITS, NONE, *[DEFLATE] * 12)[draw % 16]
+    predictor = 2 if codec in (LZW, DEFLATE) and draw >> 4 & 1 else 1
+    tile = (32, 32) if draw >> 5 & 3 == 0 else None
+    pages = [rows[at : at + rows_per_page] for at in range(0, len(rows), rows_per_page)]
+    return write_tiff(pages, codec, predictor, (16, 64, 256, 1024)[draw >> 7 & 3], tile, "<" if draw >> 9 & 1 else ">")
+
+
 def text_images(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 64) -> DataFrame:
-    """Each whole text as a one-page TIFF: bytes, padded with zeros to full rows, as 8-bit samples."""
+    """Each whole text as a TIFF file, see text_file(): doc_id, n_bytes, media."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, len(b), 256):
                 part = b.slice(start, 256)
-                n, media = [], []
-                for t in part.column("text").to_pylist():
-                    raw = (t or "").encode("utf-8", "surrogatepass")
-                    n.append(len(raw))
-                    raw = raw.ljust(max(1, -(-len(raw) // width)) * width, b"\0")
-                    media.append(write_tiff([np.frombuffer(raw, np.uint8).reshape(-1, width)]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
+                media = [text_file(x, width) for x in raws]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in raws], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     src = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     return src.mapInArrow(run, T.StructType([src.schema["doc_id"], *T._parse_datatype_string("n_bytes long, media binary").fields]))
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """Digests of the pixels read back; pages has doc_id, n_bytes, media_bytes, media_sha256 and a page's columns."""
-    return pages.select(
-        "doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
-    )
+    """A row per file with digests of all its pages' pixels read back; null digests if a page has an error.
+
+    pages has doc_id, n_bytes, media_bytes, media_sha256 and a page's columns, as tiff_pages() gives them: the pages
+    of a file follow each other within a partition, so that none is shuffled.
+    """
+    own = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: dict | None = None
+        rows: list[dict] = []
+
+        def close() -> None:
+            if head is not None:
+                ok = head.pop("ok")
+                h, tail, features, n = (head.pop(k) for k in ("h", "tail", "features", "n"))
+                rows.append(head | {"payload_bytes": n if ok else None, "payload_sha256": h.hexdigest() if ok else None, "tail_crc32": zlib.crc32(tail) if ok else None, "feature": f"pages={len(features)};" + "|".join(features) if ok else None})
+
+        def batch() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+            rows.clear()
+            return b
+
+        for b in batches:
+            schema = pa.schema([pa.field(c, b.schema.field(c).type) for c in own] + [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
+            for *names, page, pixels, feature in zip(*(b.column(c).to_pylist() for c in (*own, "page", "pixels", "feature")), strict=True):
+                if not page:
+                    close()
+                    head = dict(zip(own, names, strict=True)) | {"h": hashlib.sha256(), "tail": b"", "features": [], "n": 0, "ok": True}
+                if pixels is None:
+                    head["ok"] = False
+                    continue
+                head["h"].update(pixels)
+                head["n"] += len(pixels)
+                head["tail"] = (head["tail"] + pixels[-64:])[-64:]
+                head["features"].append(feature)
+            if rows:
+                yield batch()
+        close()
+        if rows:
+            yield batch()
+
+    src = pages.select(*own, "page", "pixels", "feature")
+    made = src.mapInArrow(run, T.StructType([*[src.schema[c] for c in own], *T._parse_datatype_string("payload_bytes long, payload_sha256 string, tail_crc32 long, feature string").fields]))
+    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -67,3 +67,67 @@ def test_query_rows(spark):
     assert tiff.tiff_pages(files.limit(0)).count() == 0
     with pytest.raises(ValueError, match="clash"):
         tiff.tiff_pages(files.withColumn("width", F.lit(1)))
+
+
+def by_hand(order, entries, blocks=b"", following=0):
+    """A file of one directory at byte 8 whose entries are given as (tag, kind, count, packed value or offset)."""
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8)
+    body = struct.pack(order + "H", len(entries)) + b"".join(struct.pack(order + "HHI", t, k, n) + v.ljust(4, b"\0") for t, k, n, v in entries) + struct.pack(order + "I", following)
+    return head + body + blocks
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize(("codec", "data", "want"), [
+    (1, b"abcdef", b"abcdef"),
+    (32773, b"\x02abc\xfed", b"abcddd"),  # a literal run of three, a repeat of three
+    (5, bytes([0x80, 0x10, 0x60, 0x50, 0x22, 0x0C, 0x34, 0x10, 0x10]), b"AABBBB"),
+    (8, zlib.compress(b"abcdef"), b"abcdef"),
+])
+def test_files_assembled_by_hand(order, codec, data, want):
+    """Not made by the module's writer."""
+    if codec == 5:  # 256 65 258 ... packed by hand below, as 9-bit codes
+        codes = [256, 65, 65, 66, 260, 66, 257]
+        bits = "".join(f"{c:09b}" for c in codes)
+        data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    s, i = (lambda x: struct.pack(order + "H", x)), (lambda x: struct.pack(order + "I", x))
+    at = 8 + 2 + 9 * 12 + 4
+    raw = by_hand(order, [(256, 3, 1, s(3)), (257, 3, 1, s(2)), (258, 3, 1, s(8)), (259, 3, 1, s(codec)), (262, 3, 1, s(1)), (273, 4, 1, i(at)), (277, 3, 1, s(1)), (278, 3, 1, s(2)), (279, 4, 1, i(len(data)))], data)
+    got = tiff.read_pages(raw)
+    assert len(got) == 1 and got[0].get("error") is None and got[0]["pixels"] == want, got
+
+
+def test_known_codes():
+    """The worked example of the specification's LZW section: 7 7 7 8 8 7 7 6 6 ."""
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.un_lzw(data) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
+def test_nothing_raises():
+    """Files with changed, cut and repeated bytes give rows."""
+    rng = np.random.default_rng(4)
+    s, i = (lambda x: struct.pack("<H", x)), (lambda x: struct.pack("<I", x))
+    for odd in ([(256, 3, 0, b"")], [(256, 3, 1, s(3)), (257, 3, 1, s(2)), (278, 3, 1, s(0)), (273, 4, 1, i(8)), (279, 4, 1, i(6))], [(256, 4, 1, i(2**32 - 1)), (257, 4, 1, i(2**32 - 1)), (258, 3, 1, s(64)), (273, 4, 1, i(8)), (279, 4, 1, i(6))],
+                [(256, 3, 1, s(3)), (257, 3, 1, s(2)), (322, 3, 1, s(0)), (323, 3, 1, s(16)), (324, 4, 1, i(8)), (325, 4, 1, i(6))], [(256, 3, 1, s(3)), (257, 3, 1, s(2)), (277, 3, 1, s(0)), (284, 3, 1, s(2)), (273, 4, 1, i(8)), (279, 4, 1, i(6))]):
+        assert all("error" in p or p["pixels"] == b"" for p in tiff.read_pages(by_hand("<", odd, b"x" * 50)))
+    for codec in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
+        good = tiff.write_tiff([rng.integers(0, 9, (20, 30)).astype(np.uint8), rng.integers(0, 9, (5, 6, 3)).astype(np.uint16)], codec, 2, 7, (16, 16) if codec == tiff.LZW else None)
+        for _ in range(400):
+            bad = bytearray(good)
+            for _ in range(rng.integers(1, 6)):
+                bad[rng.integers(0, len(bad))] = rng.integers(0, 256)
+            bad = bytes(bad[: rng.integers(1, len(bad) + 1)] if rng.random() < 0.3 else bad)
+            assert all(("error" in p) != ("pixels" in p) for p in tiff.read_pages(bad))
+    bomb = tiff.write_tiff([np.zeros((64, 64), np.uint8)], tiff.DEFLATE, 1)
+    assert tiff.decode_block(zlib.compress(b"\0" * 10_000_000), tiff.DEFLATE, 4096) == b"\0" * 4096 and tiff.read_pages(bomb)[0]["pixels"] == b"\0" * 4096
+
+
+def test_text_files_use_every_layout():
+    seen = set()
+    for i in range(300):
+        raw = (f"text {i} " * (1 + i % 7 * 300)).encode()
+        pages = tiff.read_pages(tiff.text_file(raw, rows_per_page=100))
+        assert b"".join(p["pixels"] for p in pages) == raw.ljust(-(-len(raw) // 64) * 64, b"\0") and tiff.text_file(raw) == tiff.text_file(bytes(raw))
+        seen.add((pages[0]["compression"], pages[0]["predictor"], len(pages) > 1))
+    assert {(c, p, m) for c, p in (("none", 1), ("packbits", 1), ("lzw", 1), ("lzw", 2), ("deflate", 1), ("deflate", 2)) for m in (True, False)} <= seen
