@@ -12,13 +12,15 @@ captures of a single URL spread over many tasks.
 Defined results: captures with a null URL or date never match; of responses
 to one URL at one instant the largest record_id counts; a revisit's status is resolved, mismatch,
 unvalidated (no validator in common, nothing is merged) or missing (no earlier
-response); repeated revisits each get a row; null headers count as none; other columns are ignored.
+response); repeated revisits each get a row; null headers count as none, and names of headers in any case come out in
+lower case; a file that is cut off or damaged gives its readable records and a row of kind damaged; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -48,17 +50,39 @@ def canonical_url(url: Column) -> Column:
     return let(u, of)
 
 
+def unpacked(raw: bytes) -> tuple[bytes, bool]:
+    """The content of all gzip members as far as it can be read, and whether that is all of it; other data as it is."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw, True
+    out = []
+    while raw[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        try:
+            out.append(z.decompress(raw))
+        except zlib.error:
+            # once more byte by byte of what is good: a damaged member still gives its beginning
+            z, at = zlib.decompressobj(31), 0
+            try:
+                while at < len(raw):
+                    out.append(z.decompress(raw[at : at + 64]))
+                    at += 64
+            except zlib.error:
+                return b"".join(out), False
+        if not z.eof:
+            return b"".join(out), False
+        raw = z.unused_data.lstrip(b"\0")
+    return b"".join(out), not raw
+
+
 def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record; gzip members are unpacked. A cut record ends it."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at = 0
+    raw, at = unpacked(raw)[0], 0
     while (at := raw.find(b"WARC/", at)) >= 0:
         end = raw.find(b"\r\n\r\n", at)
         if end < 0:
             return
         fields = _fields(raw[at:end].split(b"\r\n")[1:])
-        size = int(fields.get("content-length", "0")) if fields.get("content-length", "0").isdigit() else 0
+        size = int(fields.get("content-length", "0")) if fields.get("content-length", "0").isdecimal() else 0
         if end + 4 + size > len(raw):
             return
         yield fields, raw[end + 4 : end + 4 + size]
@@ -81,7 +105,9 @@ def write_record(fields: dict[str, str], block: bytes) -> bytes:
 
 
 def captures_of(raw: bytes) -> Iterator[dict]:
-    """Response and revisit records as captures."""
+    """Response and revisit records as captures; one of kind damaged, all else null, where a gzip file can't be read to its end."""
+    if not unpacked(raw)[1]:
+        yield {"record_id": None, "url": None, "captured_at": None, "kind": "damaged", "http_status": None, "headers": {}, "body": None}
     for f, block in records(raw):
         if f.get("warc-type") not in ("response", "revisit"):
             continue
@@ -126,10 +152,16 @@ def as_of(stored: DataFrame, asked: DataFrame, key: str, at: str, value: str) ->
     return out.filter("f is not null").select(key, at, F.col("f.a").alias("found_at"), F.col("f.v").alias("found"))
 
 
+def lower_names(headers: Column) -> Column:
+    """Headers with names in lower case; of names that differ in case only, the first in order of spelling."""
+    of = lambda e: F.filter(e, lambda x, i: ~F.exists(F.slice(e, F.lit(1), i), lambda y: F.lower(y["key"]) == F.lower(x["key"])))
+    return F.map_from_entries(F.transform(let(F.array_sort(F.map_entries(headers)), of), lambda x: F.struct(F.lower(x["key"]).alias("key"), x["value"].alias("value"))))
+
+
 def resolve_revisits(captures: DataFrame, permitted: Iterable[str] = PERMITTED) -> DataFrame:
     """One row per revisit: record_id, canonical_url, captured_at, status, response_id, headers, body."""
     none = F.expr("cast(map() as map<string,string>)")
-    rows = captures.select("record_id", canonical_url(F.col("url")).alias("c"), F.unix_micros("captured_at").alias("t"), "captured_at", "kind", "http_status", F.coalesce("headers", none).alias("headers"), "body")
+    rows = captures.select("record_id", canonical_url(F.col("url")).alias("c"), F.unix_micros("captured_at").alias("t"), "captured_at", "kind", "http_status", lower_names(F.coalesce("headers", none)).alias("headers"), "body")
     full = rows.filter((F.col("kind") == "response") & (F.col("http_status") == 200) & F.col("body").isNotNull())
     revisits = rows.filter(F.col("kind") == "revisit")
     found = as_of(full.select("c", "t", "record_id"), revisits.select("c", "t"), "c", "t", "record_id")
@@ -142,7 +174,7 @@ def resolve_revisits(captures: DataFrame, permitted: Iterable[str] = PERMITTED)
     dates = old["last-modified"].isNotNull() & new["last-modified"].isNotNull()
     same = F.when(tags, tag(old) == tag(new)).when(dates, F.trim(old["last-modified"]) == F.trim(new["last-modified"]))
     status = F.when(F.col("r").isNull(), "missing").when(same.isNull(), "unvalidated").when(same, "resolved").otherwise("mismatch")
-    may = F.map_filter(new, lambda k, v: F.lower(k).isin(list(permitted)))
+    may = F.map_filter(new, lambda k, v: k.isin([p.lower() for p in permitted]))
     merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(may), k)), may)
     ok = F.col("status") == "resolved"
     return both.withColumn("status", status).select("record_id", F.col("c").alias("canonical_url"), "captured_at", "status", "response_id", F.when(ok, merged).otherwise(new).alias("headers"), F.when(ok, F.col("r.body")).alias("body"))

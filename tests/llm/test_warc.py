@@ -65,3 +65,36 @@ def test_files(spark, tmp_path):
     r = warc.resolve_revisits(warc.read_warc(spark, str(tmp_path))).collect()
     assert len(r) == 1 and r[0]["status"] == "resolved" and bytes(r[0]["body"]) == b"WARC/ in the body"
     assert dict(r[0]["headers"]) == {"etag": 'W/"a"', "vary": "x, y", "expires": "now"}
+
+
+def test_damaged_files(spark, tmp_path):
+    """Cut and changed gzip files give what can be read and a row that says so."""
+    head = {"WARC-Type": "response", "WARC-Record-ID": "<1>", "WARC-Target-URI": "http://a.com/", "WARC-Date": "2024-01-01T00:00:00Z"}
+    one = warc.write_record(head, b"HTTP/1.1 200 OK\r\n\r\n" + random.Random(1).randbytes(4000))
+    two = warc.write_record(head | {"WARC-Record-ID": "<2>"}, b"HTTP/1.1 200 OK\r\n\r\nx")
+    whole = gzip.compress(one) + gzip.compress(two)
+    changed = bytearray(whole)
+    changed[len(gzip.compress(one)) + 14] ^= 0xFF
+    for name, raw in {"a": whole, "b": whole[:-9], "c": bytes(changed), "d": whole[:30], "e": b"\x1f\x8b", "f": b"", "g": whole + b"junk", "h": gzip.compress(one)[:-4]}.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(raw)
+    rng = random.Random(2)
+    for _ in range(200):
+        bad = bytearray(whole)
+        for _ in range(3):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        list(warc.captures_of(bytes(bad[: rng.randrange(1, len(bad))])))
+    got = warc.read_warc(spark, str(tmp_path)).groupBy("kind").count().collect()
+    assert {r["kind"] for r in got} == {"response", "damaged"}
+    assert {r["kind"]: r["count"] for r in got}["damaged"] == 6
+    assert [r["record_id"] for r in warc.captures_of(whole)] == ["<1>", "<2>"]
+
+
+def test_header_names(spark):
+    """Names match in any case; of two that differ in case only, the first in order of spelling counts."""
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    rows = [
+        ("r", "http://a.com", at(0), "response", 200, {"ETag": '"1"', "etag": '"2"', "Content-Type": "t", "Age": "1"}, b"b", "c", 1),
+        ("v", "http://a.com/", at(1), "revisit", 304, {"ETAG": 'W/"1"', "AGE": "2", "X-Cache": "HIT"}, None, "c", 1),
+    ]
+    r = warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).first()
+    assert r["status"] == "resolved" and r["headers"] == {"etag": 'W/"1"', "age": "2", "content-type": "t"}
