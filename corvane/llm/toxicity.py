@@ -11,13 +11,15 @@ lexicon of the other half did not see.
 
 Defined results: null text counts as empty and gets the score of no match;
 repeated documents score alike; null labels are ignored; without labelled rows
-the seed list and a fixed calibration are used; other columns pass through.
+the seed list and a fixed calibration are used; an empty table stays empty; other columns pass through, and
+one named as the result is refused.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize, refuse_clash, scratch
+
 #: Insults that count even before anything is learned.
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "worthless", "pathetic", "disgusting", "clown")
 #: Phrases in which a listed word is harmless.
@@ -99,7 +103,14 @@ def matches(auto, folded: str) -> tuple[float, int]:
         elif w > best.get(at, 0.0):
             best[at] = w
     if spared and best:
-        best = {k: v for k, v in best.items() if not any(a <= k < b for a, b in spared)}
+        merged: list[list[int]] = []
+        for a, z in sorted(spared):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], z)
+            else:
+                merged.append([a, z])
+        starts = [a for a, _ in merged]
+        best = {k: v for k, v in best.items() if not ((i := bisect_right(starts, k)) and k < merged[i - 1][1])}
     return sum(best.values()), len(best)
 
 
@@ -121,43 +132,44 @@ def entries_of(text: str | None, shortest: int = 4, longest: int = 8) -> set[str
     return out
 
 
-def _count(rows: DataFrame, only: set[str] | None, size: int) -> dict[str, int]:
-    """In how many texts of rows a candidate occurs."""
+def _odds(rows: DataFrame, n_bad: int, n_good: int, floor: float, least: int = 3) -> dict[str, tuple[float, int]]:
+    """Smoothed log odds, and number of bad texts, of each candidate that reaches floor and occurs in `least` bad texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
+        found: Counter[tuple[str, int]] = Counter()
         for b in batches:
-            for t in b.column("text").to_pylist():
-                e = entries_of(t)
-                found.update(e if only is None else e & only)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["e", "n"])
+            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+                found.update((e, y) for e in entries_of(t))
+        yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["e", "y", "n"])
+
+    sums = rows.mapInArrow(run, "e string, y int, n long").groupBy("e").agg(*[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(c) for y, c in ((1, "bad"), (0, "good"))])
+    odds = F.ln((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.ln((F.col("good") + 0.5) / (n_good + 1.0))
+    return {r["e"]: (r["o"], r["bad"]) for r in sums.filter(F.col("bad") >= least).select("e", "bad", odds.alias("o")).filter(F.col("o") >= floor).toLocalIterator()}
 
-    got = rows.mapInArrow(run, "e string, n long").groupBy("e").agg(F.sum("n").alias("n")).filter(F.col("n") >= (3 if only is None else 1))
-    return {r["e"]: r["n"] for r in got.orderBy(F.desc("n"), "e").limit(size).toLocalIterator()}
 
+def learn(rows: DataFrame, n_bad: int, n_good: int, floor: float = 3.0) -> dict[str, float]:
+    """Weights of the entries whose smoothed log odds reach floor, longer ones left out that tell little more than a stem of theirs.
 
-def learn(rows: DataFrame, n_bad: int, n_good: int, size: int, floor: float = 3.0) -> dict[str, float]:
-    """Weights of the entries whose smoothed log odds reach floor, longest redundant ones left out."""
+    rows is the bounded sample of fit(), which bounds the entries too.
+    """
     weights = seeds()
     if not n_bad or not n_good:
         return weights
-    bad = _count(rows.filter("y = 1"), None, size)
-    good = _count(rows.filter("y = 0"), set(bad), size)
-    odds = {e: float(np.log((c + 0.5) / (n_bad + 1.0)) - np.log((good.get(e, 0) + 0.5) / (n_good + 1.0))) for e, c in bad.items()}
-    for e in sorted(odds, key=len):
-        o = odds[e]
-        shorter = max((odds[e[:k]] for k in range(5, len(e)) if e[:k] in odds), default=-9.0)
-        if o >= floor and (shorter < floor or bad[e] < 0.9 * max(bad.get(e[:k], 0) for k in range(5, len(e))) and o > shorter + 1.0):
+    odds = _odds(rows, n_bad, n_good, floor)
+    for e, (o, n) in odds.items():
+        stems = [odds[e[:k]] for k in range(5, len(e)) if e[:k] in odds]
+        if not stems or (n < 0.9 * max(x[1] for x in stems) and o > max(x[0] for x in stems) + 1.0):
             weights[e] = max(weights.get(e, 0.0), o)
     return weights
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", train: Column | None = None, max_rows: int = 12_000, max_entries: int = 50_000
-) -> Lexicon:
-    """Learn weights and calibration from the labelled rows that satisfy train."""
-    from .common import discard, materialize
+def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", train: Column | None = None, max_rows: int = 12_000) -> Lexicon:
+    """Learn weights and calibration from the labelled rows that satisfy train, at most max_rows of them."""
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, doc, text, label, train, max_rows)
+
 
+def _fit(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, train: Column | None, max_rows: int) -> Lexicon:
     spark = docs.sparkSession
     known = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull())
     if train is not None:
@@ -167,13 +179,12 @@ def fit(
     if not rows:
         return start
     picked = F.broadcast(spark.createDataFrame([tuple(r) for r in rows], "id long, y int, h long"))
-    paths: list[str] = []
-    sample = docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).join(picked, "id").dropDuplicates(["text", "y"]).select("text", "y", F.pmod("h", F.lit(2)).alias("half"))
-    sample = materialize(sample, paths)
+    sample = docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).join(picked, "id").groupBy("text", "y").agg(F.min("h").alias("h"))
+    sample = materialize(sample.select("text", "y", F.pmod("h", F.lit(2)).alias("half")))
     n = {(r["half"], r["y"]): r["n"] for r in sample.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
     xs, ys = [], []
     for half in (0, 1):
-        auto_of = Lexicon(learn(sample.filter(F.col("half") != half), n.get((1 - half, 1), 0), n.get((1 - half, 0), 0), max_entries))
+        auto_of = Lexicon(learn(sample.filter(F.col("half") != half), n.get((1 - half, 1), 0), n.get((1 - half, 0), 0)))
 
         def run(batches: Iterator[pa.RecordBatch], lex=auto_of) -> Iterator[pa.RecordBatch]:
             auto = lex.automaton()
@@ -184,8 +195,7 @@ def fit(
         for r in sample.filter(F.col("half") == half).mapInArrow(run, "a double, b double, y int").toLocalIterator():  # at most max_rows
             xs.append((r["a"], r["b"]))
             ys.append(float(r["y"]))
-    weights = learn(sample, n.get((0, 1), 0) + n.get((1, 1), 0), n.get((0, 0), 0) + n.get((1, 0), 0), max_entries)
-    discard(spark, paths)
+    weights = learn(sample, n.get((0, 1), 0) + n.get((1, 1), 0), n.get((0, 0), 0) + n.get((1, 0), 0))
     if len(set(ys)) < 2:
         return dataclasses.replace(start, weights=weights)
     coef = logistic(np.array(xs), np.array(ys))
@@ -205,6 +215,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 4
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", column: str = "score") -> DataFrame:
     """docs with a column of the probability of being toxic."""
+    refuse_clash(docs, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = lexicon.automaton()
