@@ -9,10 +9,13 @@ Fitting uses at most max_rows labelled rows, those with the lowest hash of the
 id; scoring covers every document. What reaches the driver is bounded by
 max_rows, the number of features and fit_parts.
 
+A score is interpolated between the means of the isotonic blocks, and 0.2 % of it is the raw score, so
+that documents within a block keep an order. Which signs are counted is fixed by hand, what they mean is learned.
+
 Defined results: null text counts as empty and is scored like any text; repeated
 documents are scored alike; labels that are null are ignored; with no labelled rows, or
-labels of one class only, every score is that class's mean (0.5 without rows);
-other columns of the input pass through score() unchanged.
+labels of one class only, every score is that class's mean (0.5 without rows); an empty table stays empty;
+other columns of the input pass through score() unchanged, and one named as its result is refused.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import discard, materialize, refuse_clash
+
 #: Byte classes counted: upper, lower, digit, white space, beyond ASCII, then single signs.
 SIGNS = b"!|%&$#*.,?-:;()=@/_\"'"
 _CLASS = np.zeros(256, np.uint8)
@@ -124,10 +129,8 @@ def fit(
             flat = pa.FixedSizeListArray.from_arrays(pa.array(s.ravel()), N_STATS).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([flat, b.column("_y"), b.column("_fold")], names=["s", "y", "fold"])
 
-    from .common import discard, materialize
-
     paths: list[str] = []
-    made = materialize(sample.mapInArrow(stats, "s array<float>, y double, fold int"), paths).repartition(fit_parts, F.hash("s"))
+    made = materialize(sample.mapInArrow(stats, "s array<float>, y double, fold int"), paths).coalesce(fit_parts)
     agg = made.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[F.avg(F.get("s", F.lit(i))).alias(f"m{i}") for i in range(N_STATS)], *[F.stddev_pop(F.get("s", F.lit(i))).alias(f"d{i}") for i in range(N_STATS)]).first()
     if not agg["n"] or agg["y"] in (0.0, 1.0):
         discard(spark, paths)
@@ -170,6 +173,7 @@ def _matrix(b: pa.RecordBatch) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """docs with a column of the model's probability of label 1."""
+    refuse_clash(docs, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
