@@ -115,10 +115,16 @@ c0 AS (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS n, CAST(1 AS DOUBLE
         for d in dims:
             out += f"c{k + 1} AS MATERIALIZED (SELECT source, lang, topic, n, w * ({share[d]} / {named[d]}) / (sum(n * w) OVER (PARTITION BY {d}) / sum(n) OVER ()) AS w FROM c{k}),\n"
             k += 1
-    return out + f"""top AS (SELECT max(w) AS m FROM c{k})
-SELECT doc_id, d.n AS mix_tokens, round(w, 6) AS mix_weight, round(least(1.0, w / m), 6) AS mix_prob,
-  CAST('0x' || substr(md5('mix/' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < least(1.0, w / m) AS mix_kept
-FROM d LEFT JOIN c{k} c USING (source, lang, topic), top
+    return out + f"""k AS (SELECT *, row_number() OVER o AS j, sum(n) OVER o - n AS saturated, sum(n * w) OVER () - (sum(n * w) OVER o - n * w) AS rest, 0.5e0 * sum(n) OVER () AS budget FROM c{k} WINDOW o AS (ORDER BY w DESC, source, lang, topic)),
+f AS (SELECT (budget - saturated) / rest AS c, budget FROM k WHERE rest > 0 AND budget > saturated AND (budget - saturated) / rest * w <= 1 ORDER BY j LIMIT 1),
+p AS MATERIALIZED (
+  SELECT d.*, w, coalesce(least(1.0e0, c * w), 0.5e0) AS p, budget, CAST('0x' || substr(md5('mix/' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0e0 AS u
+  FROM d LEFT JOIN c{k} USING (source, lang, topic), f
+),
+b AS MATERIALIZED (SELECT *, CASE WHEN p > 0 THEN least(CAST(floor(u / p * 10000) AS BIGINT), 20000) ELSE 20000 END AS part FROM p),
+t AS (SELECT part, sum(sum(n)) OVER (ORDER BY part) AS n, max(budget) AS budget FROM b WHERE part < 20000 GROUP BY part),
+z AS (SELECT part AS last FROM t ORDER BY abs(n - budget), part LIMIT 1)
+SELECT doc_id, n AS mix_tokens, round(w, 6) AS mix_weight, round(p, 6) AS mix_prob, part <= last AS mix_kept FROM b, z
 """
 
 
