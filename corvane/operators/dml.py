@@ -9,24 +9,44 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, merge_patch, storable, storable_metadata
 from ..schema import ENTRY_KEY, MAX_IMAGE_BYTES, MAX_IMAGES, MAX_TAG_CHARS, MAX_TAGS, MAX_THREAD_CHARS
+from ..session import materialized
 from .filters import normalised_tags
 
 
-def adjacent_runs(entries: DataFrame, thread: str = "thread_id", source: str = "source", order: str = "id", text: str = "text_content") -> DataFrame:
-    """entries with run: a number within the thread that grows where source or text changes."""
-    w = Window.partitionBy(thread).orderBy(order)
-    h = F.coalesce(F.col("content_hash"), content_hash(F.col(text))) if "content_hash" in entries.columns else content_hash(F.col(text))
-    e = entries.withColumn("_h", h)
-    new = ~(F.lag(source).over(w).eqNullSafe(F.col(source)) & F.lag("_h").over(w).eqNullSafe(F.col("_h")))
-    return e.withColumn("_new", F.when(F.row_number().over(w) == 1, 1).otherwise(new.cast("int"))).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_h")
-
+def adjacent_runs(entries: DataFrame, thread: str = "thread_id", source: str = "source", order: str = "id", text: str = "text_content", split: bool = False) -> DataFrame:
+    """entries with run: a number within the thread that grows where source or text changes.
 
-def fold_duplicates(entries: DataFrame, order: str = "id") -> DataFrame:
+    A thread is one window; with split, which writes the entries to the shared folder once, it is
+    one window for each range of its entries, and a row per range carries the end of the one before.
+    """
+    h = F.coalesce(F.col("content_hash"), content_hash(F.col(text))) if "content_hash" in entries.columns else content_hash(F.col(text))
+    e = entries.withColumn("_is", F.struct(F.col(source).alias("s"), h.alias("h")))
+    if not split:
+        w = Window.partitionBy(thread).orderBy(order)
+        return e.withColumn("_new", (~F.lag("_is").over(w).eqNullSafe(F.col("_is"))).cast("int")).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_is")
+    e = materialized(e.repartitionByRange(thread, order).withColumn("_part", F.spark_partition_id()))
+    w, parts = Window.partitionBy(thread, "_part").orderBy(order), Window.partitionBy(thread).orderBy("_part")
+
+    def beside(rows: DataFrame, per: DataFrame, name: str) -> DataFrame:
+        """rows with a value of their thread, null or not, and range."""
+        per = per.select(F.col(thread).alias("_thread"), F.col("_part").alias("_range"), name)
+        return rows.join(per, F.col(thread).eqNullSafe(F.col("_thread")) & (F.col("_part") == F.col("_range"))).drop("_thread", "_range")
+
+    ends = e.groupBy(thread, "_part").agg(F.max_by("_is", order).alias("_last")).withColumn("_carried", F.lag("_last").over(parts)).drop("_last")
+    e = e.withColumn("_at", F.row_number().over(w)).withColumn("_before", F.lag("_is").over(w))
+    e = beside(e, ends, "_carried")
+    e = e.withColumn("_new", (~F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col("_before")).eqNullSafe(F.col("_is"))).cast("int"))
+    base = e.groupBy(thread, "_part").agg(F.sum("_new").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    e = beside(e, base, "_base").withColumn("run", F.col("_base") + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return e.select(*entries.columns, "run")
+
+
+def fold_duplicates(entries: DataFrame, order: str = "id", split: bool = False) -> DataFrame:
     """Consecutive entries of one thread and source with one text become the first of them.
 
     Its metadata, summary and update time are the last that are not null; version counts the repeats.
     """
-    runs = adjacent_runs(entries, order=order)
+    runs = adjacent_runs(entries, order=order, split=split)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
     first = lambda c: F.min_by(c, order).alias(c)
     out = runs.groupBy("thread_id", "run").agg(

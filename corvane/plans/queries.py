@@ -220,7 +220,7 @@ def embedding_statistics(spark, d):
 
 @query
 def adjacent_dedup(spark, d):
-    return dml.fold_duplicates(_repeated(spark, d)).select("id", "thread_id", "source", "version", F.length("text_content").cast("bigint").alias("n_chars"))
+    return dml.fold_duplicates(_repeated(spark, d), split=True).select("id", "thread_id", "source", "version", F.length("text_content").cast("bigint").alias("n_chars"))
 
 
 def _repeated(spark, d):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -43,3 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
             d = "file://" + tempfile.mkdtemp(prefix="corvane-")
             spark.sparkContext._corvane_dir = d
     return d.rstrip("/")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: computed once, whatever happens to executors. The table stays."""
+    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

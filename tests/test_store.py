@@ -205,3 +205,14 @@ def test_what_cannot_be_stored(spark, tmp_path):
     tools.store_index_nodes(S.summarised_nodes(e, lambda t: f"s{len(t)}\0", least_chars=5))
     tree = tools.navigation_tree(e.first()["id"])
     assert [(x["node_id"], x["node_summary"], [y["node_id"] for y in x["children"]]) for x in tree["children"]] == [("a", "s13", ["a/b"]), ("c", None, [])]
+
+
+def test_split_threads(spark):
+    """Runs over ranges of a thread are those over the whole thread."""
+    import random
+
+    rng = random.Random(3)
+    data = [(f"{i:04}", rng.choice(["hot", "hot", "hot", "cold", None]), rng.choice(["user", None]), rng.choice(["a", "b"]) if i % 90 > 60 else "a") for i in range(600)]
+    e = spark.createDataFrame(data, "id string, thread_id string, source string, text_content string")
+    whole, parts = (sorted((r["id"], r["run"]) for r in dml.adjacent_runs(e, split=x).collect()) for x in (False, True))
+    assert len(whole) == 600 and whole == parts and max(n for _, n in whole) > 20
