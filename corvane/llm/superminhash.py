@@ -8,22 +8,32 @@ level by level, stopping once no higher rank can lower any slot.
 
 Documents with equal sets are one node. Nodes that agree in a whole band share
 a bucket. Buckets are searched by stars, never by all pairs: each member is compared with a
-centre (the smallest key, then one drawn per bucket). Members of a bucket that are
-then still in different components are compared block against block in numpy, every pair on the
-full sets, and of the links found one per member and other component leaves a block. A comparison of a star passes a filter on size and signature, then is decided on the
-full sets, read from the whole texts. Verified links are grouped by
-union-find: within partitions first, then by star contraction across them.
+centre (the smallest key, then one drawn per bucket). A comparison of a star passes a filter on size
+and signature, then is decided on the full sets, read from the whole texts. Verified links are
+grouped by union-find: within partitions first, then by star contraction across them.
+
+Members of buckets that then still hold several components are compared by their signatures, blocks of a bucket
+against each other in numpy; pairs of different components that pass the filter are decided
+on the full sets. Where nearly all members of a block would pass, it emits its members instead of pairs, and these are joined exactly, by
+prefix filtering: shingles that only one component of them holds can't link; a member most of
+whose shingles are such leaves. The others meet at their rarest remaining shingles, as many as any
+similar set must share one of, and are compared there on the full sets. One link per member and other
+component leaves a comparison.
 
 Guarantee: candidates are found with probability 1 - (1 - s^rows)^bands (s = 0.8:
-all but 5e-8); a reported link is always exact.
+all but 5e-8); a candidate is lost only if its signatures agree in less than percent - 20 of
+100 slots (below 1e-7 at s = 0.8). Sets are compared by 64-bit hashes of shingles, made from
+cryptographic hashes of the words.
 
 Defined results: null text counts as empty; documents without words link
 with nothing; repeated documents are linked as equal texts; a null id never names a component
-unless all ids in it are null; other columns of the input are ignored.
+unless all ids in it are null; other columns of the input are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -32,26 +42,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_key
+from .common import discard, materialize, scratch, text_key
 
 U = np.uint64
-_RNG = np.random.default_rng(20170616)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE, _GOLD = U(0x9E3779B97F4A7C15 | 1), U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(int(_BASE), -1, 2**64))
+_GOLD = U(0x9E3779B97F4A7C15)
 _NEXT_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 BLOCK = 1 << 20
-_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 14)
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate([[U(1)], np.full(size, x, U)])) for x in (_BASE, _INVERSE)]
-    return _POWERS[0], _POWERS[1]
+class _Words(dict):
+    """Hashes of words; forgets all when it has grown large."""
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        v = self[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        return v
+
+
+_WORDS = _Words()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,13 +79,8 @@ def word_hashes(raw: bytes) -> np.ndarray:
         if b < len(raw):
             m = _NEXT_SPACE.search(raw, b)
             b = m.start() if m else len(raw)
-        part = np.frombuffer(raw, np.uint8, b - a, a)
-        gap = np.concatenate([[True], _SPACE[part], [True]])
-        first, last = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-        power, inverse = _powers(len(part) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([[U(0)], np.cumsum(_BYTE[part] * power[: len(part)])])
-            out.append(mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(U) * _GOLD))
+        words = raw[a:b].split()
+        out.append(np.fromiter(map(_WORDS.__getitem__, words), U, len(words)))
         a = b
     return np.concatenate(out) if out else np.zeros(0, U)
 
@@ -171,8 +175,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     kind = edges.schema[a].dataType.simpleString()
     batch_type = {"binary": pa.binary(), "bigint": pa.int64(), "string": pa.string()}[kind]
-    paths: list[str] = []
     spark = edges.sparkSession
+    paths: list[str] = []
     now = materialize(edges.select(a, b).mapInArrow(local, f"v {kind}, r {kind}"), paths)
     state = None
     while True:
@@ -187,22 +191,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(spark, paths)
         paths = fresh
         if state == was:
-            return now.select(F.col("v").alias("node"), F.col("r").alias("root")).unionAll(now.select(F.col("r").alias("node"), F.col("r").alias("root")).distinct())
+            out = materialize(now.select(F.col("v").alias("node"), F.col("r").alias("root")).unionAll(now.select(F.col("r").alias("node"), F.col("r").alias("root")).distinct()))
+            discard(spark, paths)
+            return out
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; nodes has n and sig, texts the whole texts."""
-    slots_needed = (percent - 20) / 100
-
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in ("sa", "sb"))
-            ok = (x == y).mean(axis=1) >= slots_needed if len(b) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+            if len(b):
+                sig = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in ("sa", "sb")]
+                ok = _close(sig[0], b.column("na").to_numpy(), sig[1], b.column("nb").to_numpy(), percent)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    close = sized.select("a", "b", "sa", "sb").mapInArrow(near, "a binary, b binary")
+    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a binary, b binary")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -220,108 +224,190 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, per
     return close.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(same, "a binary, b binary")
 
 
-def _residue(left: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 500) -> DataFrame:
-    """Links (a, b) of nodes that share a bucket and differ in root: for each node at most one per other root and block.
+def _close(sa: np.ndarray, na: np.ndarray, sb: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether signatures (last axis) and sizes allow the similarity; only then sets are looked at."""
+    return ((sa == sb).mean(axis=-1) >= (percent - 20) / 100) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
-    left: (band, node, members, root). The members of a bucket are dealt to blocks, and a task compares two blocks by
-    their whole sets, so each pair is decided exactly before one per root is kept.
-    """
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, size).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
+def _candidates(left: DataFrame, nodes: DataFrame, percent: int, block: int = 1000, crowd: int = 16) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, differ in root and pass the filter; (a, null) for the members of a block with more than `crowd` such pairs a member.
 
-    whole = materialize(texts.join(left.select("node").distinct(), "node").select("node", "text").mapInArrow(hashes, "node binary, set binary"))
+    left: (band, node, members, root).
+    """
     blocks = F.ceil(F.col("members") / block).cast("int")
-    own = left.join(whole, "node").withColumn("k", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = own.select("band", "node", "root", "set", "k", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")).select("band", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "node", "root", "set")
+    own = left.join(nodes.select("node", "n_shingles", "sig"), "node").withColumn("k", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = own.select("band", "node", "root", "n_shingles", "sig", "k", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+    dealt = dealt.select("band", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "node", "root", "n_shingles", "sig")
 
-    def compare(rows: list[tuple]) -> Iterator[tuple]:
-        """Members outside the commonest root against all others, through an index from hashes to members."""
+    def near(rows: list[tuple]) -> set[tuple]:
         ids: dict[bytes, int] = {}
         root = np.array([ids.setdefault(r[5], len(ids)) for r in rows])
         if len(ids) < 2:
-            return
-        sets = [np.frombuffer(r[6], U) for r in rows]
-        k, n = np.array([r[3] for r in rows]), np.array([len(s) for s in sets])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(rows), dtype=np.int32), n)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        main = np.bincount(root).argmax()
-        for x in np.flatnonzero(root != main):
-            lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
-            runs = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
-            both = np.bincount(owner[at], minlength=len(rows))
-            ok = (100 * both >= percent * (n[x] + n - both)) & (root != root[x])
-            if rows[x][1] != rows[x][2]:
-                ok &= k != k[x]
-            best: dict[int, int] = {}
-            for y in np.flatnonzero(ok):
-                if both[y] > both[best.get(root[y], y)] or root[y] not in best:
-                    best[root[y]] = y
-            for y in best.values():
-                yield rows[x][4], rows[y][4]
+            return set()
+        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+        n, k = np.array([r[6] for r in rows]), np.array([r[3] for r in rows])
+        found: set[tuple] = set()
+        for at in range(0, len(rows), 64):
+            x = slice(at, at + 64)
+            ok = (root[x, None] != root[None]) & (np.arange(len(rows))[x, None] < np.arange(len(rows))[None])
+            if rows[0][1] != rows[0][2]:
+                ok &= k[x, None] != k[None]
+            a, b = np.nonzero(ok)
+            a += at
+            fits = _close(sig[a], n[a], sig[b], n[b], percent)
+            found.update((max(rows[i][4], rows[j][4]), min(rows[i][4], rows[j][4])) for i, j in zip(a[fits], b[fits], strict=True))
+            if len(found) > crowd * len(rows):
+                return {(r[4], None) for r in rows}
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        batch = lambda f: pa.RecordBatch.from_arrays([pa.array([p[c] for p in f], pa.binary()) for c in (0, 1)], names=["a", "b"])
+        found: set[tuple] = set()
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
         for b in batches:
-            found: set[tuple] = set()
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group and group[0][:3] != r[:3]:
-                    found.update((max(p), min(p)) for p in compare(group))
+                    found |= near(group)
                     group.clear()
                 group.append(r)
-            yield batch(list(found))
+            if len(found) > 20_000:
+                yield batch()
+                found.clear()
+        found |= near(group) if group else set()
+        yield batch()
+
+    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _compare(rows: list[tuple], percent: int) -> Iterator[tuple]:
+    """Links of members outside the commonest root with others; rows: (.., i, j, k, node, root, set) of one pair of blocks."""
+    ids: dict[bytes, int] = {}
+    root = np.array([ids.setdefault(r[5], len(ids)) for r in rows])
+    if len(ids) < 2:
+        return
+    sets = [np.frombuffer(r[6], U) for r in rows]
+    k, n = np.array([r[3] for r in rows]), np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(rows), dtype=np.int32), n)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    main = np.bincount(root).argmax()
+    for x in np.flatnonzero(root != main):
+        lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+        runs = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+        both = np.bincount(owner[at], minlength=len(rows))
+        ok = (100 * both >= percent * (n[x] + n - both)) & (root != root[x])
+        if rows[x][1] != rows[x][2]:
+            ok &= k != k[x]
+        best: dict[int, int] = {}
+        for y in np.flatnonzero(ok):
+            if both[y] > both[best.get(root[y], y)] or root[y] not in best:
+                best[root[y]] = y
+        for y in best.values():
+            yield rows[x][4], rows[y][4]
+
+
+def _residue(left: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 500) -> DataFrame:
+    """Links (a, b) of the nodes of left that differ in root: for each node at most one per other root and comparison.
+
+    left: (node, root), each node once. An exact join by prefix filtering, see the module.
+    """
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, size).astype(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("root"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "root", "set"])
+
+    own = materialize(left.join(texts, "node").select("node", "root", "text").mapInArrow(hashes, "node binary, root binary, set array<long>"))
+    several = lambda df: df.groupBy("e").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("e", "m")
+    each = own.select("node", "root", F.size("set").alias("n"), F.explode("set").alias("e"))
+    ranked = each.join(materialize(several(each)), "e").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("m", "e"))).alias("xs"))
+    # n - least + 1 elements are the prefix; those that one root holds come first in the order and can't meet another root
+    least = F.floor((percent * F.col("n") + 99) / 100)
+    ranked = ranked.filter(F.size("xs") >= least).withColumn("xs", F.slice("xs", 1, (F.size("xs") - least + 1).cast("int")))
+    meet = materialize(ranked.select("node", "root", F.explode("xs.e").alias("e")))
+    shared = materialize(several(meet))
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    dealt = meet.join(shared, "e").select("node", "root", "e", "m").join(own.select("node", "set"), "node").withColumn("k", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.select("e", "node", "root", "set", "k", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")).select("e", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "node", "root", "set")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            sets = b.column("set")
+            flat, at = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_pylist()
+            for i, r in enumerate(zip(*(c.to_pylist() for c in b.columns[:6]), strict=True)):
+                yield *r, flat[at[i] : at[i + 1]].tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        found: set[tuple] = set()
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
+        for r in pack(batches):
+            if group and group[0][:3] != r[:3]:
+                found.update((max(p), min(p)) for p in _compare(group, percent))
+                group.clear()
+                if len(found) > 20_000:
+                    yield batch()
+                    found.clear()
+            group.append(r)
         if group:
-            yield batch(list({(max(p), min(p)) for p in compare(group)}))
+            found.update((max(p), min(p)) for p in _compare(group, percent))
+        yield batch()
 
-    cols = ["band", "i", "j", "k", "node", "root", "set"]
-    return dealt.select(*cols).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a binary, b binary").filter("a is not null")
+    cols = ["e", "i", "j", "k", "node", "root", "set"]
+    return dealt.select(*cols).repartition("e", "i", "j").sortWithinPartitions("e", "i", "j").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 2) -> DataFrame:
     """One row per input row: doc_id, text_key, n_shingles, component_id (smallest id of the group), links (verified links of its set found)."""
-    spark = docs.sparkSession
+    with scratch(docs.sparkSession):
+        return materialize(_groups(docs, doc, text, size, percent, bands, rows, rounds), outer=True)
+
+
+def _groups(docs: DataFrame, doc: str, text: str, size: int, percent: int, bands: int, rows: int, rounds: int) -> DataFrame:
     sketches = materialize(sketch(docs, doc, text, size, bands, rows))
     nodes = materialize(sketches.filter("node is not null").select("node", "n_shingles", "bands", "sig", "text_key").dropDuplicates(["node"]))
     spread = nodes.select("node", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members")).filter("low != high")
     shared = materialize(shared.select("band", "low", "members"))  # so that the join's skewed partitions can be split
     buckets = materialize(spread.join(shared, "band"))
-    named = buckets.select("node").distinct().join(nodes.select("node", "text_key"), "node")
-    texts = materialize(docs.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text")).join(named, "text_key").dropDuplicates(["node"]).select("node", "text"))
-
-    links, tested, roots = None, None, None
-    left = buckets
-    for r in range(rounds + 1):
-        if r == 0:
-            pairs = left.filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    named = materialize(buckets.select("node").distinct().join(nodes.select("node", "text_key"), "node"))
+    once = docs.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = materialize(once.join(named, "text_key").select("node", "text"))
+
+    sized = nodes.select("node", "n_shingles", "sig")
+    star = buckets.filter("node != low").select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b")).distinct()
+    tested = materialize(star)
+    links = materialize(_verify(tested, sized, texts, size, percent))
+    roots = components(links)
+    left = buckets.filter("members > 2").select("band", "node", "members")
+    for r in range(1, rounds + 1):
+        known = materialize(left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        draw = F.xxhash64("node", "band", F.lit(r))
+        open_ = known.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("node", draw).alias("centre"), F.min_by("root", draw).alias("centre_root")).filter("r0 != r1")
+        open_ = materialize(open_.drop("r0", "r1"))
+        left = materialize(known.join(open_, "band"))
+        if r < rounds:
+            pairs = left.filter("root != centre_root").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
         else:
-            known = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_ = known.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("node", F.xxhash64("node", "band", F.lit(r))).alias("centre"), F.min_by("root", F.xxhash64("node", "band", F.lit(r))).alias("centre_root")).filter("r0 != r1")
-            left = materialize(known.filter("members > 2").join(open_.drop("r0", "r1"), "band").select("band", "node", "members", "root", "centre", "centre_root"))
-            if r < rounds:
-                pairs = left.filter("root != centre_root").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-            else:
-                pairs = _residue(left, texts, size, percent)
-            left = left.select("band", "node", "members")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        exact = 0 < r == rounds  # links of the residue are decided already
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None and not exact else pairs)
-        if r and pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        found = pairs if exact else materialize(_verify(pairs, nodes.select("node", "n_shingles", "sig"), texts, size, percent))
-        links = found if links is None else links.unionAll(found)
-        roots = materialize(components(links))
+            near = materialize(_candidates(left.select("band", "node", "members", "root"), sized, percent))
+            pairs = near.filter("b is not null")
+        left = left.select("band", "node", "members")
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            tested = tested.unionAll(pairs)
+            links = links.unionAll(materialize(_verify(pairs, sized, texts, size, percent)))
+            roots = components(links)
+    dense = near.filter("b is null").select(F.col("a").alias("node")).distinct()
+    if not dense.isEmpty():
+        dense = dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        links = links.unionAll(materialize(_residue(dense, texts, size, percent).distinct()))
+        roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     of_set = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low_id"))
     of_set = of_set.join(roots, "node", "left").join(degree, "node", "left").select("node", "low_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     of_set = materialize(of_set)
     lowest = of_set.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    groups = of_set.join(lowest, "root").select("node", "component_id", "links")
+    groups = materialize(of_set.join(lowest, "root").select("node", "component_id", "links"))
     out = sketches.select("doc_id", "text_key", "n_shingles", "node").join(groups, "node", "left")
     return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

@@ -58,6 +58,32 @@ def test_brute_force(spark, rounds):
     assert got == brute(rows)
 
 
+def test_colliding_words():
+    """Words whose letters follow the Thue-Morse sequence and its opposite, alike for any polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    assert len(np.unique(S.word_hashes(f"{a} {b}".encode()))) == 2
+
+
+@pytest.mark.parametrize(("block", "crowd"), [(7, 16), (1000, 0), (3, 0)])
+def test_blocks_and_crowds(spark, monkeypatch, block, crowd):
+    """Buckets larger than a block, and blocks in which pairs give way to the exact join."""
+    rng = random.Random(15)
+    rows = []
+    for f in range(4):  # families near the threshold on both sides
+        base = [f"b{f}x{i}" for i in range(100)]
+        for i in range(25):
+            w = list(base)
+            for j in rng.sample(range(100), rng.randint(1, 9)):
+                w[j] = f"z{rng.randint(0, 9**7)}"
+            rows.append((f * 100 + i, " ".join(w)))
+    inner, residue = S._candidates, S._residue
+    monkeypatch.setattr(S, "_candidates", lambda left, nodes, percent: inner(left, nodes, percent, block=block, crowd=crowd))
+    monkeypatch.setattr(S, "_residue", lambda left, texts, size, percent: residue(left, texts, size, percent, block=block))
+    got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1, rounds=1).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 1)
+
+
 def test_common_passage(spark):
     """Many documents with one passage and little else in common: no star can settle their buckets."""
     rng = random.Random(5)
