@@ -154,8 +154,11 @@ def sketch(docs: DataFrame, doc: str, text: str, size: int, bands: int, rows: in
     return src.mapInArrow(run, "doc_id long, text_key binary, n_shingles long, node binary, bands array<long>, sig binary")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node on an edge; root is the smallest node of its component."""
+def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = 100_000) -> DataFrame:
+    """(node, root) of every node on an edge; root is the smallest node of its component.
+
+    Once no more than one_task edges are left, one task's union-find ends the contraction; the result is the same for any.
+    """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict = {}
@@ -180,6 +183,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = materialize(edges.select(a, b).mapInArrow(local, f"v {kind}, r {kind}"), paths)
     state = None
     while True:
+        if now.limit(one_task + 1).count() <= one_task:
+            fresh = []
+            now = materialize(now.coalesce(1).mapInArrow(local, f"v {kind}, r {kind}"), fresh)
+            discard(spark, paths)
+            paths = fresh
+            break
         both = now.unionAll(now.select(F.col("r").alias("v"), F.col("v").alias("r")))
         low = both.groupBy("v").agg(F.min("r").alias("low")).select("v", F.least("v", "low").alias("low"))
         large = both.filter(F.col("r") > F.col("v")).join(low, "v").select(F.col("r").alias("v"), F.col("low").alias("r")).filter("v != r").distinct()
@@ -191,9 +200,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(spark, paths)
         paths = fresh
         if state == was:
-            out = materialize(now.select(F.col("v").alias("node"), F.col("r").alias("root")).unionAll(now.select(F.col("r").alias("node"), F.col("r").alias("root")).distinct()))
-            discard(spark, paths)
-            return out
+            break
+    out = materialize(now.select(F.col("v").alias("node"), F.col("r").alias("root")).unionAll(now.select(F.col("r").alias("node"), F.col("r").alias("root")).distinct()))
+    discard(spark, paths)
+    return out
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -320,7 +330,9 @@ def _residue(left: DataFrame, texts: DataFrame, size: int, percent: int, block:
 
     own = materialize(left.join(texts, "node").select("node", "root", "text").mapInArrow(hashes, "node binary, root binary, set array<long>"))
     several = lambda df: df.groupBy("e").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("e", "m")
-    each = own.select("node", "root", F.size("set").alias("n"), F.explode("set").alias("e"))
+    # dealt out evenly: the members of a few blocks may stand in a few files
+    even = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = even.select("node", "root", F.size("set").alias("n"), F.explode("set").alias("e"))
     ranked = each.join(materialize(several(each)), "e").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("m", "e"))).alias("xs"))
     # n - least + 1 elements are the prefix; those that one root holds come first in the order and can't meet another root
     least = F.floor((percent * F.col("n") + 99) / 100)

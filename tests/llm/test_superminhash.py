@@ -135,6 +135,7 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
     got = {r["node"]: r["root"] for r in S.components(df).collect()}
+    assert got == {r["node"]: r["root"] for r in S.components(df, one_task=3).collect()}
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1] or x in got}
 
 
