@@ -3,12 +3,12 @@
 A window is `window` consecutive item words (a shorter item is one window of its
 own length). Of a window's k-gram hashes the smallest is its fingerprint, with
 k = min(gram, length): equal windows have equal fingerprints, so joining the
-fingerprints of documents and benchmark misses no shared window. Documents that
-share one are searched again: those windows whose fingerprint matched are
-compared word by word with the distinct benchmark windows.
+fingerprints of documents and benchmark misses no shared window. In documents that
+share one, each match is extended to the windows around it that have this fingerprint; their
+words are compared with those of the distinct benchmark windows, and windows found merge into spans.
 
-A document goes through explode and a hash join as distinct fingerprints, never
-as pairs with items; its text leaves the scan only if a fingerprint matched.
+A document goes through explode and a hash join as distinct fingerprints beside the key of its text, never
+as pairs with items or with its text; texts are joined once, where a fingerprint matched.
 Distinct benchmark windows are joined, so a phrase in many items costs one match.
 
 Defined results: null or empty texts have no words and no hits; repeated
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, let, materialize, text_key
+from .common import ascii_lower, broadcast_if_small, let, materialize, scratch, text_key
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -81,20 +81,24 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
 
     One row per distinct document text with a hit.
     """
-    bench, lengths = benchmark_windows(benchmark, item, item_text, window, gram)
-    if not lengths:
-        return docs.sparkSession.createDataFrame([], "key binary, spans array<struct<start:int,length:int>>, items array<string>")
-    prints = broadcast_if_small(bench.select(F.col("print").alias("p")).distinct())
-    scanned = docs.select(F.col(text).alias("text")).select("text", let(words(F.col("text")), lambda w: _prints(w, lengths, gram)).alias("ps"))
-    found = scanned.select("text", F.explode("ps").alias("p")).join(prints, "p").select(text_key(F.col("text")).alias("key"), "text", "p")
-    found = found.groupBy("key").agg(F.first("text").alias("text"), F.collect_set("p").alias("ps"))
-    spots = found.select("key", let(words(F.col("text")), lambda w: _windows(w, lengths, gram, F.col("ps"))).alias("ws")).select("key", F.inline("ws"))
-    own = bench.groupBy("window").agg(F.first("print").alias("print"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    hits = spots.join(broadcast_if_small(materialize(own)), ["print", "window"]).select("key", "start", "length", "ids")
-    return hits.groupBy("key").agg(
-        F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"),
-    )
+    with scratch(docs.sparkSession):
+        bench, lengths = benchmark_windows(benchmark, item, item_text, window, gram)
+        if not lengths:
+            return docs.sparkSession.createDataFrame([], "key binary, spans array<struct<start:int,length:int>>, items array<string>")
+        prints = broadcast_if_small(materialize(bench.select(F.col("print").alias("p")).distinct()))
+        keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+        scanned = keyed.select("key", let(words(F.col("text")), lambda w: _prints(w, lengths, gram)).alias("ps"))
+        found = materialize(scanned.select("key", F.explode("ps").alias("p")).join(prints, "p").groupBy("key").agg(F.collect_set("p").alias("ps")))
+        # texts are joined once, and only where a fingerprint matched
+        texts = keyed.join(broadcast_if_small(found), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("ps").alias("ps"))
+        spots = texts.select("key", let(words(F.col("text")), lambda w: _windows(w, lengths, gram, F.col("ps"))).alias("ws")).select("key", F.inline("ws"))
+        own = bench.groupBy("window").agg(F.first("print").alias("print"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+        hits = spots.join(broadcast_if_small(materialize(own)), ["print", "window"]).select("key", "start", "length", "ids")
+        hits = hits.groupBy("key").agg(
+            F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"),
+        )
+        return materialize(hits, outer=True)
 
 
 def covered(spans: Column) -> Column:
@@ -112,7 +116,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
     """One row per document: doc_id, n_words, n_hit, spans, items."""
     hits = find_hits(docs, benchmark, text=text, **options)
     all_docs = docs.select(F.col(doc).alias("doc_id"), text_key(F.col(text)).alias("key"), F.size(words(F.col(text))).cast("long").alias("n_words"))
-    return all_docs.join(hits, "key", "left").select(
+    return all_docs.join(broadcast_if_small(hits), "key", "left").select(
         "doc_id", "n_words", F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"), "spans", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
     )
 
