@@ -7,6 +7,9 @@ import contextvars
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +84,16 @@ def small(df: DataFrame, max_rows: int, max_bytes: int = 32 << 20) -> bool:
     return r["n"] <= max_rows and r["b"] <= max_bytes
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in slices of rows whose texts or bytes in column come to at most `most`, or of one row."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part, start = np.cumsum(size), 0
+    while start < len(size):
+        end = max(start + 1, int(np.searchsorted(part, (part[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """A broadcast hint behind a count of rows and bytes; larger sides are left to a shuffle join, with the same result."""
     return F.broadcast(df) if small(df, max_rows) else df
