@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, fim, html_lstm, mixing, quality, suffix, superminhash, tiff, toxicity, warc, winnow
+from . import chatformat, fim, html_lstm, mixing, quality, spelling, suffix, superminhash, tiff, toxicity, warc, winnow
 from .common import table
 from .sql import SQL
 
@@ -89,8 +89,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(spelling.variants(spelling.words(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_revisits, op2_superminhash, op3_tiff, op4_html, op5_suffix, op6_winnowing, op7_chat_format, op8_quality, op9_mixing, op10_toxicity, op12_fill_in_middle)
+    ops = (op1_revisits, op2_superminhash, op3_tiff, op4_html, op5_suffix, op6_winnowing, op7_chat_format, op8_quality, op9_mixing, op10_toxicity, op12_fill_in_middle, op13_spelling)
     return {f.__name__: f for f in ops}
 
 

@@ -144,4 +144,33 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 FROM p
 """
 
-SQL = {"op1_revisits": OP1, "op2_superminhash": OP2, "op6_winnowing": OP6, "op7_chat_format": OP7, "op9_mixing": _op9(), "op12_fill_in_middle": OP12}
+OP13 = f"""
+WITH RECURSIVE o AS (
+  SELECT id, w, count(*) AS k FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[A-Za-zÀ-ÿ]{{7,}}')) AS w FROM documents) x GROUP BY ALL
+),
+x AS (SELECT *, hex(encode(id || ':' || w)) AS hx FROM o),
+h AS MATERIALIZED (
+  SELECT w, k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT) FOR i IN range(length(hx) // 2)]),
+    lambda c, b: xor(c >> 8, list_reduce(list_prepend(xor(c, b) & 255, range(8)), lambda v, y: xor(v >> 1, 3988292384 * (v & 1))))), 4294967295) AS h
+  FROM x
+),
+v AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM h) x
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+),
+cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v) x),
+near AS MATERIALIZED (
+  SELECT a.word AS x, b.word AS y FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT cut.word, v.word FROM cut JOIN v ON v.word = cut.rest
+  UNION SELECT v.word, cut.word FROM cut JOIN v ON v.word = cut.rest
+),
+best AS (SELECT x, count(*) AS n_near, first(y ORDER BY n DESC, encode(y)) AS y, max(n) AS m FROM near JOIN v ON v.word = y GROUP BY x),
+f AS MATERIALIZED (
+  SELECT word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN m >= 10 * n THEN y END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM v LEFT JOIN best ON x = word
+),
+walk(word, here, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL),
+e AS (SELECT word, last(here ORDER BY step) AS root FROM walk GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
+"""
+
+SQL = {"op1_revisits": OP1, "op2_superminhash": OP2, "op6_winnowing": OP6, "op7_chat_format": OP7, "op9_mixing": _op9(), "op12_fill_in_middle": OP12, "op13_spelling": OP13}
