@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, fim, html_lstm, mixing, quality, spelling, suffix, superminhash, tiff, toxicity, warc, winnow
+from . import chatformat, fim, html_lstm, mixing, packing, quality, spelling, suffix, superminhash, tiff, toxicity, warc, winnow
 from .common import table
 from .sql import SQL
 
@@ -85,6 +85,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -94,7 +98,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_revisits, op2_superminhash, op3_tiff, op4_html, op5_suffix, op6_winnowing, op7_chat_format, op8_quality, op9_mixing, op10_toxicity, op12_fill_in_middle, op13_spelling)
+    ops = (op1_revisits, op2_superminhash, op3_tiff, op4_html, op5_suffix, op6_winnowing, op7_chat_format, op8_quality, op9_mixing, op10_toxicity, op11_packing, op12_fill_in_middle, op13_spelling)
     return {f.__name__: f for f in ops}
 
 
