@@ -4,8 +4,9 @@ Documents are ordered by range, and each range of them is one stream of tokens.
 ends of documents, ends of sentences and, within longer stretches without either, every STRIDE-th token: the sum of
 padding and of penalties for cuts inside documents and sentences is the least that any choice of these cuts has. With
 cost[b] = penalty[b] + min over a of cost[a] + padding(b - a), the minimum over the last `size` tokens of
-cost[a] + a comes from a monotone queue, so a cut costs constant time; lengths that are powers of two take no
-padding and are further transitions, found for all cuts at once.
+cost[a] + a comes from a monotone queue, so a cut costs constant time. Lengths that are powers of two take no
+padding; they are further transitions among the last SHORT windows of a stream, at a charge of their own, as it is only there that
+much padding can be spared.
 
 A stream is solved in blocks of about BLOCK tokens: all windows but the last few of a block are final, and the tokens of those
 begin the next block. Memory is that of a block and of the longest document. Only the last window of a range is
@@ -25,7 +26,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
-from collections import deque
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import by_bytes
 
-BLOCK, TAIL, STRIDE = 1 << 19, 16, 64
+BLOCK, TAIL, STRIDE, SHORT = 1 << 19, 16, 32, 4
 #: Characters on which both encoders are known to agree.
 ODD = re.compile("[^\t-\r -~¡-ɏ‐-‧‰-⁞€]")
 
@@ -69,7 +70,8 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         slow, fast, _ = _loaded(self.path, self.ranks)
-        return np.array(slow.encode(text, add_special_tokens=False).ids if ODD.search(text) else fast.encode_ordinary(text), np.uint32)
+        ids = slow.encode(text, add_special_tokens=False).ids if ODD.search(text) else fast.encode_ordinary(text)
+        return np.frombuffer(array("I", ids), np.uint32)
 
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:
         """Positions after the tokens that end a line, or a sentence: a stop before white space."""
@@ -78,37 +80,41 @@ class Encoder:
         return np.flatnonzero(lines[at[:-1]] | stops[at[:-1]] & spaces[at[1:]]) + 1
 
 
-def best_cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
-    """Indexes into `at` of the cuts of least cost, from the first to the last of `at`, which rises by at most `size` a step."""
+def best_cuts(at: np.ndarray, penalty: np.ndarray, size: int, short: float = 0.0, short_from: int = 0) -> list[int]:
+    """Indexes into `at` of the cuts of least cost, from the first to the last of `at`, which rises by at most `size` a step.
+
+    From position short_from on, a window of less than `size` tokens, but a power of two, may cost `short` instead of its padding.
+    """
     n = len(at)
     low = np.searchsorted(at, at - size).tolist()
     exact: dict[int, list[int]] = {}
-    step = 1
-    while step < size:
-        j = np.searchsorted(at, at - step)
-        for i in np.flatnonzero(at[np.minimum(j, n - 1)] == at - step).tolist():
-            exact.setdefault(i, []).append(int(j[i]))
+    base = int(np.searchsorted(at, short_from))
+    late, step = at[base:], 1
+    while step < size and len(late):
+        j = np.searchsorted(late, late - step)
+        for i in np.flatnonzero(late[j] == late - step).tolist():
+            exact.setdefault(base + i, []).append(base + int(j[i]))
         step *= 2
     pos, pay = at.tolist(), penalty.tolist()
     cost, back = [0.0] * n, [0] * n
-    queue: deque[int] = deque()
-    key = [float(pos[0])] + [0.0] * (n - 1)
+    where, keys, head = [0], [float(pos[0])], 0  # the queue: positions and their cost[a] + a, both rising
     for i in range(1, n):
-        k = key[i - 1]
-        while queue and key[queue[-1]] > k:
-            queue.pop()
-        queue.append(i - 1)
         first = low[i]
-        while queue[0] < first:
-            queue.popleft()
-        j = queue[0]
-        c = key[j] + size - pos[i]
+        while where[head] < first:
+            head += 1
+        p, j = pos[i], where[head]
+        c = keys[head] + size - p
         if i in exact:
             for e in exact[i]:
-                if cost[e] < c:
-                    c, j = cost[e], e
+                if cost[e] + short < c:
+                    c, j = cost[e] + short, e
         cost[i], back[i] = c + pay[i], j
-        key[i] = cost[i] + pos[i]
+        k = c + pay[i] + p
+        while len(keys) > head and keys[-1] > k:
+            keys.pop()
+            where.pop()
+        keys.append(k)
+        where.append(i)
     out, i = [n - 1], n - 1
     while i:
         i = back[i]
@@ -118,23 +124,25 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
 
 def _candidates(ends: np.ndarray, sentences: np.ndarray, total: int, stride: int, by_sentence: float, inside: float) -> tuple[np.ndarray, np.ndarray]:
     """Possible cuts 0 .. total and their penalties."""
-    at = np.union1d(np.concatenate([[0, total], sentences]), ends)
+    kind = np.zeros(total + 1, np.int8)
+    kind[sentences] = 1
+    kind[ends] = 2
+    kind[0] = 2
+    at = np.flatnonzero(kind)
     gap = np.diff(at)
-    wide = np.flatnonzero(gap > stride)
-    more = [np.arange(at[i] + stride, at[i + 1], stride) for i in wide.tolist()]
-    inner = np.concatenate([np.zeros(0, np.int64), *more])
-    pay = np.full(len(at), by_sentence)
-    pay[np.isin(at, ends)] = 0.0
-    at, pay = np.concatenate([at, inner]), np.concatenate([pay, np.full(len(inner), inside)])
-    order = np.argsort(at, kind="stable")
-    return at[order].astype(np.int64), pay[order]
+    more = (gap - 1) // stride  # inner cuts of each gap
+    first = np.repeat(at[:-1], more)
+    inner = first + stride * (1 + np.arange(len(first)) - np.repeat(np.cumsum(more) - more, more))
+    kind[inner] = 3
+    at = np.flatnonzero(kind)
+    return at, np.array([0.0, by_sentence, 0.0, inside])[kind[at]]
 
 
 class _Stream:
     """Tokens of consecutive documents that no final window holds yet."""
 
-    def __init__(self, size: int, encoder: Encoder, end: int, by_sentence: float, inside: float):
-        self.size, self.encoder, self.end, self.costs = size, encoder, end, (by_sentence, inside)
+    def __init__(self, size: int, encoder: Encoder, end: int, by_sentence: float, inside: float, short: float):
+        self.size, self.encoder, self.end, self.costs, self.short = size, encoder, end, (by_sentence, inside), short
         self.docs: list[tuple[object, np.ndarray, np.ndarray, int]] = []  # key, ids, sentence ends, tokens already given out
         self.held, self.made = 0, 0
 
@@ -152,7 +160,7 @@ class _Stream:
         starts = ends - left
         sentences = np.concatenate([s[s > done] - done + a for (_, _, s, done), a in zip(self.docs, starts.tolist(), strict=True)])
         at, pay = _candidates(ends, sentences, self.held, min(STRIDE, self.size), *self.costs)
-        cuts = at[best_cuts(at, pay, self.size)]
+        cuts = at[best_cuts(at, pay, self.size, self.short, max(0, self.held - SHORT * self.size) if last else self.held)]
         if not last:
             cuts = cuts[: max(1, int(np.searchsorted(cuts, self.held - TAIL * self.size, "right")))]
         edges = np.unique(np.concatenate([cuts, ends[ends < cuts[-1]]]))
@@ -171,11 +179,12 @@ class _Stream:
         self.docs, self.held = rest, self.held - int(cuts[-1])
 
 
-def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 1024, encoder: Encoder | None = None, end: int = 0, by_sentence: float = 1.0, inside: float = 8.0) -> DataFrame:
+def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 1024, encoder: Encoder | None = None, end: int = 0, by_sentence: float = 1.0, inside: float = 8.0, short: float = 64.0) -> DataFrame:
     """Pieces of the documents: doc_id, start, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A document's tokens are those of its text and the token `end`. by_sentence and inside are the penalties of
-    cuts after a sentence within a document and within a sentence, in tokens of padding. Sequences are numbered in the
+    cuts after a sentence within a document and within a sentence, short is the charge for a short window without padding,
+    all in tokens of padding. Sequences are numbered in the
     order of the documents, with gaps between ranges.
     """
     encoder = encoder or Encoder()
@@ -186,7 +195,7 @@ def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 1
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(c, t) for c, t in (("start", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = _Stream(size, encoder, end, by_sentence, inside)
+        stream = _Stream(size, encoder, end, by_sentence, inside, short)
         base = TaskContext.get().partitionId() << 33
         key_type: list[pa.DataType] = []
 

@@ -42,12 +42,19 @@ def test_cuts_cost_the_least(data):
     size = data.draw(st.sampled_from([8, 16, 12]))
     at = np.cumsum([0, *data.draw(st.lists(st.integers(1, size), min_size=1, max_size=40))])
     pay = np.array([float(x) for x in data.draw(st.lists(st.integers(0, 5), min_size=len(at), max_size=len(at)))])
+    short, late = data.draw(st.integers(0, 9)), data.draw(st.integers(0, int(at[-1])))
+
+    def price(a, b):
+        n = int(at[b] - at[a])
+        full = size - n
+        return pay[b] + (min(short, full) if at[a] >= late and n & (n - 1) == 0 and n < size else full)
+
     cost = [0.0]
     for i in range(1, len(at)):
-        cost.append(min(cost[j] + padding(int(at[i] - at[j]), size) + pay[i] for j in range(i) if at[i] - at[j] <= size))
-    cuts = packing.best_cuts(at, pay, size)
+        cost.append(min(cost[j] + price(j, i) for j in range(i) if at[i] - at[j] <= size))
+    cuts = packing.best_cuts(at, pay, size, short, late)
     assert cuts[0] == 0 and cuts[-1] == len(at) - 1
-    assert sum(padding(int(at[b] - at[a]), size) + pay[b] for a, b in zip(cuts, cuts[1:], strict=False)) == cost[-1]
+    assert sum(price(a, b) for a, b in zip(cuts, cuts[1:], strict=False)) == cost[-1]
 
 
 def check(rows, docs, size=1024, end=0):
@@ -102,7 +109,7 @@ def test_blocks_join(spark, monkeypatch):
 
     def run(block):
         monkeypatch.setattr(packing, "BLOCK", block)
-        stream, out = packing._Stream(256, ENCODER, 0, 1.0, 8.0), []
+        stream, out = packing._Stream(256, ENCODER, 0, 1.0, 8.0, 64.0), []
         for i, t in docs:
             stream.add(i, t)
             if stream.held >= packing.BLOCK:
@@ -111,8 +118,8 @@ def test_blocks_join(spark, monkeypatch):
         rows = [{"doc_id": k, "start": s, "length": len(x), "ids_crc32": zlib.crc32(x.astype("<u4").tobytes()), "doc_tokens": n, "sequence_id": w, "offset": o} for k, s, x, n, w, o in out]
         return check(rows, docs, size=256)
 
-    one, many = run(10**9), run(6000)
-    assert one[0] <= many[0] <= one[0] + 0.002 * one[1] + 256
+    one, many = run(10**9), run(40_000)
+    assert one[0] <= many[0] <= one[0] + 0.01 * one[1]
 
 
 def test_repeated_ids_nulls_and_empty(spark):
