@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import outline
-from .functions.text import uuid7
+from .functions.text import content_hash, uuid7
 from .operators import dml, filters, fts, fusion, quant, scan, stats, textops, vector
-from .sources import text_index
-from .schema import RANK_DEPTH
+from .operators.filters import normalised_tags
+from .schema import ENTRIES, RANK_DEPTH
+from .sources import derived, generation, text_index
+from .sources.commits import Transaction
 from .sources.store import Store
 
 
 class Tools:
-    def __init__(self, store: Store, language: str = "english"):
-        self.store, self.language = store, language
+    """makers, if given, make chunks, vectors and node summaries in the commit of each write. Reads see one commit."""
+
+    def __init__(self, store: Store, language: str = "english", makers: generation.Makers | None = None):
+        self.store, self.language, self.makers = store, language, makers or generation.Makers()
 
     def _entries(self) -> DataFrame:
         return self.store.read("entries")
@@ -27,60 +31,125 @@ class Tools:
         """Store rows (thread_id, source, text_content, metadata, tags, images; created_at optional); gives the failures.
 
         A row equal to the newest of its thread and source updates that one, and its tags and images, if it has any,
-        take the place of the former. One pass serves one row or many. The rows are written
-        aside first, so that their new ids are the same in every table, whatever happens to an executor.
+        take the place of the former. One pass serves one row or many, and one commit all tables: after a failure
+        none has changed.
         """
         good, bad = dml.accepted(rows, atomic)
         good = good.withColumn("created_at", F.current_timestamp() if "created_at" not in rows.columns else F.coalesce("created_at", F.current_timestamp()))
         good = good.withColumn("id", uuid7(F.col("created_at"), F.col("thread_id"), F.col("source"), F.col("text_content"), F.monotonically_increasing_id()))
-        self.store.write("incoming", good.select("id", "thread_id", "source", "content_type", "text_content", "metadata", "content_hash", "created_at", "tags", F.coalesce("images", F.array().cast("array<string>")).alias("images")))
-        good = self.store.read("incoming")
-        new = good.select("id", "thread_id", "source", "content_type", "text_content", "metadata", F.lit(None).cast("string").alias("summary"), "content_hash", F.lit(1).cast("bigint").alias("version"), "created_at", F.col("created_at").alias("updated_at"))
-        entries, kept = dml.fold_new(self._entries(), new)
-        self.store.write("incoming-ids", kept)
-        kept = self.store.read("incoming-ids")
-        self.store.write("entries", entries)
-        last = lambda c: good.filter(F.size(c) > 0).select(F.col("id").alias("new_id"), c).join(kept, "new_id").groupBy("id").agg(F.max_by(c, "new_id").alias("x"))
-        tags = last("tags").select(F.col("id").alias("context_entry_id"), F.explode("x").alias("tag"))
-        images = last("images").select(F.col("id").alias("context_entry_id"), F.posexplode("x").alias("position", "i")).withColumn("image_data", dml.decoded_image(F.col("i")))
-        self.store.upsert("tags", tags)
-        self.store.upsert("images", images.withColumn("mime_type", dml.image_type(F.col("image_data"))).withColumn("image_metadata", F.lit(None).cast("string")))
-        for name in ("incoming", "incoming-ids"):
-            self.store.drop(name)
-        self._changed()
+        good = good.select("id", "thread_id", "source", "content_type", "text_content", "metadata", "content_hash", "created_at", "tags", F.coalesce("images", F.array().cast("array<string>")).alias("images"))
+        self.store.commit(lambda tx: self._put(tx, tx.stage(good)))
         return bad
 
     store_context_batch = store_context
 
+    def put_entries(self, entries: DataFrame) -> None:
+        """Store entries that have ids (columns of the table; tags and images as in store_context, if any), those whose ids are there already left out."""
+
+        def body(tx: Transaction) -> None:
+            own = entries.withColumn("content_hash", F.coalesce("content_hash", content_hash(F.col("text_content"))))
+            for c in ("tags", "images"):
+                own = own if c in own.columns else own.withColumn(c, F.array().cast("array<string>"))
+            self._put(tx, tx.stage(own.join(tx.read("entries").select("id"), "id", "left_anti")))
+
+        self.store.commit(body)
+
+    def _put(self, tx: Transaction, good: DataFrame) -> None:
+        default = {"summary": F.lit(None).cast("string"), "version": F.lit(1).cast("bigint"), "updated_at": F.col("created_at")}
+        new = good.select(*[F.col(c) if c in good.columns else default[c].alias(c) for c in ENTRIES.names])
+        touched = tx.touched("entries", new)
+        entries, kept = dml.fold_new(tx.read("entries", touched), new)
+        kept = tx.stage(kept)
+        tx.write("entries", entries, touched)
+        last = lambda c: good.filter(F.size(c) > 0).select(F.col("id").alias("new_id"), c).join(kept, "new_id").groupBy("id").agg(F.max_by(c, "new_id").alias("x"))
+        tx.upsert("tags", tx.stage(last("tags").select(F.col("id").alias("context_entry_id"), F.explode("x").alias("tag"))))
+        self._images(tx, last("images").withColumnRenamed("x", "images"))
+        self._follow(tx, kept.filter("new_id = id").select("id"), fresh=True)
+
+    def _images(self, tx: Transaction, given: DataFrame) -> None:
+        """Images (id, images: base64) in place of those of their entries."""
+        images = given.select(F.col("id").alias("context_entry_id"), F.posexplode("images").alias("position", "i")).withColumn("image_data", dml.decoded_image(F.col("i")))
+        images = images.withColumn("mime_type", dml.image_type(F.col("image_data"))).withColumn("image_metadata", F.lit(None).cast("string")).drop("i")
+        tx.upsert("images", tx.stage(images), of=given.select(F.col("id").alias("context_entry_id")))
+
+    def _follow(self, tx: Transaction, ids: DataFrame, fresh: bool = False) -> None:
+        """The texts of ids are new, or others than before: what was made from the old ones goes, what is made at writes is made."""
+        if not fresh:
+            derived.forget(tx, ids)
+        entries = None
+        if self.makers.kinds() or tx.exists("fts_totals"):
+            entries = tx.stage(tx.read("entries", tx.holding("entries", ids)).join(ids, "id", "left_semi"))
+        if self.makers.kinds():
+            generation.make(tx, entries, self.makers)
+        text_index.follow(tx, ids, entries)
+
     def update_context(self, changes: DataFrame) -> list[str]:
-        """Apply changes (see dml.update; patch merges into metadata); ids that conflict. tags, if given, replace those of the entries that don't."""
-        out, conflicts = dml.update(self._entries(), changes)
-        ids = [r["id"] for r in conflicts.select("id").collect()]
-        if "tags" in changes.columns:
-            done = changes.select("id", "tags").join(self._entries().select("id"), "id", "left_semi").join(conflicts, "id", "left_anti")
-            self.store.write("tags", dml.replace_tags(self.store.read("tags"), done))
-        self.store.write("entries", out)
-        self._changed()
-        return ids
+        """Apply changes (see dml.update; patch merges into metadata); ids that conflict, of which nothing changes.
+
+        tags and images (base64), if given, replace those of the entry, an empty list removes all, null none; images decide the content type.
+        Metadata and a patch of it in one change are refused, and so is what couldn't be stored. What was made from a text that changes goes or is made again, in the same commit.
+        """
+        if errors := dml.refused(changes):
+            raise ValueError("; ".join(errors))
+
+        def body(tx: Transaction) -> list[str]:
+            asked = tx.stage(changes)
+            touched = tx.holding("entries", asked)
+            own = tx.read("entries", touched)
+            typed = asked
+            if "images" in asked.columns:
+                typed = asked.drop("content_type").withColumn("content_type", F.when(F.col("images").isNotNull(), F.when(F.size("images") > 0, "multimodal").otherwise("text")))
+            out, conflicts = dml.update(own, typed)
+            ids = [r["id"] for r in conflicts.select("id").collect()]  # of the caller's changes
+            done = tx.stage(asked.join(conflicts, "id", "left_anti").join(own.select("id"), "id", "left_semi"))
+            altered = None
+            if "text_content" in asked.columns:
+                before = derived.hashes(own)
+                after = done.filter("text_content is not null").select(F.col("id").alias("context_id"), content_hash(F.col("text_content")).alias("new"))
+                altered = tx.stage(after.join(before, "context_id").filter("new != current").select(F.col("context_id").alias("id")))
+            tx.write("entries", out, touched)
+            if "tags" in asked.columns:
+                given = done.filter("tags is not null").select(F.col("id").alias("context_entry_id"), normalised_tags(F.col("tags")).alias("tags"))
+                tx.upsert("tags", given.select("context_entry_id", F.explode("tags").alias("tag")), of=given)
+            if "images" in asked.columns:
+                self._images(tx, done.filter("images is not null"))
+            if altered is not None:
+                self._follow(tx, altered)
+            return ids
+
+        return self.store.commit(body)  # type: ignore[return-value]
 
     update_context_batch = update_context
 
     def delete_context(self, **criteria) -> int:
         """Delete by criteria of dml.matching(), in all tables that hold something of it; the number of entries."""
-        self.store.write("doomed", dml.matching(self._entries(), **criteria))
-        doomed = self.store.read("doomed")
-        n = doomed.count()
-        if n:
-            self.store.delete_of(doomed, ("tags", "images", "embedding_metadata", "chunks", "chunks_compressed", "index_nodes", "entries"))
-            self._changed()
-        self.store.drop("doomed")
-        return n
+
+        def body(tx: Transaction) -> int:
+            doomed = tx.stage(dml.matching(tx.read("entries"), **criteria))
+            n = doomed.count()
+            if n:
+                derived.forget(tx, doomed)
+                tx.delete_of(doomed, ("tags", "images", "entries"))
+                text_index.follow(tx, doomed)
+            return n
+
+        return self.store.commit(body)  # type: ignore[return-value]
 
     delete_context_batch = delete_context
 
+    def regenerate(self) -> dict[str, int]:
+        """Make what is missing or stale of what the makers make; see generation.regenerate."""
+        return generation.regenerate(self.store, self.makers)
+
     def store_index_nodes(self, nodes: DataFrame) -> None:
         """Nodes (columns of index_nodes) take the place of their entries' former ones."""
-        self.store.upsert("index_nodes", nodes)
+
+        def body(tx: Transaction) -> None:
+            staged = tx.stage(nodes)
+            tx.upsert("index_nodes", staged)
+            derived.record(tx, ["nodes"], tx.read("entries").join(staged.select(F.col("context_id").alias("id")).distinct(), "id", "left_semi"))
+
+        self.store.commit(body)
 
     # the full-text index
     def build_index(self, language: str | None = None) -> None:
@@ -91,9 +160,9 @@ class Tools:
     def _index(self) -> text_index.TextIndex | None:
         return text_index.open_index(self.store, self.language)
 
-    def _changed(self) -> None:
-        """Entries have changed: an index would give stale hits."""
-        text_index.drop(self.store)
+    def merge_index(self, whole: bool = False) -> None:
+        """Merge the segments of the index, all but the first or all."""
+        self.store.commit(lambda tx: text_index.merge(tx, whole))
 
     # reads
     def get_context_by_ids(self, ids: Iterable[str], include_images: bool = False) -> DataFrame:
@@ -124,12 +193,13 @@ class Tools:
 
     def _nearest(self, q: list[float], conditions: Mapping, quantizer: quant.Quantizer | None) -> DataFrame:
         kept = self._kept(conditions) if conditions else None
+        at = self.store.snapshot()
         if quantizer:
-            recorded = self.store.read("compression").first()
+            recorded = at.read("compression").first()
             if recorded is not None and recorded["codebook_fingerprint"] != quantizer.fingerprint():
                 raise ValueError("the quantizer isn't the one that made the payloads")
-            return quant.search(self.store.read("chunks_compressed"), q, quantizer, kept)
-        return vector.search(self.store.read("chunks"), q, kept)
+            return quant.search(derived.current(at, "chunks_compressed"), q, quantizer, kept)
+        return vector.search(derived.current(at, "chunks"), q, kept)
 
     def semantic_search_context(self, q: list[float], limit: int = 10, offset: int = 0, quantizer: quant.Quantizer | None = None, **conditions) -> dict:
         """By the query's embedding, which the caller's encoder has made."""
@@ -148,7 +218,7 @@ class Tools:
         except (fts.QueryError, filters.InvalidFilter) as e:
             return {"rows": self._entries().limit(0), "error": "validation failed", "validation_errors": [str(e)]}
         words = self._words(tree, kept) if query.strip() else None
-        near = vector.search(self.store.read("chunks"), q, kept).withColumnRenamed("context_id", "id") if q else None
+        near = vector.search(derived.current(self.store.snapshot(), "chunks"), q, kept).withColumnRenamed("context_id", "id") if q else None
         out = fusion.hybrid(words, near, k)
         if out["rows"] is None:
             return out
@@ -173,7 +243,7 @@ class Tools:
     def navigate_context(self, entry_id: str, max_depth: int = 6) -> DataFrame:
         """The outline of an entry with stored summaries; the root's is the entry's. navigation_tree() nests it."""
         own = self._entries().filter(F.col("id") == entry_id)
-        rows = textops.navigate(textops.outline_nodes(own, max_depth), self.store.read("index_nodes").filter(F.col("context_id") == entry_id))
+        rows = textops.navigate(textops.outline_nodes(own, max_depth), derived.current(self.store.snapshot(), "index_nodes").filter(F.col("context_id") == entry_id))
         rows = rows.join(own.select("id", "summary"), "id")
         return rows.withColumn("node_summary", F.when(F.col("node_id") == outline.ROOT, F.col("summary")).otherwise(F.col("node_summary"))).drop("summary").orderBy("char_start", "level")
 

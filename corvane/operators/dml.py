@@ -97,6 +97,23 @@ def update(entries: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame
     return j.select(*[new.get(x, F.col(x)).alias(x) for x in entries.columns]), j.filter(F.col("_hit").isNotNull() & ~ok).select("id")
 
 
+def refused(changes: DataFrame) -> list[str]:
+    """Reasons why changes can't be applied as a whole, each once."""
+    have = set(changes.columns)
+    is_ = lambda c: F.col(c).isNotNull() if c in have else F.lit(False)
+    checks = [("metadata and patch in one change", is_("metadata") & is_("patch"))]
+    if "text_content" in have:
+        checks += [("text is empty", F.trim("text_content") == ""), ("text holds a NUL", ~storable(F.col("text_content")))]
+    if "metadata" in have:
+        checks.append(("metadata isn't a JSON object", ~storable_metadata(F.col("metadata"))))
+    if "tags" in have:
+        checks += [("too many tags", F.size(normalised_tags(F.col("tags"))) > MAX_TAGS), ("tag is too long", F.exists("tags", lambda t: F.length(F.trim(t)) > MAX_TAG_CHARS))]
+    if "images" in have:
+        checks += [("too many images", F.size("images") > MAX_IMAGES), ("image isn't base64", F.exists("images", lambda i: decoded_image(i).isNull())), ("image is too large", F.exists("images", lambda i: F.octet_length(decoded_image(i)) > MAX_IMAGE_BYTES))]
+    found = changes.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(f"c{i}") for i, (_, c) in enumerate(checks)]).first()
+    return [text for i, (text, _) in enumerate(checks) if found[i]]
+
+
 def touch(entries: DataFrame, ids: DataFrame, content_type: Column | None = None) -> DataFrame:
     """entries with a new time of update, and a content type if given, for the ids; versions stay."""
     j = entries.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
@@ -113,9 +130,11 @@ def replace_tags(tags: DataFrame, given: DataFrame) -> DataFrame:
     return tags.join(own.select("context_entry_id"), "context_entry_id", "left_anti").select(tags.columns).unionByName(new.select(tags.columns))
 
 
-def matching(entries: DataFrame, ids: Iterable[str] | None = None, thread_ids: Iterable[str] | None = None, source: str | None = None, older_than_days: float | None = None, now: Column | None = None) -> DataFrame:
-    """Ids that meet all given criteria; source or age alone is refused."""
-    if not ids and not thread_ids:
+def matching(entries: DataFrame, ids: Iterable[str] | DataFrame | None = None, thread_ids: Iterable[str] | None = None, source: str | None = None, older_than_days: float | None = None, now: Column | None = None) -> DataFrame:
+    """Ids that meet all given criteria; source or age alone is refused. ids may be a table with a column id."""
+    if isinstance(ids, DataFrame):
+        entries, ids = entries.join(ids.select("id"), "id", "left_semi"), None
+    elif not ids and not thread_ids:
         raise ValueError("give ids or thread_ids" if source or older_than_days is not None else "no criteria")
     out = entries
     if ids:

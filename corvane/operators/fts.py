@@ -274,18 +274,26 @@ def _positions(toks: Column, word: str) -> Column:
     return F.array_compact(F.transform(toks, lambda w, i: F.when(w == word, i)))
 
 
-def cover_rank(docs: DataFrame, query: str, doc: str = "id", text: str = "text_content", language: str = "simple") -> DataFrame:
-    """(id, score) of documents with all words, those of phrases too, by cover density."""
-    want = list(dict.fromkeys(Leaf((w,)) for x in leaves(parse(query, "match", language)) for w in x.words))
-    toks = tokens(F.col(text))
-    pos = docs.select(doc, F.transform(F.array(stems(toks) if language.lower() == "english" else toks), lambda t: F.array(*[_positions(t, x.words[0]) for x in want]))[0].alias("ps"))
-    pos = pos.filter(F.forall("ps", lambda p: F.size(p) > 0))
+def words_of(query: str, language: str = "simple") -> list[Leaf]:
+    """The words of a query, those of phrases too, once each."""
+    return list(dict.fromkeys(Leaf((w,)) for x in leaves(parse(query, "match", language)) for w in x.words))
+
+
+def by_cover(positions: DataFrame, doc: str = "id") -> DataFrame:
+    """(id, score) of the rows (id, ps: positions of each word) where each word occurs."""
 
     @pandas_udf("double")
     def run(col: pd.Series) -> pd.Series:
         return col.map(lambda ps: cover_density([list(p) for p in ps]))
 
-    return pos.select(doc, run("ps").alias("score"))
+    return positions.filter(F.forall("ps", lambda p: F.size(p) > 0)).select(doc, run("ps").alias("score"))
+
+
+def cover_rank(docs: DataFrame, query: str, doc: str = "id", text: str = "text_content", language: str = "simple") -> DataFrame:
+    """(id, score) of documents with all words, those of phrases too, by cover density. An index gives the same without reading texts."""
+    toks = tokens(F.col(text))
+    pos = docs.select(doc, F.transform(F.array(stems(toks) if language.lower() == "english" else toks), lambda t: F.array(*[_positions(t, x.words[0]) for x in words_of(query, language)]))[0].alias("ps"))
+    return by_cover(pos, doc)
 
 
 def hybrid_query(query: str, threshold: int = 4, language: str = "english") -> Leaf | Node | None:

@@ -12,7 +12,8 @@ from ..functions import metadata as meta
 from ..functions import text as tx
 from ..operators import dml, filters, fts, fusion, quant, scan, stats, textops, vector
 from ..session import shared_dir
-from ..sources import text_index
+from ..api import Tools
+from ..sources import derived, generation, text_index
 from ..sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -365,7 +366,7 @@ def fts_stemmed(spark, d):
 
 @query
 def fts_cover_density(spark, d):
-    return fts.cover_rank(documents(spark, d), "that with").select("id", F.round("score", 9).alias("score"))
+    return index(spark, d).cover_rank("that with").select("id", F.round("score", 9).alias("score"))
 
 
 @query
@@ -471,5 +472,58 @@ def uuid7_ids(spark, d):
     return e.select("id", tx.uuid7(F.col("created_at"), F.col("id")).alias("uuid")).select("id", F.length("uuid").alias("digits"), F.substring("uuid", 13, 1).alias("version"), F.conv(F.substring("uuid", 1, 12), 16, 10).cast("bigint").alias("millis"))
 
 
+#: Stores that have been written to, by session and folder.
+WRITTEN: dict[tuple[str, str], Store] = {}
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    """An encoder that needs no model: counts of four kinds of characters."""
+    return [[float(sum(map(t.count, k))) for k in ("aeiou", "nrst", " ,.", "0123456789")] for t in texts]
+
+
+def written(spark, d) -> Store:
+    """A store of the documents with chunks and index, in which German ones were then revised, those of one source deleted, and all turns of conversations stored."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in WRITTEN:
+        store = Store(spark, f"{shared_dir(spark)}/written-{len(WRITTEN)}-{uuid.uuid4().hex}")
+        store.init()
+        tools = Tools(store, "simple", generation.Makers(_letters, "letters"))
+        docs = table(spark, d, "documents").withColumn("id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 12, "0")))
+        turns = chats(spark, d).withColumn("id", F.concat(F.lit("c"), "id"))
+
+        def rows(of: DataFrame, text: str) -> DataFrame:
+            null, at = F.lit(None).cast("string"), F.lit("2024-01-01").cast("timestamp")
+            return of.select("id", F.col("id").alias("thread_id"), F.lit("user").alias("source"), F.lit("text").alias("content_type"), F.col(text).alias("text_content"), null.alias("metadata"), null.alias("summary"), null.alias("content_hash"), F.lit(1).cast("bigint").alias("version"), at.alias("created_at"), at.alias("updated_at"))
+
+        tools.put_entries(rows(docs, "text"))
+        tools.build_index()
+        tools.update_context(docs.filter("lang = 'de'").select("id", F.concat("text", F.lit(" Revised, that with this.")).alias("text_content")))
+        tools.delete_context(ids=docs.filter("source = 'src3'").select("id"))
+        tools.put_entries(rows(turns, "text_content"))
+        WRITTEN[key] = store
+    return WRITTEN[key]
+
+
+@query
+def entries_after_writes(spark, d):
+    e = written(spark, d).read("entries")
+    return e.select("id", "version", "content_hash", F.length("text_content").cast("bigint").alias("n_chars"))
+
+
+@query
+def chunks_after_writes(spark, d):
+    """What the chunks of each entry span, and the text that they were made from."""
+    at = written(spark, d).snapshot()
+    span = derived.current(at, "chunks").groupBy("context_id").agg(F.min("start_index").alias("first"), F.max("end_index").alias("last"))
+    made = at.read("derivations").filter("kind = 'chunks'")
+    return made.join(span, "context_id", "left").select(F.col("context_id").alias("id"), "content_hash", "first", "last")
+
+
+@query
+def fts_after_writes(spark, d):
+    found = text_index.open_index(written(spark, d), "simple")
+    return found.search(fts.parse("that with", "match", "simple")).select("id", F.round("score", 6).alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -17,15 +17,21 @@ VEC = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in Q) + "]"
 DIST = f"round(list_distance(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {VEC}), 6)"
 
 
-def _bm25(leaves: list[str], cond: str) -> str:
+#: The entries of written(): documents, German ones revised, without those of one source, and all turns.
+FIN = CH + """, fin AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS doc_id, CASE WHEN lang = 'de' THEN text || ' Revised, that with this.' ELSE text END AS text, CASE WHEN lang = 'de' AND text IS NOT NULL THEN 2 ELSE 1 END AS version
+  FROM documents WHERE source IS DISTINCT FROM 'src3' UNION ALL SELECT 'c' || id, text, 1 FROM c)
+"""
+
+
+def _bm25(leaves: list[str], cond: str, of: str = "documents") -> str:
     """leaves: counting expressions over t, the tokens."""
     n = ", ".join(f"{x} AS n{i}" for i, x in enumerate(leaves))
     df = ", ".join(f"count(*) FILTER (WHERE n{i} > 0) AS d{i}" for i in range(len(leaves)))
     part = " + ".join(f"greatest(ln((docs - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * n{i} * 2.2e0 / (n{i} + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))" for i in range(len(leaves)))
-    return f"""t AS MATERIALIZED (SELECT doc_id, {TOKENS} AS t FROM documents),
-c AS MATERIALIZED (SELECT doc_id, len(t) AS dl, {n} FROM t),
-s AS (SELECT count(*) AS docs, avg(dl) AS avgdl, {df} FROM c),
-f AS (SELECT doc_id AS id, round({part}, 6) AS score FROM c, s WHERE {cond})
+    return f"""t AS MATERIALIZED (SELECT doc_id, {TOKENS} AS t FROM {of}),
+k AS MATERIALIZED (SELECT doc_id, len(t) AS dl, {n} FROM t),
+s AS (SELECT count(*) AS docs, avg(dl) AS avgdl, {df} FROM k),
+f AS (SELECT doc_id AS id, round({part}, 6) AS score FROM k, s WHERE {cond})
 """
 
 
@@ -174,6 +180,11 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, conte
   CAST(len(string_split(substr(text, 1, least(10, length(text))), chr(10))) AS INTEGER) AS line_start, CAST(len(string_split(substr(text, 1, greatest(least(60, length(text)) - 1, least(10, length(text)))), chr(10))) AS INTEGER) AS line_end FROM documents""",
     "line_range": "SELECT doc_id AS id, CAST(len(l) AS BIGINT) AS lines, array_to_string(l[2:3], chr(10)) AS content FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n') AS l FROM documents) x",
     "outline_counts": "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(2 AS BIGINT) AS nodes, CAST(length(text) + 2 + 4 * (length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS n_chars FROM documents",
+    "entries_after_writes": FIN + "SELECT doc_id AS id, CAST(version AS BIGINT) AS version, sha256(text) AS content_hash, length(text) AS n_chars FROM fin",
+    "chunks_after_writes": FIN
+    + r"""SELECT doc_id AS id, sha256(text) AS content_hash, CAST(CASE WHEN length(text) > 1500 THEN length(text) - length(regexp_replace(text, '^\s+', '')) ELSE 0 END AS INTEGER) AS first,
+  CAST(CASE WHEN length(text) > 1500 THEN length(regexp_replace(text, '\s+$', '')) ELSE length(text) END AS INTEGER) AS last FROM fin""",
+    "fts_after_writes": FIN + ", " + _bm25([_word("that"), _word("with")], "n0 > 0 AND n1 > 0", "fin") + "SELECT * FROM f",
     "uuid7_ids": EV + "SELECT id, 32 AS digits, '7' AS version, epoch_us(created_at) // 1000 AS millis FROM e",
 }
 

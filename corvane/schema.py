@@ -27,13 +27,15 @@ CHUNKS = _schema("context_id string, chunk_index int, start_index int, end_index
 CHUNKS_COMPRESSED = _schema("context_id string, chunk_index int, start_index int, end_index int, payload binary")
 COMPRESSION = _schema("provider string, bits int, variant string, seed bigint, dim int, codebook_fingerprint string")
 INDEX_NODES = _schema("context_id string, node_id string, level int, ordinal int, title string, node_summary string, char_start int, char_end int")
+#: Which text, by its hash, something that hangs off an entry was made from.
+DERIVATIONS = _schema("context_id string, kind string, content_hash string")
 
 TABLES = {
     "entries": ENTRIES, "tags": TAGS, "images": IMAGES, "embedding_metadata": EMBEDDING_METADATA, "chunks": CHUNKS,
-    "chunks_compressed": CHUNKS_COMPRESSED, "compression": COMPRESSION, "index_nodes": INDEX_NODES,
+    "chunks_compressed": CHUNKS_COMPRESSED, "compression": COMPRESSION, "index_nodes": INDEX_NODES, "derivations": DERIVATIONS,
 }
 #: Column of each table that refers to an entry.
-ENTRY_KEY = {"entries": "id", "tags": "context_entry_id", "images": "context_entry_id", "embedding_metadata": "context_id", "chunks": "context_id", "chunks_compressed": "context_id", "index_nodes": "context_id"}
+ENTRY_KEY = {"entries": "id", "tags": "context_entry_id", "images": "context_entry_id", "embedding_metadata": "context_id", "chunks": "context_id", "chunks_compressed": "context_id", "index_nodes": "context_id", "derivations": "context_id"}
 
 #: Limits that are part of the semantics.
 MAX_PAGE, RANK_DEPTH, MAX_OFFSET = 100, 100, 1_000_000

@@ -1,4 +1,4 @@
-"""Tables of the entry store: Parquet by default, JDBC for other databases; copy, compress and backfill jobs."""
+"""The entry store: tables in Parquet by default, JDBC for other databases; copy, compress and backfill jobs."""
 
 from __future__ import annotations
 
@@ -12,92 +12,75 @@ from pyspark.sql import functions as F
 from ..functions.text import repaired, uuid7
 from ..operators import quant, textops
 from ..schema import ENTRY_KEY, TABLES
+from . import derived
+from .commits import Commits, Transaction
 
 
-class Store:
-    """A folder with a folder per table, which holds versions as Parquet. The current version is the
-    highest that was written to its end, so replacing a table has no moment without one, and a
-    job that fails leaves the old one. The version before stays for readers that have begun."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+class Store(Commits):
+    """The entry store: tables by name, each call a commit of its own; commit() changes several at once."""
 
     def init(self) -> None:
         """Create the tables that are missing."""
-        for name, schema in TABLES.items():
-            if not self.exists(name):
-                self.write(name, self.spark.createDataFrame([], schema))
-
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-
-    def _fs(self):
-        return self._path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self, name: str) -> list[int]:
-        """Numbers of the complete versions, in order."""
-        fs, top = self._fs(), self._path(f"{self.path}/{name}")
-        if not fs.exists(top):
-            return []
-        found = [x.getPath().getName() for x in fs.listStatus(top)]
-        return sorted(int(x[1:]) for x in found if x[:1] == "v" and x[1:].isdigit() and fs.exists(self._path(f"{self.path}/{name}/{x}/_SUCCESS")))
-
-    def _at(self, name: str, version: int) -> str:
-        return f"{self.path}/{name}/v{version:08d}"
+        missing = [n for n in TABLES if not self.exists(n)]
+        if missing:
+            self.commit(lambda tx: [tx.create(n) for n in missing if not tx.exists(n)])
 
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return self.snapshot().exists(name)
 
     def drop(self, name: str) -> None:
-        self._fs().delete(self._path(f"{self.path}/{name}"), True)
+        if self.exists(name):
+            self.commit(lambda tx: tx.forget(name))
 
     def read(self, name: str) -> DataFrame:
-        have = self._versions(name)
-        if not have:
-            raise LookupError(f"no table {name}")
-        r = self.spark.read.schema(TABLES[name]) if name in TABLES else self.spark.read
-        return r.parquet(self._at(name, have[-1]))
+        return self.snapshot().read(name)
 
     def write(self, name: str, df: DataFrame, partition: str | None = None) -> None:
-        """Make df, which may be read from the table, its new version; any table, those of TABLES in their columns."""
-        have = self._versions(name)
-        out = df.select(TABLES[name].names) if name in TABLES else df
-        w = out.write.mode("overwrite")
-        (w.partitionBy(partition) if partition else w).parquet(self._at(name, have[-1] + 1 if have else 1))
-        for old in have[:-1]:
-            self._fs().delete(self._path(self._at(name, old)), True)
+        """Make df, which may be read from the table, its new content; any table, those of TABLES in their columns."""
+        self.commit(lambda tx: tx.write(name, df, partition=partition))
 
     replace = write
 
     def append(self, name: str, df: DataFrame) -> None:
-        df.select(TABLES[name].names).write.mode("append").parquet(self._at(name, (self._versions(name) or [1])[-1]))
+        self.commit(lambda tx: tx.write(name, df, append=True))
 
     def upsert(self, name: str, df: DataFrame, key: str | None = None) -> None:
         """Replace all rows of the entries that df names by those of df: chunks, embedding metadata, index nodes, tags, images."""
-        key = key or ENTRY_KEY[name]
-        own = self.read(name)
-        self.write(name, own.join(df.select(key).distinct(), key, "left_anti").select(own.columns).unionByName(df.select(own.columns)))
+        self.commit(lambda tx: tx.upsert(name, df, key))
 
     def delete_of(self, ids: DataFrame, names: Iterable[str]) -> None:
         """Delete what belongs to ids (a column id) from the tables that have any of it."""
-        for name in names:
-            own = self.read(name)
-            named = ids.select(F.col("id").alias(ENTRY_KEY[name]))
-            if not own.join(named, ENTRY_KEY[name], "left_semi").limit(1).isEmpty():
-                self.write(name, own.join(named, ENTRY_KEY[name], "left_anti"))
+        self.commit(lambda tx: tx.delete_of(ids, names))
 
 
-def store_chunks(store: Store, chunks: DataFrame, model: str) -> None:
-    """Chunks (context_id, chunk_index, start_index, end_index, embedding) take the place of their entries' former ones, and so does the entries' embedding metadata.
+def put_chunks(tx: Transaction, chunks: DataFrame, model: str) -> None:
+    """Chunks (context_id, chunk_index, start_index, end_index, embedding) in place of their entries' former ones, and the entries' embedding metadata.
 
-    A dimension other than the stored one is refused, and so are vectors of several dimensions.
+    A dimension other than the stored one is refused, and so are vectors of several dimensions. Compressed
+    chunks follow where compression is recorded.
     """
     sizes = chunks.select(F.size("embedding").alias("d")).distinct().limit(2).collect()
-    if len(sizes) > 1 or (sizes and conflicting_dimension(store.read("embedding_metadata"), sizes[0]["d"])):
+    if len(sizes) > 1 or (sizes and conflicting_dimension(tx.read("embedding_metadata"), sizes[0]["d"])):
         raise ValueError("the vectors' dimension isn't the stored one")
-    meta = chunks.groupBy("context_id").agg(F.lit(model).alias("model_name"), F.max(F.size("embedding")).alias("dimensions"), F.count("*").cast("int").alias("chunk_count"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"))
-    store.upsert("chunks", chunks)
-    store.upsert("embedding_metadata", meta)
+    now = F.current_timestamp()
+    meta = chunks.groupBy("context_id").agg(F.lit(model).alias("model_name"), F.max(F.size("embedding")).alias("dimensions"), F.count("*").cast("int").alias("chunk_count"), now.alias("created_at"), now.alias("updated_at"))
+    tx.upsert("chunks", chunks)
+    tx.upsert("embedding_metadata", meta)
+    if (row := tx.read("compression").first()) is not None:
+        q = quant.Quantizer(row["dim"], row["bits"], row["variant"], row["seed"])
+        if q.fingerprint() != row["codebook_fingerprint"]:
+            raise ValueError("the recorded quantizer can't be made again")
+        tx.upsert("chunks_compressed", quant.compress(chunks, q))
+
+
+def store_chunks(store: Store, chunks: DataFrame, model: str) -> None:
+    """put_chunks() as a commit of its own; the chunks count as made from their entries' texts as they are."""
+
+    def body(tx: Transaction) -> None:
+        put_chunks(tx, chunks, model)
+        derived.record(tx, ["chunks"], tx.read("entries").join(chunks.select(F.col("context_id").alias("id")).distinct(), "id", "left_semi"))
+
+    store.commit(body)
 
 
 def chunks_exist(store: Store, ids: DataFrame) -> DataFrame:
@@ -188,10 +171,14 @@ def copy_store(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def compress_store(store: Store, quantizer: quant.Quantizer) -> None:
-    """Write compressed chunks and their provenance row."""
-    store.write("chunks_compressed", quant.compress(store.read("chunks"), quantizer))
+    """Write compressed chunks and their provenance row; from then on chunks are compressed as they are stored."""
     q = quantizer
-    store.write("compression", store.spark.createDataFrame([("rotated", q.bits, q.variant, q.seed, q.dim, q.fingerprint())], TABLES["compression"]))
+
+    def body(tx: Transaction) -> None:
+        tx.write("chunks_compressed", quant.compress(tx.read("chunks"), q))
+        tx.write("compression", store.spark.createDataFrame([("rotated", q.bits, q.variant, q.seed, q.dim, q.fingerprint())], TABLES["compression"]))
+
+    store.commit(body)
 
 
 def decompress_store(store: Store, quantizer: quant.Quantizer) -> None:

@@ -1,9 +1,14 @@
-"""A stored inverted index for full-text search.
+"""A stored inverted index for full-text search, kept in step with the entries by segments.
 
 Postings are partitioned by a hash of the term and sorted by term within files, so a search for
 terms opens their partitions only and a prefix search is cut down by the files' statistics. They carry
 positions, term counts and document lengths; corpus totals are a row of their own. A search joins no
 texts: it groups the few rows of its terms by document.
+
+A write adds a segment with the postings of what it stored, and a tombstone for each document that it changed or deleted:
+postings of an older segment than the tombstone are void. Totals follow by the lengths that come and go, so scores are those of an
+index built anew. Searches leave void rows out by an anti-join, which they don't plan while there is no
+tombstone. merge() makes one segment of all but the first, or of all, without void rows.
 """
 
 from __future__ import annotations
@@ -13,15 +18,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stems, tokens
 from ..operators import fts
+from .commits import Snapshot, Transaction
 
 BUCKETS = 64
 #: Tables of an index in a store.
-NAMES = ("fts_postings", "fts_lengths", "fts_totals")
+NAMES = ("fts_postings", "fts_lengths", "fts_gone", "fts_totals")
+#: Segments beside the first that a write leaves; one more, and they are merged.
+SEGMENTS = 8
 
 
 class TextIndex:
-    def __init__(self, postings: DataFrame, lengths: DataFrame, totals: DataFrame, language: str, buckets: int = BUCKETS):
-        self.postings, self.lengths, self.totals, self.language, self.buckets = postings, lengths, totals, language, buckets
+    def __init__(self, postings: DataFrame, lengths: DataFrame, totals: DataFrame, language: str, buckets: int = BUCKETS, gone: DataFrame | None = None):
+        self.postings, self.totals, self.language, self.buckets, self.gone = postings, totals, language, buckets, gone
+        self.lengths = live(lengths, gone, "id")
 
     def _rows(self, every: list[fts.Leaf]) -> DataFrame:
         """Postings of the terms and prefixes of the leaves."""
@@ -35,7 +44,7 @@ class TextIndex:
             spark = self.postings.sparkSession
             at = spark.range(1).select(F.array(*[bucket(F.lit(w), self.buckets) for w in words]).alias("b")).first()["b"]
             rows = rows.filter(F.col("bucket").isin(sorted(set(at))))
-        return rows
+        return live(rows, self.gone, "doc")
 
     def _counts(self, every: list[fts.Leaf]) -> DataFrame:
         """doc, dl and the count of each leaf, for the documents that hold any of their terms."""
@@ -72,6 +81,21 @@ class TextIndex:
             hit = hit.join(keep.select(doc), doc, "left_semi")
         return hit.crossJoin(F.broadcast(total)).select(doc, fts.bm25(every, ranked).alias("score"))
 
+    def cover_rank(self, query: str, doc: str = "id") -> DataFrame:
+        """(id, score) of documents with all words of the query by cover density, from the positions of the index."""
+        want = fts.words_of(query, self.language)
+        rows = self._rows(want)
+        own = rows.groupBy("doc").agg(*[F.flatten(F.collect_list(F.when(F.col("term") == x.words[0], F.col("positions")))).alias(f"p{i}") for i, x in enumerate(want)])
+        return fts.by_cover(own.select(F.col("doc").alias(doc), F.array(*[f"p{i}" for i in range(len(want))]).alias("ps")), doc)
+
+
+def live(rows: DataFrame, gone: DataFrame | None, doc: str) -> DataFrame:
+    """rows (with a document and a segment) without those that a later tombstone voids."""
+    if gone is None:
+        return rows
+    dead = gone.select(F.col("doc").alias("_doc"), F.col("seg").alias("_seg"))
+    return rows.join(dead, (F.col(doc) == F.col("_doc")) & (F.col("seg") < F.col("_seg")), "left_anti")
+
 
 def _moved(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda p: p - by)
@@ -81,35 +105,102 @@ def bucket(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def tables(docs: DataFrame, language: str, doc: str = "id", text: str = "text_content", buckets: int = BUCKETS, spread: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, lengths and totals of docs. spread is the number of files of a bucket, which splits frequent terms."""
+def tables(docs: DataFrame, language: str, doc: str = "id", text: str = "text_content", buckets: int = BUCKETS, spread: int = 1, segment: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of docs. spread is the number of files of a bucket, which splits frequent terms."""
     toks = tokens(F.col(text))
-    t = docs.select(F.col(doc).alias("id"), (stems(toks) if language.lower() == "english" else toks).alias("ts"))
-    lengths = t.select("id", F.size("ts").alias("dl"))
-    rows = fts.postings(docs, doc, text, language, buckets)
-    rows = rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(spread))).sortWithinPartitions("bucket", "term", "doc")
-    return rows, lengths, lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    lengths = docs.select(F.col(doc).alias("id"), F.size(stems(toks) if language.lower() == "english" else toks).alias("dl"), F.lit(segment).alias("seg"))
+    rows = fts.postings(docs, doc, text, language, buckets).withColumn("seg", F.lit(segment))
+    return _dealt(rows, spread), lengths
+
+
+def _dealt(rows: DataFrame, spread: int) -> DataFrame:
+    return rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(spread))).sortWithinPartitions("bucket", "term", "doc")
+
+
+def _totals(tx: Transaction, language: str, docs: int, words: int) -> None:
+    row = [(docs, words / docs if docs else None, words, language)]
+    tx.write("fts_totals", tx.spark.createDataFrame(row, "docs bigint, avgdl double, words bigint, language string"))
+
+
+def _size(lengths: DataFrame) -> tuple[int, int]:
+    r = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+    return r["n"], r["words"]
+
+
+def put(tx: Transaction, entries: DataFrame, language: str, spread: int = 1) -> None:
+    """Index these entries, in place of a former index."""
+    rows, lengths = tables(entries, language, spread=spread)
+    tx.write("fts_postings", rows, partition="bucket")
+    tx.write("fts_lengths", lengths)
+    tx.forget("fts_gone")
+    _totals(tx, language, *_size(tx.read("fts_lengths")))
 
 
 def build(store, entries: DataFrame, language: str, spread: int = 1) -> None:
-    """Write the index of entries to a store, in place of a former one. Totals come last; without them there is no index."""
-    store.drop("fts_totals")
-    rows, lengths, _ = tables(entries, language, spread=spread)
-    store.write("fts_postings", rows, partition="bucket")
-    store.write("fts_lengths", lengths)
-    store.write("fts_totals", store.read("fts_lengths").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl")).withColumn("language", F.lit(language)))
+    """put() as a commit of its own."""
+    store.commit(lambda tx: put(tx, entries, language, spread))
+
+
+def follow(tx: Transaction, ids: DataFrame, entries: DataFrame | None = None) -> None:
+    """The documents ids (a column id) have changed: void what the index has of them, and add what entries, if any, hold now.
+
+    Does nothing without an index. ids and entries are small beside the index: one segment is written, and lengths are read.
+    """
+    if not tx.exists("fts_totals"):
+        return
+    total = tx.read("fts_totals").first()
+    docs, words = total["docs"], total["words"]
+    segment = 1 + _last(tx)
+    gone = tx.read("fts_gone") if tx.exists("fts_gone") else None
+    dead = tx.stage(live(tx.read("fts_lengths"), gone, "id").join(ids.select("id"), "id", "left_semi"))
+    n, w = _size(dead)
+    if n:
+        tx.write("fts_gone", dead.select(F.col("id").alias("doc"), F.lit(segment).alias("seg")), append=tx.exists("fts_gone"))
+    docs, words = docs - n, words - w
+    if entries is not None:
+        rows, lengths = tables(entries, total["language"], segment=segment)
+        lengths = tx.stage(lengths)
+        tx.write("fts_postings", rows, append=True, partition="bucket")
+        tx.write("fts_lengths", lengths, append=True)
+        n, w = _size(lengths)
+        docs, words = docs + n, words + w
+    _totals(tx, total["language"], docs, words)
+    tx.state["tables"]["fts_postings"]["segment"] = segment
+    if len(tx.parts("fts_postings")) > SEGMENTS + 1:
+        merge(tx)
+
+
+def _last(at: Snapshot) -> int:
+    """Number of the newest segment."""
+    return at.state["tables"]["fts_postings"].get("segment", 0)
+
+
+def merge(tx: Transaction, whole: bool = False) -> None:
+    """One segment of all but the first, or of all; void rows go. Results stay the same."""
+    gone = tx.read("fts_gone") if tx.exists("fts_gone") else None
+    first, segment = ([], 0) if whole else (tx.parts("fts_postings")[:1], _last(tx))
+    rows = live(tx.read("fts_postings"), gone, "doc")
+    rows = (rows if whole else rows.filter("seg > 0")).withColumn("seg", F.lit(segment))
+    lengths = tx.stage(live(tx.read("fts_lengths"), gone, "id"))
+    tx.write("fts_postings", _dealt(rows, 1), partition="bucket")
+    tx.state["tables"]["fts_postings"] |= {"parts": [*first, *tx.parts("fts_postings")], "segment": segment}
+    tx.write("fts_lengths", lengths.withColumn("seg", F.when(F.col("seg") > 0, segment).otherwise(0)))
+    if whole:
+        tx.forget("fts_gone")
+    elif gone is not None:  # what voids rows of the first segment stays
+        tx.write("fts_gone", gone.select("doc").distinct().withColumn("seg", F.lit(1)))
 
 
 def open_index(store, language: str) -> TextIndex | None:
-    """The store's index; None if there is none or it is of another language."""
-    if not store.exists("fts_totals"):
+    """The store's index, or that of a snapshot; None if there is none or it is of another language."""
+    at = store if isinstance(store, Snapshot) else store.snapshot()
+    if not at.exists("fts_totals"):
         return None
-    totals = store.read("fts_totals")
+    totals = at.read("fts_totals")
     if totals.first()["language"] != language:
         return None
-    return TextIndex(store.read("fts_postings"), store.read("fts_lengths"), totals.drop("language"), language)
+    return TextIndex(at.read("fts_postings"), at.read("fts_lengths"), totals.select("docs", "avgdl"), language, gone=at.read("fts_gone") if at.exists("fts_gone") else None)
 
 
 def drop(store) -> None:
-    for name in reversed(NAMES):
-        store.drop(name)
+    store.commit(lambda tx: [tx.forget(name) for name in NAMES])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dml
+from ..api import Tools
 from ..schema import ENTRIES
 from ..sources.store import Store
 
@@ -19,19 +19,10 @@ def counts(feed: DataFrame, window: str = "1 hour", late: str = "1 day") -> Data
     return feed.withWatermark("created_at", late).groupBy(F.window("created_at", window).alias("w"), "source").agg(F.count("*").alias("n")).select("w.start", "w.end", "source", "n")
 
 
-def merge_into(feed: DataFrame, store: Store, checkpoint: str):
-    """Store each batch behind the entries there are: what repeats its thread's newest, or the row before it, folds into that; ids that are there already are left out.
+def merge_into(feed: DataFrame, store: Store, checkpoint: str, tools: Tools | None = None):
+    """Store each batch behind the entries there are, as the tools do: what repeats its thread's newest, or the row before it, folds into that; ids that are there already are left out.
 
-    A batch that folds into no older entry is appended; else the table gets a new version.
+    A batch is one commit, with what the tools' makers make and with the full-text index, so a batch that runs again after a failure changes nothing twice.
     """
-
-    def one(batch: DataFrame, _: int) -> None:
-        old = store.read("entries")
-        fresh = batch.join(old.select("id"), "id", "left_anti")
-        whole, kept = dml.fold_new(old, fresh)
-        if kept.join(old.select("id"), "id", "left_semi").limit(1).isEmpty():
-            store.append("entries", dml.fold_duplicates(fresh))
-        else:
-            store.write("entries", whole)
-
-    return feed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    tools = tools or Tools(store)
+    return feed.writeStream.foreachBatch(lambda batch, _: tools.put_entries(batch)).option("checkpointLocation", checkpoint)

@@ -191,7 +191,7 @@ def test_search_reads_the_index(spark, tmp_path):
     tools.build_index("simple")
     assert tools.fts_search_context("running")["rows"].count() == 0 and tools.fts_search_context("runs")["rows"].count() == 5
     tools.store_context(rows(spark, [("t9", "user", "hello late runs", None, [], None)]))
-    assert tools._index() is None and tools.fts_search_context("runs")["rows"].count() == 6
+    assert tools._index() is not None and tools.fts_search_context("runs")["rows"].count() == 6
     assert "validation_errors" in tools.hybrid_search_context("a", None, metadata_filters=[{"key": "k", "operator": "no"}])
 
 
