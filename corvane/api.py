@@ -217,11 +217,15 @@ class Tools:
             tree = fts.hybrid_query(query, language=self.language)
         except (fts.QueryError, filters.InvalidFilter) as e:
             return {"rows": self._entries().limit(0), "error": "validation failed", "validation_errors": [str(e)]}
-        words = self._words(tree, kept) if query.strip() else None
-        near = vector.search(derived.current(self.store.snapshot(), "chunks"), q, kept).withColumnRenamed("context_id", "id") if q else None
-        out = fusion.hybrid(words, near, k)
+        near_of = lambda: vector.search(derived.current(self.store.snapshot(), "chunks"), q, kept).withColumnRenamed("context_id", "id")
+        legs = {"fts": (lambda: self._words(tree, kept), [F.desc("score"), F.desc("id")]), "semantic": (near_of, [F.asc("distance"), F.asc("id")])}
+        wanted = {n: x for n, x in legs.items() if (query.strip() if n == "fts" else q)}
+        got = fusion.together(wanted, RANK_DEPTH * 2)
+        why = {n: w for n, (_, w) in got.items() if w} | {n: "not asked for" for n in legs if n not in wanted}
+        near = got.get("semantic", (None,))[0]
+        out = fusion.hybrid(got.get("fts", (None,))[0], near, k, why=why)
         if out["rows"] is None:
-            return out
+            return out | {"rows": self._entries().limit(0)}
         rows = out["rows"]
         if scorer:
             from pyspark.sql import Window
@@ -236,9 +240,11 @@ class Tools:
             return out | {"rows": rows.offset(offset).limit(limit)}
         return out | {"rows": scan.ranked_page(rows, fusion.best_first(), limit, offset)}
 
-    def grep_context(self, pattern: str, output: str = "content", max_results: int = 100, is_regex: bool = False, case_sensitive: bool = False, context: int = 0, **conditions) -> DataFrame:
-        m = textops.grep(self._kept(conditions) if conditions else self._entries(), pattern, is_regex, case_sensitive, context)
-        return {"content": lambda: textops.grep_content(m, max_results), "count": lambda: textops.grep_counts(m), "files_with_matches": lambda: textops.grep_files(m)}[output]()
+    def grep_context(self, pattern: str, output: str = "content", max_results: int = 100, is_regex: bool = False, case_sensitive: bool = False, context: int = 0, timeout: float = 5.0, total: float | None = None, **conditions) -> dict:
+        """rows by the output mode, and timed_out: the ids of the entries that weren't searched to their end."""
+        m = textops.grep(self._kept(conditions) if conditions else self._entries(), pattern, is_regex, case_sensitive, context, timeout, total)
+        made = {"content": lambda: textops.grep_content(m, max_results), "count": lambda: textops.grep_counts(m), "files_with_matches": lambda: textops.grep_files(m)}
+        return {"rows": made[output](), "timed_out": textops.timed_out(m)}
 
     def navigate_context(self, entry_id: str, max_depth: int = 6) -> DataFrame:
         """The outline of an entry with stored summaries; the root's is the entry's. navigation_tree() nests it."""

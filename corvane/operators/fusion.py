@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,10 +65,27 @@ def rerank(rows: DataFrame, passage: Column, scorer: Callable[[str], float], ran
     return scored.orderBy(F.desc_nulls_last("rerank_score"), F.asc(rank))
 
 
-def hybrid(fts: DataFrame | None, semantic: DataFrame | None, k: int = 60, overfetch: int = 2, doc: str = "id") -> dict:
-    """Both legs fused to the ranked depth; one missing leg gives a warning, two an error."""
+def fetched(make: Callable[[], DataFrame], order: list[Column], depth: int) -> tuple[DataFrame | None, str | None]:
+    """The leg that make() gives, run on its own, as rows of at most the depth; or None and why it failed."""
+    try:
+        hits = make()
+        top = leg(hits, order, depth)
+        return hits.sparkSession.createDataFrame(top.collect(), top.schema), None  # at most OVERFETCH_LIMIT rows
+    except Exception as e:  # noqa: BLE001 - whatever a leg fails with, the other one may answer
+        return None, str(e).strip().split("\n")[0] or type(e).__name__
+
+
+def together(legs: dict[str, tuple[Callable[[], DataFrame], list[Column]]], depth: int) -> dict[str, tuple[DataFrame | None, str | None]]:
+    """Each leg fetched in a thread of its own, so that Spark runs their jobs side by side."""
+    with ThreadPoolExecutor(len(legs) or 1) as pool:
+        return dict(zip(legs, pool.map(lambda x: fetched(*x, depth), legs.values()), strict=True))
+
+
+def hybrid(fts: DataFrame | None, semantic: DataFrame | None, k: int = 60, overfetch: int = 2, doc: str = "id", why: dict[str, str] | None = None) -> dict:
+    """Both legs fused to the ranked depth; one missing leg gives a warning, two an error, with the reasons in why."""
+    why = why or {}
     if fts is None and semantic is None:
-        return {"rows": None, "error": "both searches failed"}
+        return {"rows": None, "error": "both searches failed" + "".join(f"; {n}: {w}" for n, w in why.items())}
     some = fts if fts is not None else semantic
     depth = min(RANK_DEPTH * overfetch, OVERFETCH_LIMIT)
     empty = lambda c: some.select(doc).limit(0).withColumn("rank", F.lit(None).cast("int")).withColumn(c, F.lit(None).cast("double"))
@@ -75,5 +93,6 @@ def hybrid(fts: DataFrame | None, semantic: DataFrame | None, k: int = 60, overf
     s = leg(semantic, [F.asc("distance"), F.asc(doc)], depth) if semantic is not None else empty("distance")
     out = {"rows": rrf(f, s, k, doc).orderBy(*best_first(doc)).limit(RANK_DEPTH), "search_modes_used": [n for n, x in (("fts", fts), ("semantic", semantic)) if x is not None]}
     if fts is None or semantic is None:
-        out["warnings"] = [f"{'full-text' if fts is None else 'semantic'} search failed; results of the other only"]
+        lost = "fts" if fts is None else "semantic"
+        out["warnings"] = [f"{'full-text' if fts is None else 'semantic'} search failed" + (f" ({why[lost]})" if lost in why else "") + "; results of the other only"]
     return out

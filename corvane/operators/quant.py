@@ -163,6 +163,8 @@ def decompress(compressed: DataFrame, quantizer: Quantizer) -> DataFrame:
 
 def search(compressed: DataFrame, q: list[float], quantizer: Quantizer, entries: DataFrame | None = None, entry: str = "context_id") -> DataFrame:
     """Nearest entries by estimated distance, best chunk each."""
+    if len(q) != quantizer.dim:
+        raise ValueError(f"the query has {len(q)} dimensions, the payloads {quantizer.dim}")
     if entries is not None:
         compressed = compressed.join(entries.select(F.col("id").alias(entry)), entry, "left_semi")
     vector = np.asarray(q, np.float64)

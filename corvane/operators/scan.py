@@ -14,8 +14,14 @@ from . import filters
 
 
 def page(df: DataFrame, order: Iterable[Column], limit: int, offset: int = 0) -> DataFrame:
-    """One page by a total order; planned as a top-k, not a sort."""
-    return df.orderBy(*order).offset(min(offset, MAX_OFFSET)).limit(min(limit, MAX_PAGE))
+    """One page by a total order; planned as a top-k, not a sort. An offset that is too large is refused, not cut."""
+    if errors := page_errors(limit, offset):
+        raise filters.InvalidFilter(errors)
+    return df.orderBy(*order).offset(offset).limit(min(limit, MAX_PAGE))
+
+
+def page_errors(limit: int, offset: int) -> list[str]:
+    return [m for bad, m in ((limit < 1, "limit must be at least 1"), (offset < 0, "offset must not be negative"), (offset > MAX_OFFSET, f"offset must be at most {MAX_OFFSET}")) if bad]
 
 
 def newest_first() -> list[Column]:

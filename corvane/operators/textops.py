@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import time
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
@@ -31,37 +32,59 @@ def prefilter(text: Column, pattern: str, is_regex: bool, case_sensitive: bool)
     return F.contains(text, F.lit(pattern)) if plain else None
 
 
-def grep(entries: DataFrame, pattern: str, is_regex: bool = False, case_sensitive: bool = False, context: int = 0, timeout: float = 5.0, doc: str = "id", text: str = "text_content") -> DataFrame:
-    """A row per match within a line; an entry that takes too long gives one row with timed_out."""
+def grep(entries: DataFrame, pattern: str, is_regex: bool = False, case_sensitive: bool = False, context: int = 0, timeout: float = 5.0, total: float | None = None, doc: str = "id", text: str = "text_content") -> DataFrame:
+    """A row per match within a line; an entry that takes longer than timeout seconds, over all its lines, gives one row with timed_out.
+
+    total bounds the seconds of each task: entries that it hasn't come to by then give such a row, too. timed_out() lists them, none is dropped in silence.
+    """
     compile_pattern(pattern, is_regex, case_sensitive)  # errors before any plan
     rows = entries.select(F.col(doc).cast("string").alias("id"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
     if (cond := prefilter(F.col("t"), pattern, is_regex, case_sensitive)) is not None:
         rows = rows.filter(cond)
 
+    def found_in(rx, t: str, until: float) -> Iterator[tuple[int, int, int]]:
+        lines, starts = outline.split_lines(t)
+
+        def spans(x: str) -> Iterator[tuple[int, int]]:
+            left = until - time.monotonic()
+            if left <= 0:
+                raise TimeoutError
+            for m in rx.finditer(x, timeout=left):
+                yield m.span()
+
+        if is_regex:
+            for n, (x, s) in enumerate(zip(lines, starts, strict=True)):
+                for a, z in spans(x):
+                    yield n, s + a, s + z
+            return
+        for a, z in spans(t):
+            n = bisect.bisect_right(starts, a) - 1
+            if z <= starts[n] + len(lines[n]):
+                yield n, a, z
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rx = compile_pattern(pattern, is_regex, case_sensitive)
+        end = time.monotonic() + total if total is not None else float("inf")
         for b in batches:
             out = []
             for i, t in zip(b["id"], b["t"], strict=True):
-                lines, starts = outline.split_lines(t)
                 try:
-                    if is_regex:
-                        found = [(n, s + m.start(), s + m.end()) for n, (x, s) in enumerate(zip(lines, starts, strict=True)) for m in rx.finditer(x, timeout=timeout)]
-                    else:
-                        found = []
-                        for m in rx.finditer(t, timeout=timeout):
-                            n = bisect.bisect_right(starts, m.start()) - 1
-                            if m.end() <= starts[n] + len(lines[n]):
-                                found.append((n, m.start(), m.end()))
+                    found = list(found_in(rx, t, min(end, time.monotonic() + timeout)))
                 except TimeoutError:
                     out.append((i, None, None, None, None, [], [], True))
                     continue
+                lines = outline.split_lines(t)[0] if found else []
                 out += [(i, n + 1, lines[n], a, z, lines[max(0, n - context) : n], lines[n + 1 : n + 1 + context], False) for n, a, z in found]
             yield pd.DataFrame(out, columns=names_of(MATCH))
 
     return rows.mapInPandas(run, MATCH)
 
 
+def timed_out(matches: DataFrame) -> DataFrame:
+    """Ids of the entries that were not searched to their end."""
+    return matches.filter("timed_out").select("id").distinct()
+
+
 def grep_files(matches: DataFrame) -> DataFrame:
     return matches.filter(~F.col("timed_out")).select("id").distinct()
 

@@ -109,37 +109,48 @@ def display_format(spark, d):
     return scan.display(e).select("id", "text_content", "is_truncated", "summary", "created_at")
 
 
-def _meta(name: str, op: str, value: object = None) -> None:
+def typed(spark, d) -> DataFrame:
+    """documents as entries with metadata of all kinds: a rule over the id decides the kind of v, the row's columns its value."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"), F.col("n_chars").cast("string").alias("n"))
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    i = F.col("id").cast("string")
+    kinds = [
+        F.col("n"), F.concat("n", F.lit(".5")), F.concat(F.lit("-"), i), q(F.col("l")), q(F.upper("l")), q(F.col("s")), q(F.col("n")), F.concat(F.lit("["), "n", F.lit(","), q(F.col("l")), F.lit(",true]")), F.concat(F.lit("["), q(F.upper("l")), F.lit(","), i, F.lit("]")),
+        F.lit('{"b":1}'), F.lit("null"), F.when(F.col("id") % 2 == 0, "true").otherwise("false"),
+    ]
+    v = F.element_at(F.array(*kinds), (F.col("id") % 13 + 1).cast("int"))
+    return t.select("id", F.when(F.col("id") % 13 == 12, F.lit("{}")).otherwise(F.concat(F.lit('{"v":'), v, F.lit("}"))).alias("metadata"))
+
+
+def _meta(name: str, op: str, value: object, rows: Callable, key: str) -> None:
     def run(spark, d):
-        return events(spark, d).filter(meta.predicate(F.col("metadata"), "k", op, value)).select("id", "metadata")
+        return rows(spark, d).filter(meta.predicate(F.col("metadata"), key, op, value)).select("id", "metadata")
 
     run.__name__ = f"meta_{name}"
     query(run)
 
 
 for _n, _op, _v in (
-    ("eq", "eq", 7), ("ne", "ne", 7), ("gt", "gt", 90), ("gte", "gte", 90.5), ("lt", "lt", 5), ("lte", "lte", 4.5), ("in", "in", [1, 2, "3"]), ("not_in", "not_in", [1, 2]), ("exists", "exists", None),
-    ("not_exists", "not_exists", None), ("is_null", "is_null", None), ("is_not_null", "is_not_null", None), ("contains", "contains", "7"), ("starts_with", "starts_with", "7"), ("ends_with", "ends_with", "7"), ("array_contains", "array_contains", 7),
+    ("eq", "eq", 7), ("ne", "ne", 7), ("gt", "gt", 90), ("gte", "gte", 90.5), ("lt", "lt", 5), ("lte", "lte", 4.5), ("in", "in", [1, 2, "3"]), ("not_in", "not_in", [1, 2]), ("exists", "exists", None), ("is_not_null", "is_not_null", None),
 ):
-    _meta(_n, _op, _v)
+    _meta(_n, _op, _v, events, "k")
+
+#: Operators and values over typed(); the SQL has the same list.
+TYPED = [("not_exists", None), ("is_null", None), ("contains", "RC"), ("starts_with", "D"), ("ends_with", "3"), ("array_contains", "DE")]
+for _op, _v in TYPED:
+    _meta(_op, _op, _v, typed, "v")
 
-#: Stored values that try the type guards: (id, metadata).
-CASES = [
-    '{"v":1}', '{"v":1.5}', '{"v":-3}', '{"v":0.1}', '{"v":9007199254740993}', '{"v":9007199254740992}', '{"v":true}', '{"v":false}', '{"v":""}', '{"v":"a"}', '{"v":"A"}', '{"v":"É"}', '{"v":"5"}', '{"v":5}', '{"v":"a%b_c"}',
-    '{"v":[1,"a",true]}', '{"v":["A",5,1.5]}', '{"v":{"b":1}}', '{"v":null}', "{}", '{"w":1}',
-]
 #: (name, operator, value) of the matrix; the SQL has the same list.
 MATRIX = [
-    ("eq_a", "eq", "a"), ("eq_5", "eq", 5), ("eq_s5", "eq", "5"), ("eq_true", "eq", True), ("ne_a", "ne", "a"), ("gt_0", "gt", 0), ("gt_big", "gt", 9007199254740992), ("eq_big", "eq", 9007199254740993), ("lt_f", "lt", 1.25), ("gte_s", "gte", "a"),
-    ("in_mix", "in", ["A", 5, True]), ("not_in_mix", "not_in", ["A", 5, True]), ("has", "exists", None), ("hasnt", "not_exists", None), ("null", "is_null", None), ("contains", "contains", "%B"), ("starts", "starts_with", "A"), ("ends", "ends_with", "_C"),
-    ("arr_a", "array_contains", "a"), ("arr_5", "array_contains", 5), ("arr_true", "array_contains", True),
+    ("eq_de", "eq", "DE"), ("eq_n", "eq", 500), ("eq_true", "eq", True), ("ne_de", "ne", "de"), ("gt_0", "gt", 0), ("gt_f", "gt", 99.75), ("lt_f", "lt", -99.5), ("gte_s", "gte", "en"),
+    ("in_mix", "in", ["FR", "src1", 500, True]), ("not_in_mix", "not_in", ["FR", "src1", 500, True]), ("has", "exists", None), ("hasnt", "not_exists", None), ("null", "is_null", None), ("contains", "contains", "C1"), ("starts", "starts_with", "S"), ("ends", "ends_with", "N"),
+    ("arr_en", "array_contains", "en"), ("arr_60", "array_contains", 60), ("arr_true", "array_contains", True),
 ]
 
 
 @query
 def meta_typed_matrix(spark, d):
-    rows = spark.createDataFrame(list(enumerate(CASES)), "id int, metadata string")
-    return rows.select("id", *[meta.predicate(F.col("metadata"), "v", op, v).alias(n) for n, op, v in MATRIX])
+    return typed(spark, d).select("id", *[meta.predicate(F.col("metadata"), "v", op, v).alias(n) for n, op, v in MATRIX])
 
 
 @query
@@ -203,7 +214,7 @@ def tag_statistics(spark, d):
 @query
 def thread_statistics(spark, d):
     e = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("thread_id"), F.when(F.col("doc_id") % 2 == 0, "user").otherwise("agent").alias("source"), F.lit("text").alias("content_type"))
-    images = spark.createDataFrame([], "context_entry_id bigint, position int")
+    images = table(spark, d, "documents").filter("n_chars > 1000").select(F.col("doc_id").alias("context_entry_id"), F.lit(0).alias("position"))
     r = stats.thread_statistics(e, tags(spark, d), images, "de")
     return r.withColumn("tags", F.array_join("tags", ","))
 
@@ -335,7 +346,7 @@ def _fts(name: str, text: str, mode: str):
 
 
 _fts("fts_match", "that with", "match")
-_fts("fts_prefix", "edin thoug", "prefix")
+_fts("fts_prefix", "tha wit", "prefix")
 _fts("fts_phrase", "of the", "phrase")
 _fts("fts_boolean", '("of the" OR with) AND that NOT clown', "boolean")
 
@@ -402,13 +413,17 @@ def fusion_overlap(spark, d):
 
 @query
 def hybrid_rerank(spark, d):
-    rows = fusion.hybrid(*_legs(spark, d))["rows"].join(documents(spark, d), "id")
+    """Full-text hits are read by the passage around their matches, others by the chunk that matched."""
     from pyspark.sql import Window
 
+    words = index(spark, d).search(fts.parse("for was only", "match", "simple"))
+    near = vector.search(chunks(spark, d), Q).withColumnRenamed("context_id", "id")
+    rows = fusion.hybrid(words, near)["rows"].join(documents(spark, d), "id").join(near.select("id", "start_index", "end_index"), "id", "left")
     ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(*fusion.best_first())))  # at most 100 rows
     tree = fts.parse("for was only", "match", "simple")
     marked = F.when(F.col("fts_rank").isNotNull(), fts.highlight(F.col("text_content"), tree))
-    return fusion.rerank(ranked, textops.rerank_text(F.col("text_content"), marked), fusion.lexical_scorer("for was only")).select("id", "rank", "rerank_score")
+    passage = textops.rerank_text(F.col("text_content"), marked, F.col("start_index"), F.col("end_index"))
+    return fusion.rerank(ranked, passage, fusion.lexical_scorer("for was only")).select("id", "rank", "rerank_score")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import CASES, MATRIX, Q
+from .queries import MATRIX, TYPED, Q
 
 EV = """WITH e AS (SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, CAST(user_id AS VARCHAR) AS thread_id, event_type AS source, CASE WHEN event_id % 5 = 0 THEN 'multimodal' ELSE 'text' END AS content_type,
   ts AS created_at, props AS metadata, CASE WHEN event_id % 3 = 0 THEN event_type END AS summary, value, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id, ts FROM events)
@@ -95,7 +95,11 @@ def _case(op: str, v: object) -> str:
     return f"(k = 'VARCHAR' AND {fn}({_fold('s')}, {_fold(_lit(v))}))"
 
 
-_VALUES = ", ".join(f"({i}, '{m}')" for i, m in enumerate(CASES))
+TY = """WITH t AS (SELECT doc_id AS id, coalesce(lang, '') AS l, coalesce(source, '') AS s0, CAST(n_chars AS VARCHAR) AS n, CAST(doc_id AS VARCHAR) AS i FROM documents),
+m AS (SELECT id, CASE WHEN id % 13 = 12 THEN '{}' ELSE '{"v":' || CASE id % 13 WHEN 0 THEN n WHEN 1 THEN n || '.5' WHEN 2 THEN '-' || i WHEN 3 THEN '"' || l || '"' WHEN 4 THEN '"' || upper(l) || '"' WHEN 5 THEN '"' || s0 || '"' WHEN 6 THEN '"' || n || '"'
+  WHEN 7 THEN '[' || n || ',"' || l || '",true]' WHEN 8 THEN '["' || upper(l) || '",' || i || ']' WHEN 9 THEN '{"b":1}' WHEN 10 THEN 'null' ELSE CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END END || '}' END AS metadata FROM t),
+v AS (SELECT id, metadata, json_extract(metadata, '$.v') AS j, json_type(metadata, '$.v') AS k, json_extract_string(metadata, '$.v') AS s FROM m)
+"""
 META = EV + "SELECT id, metadata FROM e WHERE "
 
 SQL = {
@@ -112,9 +116,8 @@ SELECT id, (SELECT max(n) > 200 FROM n) OR (SELECT max(b) > 20000 FROM n WHERE n
     + f"""SELECT id, CASE WHEN length(text) <= 300 THEN text WHEN instr(reverse(text[:300]), ' ') > 0 AND 300 - instr(reverse(text[:300]), ' ') > 210 THEN text[:300 - instr(reverse(text[:300]), ' ')] || '...' ELSE text[:300] || '...' END AS text_content,
   length(text) > 300 AS is_truncated, '' AS summary, {ISO.format("created_at")} AS created_at FROM c""",
     "meta_eq": META + "k = 7", "meta_ne": META + "k <> 7", "meta_gt": META + "k > 90", "meta_gte": META + "k >= 91", "meta_lt": META + "k < 5", "meta_lte": META + "k <= 4", "meta_in": META + "k IN (1, 2)",
-    "meta_not_in": META + "k NOT IN (1, 2)", "meta_exists": META + "k IS NOT NULL", "meta_not_exists": META + "k IS NULL", "meta_is_null": META + "false", "meta_is_not_null": META + "k IS NOT NULL",
-    "meta_contains": META + "json_type(metadata, '$.k') = 'VARCHAR'", "meta_starts_with": META + "json_type(metadata, '$.k') = 'VARCHAR'", "meta_ends_with": META + "json_type(metadata, '$.k') = 'VARCHAR'", "meta_array_contains": META + "json_type(metadata, '$.k') = 'ARRAY'",
-    "meta_typed_matrix": f"WITH v AS (SELECT id, m, json_extract(m, '$.v') AS j, json_type(m, '$.v') AS k, json_extract_string(m, '$.v') AS s FROM (VALUES {_VALUES}) x(id, m)) SELECT id, " + ", ".join(f"coalesce({_case(op, v)}, false) AS \"{n}\"" for n, op, v in MATRIX) + " FROM v",
+    "meta_not_in": META + "k NOT IN (1, 2)", "meta_exists": META + "k IS NOT NULL", **{f"meta_{op}": TY + f"SELECT id, metadata FROM v WHERE coalesce({_case(op, v)}, false)" for op, v in TYPED}, "meta_is_not_null": META + "k IS NOT NULL",
+    "meta_typed_matrix": TY + "SELECT id, " + ", ".join(f"coalesce({_case(op, v)}, false) AS \"{n}\"" for n, op, v in MATRIX) + " FROM v",
     "tags_any_semi": TG + "SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM t WHERE tag IN ('de', 'src3'))",
     "tags_of_entries": TG + "SELECT d.doc_id AS id, coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM t WHERE t.doc_id = d.doc_id), '') AS tags FROM documents d",
     "missing_embeddings_anti": "SELECT doc_id AS id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
@@ -128,7 +131,7 @@ SELECT id, (SELECT max(n) > 200 FROM n) OR (SELECT max(b) > 20000 FROM n WHERE n
     "tag_statistics": TG + "SELECT count(*) AS total_tags, count(DISTINCT tag) AS unique_tags, (SELECT round(avg(n), 2) FROM (SELECT count(*) AS n FROM t GROUP BY doc_id) x) AS avg_tags_per_entry FROM t",
     "thread_statistics": TG
     + """SELECT count(*) AS entry_count, count(*) FILTER (WHERE doc_id % 2 = 0) AS user_count, count(*) FILTER (WHERE doc_id % 2 <> 0) AS agent_count, CAST(0 AS BIGINT) AS multimodal_count,
-  (SELECT string_agg(tag, ',' ORDER BY tag) FROM (SELECT DISTINCT tag FROM t WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de')) x) AS tags, CAST(0 AS BIGINT) AS image_count FROM documents WHERE lang = 'de'""",
+  (SELECT string_agg(tag, ',' ORDER BY tag) FROM (SELECT DISTINCT tag FROM t WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de')) x) AS tags, count(*) FILTER (WHERE n_chars > 1000) AS image_count FROM documents WHERE lang = 'de'""",
     "summary_coverage": EV + "SELECT count(*) FILTER (WHERE coalesce(summary, '') <> '') AS with_summary, round(100.0 * count(*) FILTER (WHERE coalesce(summary, '') <> '') / count(*), 2) AS coverage FROM e",
     "embedding_statistics": """WITH m AS (SELECT vec_id // 10 AS context_id, count(*) AS chunk_count, max(len(embedding)) AS dimensions FROM embeddings GROUP BY 1)
 SELECT count(*) AS total_entries, count(context_id) AS embedded, round(100.0 * count(context_id) / count(*), 2) AS coverage, CAST(coalesce(sum(chunk_count), 0) AS BIGINT) AS total_chunks, coalesce(round(avg(chunk_count), 2), 0) AS avg_chunks, CAST(coalesce(sum(chunk_count * dimensions * 4), 0) AS BIGINT) AS bytes
@@ -167,7 +170,7 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, conte
     "fts_match": "WITH " + _bm25([_word("that"), _word("with")], "n0 > 0 AND n1 > 0") + "SELECT * FROM f",
     "fts_scan": "WITH " + _bm25([_word("that"), _word("with")], "n0 > 0 AND n1 > 0") + "SELECT * FROM f",
     "fts_hybrid_words": "WITH " + _bm25([_word(w) for w in ("for", "was", "only", "that", "with")], "n0 > 0 OR n1 > 0 OR n2 > 0 OR n3 > 0 OR n4 > 0") + "SELECT * FROM f",
-    "fts_prefix": "WITH " + _bm25([_prefix("edin"), _prefix("thoug")], "n0 > 0 AND n1 > 0") + "SELECT * FROM f",
+    "fts_prefix": "WITH " + _bm25([_prefix("tha"), _prefix("wit")], "n0 > 0 AND n1 > 0") + "SELECT * FROM f",
     "fts_phrase": "WITH " + _bm25([_phrase("of", "the")], "n0 > 0") + "SELECT * FROM f",
     "fts_boolean": "WITH " + _bm25([_phrase("of", "the"), _word("with"), _word("that")], "(n0 > 0 OR n1 > 0) AND n2 > 0 AND doc_id NOT IN (SELECT doc_id FROM t WHERE list_contains(t.t, 'clown'))") + "SELECT * FROM f",
     "fts_bm25_topk": "WITH " + _bm25([_word(w) for w in ("for", "was", "only")], "n0 > 0 AND n1 > 0 AND n2 > 0") + "SELECT * FROM f ORDER BY score DESC, id DESC LIMIT 20",

@@ -40,5 +40,7 @@ ENTRY_KEY = {"entries": "id", "tags": "context_entry_id", "images": "context_ent
 #: Limits that are part of the semantics.
 MAX_PAGE, RANK_DEPTH, MAX_OFFSET = 100, 100, 1_000_000
 MAX_IN_LIST, MAX_FILTERS, MAX_TAGS, MAX_TAG_CHARS, MAX_IMAGES, MAX_THREAD_CHARS, MAX_QUERY_CHARS = 100, 100, 100, 128, 10, 256, 10_000
+#: Sections of an entry that get a summary.
+MAX_SUMMARIES = 200
 #: Decoded size of one image.
 MAX_IMAGE_BYTES = 10 << 20

@@ -6,12 +6,12 @@ import json
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import repaired, uuid7
 from ..operators import quant, textops
-from ..schema import ENTRY_KEY, TABLES
+from ..schema import ENTRY_KEY, MAX_SUMMARIES, TABLES
 from . import derived
 from .commits import Commits, Transaction
 
@@ -207,12 +207,14 @@ def summarise(entries: DataFrame, summariser: Callable[[str], str], least_chars:
     return entries.withColumn("summary", F.when(F.length("text_content") >= least_chars, repaired(run("text_content"))).otherwise(F.col("summary")))
 
 
-def summarised_nodes(entries: DataFrame, summariser: Callable[[str], str], max_depth: int = 6, least_chars: int = 500) -> DataFrame:
-    """Index nodes of entries (columns of index_nodes), each section long enough with a summary of its own."""
+def summarised_nodes(entries: DataFrame, summariser: Callable[[str], str], max_depth: int = 6, least_chars: int = 500, most: int = MAX_SUMMARIES) -> DataFrame:
+    """Index nodes of entries (columns of index_nodes), each section long enough with a summary of its own, of an entry the `most` shallowest and of these the longest first."""
     nodes = textops.outline_nodes(entries, max_depth).filter("node_id != 'root'")
     run = F.pandas_udf(lambda s: s.map(summariser), "string")
     cut = nodes.join(entries.select(F.col("id"), "text_content"), "id").withColumn("section", F.substring("text_content", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
-    made = cut.withColumn("node_summary", F.when(F.length("section") >= least_chars, repaired(run("section"))))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("level", F.desc(F.length("section")), "char_start"))
+    cut = cut.withColumn("_of", F.when(F.length("section") >= least_chars, place))
+    made = cut.withColumn("node_summary", F.when(F.col("_of") <= most, repaired(run("section"))))
     return made.select(F.col("id").alias("context_id"), "node_id", "level", "ordinal", "title", "node_summary", "char_start", "char_end")
 
 

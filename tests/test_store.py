@@ -39,7 +39,7 @@ def test_tools(spark, tmp_path):
     assert tools.read_context_range(first["id"], lines=(2, 2))["content"] == "hello world"
     assert [r["node_id"] for r in tools.navigate_context(first["id"]).collect()] == ["root", "one", "one/two"]
     assert tools.fts_search_context("hello", highlight=True)["rows"].first()["highlighted"].count("<mark>") == 1
-    assert tools.grep_context("HELLO").count() == 1 and tools.list_threads().count() == 2
+    assert tools.grep_context("HELLO")["rows"].count() == 1 and tools.list_threads().count() == 2
     got = tools.get_context_by_ids([first["id"]]).first()
     assert got["tags"] == ["x", "y"]
     conflicts = tools.update_context(spark.createDataFrame([(first["id"], "s", 9)], "id string, summary string, expected_version bigint"))
