@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import by_bytes
+
 #: Fixed values of the format: field types (bytes each, code for struct) and tags.
 FIELD = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 13: (4, "I"), 16: (8, "Q"), 18: (8, "Q")}
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_AT, SAMPLES, ROWS, STRIP_N, PLANAR, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
@@ -38,7 +40,9 @@ PAGE = "page int, width int, height int, samples int, bits int, compression stri
 
 
 #: Decoded bytes of one block and of one page at most.
-MAX_BLOCK, MAX_PIXELS = 1 << 28, 1 << 30
+MAX_BLOCK, MAX_PIXELS = 1 << 28, 1 << 28
+#: Bytes of pixels after which decoded pages are given on.
+HELD = 32 << 20
 _RUN = re.compile(rb"(.)\1{2,127}", re.S)
 
 
@@ -238,40 +242,52 @@ def _page(raw: bytes, order: str, tags: dict[int, tuple]) -> dict:
         size = (need,) * len(at)
     if min(len(at), len(size)) < across * down * planes:
         raise ValueError("blocks are missing")
-    whole = bits % 8 == 0
-    made = []
+    # whole bytes go to their place as they are decoded, so that a page is held once; other depths fill rows of blocks
+    whole = bits in (8, 16, 32, 64)
+    page: np.ndarray | None = None
+    lines: list[np.ndarray] = []
     for plane in range(planes):
-        rows = []
         for y in range(down):
-            row = []
+            h, row = min(bh, height - y * bh), []
             for x in range(across):
                 b = (plane * down + y) * across + x
-                h = min(bh, height - y * bh)
                 if min(at[b], size[b]) < 0 or at[b] + size[b] > len(raw):
                     raise ValueError(f"block {b} lies outside the file")
                 block = undo_predictor(decode_block(raw[at[b] : at[b] + size[b]], codec, need)[:need], predictor, bw, per, bits, order)
                 if len(block) < h:
                     raise ValueError(f"block {b} is short")
-                row.append(block[:h])
-            line = row[0] if across == 1 else np.hstack(row)
-            rows.append(line[:, : width * per] if whole else line)
-        made.append(np.vstack(rows))
-    pixels = made[0] if planes == 1 else np.stack(made, axis=-1).reshape(height, width * samples)
-    return info | {"pixels": pixels.astype(pixels.dtype.newbyteorder("<")).tobytes()}
-
-
-def read_pages(raw: bytes | None) -> list[dict]:
-    """One dict per page; a dict with error where something can't be read."""
-    out: list[dict] = []
+                if not whole:
+                    row.append(block[:h])
+                    continue
+                if page is None:
+                    page = np.empty((height, width, samples), block.dtype.newbyteorder("<"))
+                part = block[:h].reshape(h, bw, per)[:, : width - x * bw]
+                page[y * bh : y * bh + h, x * bw : x * bw + part.shape[1], plane : plane + per] = part
+            if not whole:
+                lines.append(row[0] if across == 1 else np.hstack(row))
+    if not whole:
+        made = np.vstack(lines).reshape(planes, height, -1)
+        page = made[0] if planes == 1 else np.stack(list(made), axis=-1).reshape(height, -1)
+    return info | {"pixels": page.tobytes()}
+
+
+def pages_of(raw: bytes | None) -> Iterator[dict]:
+    """One dict per page, decoded as it is asked for; a dict with error where something can't be read."""
+    n = 0
     try:
         for order, tags in _directories(raw or b""):
             try:
-                out.append({"page": len(out)} | _page(raw, order, tags))
+                page = _page(raw, order, tags)
             except (ValueError, LookupError, ArithmeticError, TypeError, MemoryError, struct.error, zlib.error) as e:
-                out.append({"page": len(out), "error": f"{type(e).__name__}: {e}"})
+                page = {"error": f"{type(e).__name__}: {e}"}
+            yield {"page": n} | page
+            n += 1
     except (ValueError, ArithmeticError, MemoryError, struct.error) as e:
-        out.append({"error": f"{type(e).__name__}: {e}"})
-    return out
+        yield {"error": f"{type(e).__name__}: {e}"}
+
+
+def read_pages(raw: bytes | None) -> list[dict]:
+    return list(pages_of(raw))
 
 
 def write_tiff(pages: list[np.ndarray], codec: int = DEFLATE, predictor: int = 2, rows_per_strip: int = 1024, tile: tuple[int, int] | None = None, order: str = "<", level: int = 1) -> bytes:
@@ -320,17 +336,25 @@ def write_tiff(pages: list[np.ndarray], codec: int = DEFLATE, predictor: int = 2
 
 
 def page_feature(pixels: bytes, width: int) -> str:
-    """Mean, spread and a 64-bit difference hash over an 8 x 9 grid of means."""
-    x = np.frombuffer(pixels, np.uint8).reshape(-1, width).astype(np.float64)
-    rows = np.linspace(0, len(x), 9).astype(int)
-    cols = np.linspace(0, width, 10).astype(int)
-    sums = np.zeros((len(x) + 1, width + 1))
-    sums[1:, 1:] = x.cumsum(0).cumsum(1)
-    hi, lo = np.maximum(rows[1:], rows[:-1] + 1).clip(max=len(x)), np.minimum(rows[:-1], len(x) - 1)
-    cell = sums[np.ix_(hi, cols[1:])] - sums[np.ix_(lo, cols[1:])] - sums[np.ix_(hi, cols[:-1])] + sums[np.ix_(lo, cols[:-1])]
-    cell /= (hi - lo)[:, None] * np.diff(cols)[None, :]
+    """Mean, spread and a 64-bit difference hash over an 8 x 9 grid of means; sums are taken in place, a part at a time."""
+    flat = np.frombuffer(pixels, np.uint8)
+    counts = np.zeros(256, np.int64)
+    for at in range(0, len(flat), 1 << 18):
+        counts += np.bincount(flat[at : at + (1 << 18)], minlength=256)
+    levels = np.arange(256)
+    mean = float((counts * levels).sum()) / len(flat)
+    std = float(np.sqrt((counts * (levels - mean) ** 2).sum() / len(flat)))
+    x = flat.reshape(-1, width)
+    rows, cols = (np.linspace(0, n, k).astype(int) for n, k in ((len(x), 9), (width, 10)))
+    cell = np.zeros((8, 9))
+    for i in range(8):
+        lo, hi = min(rows[i], len(x) - 1), max(rows[i + 1], rows[i] + 1)
+        for j in range(9):
+            a, z = min(cols[j], width - 1), max(cols[j + 1], cols[j] + 1)
+            part = x[lo:hi, a:z]
+            cell[i, j] = int(part.sum(dtype=np.int64)) / part.size
     mark = np.packbits(cell[:, 1:] > cell[:, :-1]).tobytes().hex()
-    return f"mean={x.mean():.3f};std={x.std():.3f};dhash={mark}"
+    return f"mean={mean:.3f};std={std:.3f};dhash={mark}"
 
 
 def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
@@ -342,16 +366,28 @@ def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
     kinds = {"page": pa.int32(), "width": pa.int32(), "height": pa.int32(), "samples": pa.int32(), "bits": pa.int32(), "compression": pa.string(), "predictor": pa.int32(), "pixels": pa.binary(), "feature": pa.string(), "error": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = b.column(media)
-            for start in range(0, len(b), 256):  # so that few decoded pages are held at once
-                rows, of = [], []
-                for i, raw in enumerate(own.slice(start, 256).to_pylist()):
-                    pages = read_pages(raw)
-                    rows += [p | {"feature": page_feature(p["pixels"], p["width"] * p["samples"])} if p.get("bits") == 8 and p["pixels"] else p for p in pages]
-                    of += [start + i] * len(pages)
+        for b in (part for whole in batches for part in by_bytes(whole, media)):
+            rows, of, held = [], [], 0
+
+            def batch() -> pa.RecordBatch:
                 made = [pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()]
-                yield pa.RecordBatch.from_arrays([*(b.column(f.name).take(pa.array(of, pa.int64())) for f in rest), *made], names=schema.names)
+                out = pa.RecordBatch.from_arrays([*(b.column(f.name).take(pa.array(of, pa.int64())) for f in rest), *made], names=schema.names)
+                rows.clear()
+                of.clear()
+                return out
+
+            for i, raw in enumerate(b.column(media)):
+                for p in pages_of(raw.as_py()):  # a page is given on before the next one is decoded, once they come to some size
+                    if p.get("bits") == 8 and p["pixels"]:
+                        p["feature"] = page_feature(p["pixels"], p["width"] * p["samples"])
+                    rows.append(p)
+                    of.append(i)
+                    held += len(p.get("pixels") or b"")
+                    if held > HELD:
+                        yield batch()
+                        held = 0
+            if rows:
+                yield batch()
 
     return files.mapInArrow(run, schema)
 
@@ -376,8 +412,7 @@ def text_images(docs: DataFrame, doc: str = "doc_id", text: str = "text", width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start in range(0, len(b), 256):
-                part = b.slice(start, 256)
+            for part in by_bytes(b, "text"):
                 raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
                 media = [text_file(x, width) for x in raws]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in raws], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])

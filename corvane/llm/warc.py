@@ -159,13 +159,16 @@ def lower_names(headers: Column) -> Column:
 
 
 def resolve_revisits(captures: DataFrame, permitted: Iterable[str] = PERMITTED) -> DataFrame:
-    """One row per revisit: record_id, canonical_url, captured_at, status, response_id, headers, body."""
+    """One row per revisit: record_id, canonical_url, captured_at, status, response_id, headers, body.
+
+    A revisit with status 200 is one of an identical payload: it keeps its own headers and takes the earlier body.
+    """
     none = F.expr("cast(map() as map<string,string>)")
     rows = captures.select("record_id", canonical_url(F.col("url")).alias("c"), F.unix_micros("captured_at").alias("t"), "captured_at", "kind", "http_status", lower_names(F.coalesce("headers", none)).alias("headers"), "body")
     full = rows.filter((F.col("kind") == "response") & (F.col("http_status") == 200) & F.col("body").isNotNull())
     revisits = rows.filter(F.col("kind") == "revisit")
     found = as_of(full.select("c", "t", "record_id"), revisits.select("c", "t"), "c", "t", "record_id")
-    asked = revisits.join(found, ["c", "t"], "left").select("record_id", "c", "captured_at", F.col("headers").alias("new"), F.col("found_at").alias("t"), F.col("found").alias("response_id"))
+    asked = revisits.join(found, ["c", "t"], "left").select("record_id", "c", "captured_at", "http_status", F.col("headers").alias("new"), F.col("found_at").alias("t"), F.col("found").alias("response_id"))
     stored = full.groupBy("c", "t").agg(F.max_by(F.struct("headers", "body"), "record_id").alias("r"))
     both = asked.join(stored, ["c", "t"], "left")
     tag = lambda h: F.regexp_replace(F.trim(h["etag"]), "^W/", "")
@@ -173,8 +176,8 @@ def resolve_revisits(captures: DataFrame, permitted: Iterable[str] = PERMITTED)
     tags = tag(old).isNotNull() & tag(new).isNotNull()
     dates = old["last-modified"].isNotNull() & new["last-modified"].isNotNull()
     same = F.when(tags, tag(old) == tag(new)).when(dates, F.trim(old["last-modified"]) == F.trim(new["last-modified"]))
-    status = F.when(F.col("r").isNull(), "missing").when(same.isNull(), "unvalidated").when(same, "resolved").otherwise("mismatch")
+    status = F.when(F.col("r").isNull(), "missing").when(F.col("http_status") == 200, "identical").when(same.isNull(), "unvalidated").when(same, "resolved").otherwise("mismatch")
     may = F.map_filter(new, lambda k, v: k.isin([p.lower() for p in permitted]))
     merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(may), k)), may)
     ok = F.col("status") == "resolved"
-    return both.withColumn("status", status).select("record_id", F.col("c").alias("canonical_url"), "captured_at", "status", "response_id", F.when(ok, merged).otherwise(new).alias("headers"), F.when(ok, F.col("r.body")).alias("body"))
+    return both.withColumn("status", status).select("record_id", F.col("c").alias("canonical_url"), "captured_at", "status", "response_id", F.when(ok, merged).otherwise(new).alias("headers"), F.when(ok | (F.col("status") == "identical"), F.col("r.body")).alias("body"))

@@ -11,7 +11,7 @@ A document goes through explode and a hash join as distinct fingerprints beside
 as pairs with items or with its text; texts are joined once, where a fingerprint matched.
 Distinct benchmark windows are joined, so a phrase in many items costs one match.
 
-Defined results: null or empty texts have no words and no hits; repeated
+Defined results: null or empty texts have no words and no hits; texts may be of any length, and a long one that is a benchmark item itself takes time in proportion to its words; repeated
 documents (or items) each get their own result; items without words are ignored;
 an empty benchmark hits nothing; other columns of the input are ignored.
 """
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, broadcast_if_small, let, materialize, scratch, text_key
 
+#: Windows of a text that are looked up together.
+STRETCH = 1024
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -46,18 +48,36 @@ def _per_length(w: Column, m: int, gram: int, body, empty: str) -> Column:
 
 
 def _prints(w: Column, lengths: list[int], gram: int) -> Column:
-    one = lambda m: _per_length(w, m, gram, lambda x, g, k: F.transform(_starts(x, m), lambda s: F.array_min(F.slice(g, s, m - k + 1))), "cast(array() as array<bigint>)")
+    one = lambda m: _per_length(w, m, gram, lambda x, g, k: _lows(g, x, m, k), "cast(array() as array<bigint>)")
     return F.array_distinct(F.concat(*[one(m) for m in lengths]))
 
 
+def _lows(g: Column, x: Column, m: int, k: int) -> Column:
+    """The fingerprint of each window of m words, in order."""
+    return F.transform(_starts(x, m), lambda s: F.array_min(F.slice(g, s, m - k + 1)))
+
+
+def _marked(lows: Column, among: Column) -> Column:
+    """(start, print) of the fingerprints that are in among. Both are met by hashing, a stretch of starts at a time,
+    so that a long text with many matches isn't searched through for each start."""
+    nothing = F.expr("cast(array() as array<struct<start:int,print:bigint>>)")
+
+    def stretch(at: Column, part: Column) -> Column:
+        rows = lambda hit: F.filter(F.transform(part, lambda p, i: F.struct((at * STRETCH + i + 1).cast("int").alias("start"), p.alias("print"))), lambda r: F.array_contains(hit, r["print"]))
+        return let(F.array_intersect(part, among), lambda hit: F.when(F.size(hit) > 0, rows(hit)).otherwise(nothing))
+
+    count = F.floor((F.size(lows) - 1) / STRETCH).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), count), lambda at: let(F.slice(lows, at * STRETCH + 1, F.lit(STRETCH)), lambda part: stretch(at, part))))
+
+
 def _windows(w: Column, lengths: list[int], gram: int, among: Column | None = None) -> Column:
     """(start, length, words, fingerprint) of the windows, of those with a fingerprint in among if given."""
 
     def one(m: int) -> Column:
         def body(x: Column, g: Column, k: int) -> Column:
-            low = lambda s: F.array_min(F.slice(g, s, m - k + 1))
-            at = _starts(x, m) if among is None else F.filter(_starts(x, m), lambda s: F.array_contains(among, low(s)))
-            return F.transform(at, lambda s: F.struct(s.alias("start"), F.lit(m).alias("length"), F.slice(x, s, m).alias("window"), low(s).alias("print")))
+            whole = lambda r: F.struct(r["start"].alias("start"), F.lit(m).alias("length"), F.slice(x, r["start"], m).alias("window"), r["print"].alias("print"))
+            each = lambda v: F.transform(v, lambda p, i: F.struct((i + 1).alias("start"), p.alias("print"))) if among is None else _marked(v, among)
+            return let(_lows(g, x, m, k), lambda v: F.transform(each(v), whole))
 
         return _per_length(w, m, gram, body, "cast(array() as array<struct<start:int,length:int,window:array<string>,print:bigint>>)")
 

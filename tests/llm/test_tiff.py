@@ -131,3 +131,44 @@ def test_text_files_use_every_layout():
         assert b"".join(p["pixels"] for p in pages) == raw.ljust(-(-len(raw) // 64) * 64, b"\0") and tiff.text_file(raw) == tiff.text_file(bytes(raw))
         seen.add((pages[0]["compression"], pages[0]["predictor"], len(pages) > 1))
     assert {(c, p, m) for c, p in (("none", 1), ("packbits", 1), ("lzw", 1), ("lzw", 2), ("deflate", 1), ("deflate", 2)) for m in (True, False)} <= seen
+
+
+def test_a_large_page_is_held_once_or_twice():
+    """A small file that unfolds to the largest page allowed, 256 MB, stays below 1 GB; a larger one is an error row."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, zlib, numpy as np
+from corvane.llm import tiff
+def file(w, h):
+    rows = 1024
+    strips = [zlib.compress(bytes(w * min(rows, h - y)), 9) for y in range(0, h, rows)]
+    raw, at = bytearray(b"II" + (42).to_bytes(2, "little") + bytes(4)), []
+    for s in strips:
+        at.append(len(raw)); raw += s
+    put = lambda xs: b"".join(x.to_bytes(4, "little") for x in xs)
+    a = len(raw); raw += put(at); n = len(raw); raw += put(map(len, strips))
+    tags = [(256, w), (257, h), (258, 8), (259, 8), (273, (len(at), a)), (277, 1), (278, rows), (279, (len(at), n))]
+    raw[4:8] = len(raw).to_bytes(4, "little")
+    raw += len(tags).to_bytes(2, "little")
+    for t, v in tags:
+        c, v = v if isinstance(v, tuple) else (1, v)
+        raw += t.to_bytes(2, "little") + (4).to_bytes(2, "little") + c.to_bytes(4, "little") + v.to_bytes(4, "little")
+    return bytes(raw + bytes(4))
+p = tiff.read_pages(file(16384, 16384))[0]
+assert len(p["pixels"]) == 1 << 28 and tiff.page_feature(p["pixels"], 16384).startswith("mean=0.000;std=0.000;")
+assert "too large" in tiff.read_pages(file(16384, 16385))[0]["error"]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 1000
+
+
+def test_features_of_any_size():
+    r = np.random.default_rng(3)
+    for h, w in ((1, 1), (1, 5), (3, 64), (100, 64), (9, 8), (50, 300)):
+        x = r.integers(0, 256, (h, w)).astype(np.uint8)
+        got = tiff.page_feature(x.tobytes(), w)
+        assert got.startswith(f"mean={x.mean():.3f};std={x.std():.3f};dhash=") and len(got.split("=")[-1]) == 16

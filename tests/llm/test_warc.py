@@ -29,7 +29,7 @@ def test_brute_force(spark):
         at = None if rng.random() < 0.02 else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randint(0, 150))
         kind = rng.choice(["response", "revisit", "request"])
         h = rng.choice([None, {}, {"etag": rng.choice(['"a"', 'W/"a"', '"b"'])}, {"last-modified": rng.choice(["x", "y"]), "server": "s"}, {"etag": '"a"', "cache-control": str(i), "content-type": "q"}])
-        rows.append((f"r{i:04}", url, at, kind, rng.choice([200, 200, 404]), h, rng.choice([b"body%d" % i, b"body%d" % i, None]), "x", 1))
+        rows.append((f"r{i:04}", url, at, kind, rng.choice([200, 200, 404] if kind == "response" else [200, 304, 304]), h, rng.choice([b"body%d" % i, b"body%d" % i, None]), "x", 1))
     rows += rows[:40]
     got = warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA))
     got = sorted(((r["record_id"], r["status"], r["response_id"], dict(r["headers"]), r["body"] and bytes(r["body"])) for r in got.collect()), key=str)
@@ -46,10 +46,12 @@ def test_brute_force(spark):
             tag = lambda h: h["etag"].removeprefix("W/") if "etag" in h else None
             same = tag(old) == tag(new) if tag(old) and tag(new) else old["last-modified"] == new["last-modified"] if "last-modified" in old and "last-modified" in new else None
             status = "unvalidated" if same is None else "resolved" if same else "mismatch"
-            if same:
+            if r[4] == 200:
+                status, body = "identical", best[6]
+            elif same:
                 headers, body = old | {k: v for k, v in new.items() if k in warc.PERMITTED}, best[6]
         want.append((r[0], status, best and best[0], headers, body))
-    assert got == sorted(want, key=str) and {w[1] for w in want} == {"missing", "unvalidated", "resolved", "mismatch"}
+    assert got == sorted(want, key=str) and {w[1] for w in want} == {"missing", "unvalidated", "resolved", "mismatch", "identical"}
 
 
 def test_empty(spark):

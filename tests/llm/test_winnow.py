@@ -58,3 +58,16 @@ def test_no_python_in_plan(spark):
     b = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     plan = winnow.decontaminate(d, b)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_long_text_that_is_an_item(spark):
+    """Every window of a long text matches, across the stretches that are looked up together; a stray word in it breaks ten."""
+    import random
+
+    r = random.Random(4)
+    w = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(5000)]
+    broken = [*w[:1020], "stray", *w[1021:]]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(broken)), (3, " ".join(w[3000:3009]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(w)), (8, " ".join(w[1019:1031]))], "item_id long, text string")
+    got = {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"]) for x in winnow.digest(winnow.decontaminate(docs, items)).collect()}
+    assert got == {1: (5000, 5000, 2), 2: (5000, 4999, 2), 3: (9, 0, 0)}
