@@ -41,6 +41,14 @@ from .common import by_bytes
 BLOCK, TAIL, STRIDE, SHORT = 1 << 19, 16, 32, 4
 #: Characters on which both encoders are known to agree.
 ODD = re.compile("[^\t-\r -~¡-ɏ‐-‧‰-⁞€]")
+#: Bytes of plain characters only, where they are valid UTF-8: what is left without them decides whether to look closer.
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
+
+
+def odd(text: str) -> bool:
+    """Whether a text has other characters than the plain set."""
+    return bool(text.encode("utf-8", "surrogatepass").translate(None, _PLAIN)) and ODD.search(text) is not None
+
 
 
 @functools.cache
@@ -70,7 +78,7 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         slow, fast, _ = _loaded(self.path, self.ranks)
-        ids = slow.encode(text, add_special_tokens=False).ids if ODD.search(text) else fast.encode_ordinary(text)
+        ids = slow.encode(text, add_special_tokens=False).ids if odd(text) else fast.encode_ordinary(text)
         return np.frombuffer(array("I", ids), np.uint32)
 
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:

@@ -25,6 +25,7 @@ def slow(text):
 @given(st.text(max_size=80) | st.text(alphabet="aé ß\t\n\r'sldve.,!?1½0–…“”€ \x0b\x0cŽɏ~_-", max_size=80))
 def test_ids(text):
     assert ENCODER.encode(text).tolist() == slow(text)
+    assert packing.odd(text) == bool(packing.ODD.search(text))
 
 
 def test_ids_of_long_texts():
