@@ -10,6 +10,7 @@ SETEXT = re.compile(r" {0,3}(?:(=+)|(-+))[ \t]*$")
 RULE = re.compile(r" {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$")
 CODE = re.compile(r"(?: {4}|\t)")
 STARTS_BLOCK = re.compile(r" {0,3}(?:[-+*]|\d{1,9}[.)])(?:[ \t]|$)| {0,3}>")
+FENCES, UNDERLINES = "`~", "=-"
 ROOT = "root"
 SLUG_CHARS = 64
 
@@ -42,7 +43,8 @@ def headings(text: str) -> list[tuple[int, str, int]]:
     closes is known from the longest closing fence of its sign below, found from the end first.
     """
     lines, starts = split_lines(text)
-    fences = [_fence(x) for x in lines]
+    signs = [x.lstrip(" ")[:1] for x in lines]  # tells most patterns apart without trying them
+    fences = [_fence(x) if c in FENCES and c else None for x, c in zip(lines, signs, strict=True)]
     below, longest = [], {"`": 0, "~": 0}
     for f in reversed(fences):
         below.append((longest["`"], longest["~"]))
@@ -53,7 +55,7 @@ def headings(text: str) -> list[tuple[int, str, int]]:
     out: list[tuple[int, str, int]] = []
     paragraph: list[tuple[str, int]] = []
     closer: tuple[str, int] | None = None
-    for line, start, fence, after in zip(lines, starts, fences, below, strict=True):
+    for line, sign, start, fence, after in zip(lines, signs, starts, fences, below, strict=True):
         if closer:
             if fence and fence[3] and fence[0] == closer[0] and fence[1] >= closer[1]:
                 closer = None
@@ -61,13 +63,13 @@ def headings(text: str) -> list[tuple[int, str, int]]:
             paragraph.clear()
             if after["`~".index(fence[0])] >= fence[1]:
                 closer = fence[:2]
-        elif m := ATX.match(line):
+        elif sign == "#" and (m := ATX.match(line)):
             paragraph.clear()
             out.append((len(m[1]), re.sub(r"(?:^|[ \t]+)#+$", "", (m[2] or "").strip()).strip(), start))
-        elif paragraph and (m := SETEXT.match(line)):
+        elif paragraph and sign and sign in UNDERLINES and (m := SETEXT.match(line)):
             out.append((1 if m[1] else 2, " ".join(x.strip() for x, _ in paragraph), paragraph[0][1]))
             paragraph.clear()
-        elif not line.strip() or STARTS_BLOCK.match(line) or CODE.match(line) or RULE.match(line):
+        elif not line.strip() or CODE.match(line) or (not sign.isalpha() and (STARTS_BLOCK.match(line) or RULE.match(line))):
             paragraph.clear()
         else:
             if paragraph and SETEXT.match(paragraph[-1][0]):  # an underline below nothing is text, but joins no paragraph

@@ -7,12 +7,15 @@ import time
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, outline, passages
 from ..schema import names as names_of
 
+#: Rows of what entries are taken apart into that are given on together.
+ROWS = 20_000
 MATCH = "id string, line_number int, line string, start int, end int, before array<string>, after array<string>, timed_out boolean"
 NODE = "node_id string, level int, ordinal int, title string, char_start int, char_end int, parent_id string"
 
@@ -125,15 +128,24 @@ def line_count(text: Column) -> Column:
     return F.size(F.split(text, "\r\n|\n"))
 
 
-def _table(entries: DataFrame, doc: str, text: str, schema: str, body: Callable[[str], list[tuple]]) -> DataFrame:
+def _table(entries: DataFrame, doc: str, text: str, schema: str, body: Callable[[str], Iterable[tuple]]) -> DataFrame:
     full = f"id string, {schema}"
-    names = names_of(full)
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    own = pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in full.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), own, strict=True)], schema=own)
         for b in batches:
-            yield pd.DataFrame([(i, *r) for i, t in zip(b["id"], b["t"], strict=True) for r in body(t or "")], columns=names)
-
-    return entries.select(F.col(doc).cast("string").alias("id"), F.col(text).alias("t")).mapInPandas(run, full)
+            for i, t in zip(b.column("id").to_pylist(), b.column("t"), strict=True):
+                rows.extend((i, *r) for r in body(t.as_py() or ""))
+                if len(rows) >= ROWS:
+                    yield batch()
+                    rows.clear()
+        if rows:
+            yield batch()
+
+    return entries.select(F.col(doc).cast("string").alias("id"), F.col(text).alias("t")).mapInArrow(run, full)
 
 
 def outline_nodes(entries: DataFrame, max_depth: int = 6, doc: str = "id", text: str = "text_content") -> DataFrame:
