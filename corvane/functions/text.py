@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from .stemming import SNOWBALL
+
 WORD = r"[\p{L}\p{N}]+"
 _ACCENTED = [c for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii()]
 _PLAIN = [unicodedata.normalize("NFD", c)[0] for c in _ACCENTED]
@@ -20,19 +22,21 @@ _PLAIN = [unicodedata.normalize("NFD", c)[0] for c in _ACCENTED]
 _TO_PLAIN = str.maketrans("".join(_ACCENTED), "".join(_PLAIN))
 
 
-def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased, without Latin accents."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(_ACCENTED), "".join(_PLAIN)), F.lit(WORD), F.lit(0))
+def tokens(text: Column, plain: bool = True) -> Column:
+    """Runs of letters and digits, lower-cased, without Latin accents if plain."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_extract_all(F.translate(low, "".join(_ACCENTED), "".join(_PLAIN)) if plain else low, F.lit(WORD), F.lit(0))
 
 
-def tokenize(text: str) -> list[tuple[str, int, int]]:
+def tokenize(text: str, plain: bool = True) -> list[tuple[str, int, int]]:
     """The same on the driver or in a worker: (token, start, end) in code points."""
     out, start = [], None
     for i, c in enumerate(text + " "):
         if unicodedata.category(c)[0] in "LN":
             start = i if start is None else start
         elif start is not None:
-            out.append((text[start:i].lower().translate(_TO_PLAIN), start, i))
+            low = text[start:i].lower()
+            out.append((low.translate(_TO_PLAIN) if plain else low, start, i))
             start = None
     return out
 
@@ -100,11 +104,43 @@ def stem(w: str) -> str:
     return w
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def stems(ws: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stems of arrays of tokens."""
-    for s in ws:
-        yield s.map(lambda a: [stem(x) for x in a])
+def plain(language: str) -> bool:
+    """Whether the terms of a language are words without accents: all but those that a Snowball algorithm stems."""
+    return language.lower() not in SNOWBALL
+
+
+def stemmer(language: str) -> Callable[[str], str] | None:
+    """What stems the words of a language; None where words stay as they are."""
+    return stem if language.lower() == "english" else SNOWBALL.get(language.lower())
+
+
+def terms(text: Column, language: str) -> Column:
+    """The words of a text as searches in a language compare them: stems where the language has a stemmer, else tokens."""
+    words = tokens(text, plain(language))
+    if stemmer(language) is None:
+        return words
+
+    @pandas_udf(T.ArrayType(T.StringType()))
+    def stems(ws: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cut = stemmer(language)
+        for s in ws:
+            yield s.map(lambda a: [cut(x) for x in a])
+
+    return stems(words)
+
+
+def terms_by_row(text: Column, language: Column) -> Column:
+    """Terms (word, stem) of texts, each in the language that its row names; words of other languages or of none are their own stems."""
+    low = F.lower(language)
+    words = F.when(F.coalesce(low.isin(*SNOWBALL), F.lit(False)), tokens(text, False)).otherwise(tokens(text))
+
+    @pandas_udf(T.ArrayType(T.StringType()))
+    def stems(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ws, names in batches:
+            cuts = [stemmer(n) if isinstance(n, str) else None for n in names]
+            yield pd.Series([[cut(x) for x in a] if cut else a for a, cut in zip(ws, cuts, strict=True)])
+
+    return F.arrays_zip(words.alias("word"), stems(words, low).alias("stem"))
 
 
 def storable(text: Column) -> Column:

@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import stem, stems, tokenize, tokens
+from ..functions.text import plain, stemmer, terms, tokenize
 from ..schema import MAX_QUERY_CHARS
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Nine of the languages have a stemmer, English among them; the others compare words without accents, as "simple" does.
 #: Languages whose search drops and, or, not.
 STOPWORD_LANGUAGES = {"english", "hindi", "russian"}
 LANGUAGES = (
@@ -48,10 +49,10 @@ class QueryError(ValueError):
     pass
 
 
-def _leaf(text: str, prefix: bool, stemmed: bool) -> Leaf | None:
-    ws = tuple(t for t, _, _ in tokenize(text))
-    if stemmed:
-        ws = tuple(w if prefix and i == len(ws) - 1 else stem(w) for i, w in enumerate(ws))
+def _leaf(text: str, prefix: bool, language: str) -> Leaf | None:
+    ws, cut = tuple(t for t, _, _ in tokenize(text, plain(language))), stemmer(language)
+    if cut:
+        ws = tuple(w if prefix and i == len(ws) - 1 else cut(w) for i, w in enumerate(ws))
     return Leaf(ws, prefix) if ws else None
 
 
@@ -68,33 +69,32 @@ def parse(query: str, mode: str = "match", language: str = "english") -> Leaf |
         raise QueryError("query holds a NUL or a lone surrogate")
     if language.lower() not in LANGUAGES:
         raise QueryError(f"language {language!r} isn't known")
-    st = language.lower() == "english"
     drop = language.lower() in STOPWORD_LANGUAGES
     if mode == "phrase":
-        return _leaf(query, False, st)
+        return _leaf(query, False, language)
     if mode == "boolean":
         try:
-            return _Grammar(query, st).whole()
+            return _Grammar(query, language).whole()
         except QueryError:
             mode = "match"
     out = []
     for tok in re.findall(r'"[^"]*"|\S+', query):
         if len(tok) >= 2 and tok[0] == tok[-1] == '"':
-            out.append(_leaf(tok, mode == "prefix", st))
+            out.append(_leaf(tok, mode == "prefix", language))
             continue
         for part in tok.rstrip("*").split('"') if mode == "prefix" else tok.split('"'):
             for w in part.replace("-", " ").split() if mode == "prefix" else [part.replace("-", " ").strip()]:
                 if w and not (drop and w.lower() in ("and", "or", "not")):
-                    out.append(_leaf(w, mode == "prefix", st))
+                    out.append(_leaf(w, mode == "prefix", language))
     return _all(out)
 
 
 class _Grammar:
     """or < and (also implicit) < not < atom; operators in capitals."""
 
-    def __init__(self, query: str, stemmed: bool):
+    def __init__(self, query: str, language: str):
         self.toks = re.findall(r'"[^"]*"\*?|[()]|[^\s()"]+|"', query)
-        self.at, self.stemmed = 0, stemmed
+        self.at, self.language = 0, language
 
     def peek(self) -> str | None:
         return self.toks[self.at] if self.at < len(self.toks) else None
@@ -140,7 +140,7 @@ class _Grammar:
             return out
         if t is None or t in (")", "AND", "OR", "NOT", '"') or (t[0] != '"' and re.search(r"[^\w*]", t)):
             raise QueryError(f"unexpected {t!r}")
-        leaf = _leaf(t, t.endswith("*"), self.stemmed)
+        leaf = _leaf(t, t.endswith("*"), self.language)
         if leaf is None:
             raise QueryError("empty term")
         return leaf
@@ -202,10 +202,9 @@ def search(docs: DataFrame, query: str | Leaf | Node | None, mode: str = "match"
     tree = parse(query, mode, language) if isinstance(query, str) else query
     if tree is None:
         return docs.sparkSession.createDataFrame([], schema)
-    toks = tokens(F.col(text))
     every, ranked = every_leaf(tree), leaves(tree)
     # the array goes through a lambda, so that it is built once per row
-    counted = docs.select(doc, F.transform(F.array(stems(toks) if language.lower() == "english" else toks), lambda t: F.struct(F.size(t).alias("dl"), *[count(t, x).alias(f"n{i}") for i, x in enumerate(every)]))[0].alias("c")).select(doc, "c.*")
+    counted = docs.select(doc, F.transform(F.array(terms(F.col(text), language)), lambda t: F.struct(F.size(t).alias("dl"), *[count(t, x).alias(f"n{i}") for i, x in enumerate(every)]))[0].alias("c")).select(doc, "c.*")
     total = counted.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"n{every.index(x)}") > 0).alias(f"df{i}") for i, x in enumerate(ranked)])
     hit = counted.filter(matches(tree, {x: F.col(f"n{i}") for i, x in enumerate(every)}))
     if keep is not None:
@@ -219,8 +218,7 @@ def ranked(hits: DataFrame, doc: str = "id") -> list[Column]:
 
 def postings(docs: DataFrame, doc: str = "id", text: str = "text_content", language: str = "simple", buckets: int = 64) -> DataFrame:
     """Inverted index: bucket, term, doc, tf, positions, dl; meant to be written partitioned by bucket."""
-    toks = tokens(F.col(text))
-    t = docs.select(F.col(doc).alias("doc"), (stems(toks) if language.lower() == "english" else toks).alias("ts"))
+    t = docs.select(F.col(doc).alias("doc"), terms(F.col(text), language).alias("ts"))
     each = t.select("doc", F.size("ts").alias("dl"), F.posexplode("ts").alias("pos", "term"))
     index = each.groupBy("term", "doc").agg(F.first("dl").alias("dl"), F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     return index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
@@ -229,13 +227,13 @@ def postings(docs: DataFrame, doc: str = "id", text: str = "text_content", langu
 def highlight(text: Column, tree: Leaf | Node | None, language: str = "simple") -> Column:
     """The whole text with <mark> around what the leaves match; for the rows of a page."""
     want = leaves(tree)
-    st = language.lower() == "english"
+    bare = plain(language)
 
     def one(t: str | None) -> str | None:
         if not t or not want:
             return t
-        toks = tokenize(t)
-        words = [stem(w) if st else w for w, _, _ in toks]
+        toks, cut = tokenize(t, bare), stemmer(language) or str
+        words = [cut(w) for w, _, _ in toks]
         marked: list[list[int]] = []
         i = 0
         while i < len(toks):
@@ -291,8 +289,7 @@ def by_cover(positions: DataFrame, doc: str = "id") -> DataFrame:
 
 def cover_rank(docs: DataFrame, query: str, doc: str = "id", text: str = "text_content", language: str = "simple") -> DataFrame:
     """(id, score) of documents with all words, those of phrases too, by cover density. An index gives the same without reading texts."""
-    toks = tokens(F.col(text))
-    pos = docs.select(doc, F.transform(F.array(stems(toks) if language.lower() == "english" else toks), lambda t: F.array(*[_positions(t, x.words[0]) for x in words_of(query, language)]))[0].alias("ps"))
+    pos = docs.select(doc, F.transform(F.array(terms(F.col(text), language)), lambda t: F.array(*[_positions(t, x.words[0]) for x in words_of(query, language)]))[0].alias("ps"))
     return by_cover(pos, doc)
 
 

@@ -375,6 +375,30 @@ def fts_stemmed(spark, d):
     return index(spark, d, "english").search(fts.parse("thats oner", "match", "english"))
 
 
+@query
+def fts_german(spark, d):
+    return index(spark, d, "german").search(fts.parse("einen nichtes", "match", "german"))
+
+
+@query
+def fts_french(spark, d):
+    return fts.search(documents(spark, d), "mentonne dans", "match", "french")
+
+
+@query
+def fts_spanish(spark, d):
+    return fts.search(documents(spark, d), "paras conos", "match", "spanish")
+
+
+@query
+def stem_counts(spark, d):
+    """Stems of each language's documents: in how many, how often, of how many words."""
+    names = {"de": "german", "en": "english", "es": "spanish", "fr": "french"}  # fixed values: the languages of the table
+    named = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("lang")]
+    each = documents(spark, d).select("id", "lang", F.explode(tx.terms_by_row(F.col("text_content"), named)).alias("t")).select("id", "lang", "t.*")
+    return each.groupBy("lang", "stem").agg(F.countDistinct("id").alias("df"), F.count("*").alias("cf"), F.countDistinct("word").alias("forms"))
+
+
 @query
 def fts_cover_density(spark, d):
     return index(spark, d).cover_rank("that with").select("id", F.round("score", 9).alias("score"))

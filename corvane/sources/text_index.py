@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import stems, tokens
+from ..functions.text import terms
 from ..operators import fts
 from .commits import Snapshot, Transaction
 
@@ -107,8 +107,7 @@ def bucket(term: Column, buckets: int = BUCKETS) -> Column:
 
 def tables(docs: DataFrame, language: str, doc: str = "id", text: str = "text_content", buckets: int = BUCKETS, spread: int = 1, segment: int = 0) -> tuple[DataFrame, DataFrame]:
     """Postings and lengths of docs. spread is the number of files of a bucket, which splits frequent terms."""
-    toks = tokens(F.col(text))
-    lengths = docs.select(F.col(doc).alias("id"), F.size(stems(toks) if language.lower() == "english" else toks).alias("dl"), F.lit(segment).alias("seg"))
+    lengths = docs.select(F.col(doc).alias("id"), F.size(terms(F.col(text), language)).alias("dl"), F.lit(segment).alias("seg"))
     rows = fts.postings(docs, doc, text, language, buckets).withColumn("seg", F.lit(segment))
     return _dealt(rows, spread), lengths
 
