@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import outline
+from .functions.metadata_columns import misfit
 from .functions.text import content_hash, uuid7
 from .operators import dml, filters, fts, fusion, quant, scan, stats, textops, vector
 from .operators.filters import normalised_tags
@@ -34,7 +35,7 @@ class Tools:
         take the place of the former. One pass serves one row or many, and one commit all tables: after a failure
         none has changed.
         """
-        good, bad = dml.accepted(rows, atomic)
+        good, bad = dml.accepted(rows, atomic, self.store.snapshot().typed)
         good = good.withColumn("created_at", F.current_timestamp() if "created_at" not in rows.columns else F.coalesce("created_at", F.current_timestamp()))
         good = good.withColumn("id", uuid7(F.col("created_at"), F.col("thread_id"), F.col("source"), F.col("text_content"), F.monotonically_increasing_id()))
         good = good.select("id", "thread_id", "source", "content_type", "text_content", "metadata", "content_hash", "created_at", "tags", F.coalesce("images", F.array().cast("array<string>")).alias("images"))
@@ -107,6 +108,10 @@ class Tools:
                 before = derived.hashes(own)
                 after = done.filter("text_content is not null").select(F.col("id").alias("context_id"), content_hash(F.col("text_content")).alias("new"))
                 altered = tx.stage(after.join(before, "context_id").filter("new != current").select(F.col("context_id").alias("id")))
+            changed = [k for k in tx.typed if "metadata" in asked.columns or "patch" in asked.columns]
+            for k in changed:
+                if not out.join(asked.select("id"), "id", "left_semi").filter(misfit(F.col("metadata"), k, tx.typed[k])).isEmpty():
+                    raise ValueError(f"metadata {k} is no {tx.typed[k]}")
             tx.write("entries", out, touched)
             if "tags" in asked.columns:
                 given = done.filter("tags is not null").select(F.col("id").alias("context_entry_id"), normalised_tags(F.col("tags")).alias("tags"))
@@ -170,10 +175,10 @@ class Tools:
         return e.join(scan.tags_of(e, self.store.read("tags")), "id", "left").join(scan.images_of(e, self.store.read("images"), include_images), "id", "left").orderBy(*scan.newest_first())
 
     def search_context(self, **conditions) -> dict:
-        return scan.search_context(self._entries(), self.store.read("tags"), **conditions)
+        return scan.search_context(self.store.snapshot().read("entries", typed=True), self.store.read("tags"), **conditions)
 
     def _kept(self, conditions: Mapping) -> DataFrame:
-        return filters.apply_filters(self._entries(), self.store.read("tags"), **conditions)
+        return filters.apply_filters(self.store.snapshot().read("entries", typed=True), self.store.read("tags"), **conditions)
 
     def fts_search_context(self, query: str, mode: str = "match", limit: int = 10, offset: int = 0, highlight: bool = False, **conditions) -> dict:
         try:

@@ -9,9 +9,10 @@ the stored integer to double.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -164,18 +165,19 @@ def simple_equality(metadata: Column, wanted: Mapping[str, object]) -> list[Colu
     return [predicate(metadata, k, "eq", v, case_sensitive=True) for k, v in wanted.items()]
 
 
-def compile_filters(metadata: Column, filters: Iterable[Mapping], wanted: Mapping[str, object] | None = None, use_and: bool = True) -> tuple[Column | None, list[str]]:
-    """The joined condition (None if there is none) and the validation errors."""
+def compile_filters(metadata: Column, filters: Iterable[Mapping], wanted: Mapping[str, object] | None = None, use_and: bool = True, test: Callable[..., Column] | None = None) -> tuple[Column | None, list[str]]:
+    """The joined condition (None if there is none) and the validation errors. test makes the condition of a filter: predicate(), if none is given."""
+    test = test or functools.partial(predicate, metadata)
     filters, errors, parts = list(filters), [], []
     if len(filters) > MAX_FILTERS or len(wanted or {}) > MAX_FILTERS:
         return None, [f"at most {MAX_FILTERS} metadata filters"]
     try:
-        parts += simple_equality(metadata, wanted or {})
+        parts += [test(k, "eq", v, True) for k, v in (wanted or {}).items()]
     except FilterError as e:
         errors.append(str(e))
     for f in filters:
         try:
-            parts.append(predicate(metadata, f["key"], f.get("operator", "eq"), f.get("value"), bool(f.get("case_sensitive", False))))
+            parts.append(test(f["key"], f.get("operator", "eq"), f.get("value"), bool(f.get("case_sensitive", False))))
         except (FilterError, KeyError) as e:
             errors.append(str(e))
     if errors or not parts:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metadata_columns import misfit
 from ..functions.text import content_hash, merge_patch, storable, storable_metadata
 from ..schema import ENTRY_KEY, MAX_IMAGE_BYTES, MAX_IMAGES, MAX_TAG_CHARS, MAX_TAGS, MAX_THREAD_CHARS
 from ..session import materialized
@@ -165,8 +166,8 @@ def image_type(data: Column) -> Column:
     return F.when(head.startswith("89504E47"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("47494638"), "image/gif").when(head.startswith("52494646") & head.endswith("57454250"), "image/webp").otherwise("application/octet-stream")
 
 
-def validated(batch: DataFrame) -> DataFrame:
-    """Rows to store (thread_id, source, text_content, metadata, tags, images) with error, null if valid, and what is derived."""
+def validated(batch: DataFrame, typed: Mapping[str, str] | None = None) -> DataFrame:
+    """Rows to store (thread_id, source, text_content, metadata, tags, images) with error, null if valid, and what is derived. typed: kinds of metadata keys."""
     bad = lambda c, m: F.when(c, F.lit(m))
     out = batch.withColumn("tags", normalised_tags(F.coalesce("tags", F.array().cast("array<string>"))))
     error = F.coalesce(
@@ -174,14 +175,15 @@ def validated(batch: DataFrame) -> DataFrame:
         bad(F.trim(F.coalesce("text_content", F.lit(""))) == "", "text is empty"), bad(~storable(F.col("text_content")), "text holds a NUL"), bad(~storable_metadata(F.col("metadata")), "metadata isn't a JSON object"), bad(F.size("tags") > MAX_TAGS, "too many tags"), bad(F.exists("tags", lambda t: F.length(t) > MAX_TAG_CHARS), "tag is too long"),
         bad(F.size(F.coalesce("images", F.array().cast("array<string>"))) > MAX_IMAGES, "too many images"), bad(F.exists(F.coalesce("images", F.array().cast("array<string>")), lambda i: decoded_image(i).isNull()), "image isn't base64"),
         bad(F.exists(F.coalesce("images", F.array().cast("array<string>")), lambda i: F.octet_length(decoded_image(i)) > MAX_IMAGE_BYTES), "image is too large"),
+        *[bad(misfit(F.col("metadata"), k, kind), f"metadata {k} is no {kind}") for k, kind in (typed or {}).items()],
     )
     out = out.withColumn("error", error).withColumn("content_hash", content_hash(F.col("text_content")))
     return out.withColumn("content_type", F.when(F.size(F.coalesce("images", F.array().cast("array<string>"))) > 0, "multimodal").otherwise("text"))
 
 
-def accepted(batch: DataFrame, atomic: bool) -> tuple[DataFrame, DataFrame]:
+def accepted(batch: DataFrame, atomic: bool, typed: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Valid rows and failures; atomic: nothing is accepted if anything fails."""
-    v = validated(batch)
+    v = validated(batch, typed)
     bad = v.filter("error is not null")
     if atomic and not bad.isEmpty():
         return v.limit(0), bad

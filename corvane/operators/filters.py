@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metadata import compile_filters
+from ..functions import metadata_columns
+from ..functions.metadata import compile_filters, predicate
 from ..schema import MAX_TAGS
 
 
@@ -52,6 +53,17 @@ def filters_applied(**dims: object) -> int:
     return n + len(dims.get("metadata") or {}) + len(dims.get("metadata_filters") or [])
 
 
+def condition_on(entries: DataFrame) -> Callable[..., Column]:
+    """What makes a metadata condition: on the columns of a key where entries have them, on the JSON else."""
+    have = set(entries.columns)
+
+    def test(key: str, operator: str = "eq", value: object = None, case_sensitive: bool = False) -> Column:
+        typed = metadata_columns.name_of(key, "kind") in have
+        return metadata_columns.predicate(key, operator, value, case_sensitive) if typed else predicate(F.col("metadata"), key, operator, value, case_sensitive)
+
+    return test
+
+
 def apply_filters(
     entries: DataFrame, tag_table: DataFrame | None = None, thread_id: str | None = None, source: str | None = None, content_type: str | None = None, tags: Iterable[str] | None = None,
     start_date: str | None = None, end_date: str | None = None, metadata: Mapping[str, object] | None = None, metadata_filters: Iterable[Mapping] | None = None,
@@ -65,7 +77,7 @@ def apply_filters(
         wanted = clean_tags(tags)
         if not wanted or len(wanted) > MAX_TAGS:
             raise InvalidFilter([f"tags: 1 to {MAX_TAGS} that aren't blank"])
-    cond, errors = compile_filters(F.col("metadata"), metadata_filters or [], metadata)
+    cond, errors = compile_filters(F.col("metadata"), metadata_filters or [], metadata, test=condition_on(entries))
     if errors:
         raise InvalidFilter(errors)
     out = entries
@@ -83,4 +95,4 @@ def apply_filters(
             raise InvalidFilter(["no tags table"])
         hit = tag_table.filter(F.col("tag").isin(wanted)).select(F.col("context_entry_id").alias("_tagged"))
         out = out.join(hit, F.col("id") == F.col("_tagged"), "left_semi")
-    return out
+    return metadata_columns.bare(out)

@@ -9,6 +9,7 @@ from contextlib import redirect_stdout
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.metadata_columns import bare
 from ..schema import MAX_OFFSET, MAX_PAGE, RANK_DEPTH
 from . import filters
 
@@ -42,7 +43,7 @@ def search_context(entries: DataFrame, tag_table: DataFrame | None = None, limit
     try:
         rows = page(filters.apply_filters(entries, tag_table, **conditions), newest_first(), clamped, offset)
     except filters.InvalidFilter as e:
-        return {"rows": entries.limit(0), "error": "validation failed", "validation_errors": list(dict.fromkeys(e.errors))}
+        return {"rows": bare(entries).limit(0), "error": "validation failed", "validation_errors": list(dict.fromkeys(e.errors))}
     out = {"rows": rows, "stats": {"filters_applied": filters.filters_applied(**conditions)}}
     if clamped != limit:
         out["clamped_limit"] = clamped

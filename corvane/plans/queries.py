@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata as meta
+from ..functions import metadata_columns
 from ..functions import text as tx
 from ..operators import dml, filters, fts, fusion, quant, scan, stats, textops, vector
 from ..session import shared_dir
 from ..api import Tools
 from ..sources import derived, generation, text_index
-from ..sources.store import Store
+from ..sources.store import Store, index_metadata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -564,5 +565,43 @@ def fts_after_writes(spark, d):
     return found.search(fts.parse("that with", "match", "simple")).select("id", F.round("score", 6).alias("score"))
 
 
+#: Stores whose entries carry typed metadata columns, by session and folder.
+SHREDDED: dict[tuple[str, str], Store] = {}
+
+
+def shredded(spark, d) -> Store:
+    """A store of typed() whose key v has columns; one half is written before the key is declared, the other after it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in SHREDDED:
+        store = Store(spark, f"{shared_dir(spark)}/shredded-{len(SHREDDED)}-{uuid.uuid4().hex}")
+        store.init()
+        null, at = F.lit(None).cast("string"), F.lit("2024-01-01").cast("timestamp")
+        rows = typed(spark, d).select(
+            F.col("id").cast("string").alias("id"), F.col("id").cast("string").alias("thread_id"), F.lit("user").alias("source"), F.lit("text").alias("content_type"), F.lit("text").alias("text_content"), "metadata",
+            null.alias("summary"), null.alias("content_hash"), F.lit(1).cast("bigint").alias("version"), at.alias("created_at"), at.alias("updated_at"),
+        )
+        early = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+        Tools(store, "simple").put_entries(rows.filter(early))
+        index_metadata(store, {"v": "string"})
+        Tools(store, "simple").put_entries(rows.filter(~early))
+        SHREDDED[key] = store
+    return SHREDDED[key]
+
+
+@query
+def meta_columns_matrix(spark, d):
+    """The matrix of meta_typed_matrix on typed columns."""
+    e = shredded(spark, d).snapshot().read("entries", typed=True)
+    return e.select(F.col("id").cast("bigint").alias("id"), *[F.coalesce(metadata_columns.predicate("v", op, v), F.lit(False)).alias(n) for n, op, v in MATRIX])
+
+
+@query
+def meta_columns_search(spark, d):
+    """A filtered search by two conditions on typed columns, which the scan takes."""
+    conditions = [{"key": "v", "operator": "gt", "value": 100}, {"key": "v", "operator": "lte", "value": 5000.5}]
+    found = filters.apply_filters(shredded(spark, d).snapshot().read("entries", typed=True), metadata_filters=conditions)
+    return found.select(F.col("id").cast("bigint").alias("id"), "metadata")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

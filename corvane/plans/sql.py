@@ -118,6 +118,8 @@ SELECT id, (SELECT max(n) > 200 FROM n) OR (SELECT max(b) > 20000 FROM n WHERE n
     "meta_eq": META + "k = 7", "meta_ne": META + "k <> 7", "meta_gt": META + "k > 90", "meta_gte": META + "k >= 91", "meta_lt": META + "k < 5", "meta_lte": META + "k <= 4", "meta_in": META + "k IN (1, 2)",
     "meta_not_in": META + "k NOT IN (1, 2)", "meta_exists": META + "k IS NOT NULL", **{f"meta_{op}": TY + f"SELECT id, metadata FROM v WHERE coalesce({_case(op, v)}, false)" for op, v in TYPED}, "meta_is_not_null": META + "k IS NOT NULL",
     "meta_typed_matrix": TY + "SELECT id, " + ", ".join(f"coalesce({_case(op, v)}, false) AS \"{n}\"" for n, op, v in MATRIX) + " FROM v",
+    "meta_columns_matrix": TY + "SELECT id, " + ", ".join(f"coalesce({_case(op, v)}, false) AS \"{n}\"" for n, op, v in MATRIX) + " FROM v",
+    "meta_columns_search": TY + "SELECT id, metadata FROM v WHERE k IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(CASE WHEN k IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN s END AS DOUBLE) > 100 AND CAST(CASE WHEN k IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN s END AS DOUBLE) <= 5000.5",
     "tags_any_semi": TG + "SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM t WHERE tag IN ('de', 'src3'))",
     "tags_of_entries": TG + "SELECT d.doc_id AS id, coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM t WHERE t.doc_id = d.doc_id), '') AS tags FROM documents d",
     "missing_embeddings_anti": "SELECT doc_id AS id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",

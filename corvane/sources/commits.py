@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import metadata_columns
 from ..schema import ENTRY_KEY, TABLES
 
 #: Column that decides the bucket of a row.
@@ -100,15 +101,21 @@ class Snapshot:
     def schema(self, name: str) -> T.StructType:
         return TABLES[name] if name in TABLES else T.StructType.fromJson(self.state["tables"][name]["schema"])
 
-    def read(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
-        """A table, or some buckets of it."""
+    @property
+    def typed(self) -> dict[str, str]:
+        """Metadata keys that entries have columns of, and what they are declared as."""
+        return self.state.get("typed", {})
+
+    def read(self, name: str, buckets: Iterable[int] | None = None, typed: bool = False) -> DataFrame:
+        """A table, or some buckets of it; entries with the columns of their metadata, if typed."""
         if not self.exists(name):
             raise LookupError(f"no table {name}")
         wanted = None if buckets is None else set(buckets)
         found = [(f, b) for f, b in self.parts(name) if wanted is None or b in wanted]
-        reader = self.spark.read.schema(self.schema(name))
+        schema = T.StructType(self.schema(name).fields + (metadata_columns.fields(self.typed) if typed else []))
+        reader = self.spark.read.schema(schema)
         if not found:
-            return self.spark.createDataFrame([], self.schema(name))
+            return self.spark.createDataFrame([], schema)
         if self.state["tables"][name].get("partition"):
             out = [reader.parquet(f"{self.folder.path}/{name}/{f}") for f, _ in found]
             for more in out[1:]:
@@ -145,6 +152,8 @@ class Transaction(Snapshot):
         if buckets is not None and not list(buckets):
             return
         out = df.select(TABLES[name].names) if name in TABLES else df
+        if name == "entries":
+            out = metadata_columns.shred(out, self.typed)
         at, key = self._new(name), BUCKET_KEY.get(name)
         folder = at.split("/")[1]
         before = self.parts(name) if self.exists(name) else []

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import metadata_columns
 from ..functions.text import repaired, uuid7
 from ..operators import quant, textops
 from ..schema import ENTRY_KEY, MAX_SUMMARIES, TABLES
@@ -53,6 +54,33 @@ class Store(Commits):
         self.commit(lambda tx: tx.delete_of(ids, names))
 
 
+def index_metadata(store: Store, wanted: dict[str, str], mode: str = "additive") -> dict[str, list[str]]:
+    """Bring the metadata keys that have columns in line with wanted (key: kind), in one commit; what was missing, what was extra.
+
+    additive adds, auto adds and drops, warn changes nothing, strict raises where anything differs. A kind that differs counts as missing.
+    Stored values that can't be of the kind are refused. Entries are rewritten once.
+    """
+    if mode not in ("additive", "auto", "warn", "strict"):
+        raise ValueError(f"no mode {mode!r}")
+
+    def body(tx: Transaction) -> dict[str, list[str]]:
+        now = tx.typed
+        missing, extra = sorted(k for k in wanted if now.get(k) != wanted[k]), sorted(k for k in now if k not in wanted)
+        if mode == "strict" and (missing or extra):
+            raise ValueError(f"metadata columns differ: missing {missing}, extra {extra}")
+        after = {k: v for k, v in now.items() if mode != "auto" or k in wanted} | {k: wanted[k] for k in missing}
+        if mode in ("additive", "auto") and after != now:
+            own = tx.read("entries")
+            bad = own.agg(*[F.count_if(metadata_columns.misfit(F.col("metadata"), k, wanted[k])).alias(f"n{i}") for i, k in enumerate(missing)]).first() if missing else ()
+            if any(bad):
+                raise ValueError("; ".join(f"{n} entries have a {k} that is no {wanted[k]}" for k, n in zip(missing, bad, strict=True) if n))
+            tx.state["typed"] = after
+            tx.write("entries", own)
+        return {"missing": missing, "extra": extra}
+
+    return store.commit(body)  # type: ignore[return-value]
+
+
 def put_chunks(tx: Transaction, chunks: DataFrame, model: str) -> None:
     """Chunks (context_id, chunk_index, start_index, end_index, embedding) in place of their entries' former ones, and the entries' embedding metadata.
 
