@@ -17,8 +17,9 @@ against each other in numpy; pairs of different components that pass the filter
 on the full sets. Where nearly all members of a block would pass, it emits its members instead of pairs, and these are joined exactly, by
 prefix filtering: shingles that only one component of them holds can't link; a member most of
 whose shingles are such leaves. The others meet at their rarest remaining shingles, as many as any
-similar set must share one of, and are compared there on the full sets. One link per member and other
-component leaves a comparison.
+similar set must share one of, and are compared there on the full sets. How rare a shingle is, and whether several
+components hold it, is known by slots of its hash: shingles of a slot count together, which any order of shingles that
+all members share allows, so only prefixes leave a task. One link per member and other component leaves a comparison.
 
 Guarantee: candidates are found with probability 1 - (1 - s^rows)^bands (s = 0.8:
 all but 5e-8); a candidate is lost only if its signatures agree in less than percent - 20 of
@@ -317,6 +318,19 @@ def _compare(rows: list[tuple], percent: int) -> Iterator[tuple]:
             yield rows[x][4], rows[y][4]
 
 
+#: Counters of shingles by hash; a bound of what the driver and each task hold of them, 2 MB a column.
+SLOTS = 1 << 18
+
+
+def _slots(x: np.ndarray) -> np.ndarray:
+    return x & (SLOTS - 1)
+
+
+def _arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+    return (flat[i:j] for i, j in zip(at, at[1:], strict=False))
+
+
 def _residue(left: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 500) -> DataFrame:
     """Links (a, b) of the nodes of left that differ in root: for each node at most one per other root and comparison.
 
@@ -328,17 +342,40 @@ def _residue(left: DataFrame, texts: DataFrame, size: int, percent: int, block:
             sets = [shingle_set(t, size).astype(np.int64) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("root"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "root", "set"])
 
+    def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of each slot, and the least and greatest root among them, of one task."""
+        m, low, high = np.zeros(SLOTS, np.int64), np.full(SLOTS, 2**63 - 1), np.full(SLOTS, -(2**63))
+        for b in batches:
+            for root, x in zip(b.column("root").to_pylist(), _arrays(b.column("set")), strict=True):
+                at = _slots(x)
+                np.add.at(m, at, 1)
+                r = int.from_bytes(root[:8], "little", signed=True)
+                low[at], high[at] = np.minimum(low[at], r), np.maximum(high[at], r)
+        at = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[at]) for c in (m, low, high))], names=["slot", "m", "low", "high"])
+
     own = materialize(left.join(texts, "node").select("node", "root", "text").mapInArrow(hashes, "node binary, root binary, set array<long>"))
-    several = lambda df: df.groupBy("e").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("e", "m")
     # dealt out evenly: the members of a few blocks may stand in a few files
     even = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    each = even.select("node", "root", F.size("set").alias("n"), F.explode("set").alias("e"))
-    ranked = each.join(materialize(several(each)), "e").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("m", "e"))).alias("xs"))
-    # n - least + 1 elements are the prefix; those that one root holds come first in the order and can't meet another root
-    least = F.floor((percent * F.col("n") + 99) / 100)
-    ranked = ranked.filter(F.size("xs") >= least).withColumn("xs", F.slice("xs", 1, (F.size("xs") - least + 1).cast("int")))
-    meet = materialize(ranked.select("node", "root", F.explode("xs.e").alias("e")))
-    shared = materialize(several(meet))
+    total = even.mapInArrow(counters, "slot long, m long, low long, high long").groupBy("slot").agg(F.sum("m").alias("m"), F.min("low").alias("low"), F.max("high").alias("high"))
+    held = np.zeros(SLOTS, np.int64)
+    for r in total.filter("low != high").select("slot", "m").toLocalIterator():  # at most SLOTS rows
+        held[r["slot"]] = r["m"]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first n - least + 1 elements of each set, elements of rare slots first; those of slots that one root holds count before all and can't meet another root."""
+        for b in batches:
+            nodes, roots, found = b.column("node").to_pylist(), b.column("root").to_pylist(), []
+            for x in _arrays(b.column("set")):
+                m = held[_slots(x)]
+                least, kept = -(-percent * len(x) // 100), x[m > 0]
+                order = np.lexsort((kept, m[m > 0]))
+                found.append(kept[order[: max(0, len(kept) - least + 1)]])
+            each = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in each], pa.binary()) for c in (nodes, roots)] + [pa.array(np.concatenate(found) if found else [], pa.int64())], names=["node", "root", "e"])
+
+    meet = materialize(even.mapInArrow(prefixes, "node binary, root binary, e long"))
+    shared = materialize(meet.groupBy("e").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("e", "m"))
     blocks = F.ceil(F.col("m") / block).cast("int")
     dealt = meet.join(shared, "e").select("node", "root", "e", "m").join(own.select("node", "set"), "node").withColumn("k", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = dealt.select("e", "node", "root", "set", "k", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")).select("e", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "node", "root", "set")
