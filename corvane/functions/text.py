@@ -8,10 +8,11 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from .stemming import SNOWBALL
 
@@ -114,17 +115,27 @@ def stemmer(language: str) -> Callable[[str], str] | None:
     return stem if language.lower() == "english" else SNOWBALL.get(language.lower())
 
 
+def stemmed(words: pa.Array, cut: Callable[[str], str] | None) -> pa.DictionaryArray:
+    """Words as numbers of their distinct stems; each distinct word is stemmed once, and no other becomes a Python object."""
+    found = words.dictionary_encode()
+    if cut is None:
+        return found
+    stems = pa.array([cut(w) for w in found.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    return pa.DictionaryArray.from_arrays(stems.indices.take(found.indices), stems.dictionary)
+
+
 def terms(text: Column, language: str) -> Column:
     """The words of a text as searches in a language compare them: stems where the language has a stemmer, else tokens."""
     words = tokens(text, plain(language))
     if stemmer(language) is None:
         return words
 
-    @pandas_udf(T.ArrayType(T.StringType()))
-    def stems(ws: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf(T.ArrayType(T.StringType()))
+    def stems(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cut = stemmer(language)
-        for s in ws:
-            yield s.map(lambda a: [cut(x) for x in a])
+        for ws in batches:
+            flat, ends = stemmed(ws.flatten(), cut), ws.offsets.to_numpy()
+            yield pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), flat.dictionary.take(flat.indices))
 
     return stems(words)
 

@@ -10,18 +10,23 @@ from __future__ import annotations
 
 import dataclasses
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import plain, stemmer, terms, tokenize
+from ..functions.text import plain, stemmed, stemmer, terms, tokenize, tokens
 from ..schema import MAX_QUERY_CHARS
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Words whose postings are made together; a longer text is taken alone.
+WORDS = 200_000
 #: Nine of the languages have a stemmer, English among them; the others compare words without accents, as "simple" does.
 #: Languages whose search drops and, or, not.
 STOPWORD_LANGUAGES = {"english", "hindi", "russian"}
@@ -217,11 +222,51 @@ def ranked(hits: DataFrame, doc: str = "id") -> list[Column]:
 
 
 def postings(docs: DataFrame, doc: str = "id", text: str = "text_content", language: str = "simple", buckets: int = 64) -> DataFrame:
-    """Inverted index: bucket, term, doc, tf, positions, dl; meant to be written partitioned by bucket."""
-    t = docs.select(F.col(doc).alias("doc"), terms(F.col(text), language).alias("ts"))
-    each = t.select("doc", F.size("ts").alias("dl"), F.posexplode("ts").alias("pos", "term"))
-    index = each.groupBy("term", "doc").agg(F.first("dl").alias("dl"), F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    """Inverted index: doc, term, dl, tf, positions, bucket; meant to be written partitioned by bucket.
+
+    The terms of a text are counted where it is read, so nothing is shuffled here. Rows of docs with one id give rows of their own, which searches add up.
+    """
+    t = words(docs, doc, text, language)
+    return t.mapInArrow(counted(language, buckets), f"doc {t.schema['doc'].dataType.simpleString()}, term string, dl int, tf int, positions array<int>, bucket int")
+
+
+def words(docs: DataFrame, doc: str, text: str, language: str) -> DataFrame:
+    """doc, and ts: the words of its text, unstemmed."""
+    return docs.select(F.col(doc).alias("doc"), tokens(F.col(text), plain(language)).alias("ts"))
+
+
+def counted(language: str, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes the rows of postings() of batches of words()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = stemmer(language)
+        for b in batches:
+            ends = b.column("ts").offsets.to_numpy().astype(np.int64)
+            start = 0
+            while start < b.num_rows:
+                end = max(start + 1, int(np.searchsorted(ends, ends[start] + WORDS, "right")) - 1)
+                yield _counted(b.slice(start, end - start), cut, buckets)
+                start = end
+
+    return run
+
+
+def _counted(b: pa.RecordBatch, cut: Callable[[str], str] | None, buckets: int) -> pa.RecordBatch:
+    """A row per term of each row (doc, ts), with its positions in order."""
+    ends = b.column("ts").offsets.to_numpy().astype(np.int64)
+    dl, first = np.diff(ends), ends[:-1] - ends[0]
+    words = stemmed(b.column("ts").flatten(), cut)
+    bucket = pa.array([zlib.crc32(w.encode()) % buckets for w in words.dictionary.to_pylist()], pa.int32())
+    row = np.repeat(np.arange(b.num_rows), dl)
+    key = words.indices.to_numpy().astype(np.int64) * (b.num_rows + 1) + row  # rows of a term stand together, which a shuffle compresses well
+    order = np.argsort(key, kind="stable")  # positions of a term stay in order
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    of, starts = row[order[heads]], np.concatenate([heads, [len(key)]])
+    positions = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(order - first[row[order]], pa.int32()))
+    term = words.indices.take(pa.array(order[heads]))
+    columns = [b.column("doc").take(pa.array(of)), words.dictionary.take(term), pa.array(dl[of], pa.int32()), pa.array(np.diff(starts), pa.int32()), positions, bucket.take(term)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "term", "dl", "tf", "positions", "bucket"])
 
 
 def highlight(text: Column, tree: Leaf | Node | None, language: str = "simple") -> Column:

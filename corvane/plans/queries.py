@@ -408,7 +408,7 @@ def fts_cover_density(spark, d):
 @query
 def fts_postings(spark, d):
     p = fts.postings(documents(spark, d))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return p.groupBy("term").agg(F.countDistinct("doc").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query

@@ -13,14 +13,23 @@ tombstone. merge() makes one segment of all but the first, or of all, without vo
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import plain, tokens
 from ..operators import fts
 from .commits import Snapshot, Transaction
 
 BUCKETS = 64
+#: Postings that a task deals into blocks together.
+BLOCK = 250_000
+#: What deals terms to buckets; an index of another kind counts as none until it is built anew.
+HASH = "crc32"
 #: Tables of an index in a store.
 NAMES = ("fts_postings", "fts_lengths", "fts_gone", "fts_totals")
 #: Segments beside the first that a write leaves; one more, and they are merged.
@@ -102,18 +111,62 @@ def _moved(positions: Column, by: int) -> Column:
 
 
 def bucket(term: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    """The bucket of a term, as postings() has it."""
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
 def tables(docs: DataFrame, language: str, doc: str = "id", text: str = "text_content", buckets: int = BUCKETS, spread: int = 1, segment: int = 0) -> tuple[DataFrame, DataFrame]:
     """Postings and lengths of docs. spread is the number of files of a bucket, which splits frequent terms."""
-    lengths = docs.select(F.col(doc).alias("id"), F.size(terms(F.col(text), language)).alias("dl"), F.lit(segment).alias("seg"))
-    rows = fts.postings(docs, doc, text, language, buckets).withColumn("seg", F.lit(segment))
-    return _dealt(rows, spread), lengths
-
-
-def _dealt(rows: DataFrame, spread: int) -> DataFrame:
-    return rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(spread))).sortWithinPartitions("bucket", "term", "doc")
+    lengths = docs.select(F.col(doc).alias("id"), F.size(tokens(F.col(text), plain(language))).alias("dl"), F.lit(segment).alias("seg"))
+    own = fts.words(docs, doc, text, language)
+    kind = own.schema["doc"].dataType.simpleString()
+    return _dealt(own, fts.counted(language, buckets), kind, spread).withColumn("seg", F.lit(segment)), lengths
+
+
+def _dealt(rows: DataFrame, make: Callable | None, kind: str, spread: int) -> DataFrame:
+    """rows, of which make, if given, makes postings in the same task, by bucket, sorted. They travel in compressed blocks of many postings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed(make(batches) if make else batches, spread)
+
+    own = rows.mapInArrow(run, "deal int, block binary").repartition("deal").mapInArrow(unpacked, f"doc {kind}, term string, dl int, positions array<int>, bucket int")
+    own = own.select("doc", "term", "dl", F.size("positions").alias("tf"), "positions", "bucket")
+    return own.sortWithinPartitions("bucket", "term", "doc")
+
+
+def packed(batches: Iterator[pa.RecordBatch], spread: int = 1) -> Iterator[pa.RecordBatch]:
+    """Postings as blocks, each of many of one bucket, which is dealt into spread parts."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        held.clear()
+        deal = t["bucket"].to_numpy() * spread + np.arange(t.num_rows) % spread
+        order = np.argsort(deal, kind="stable")
+        deal, t = deal[order], t.take(pa.array(order)).combine_chunks()
+        cuts = np.flatnonzero(np.diff(deal, prepend=deal[0] - 1, append=deal[-1] + 1))
+        blocks = []
+        for a, z in pairwise(cuts.tolist()):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(t.slice(a, z - a))
+            blocks.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(deal[cuts[:-1]], pa.int32()), pa.array(blocks, pa.binary())], names=["deal", "block"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b.select(["doc", "term", "dl", "positions", "bucket"]))
+        if sum(x.num_rows for x in held) >= BLOCK:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of packed() blocks."""
+    for b in batches:
+        for block in b.column("block"):
+            yield from pa.ipc.open_stream(block.as_buffer())
 
 
 def _totals(tx: Transaction, language: str, docs: int, words: int) -> None:
@@ -130,6 +183,7 @@ def put(tx: Transaction, entries: DataFrame, language: str, spread: int = 1) ->
     """Index these entries, in place of a former index."""
     rows, lengths = tables(entries, language, spread=spread)
     tx.write("fts_postings", rows, partition="bucket")
+    tx.state["tables"]["fts_postings"]["hash"] = HASH
     tx.write("fts_lengths", lengths)
     tx.forget("fts_gone")
     _totals(tx, language, *_size(tx.read("fts_lengths")))
@@ -145,7 +199,7 @@ def follow(tx: Transaction, ids: DataFrame, entries: DataFrame | None = None) ->
 
     Does nothing without an index. ids and entries are small beside the index: one segment is written, and lengths are read.
     """
-    if not tx.exists("fts_totals"):
+    if not _built(tx):
         return
     total = tx.read("fts_totals").first()
     docs, words = total["docs"], total["words"]
@@ -164,11 +218,15 @@ def follow(tx: Transaction, ids: DataFrame, entries: DataFrame | None = None) ->
         n, w = _size(lengths)
         docs, words = docs + n, words + w
     _totals(tx, total["language"], docs, words)
-    tx.state["tables"]["fts_postings"]["segment"] = segment
+    tx.state["tables"]["fts_postings"] |= {"segment": segment, "hash": HASH}
     if len(tx.parts("fts_postings")) > SEGMENTS + 1:
         merge(tx)
 
 
+def _built(at: Snapshot) -> bool:
+    return at.exists("fts_totals") and at.state["tables"]["fts_postings"].get("hash") == HASH
+
+
 def _last(at: Snapshot) -> int:
     """Number of the newest segment."""
     return at.state["tables"]["fts_postings"].get("segment", 0)
@@ -179,10 +237,12 @@ def merge(tx: Transaction, whole: bool = False) -> None:
     gone = tx.read("fts_gone") if tx.exists("fts_gone") else None
     first, segment = ([], 0) if whole else (tx.parts("fts_postings")[:1], _last(tx))
     rows = live(tx.read("fts_postings"), gone, "doc")
-    rows = (rows if whole else rows.filter("seg > 0")).withColumn("seg", F.lit(segment))
+    rows = rows if whole else rows.filter("seg > 0")
     lengths = tx.stage(live(tx.read("fts_lengths"), gone, "id"))
-    tx.write("fts_postings", _dealt(rows, 1), partition="bucket")
-    tx.state["tables"]["fts_postings"] |= {"parts": [*first, *tx.parts("fts_postings")], "segment": segment}
+    kept = {k: v for k, v in tx.state["tables"]["fts_postings"].items() if k == "hash"}
+    rows = _dealt(rows.drop("seg"), None, rows.schema["doc"].dataType.simpleString(), 1).withColumn("seg", F.lit(segment))
+    tx.write("fts_postings", rows, partition="bucket")
+    tx.state["tables"]["fts_postings"] |= kept | {"parts": [*first, *tx.parts("fts_postings")], "segment": segment}
     tx.write("fts_lengths", lengths.withColumn("seg", F.when(F.col("seg") > 0, segment).otherwise(0)))
     if whole:
         tx.forget("fts_gone")
@@ -193,7 +253,7 @@ def merge(tx: Transaction, whole: bool = False) -> None:
 def open_index(store, language: str) -> TextIndex | None:
     """The store's index, or that of a snapshot; None if there is none or it is of another language."""
     at = store if isinstance(store, Snapshot) else store.snapshot()
-    if not at.exists("fts_totals"):
+    if not _built(at):
         return None
     totals = at.read("fts_totals")
     if totals.first()["language"] != language:
