@@ -411,12 +411,17 @@ def fts_postings(spark, d):
     return p.groupBy("term").agg(F.countDistinct("doc").alias("df"), F.sum("tf").alias("cf"))
 
 
-@query
-def fts_highlight(spark, d):
+def _marked(spark, d) -> DataFrame:
+    """The twenty best hits with their texts, plain and marked; the hits are broadcast, so no text is shuffled."""
     tree = fts.parse("that with", "match", "simple")
     h = index(spark, d).search(tree)
-    top = h.orderBy(*fts.ranked(h)).limit(20).join(documents(spark, d), "id")
-    return top.select("id", fts.highlight(F.col("text_content"), tree).alias("highlighted"))
+    top = documents(spark, d).join(F.broadcast(h.orderBy(*fts.ranked(h)).limit(20)), "id")
+    return top.select("id", "text_content", fts.highlight(F.col("text_content"), tree).alias("highlighted"))
+
+
+@query
+def fts_highlight(spark, d):
+    return _marked(spark, d).select("id", "highlighted")
 
 
 def _legs(spark, d):
@@ -502,8 +507,7 @@ def chunk_text(spark, d):
 
 @query
 def passage_windows(spark, d):
-    h = fts_highlight(spark, d).join(documents(spark, d), "id")
-    return h.select("id", textops.passage_column(F.col("text_content"), F.col("highlighted")).alias("passage"))
+    return _marked(spark, d).select("id", textops.passage_column(F.col("text_content"), F.col("highlighted")).alias("passage"))
 
 
 @query
