@@ -51,17 +51,20 @@ class Tools:
             own = entries.withColumn("content_hash", F.coalesce("content_hash", content_hash(F.col("text_content"))))
             for c in ("tags", "images"):
                 own = own if c in own.columns else own.withColumn(c, F.array().cast("array<string>"))
-            self._put(tx, tx.stage(own.join(tx.read("entries").select("id"), "id", "left_anti")))
+            there = tx.parts("entries")  # without any, no text is shuffled
+            self._put(tx, tx.stage(own.join(tx.read("entries").select("id"), "id", "left_anti") if there else own))
 
         self.store.commit(body)
 
     def _put(self, tx: Transaction, good: DataFrame) -> None:
         default = {"summary": F.lit(None).cast("string"), "version": F.lit(1).cast("bigint"), "updated_at": F.col("created_at")}
         new = good.select(*[F.col(c) if c in good.columns else default[c].alias(c) for c in ENTRIES.names])
-        touched = tx.touched("entries", new)
-        entries, kept = dml.fold_new(tx.read("entries", touched), new)
+        threads = new.select("thread_id").distinct()
+        newest = tx.read("entries", tx.touched("entries", new)).select("thread_id", "id").join(threads, "thread_id", "left_semi").groupBy("thread_id").agg(F.max("id").alias("id"))
+        at = tx.spots("entries", newest)
+        entries, kept = dml.fold_new(tx.at("entries", at), new)
         kept = tx.stage(kept)
-        tx.write("entries", entries, touched)
+        tx.exchange("entries", at, entries)
         last = lambda c: good.filter(F.size(c) > 0).select(F.col("id").alias("new_id"), c).join(kept, "new_id").groupBy("id").agg(F.max_by(c, "new_id").alias("x"))
         tx.upsert("tags", tx.stage(last("tags").select(F.col("id").alias("context_entry_id"), F.explode("x").alias("tag"))))
         self._images(tx, last("images").withColumnRenamed("x", "images"))
@@ -79,7 +82,7 @@ class Tools:
             derived.forget(tx, ids)
         entries = None
         if self.makers.kinds() or tx.exists("fts_totals"):
-            entries = tx.stage(tx.read("entries", tx.holding("entries", ids)).join(ids, "id", "left_semi"))
+            entries = tx.stage(tx.at("entries", tx.spots("entries", ids)))
         if self.makers.kinds():
             generation.make(tx, entries, self.makers)
         text_index.follow(tx, ids, entries)
@@ -95,8 +98,8 @@ class Tools:
 
         def body(tx: Transaction) -> list[str]:
             asked = tx.stage(changes)
-            touched = tx.holding("entries", asked)
-            own = tx.read("entries", touched)
+            at = tx.spots("entries", asked)
+            own = tx.at("entries", at)
             typed = asked
             if "images" in asked.columns:
                 typed = asked.drop("content_type").withColumn("content_type", F.when(F.col("images").isNotNull(), F.when(F.size("images") > 0, "multimodal").otherwise("text")))
@@ -112,7 +115,7 @@ class Tools:
             for k in changed:
                 if not out.join(asked.select("id"), "id", "left_semi").filter(misfit(F.col("metadata"), k, tx.typed[k])).isEmpty():
                     raise ValueError(f"metadata {k} is no {tx.typed[k]}")
-            tx.write("entries", out, touched)
+            tx.exchange("entries", at, out)
             if "tags" in asked.columns:
                 given = done.filter("tags is not null").select(F.col("id").alias("context_entry_id"), normalised_tags(F.col("tags")).alias("tags"))
                 tx.upsert("tags", given.select("context_entry_id", F.explode("tags").alias("tag")), of=given)
