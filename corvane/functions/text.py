@@ -29,6 +29,11 @@ def tokens(text: Column, plain: bool = True) -> Column:
     return F.regexp_extract_all(F.translate(low, "".join(_ACCENTED), "".join(_PLAIN)) if plain else low, F.lit(WORD), F.lit(0))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens() there are, which are not made; accents, which are on letters, don't count."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD))
+
+
 def tokenize(text: str, plain: bool = True) -> list[tuple[str, int, int]]:
     """The same on the driver or in a worker: (token, start, end) in code points."""
     out, start = [], None

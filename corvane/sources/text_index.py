@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import plain, tokens
+from ..functions.text import token_count
 from ..operators import fts
 from .commits import Snapshot, Transaction
 
@@ -117,7 +117,7 @@ def bucket(term: Column, buckets: int = BUCKETS) -> Column:
 
 def tables(docs: DataFrame, language: str, doc: str = "id", text: str = "text_content", buckets: int = BUCKETS, spread: int = 1, segment: int = 0) -> tuple[DataFrame, DataFrame]:
     """Postings and lengths of docs. spread is the number of files of a bucket, which splits frequent terms."""
-    lengths = docs.select(F.col(doc).alias("id"), F.size(tokens(F.col(text), plain(language))).alias("dl"), F.lit(segment).alias("seg"))
+    lengths = docs.select(F.col(doc).alias("id"), token_count(F.col(text)).alias("dl"), F.lit(segment).alias("seg"))
     own = fts.words(docs, doc, text, language)
     kind = own.schema["doc"].dataType.simpleString()
     return _dealt(own, fts.counted(language, buckets), kind, spread).withColumn("seg", F.lit(segment)), lengths
@@ -145,12 +145,8 @@ def packed(batches: Iterator[pa.RecordBatch], spread: int = 1) -> Iterator[pa.Re
         order = np.argsort(deal, kind="stable")
         deal, t = deal[order], t.take(pa.array(order)).combine_chunks()
         cuts = np.flatnonzero(np.diff(deal, prepend=deal[0] - 1, append=deal[-1] + 1))
-        blocks = []
-        for a, z in pairwise(cuts.tolist()):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(t.slice(a, z - a))
-            blocks.append(sink.getvalue().to_pybytes())
+        b = t.to_batches()[0]
+        blocks = [_block(b.slice(a, z - a)) for a, z in pairwise(cuts.tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(deal[cuts[:-1]], pa.int32()), pa.array(blocks, pa.binary())], names=["deal", "block"])
 
     for b in batches:
@@ -162,11 +158,46 @@ def packed(batches: Iterator[pa.RecordBatch], spread: int = 1) -> Iterator[pa.Re
         yield from flush()
 
 
+def _narrow(values: np.ndarray) -> pa.Array:
+    """Numbers of at least 0 in as few bytes as they need, as one list."""
+    small = pa.array(values.astype(np.min_scalar_type(int(values.max(initial=0)))))
+    return pa.ListArray.from_arrays(pa.array([0, len(small)], pa.int32()), small)
+
+
+def _block(b: pa.RecordBatch) -> bytes:
+    """Postings of one bucket as one row of lists: documents and their lengths once, terms once a run, positions as steps."""
+    docs, term = b.column("doc").dictionary_encode(), b.column("term").dictionary_encode()
+    dl, number = np.zeros(len(docs.dictionary), np.int64), docs.indices.to_numpy()
+    dl[number] = b.column("dl").to_numpy()
+    word, ends = term.indices.to_numpy(), b.column("positions").offsets.to_numpy().astype(np.int64)
+    n, steps = np.diff(ends), np.diff(b.column("positions").flatten().to_numpy().astype(np.int64), prepend=0)
+    at = (ends[:-1] - ends[0])[n > 0]
+    steps[at] = b.column("positions").flatten().to_numpy()[at]
+    heads = np.flatnonzero(np.diff(word, prepend=-1))
+    whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+    columns = {
+        "docs": whole(docs.dictionary), "dls": _narrow(dl), "terms": whole(term.dictionary), "word": _narrow(word[heads]), "rows": _narrow(np.diff(np.append(heads, len(word)))),
+        "doc": _narrow(number), "n": _narrow(n), "steps": _narrow(steps), "bucket": b.column("bucket").slice(0, 1),
+    }
+    sink, row = pa.BufferOutputStream(), pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of packed() blocks."""
     for b in batches:
         for block in b.column("block"):
-            yield from pa.ipc.open_stream(block.as_buffer())
+            row = pa.ipc.open_stream(block.as_buffer()).read_next_batch()
+            x = {c: row.column(c).flatten() for c in row.schema.names if c != "bucket"}
+            number, n = x["doc"].to_numpy().astype(np.int64), x["n"].to_numpy().astype(np.int64)
+            ends, word = np.concatenate([[0], np.cumsum(n)]), np.repeat(x["word"].to_numpy(), x["rows"].to_numpy())
+            sums = np.concatenate([[0], np.cumsum(x["steps"].to_numpy().astype(np.int64))])
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sums[1:] - np.repeat(sums[ends[:-1]], n), pa.int32()))
+            dl, bucket = x["dls"].to_numpy()[number], np.full(len(number), row.column("bucket")[0].as_py())
+            columns = [x["docs"].take(pa.array(number)), x["terms"].take(pa.array(word)), pa.array(dl, pa.int32()), positions, pa.array(bucket, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "term", "dl", "positions", "bucket"])
 
 
 def _totals(tx: Transaction, language: str, docs: int, words: int) -> None:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.operators import fts
@@ -77,3 +78,22 @@ def test_an_index_dealt_otherwise_counts_as_none(spark, tmp_path):
     assert text_index.open_index(st, "simple")
     st.commit(lambda tx: tx.state["tables"]["fts_postings"].pop("hash"))
     assert text_index.open_index(st, "simple") is None
+
+
+def test_tokens_are_counted_as_they_are_made(spark):
+    texts = [(None,), ("",), ("İstanbul ÀÉ o'clock",), ("á b ǅ ß 東京 １２",), ("x-y_z  1,2",)]
+    d = spark.createDataFrame(texts, "t string")
+    assert d.filter(tx.token_count(F.col("t")) != F.size(tx.tokens(F.col("t")))).isEmpty()
+    assert d.filter(tx.token_count(F.col("t")) != F.size(tx.tokens(F.col("t"), False))).isEmpty()
+
+
+def test_blocks_are_small(spark):
+    """Documents and terms of a block travel once, positions as steps: under four bytes a posting, of all columns."""
+    b = spark.createDataFrame([(f"d{i:012}", " ".join(f"w{(i * j) % 97}" for j in range(200))) for i in range(300)], "id string, text_content string").repartition(1)
+    own = fts.words(b, "id", "text_content", "simple").toArrow().combine_chunks().to_batches()
+    made = list(fts.counted("simple", 4)(own))
+    blocks = list(text_index.packed(made))
+    n = sum(x.num_rows for x in made)
+    assert sum(len(x) for x in blocks[0].column("block").to_pylist()) < 4 * n
+    key = lambda rows: sorted((r["doc"], r["term"], r["dl"], r["positions"], r["bucket"]) for r in rows)
+    assert key(r for x in text_index.unpacked(blocks) for r in x.to_pylist()) == key(r for x in made for r in x.to_pylist())
