@@ -90,14 +90,19 @@ class Folder:
 
 
 @contextlib.contextmanager
-def swept(spark: SparkSession) -> Iterator[None]:
-    """Jobs that begin meanwhile leave no shuffle files, so that a commit of many jobs needs the disk of one."""
-    before = spark.conf.get(SWEPT, None)
-    spark.conf.set(SWEPT, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the jobs that begin meanwhile."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(SWEPT, before) if before is not None else spark.conf.unset(SWEPT)
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def swept(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Jobs that begin meanwhile leave no shuffle files, so that a commit of many jobs needs the disk of one."""
+    return setting(spark, SWEPT, "true")
 
 
 def placed(rows: DataFrame) -> DataFrame:

@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import token_count
 from ..operators import fts
-from .commits import Snapshot, Transaction
+from .commits import Snapshot, Transaction, setting
 
 BUCKETS = 64
 #: Postings that a task deals into blocks together.
 BLOCK = 250_000
+#: Rows, texts or blocks, that a task has in hand at a time while postings are written, if the session allows more.
+ROWS = 500
+ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: What deals terms to buckets; an index of another kind counts as none until it is built anew.
 HASH = "crc32"
 #: Tables of an index in a store.
@@ -124,12 +127,15 @@ def tables(docs: DataFrame, language: str, doc: str = "id", text: str = "text_co
 
 
 def _dealt(rows: DataFrame, make: Callable | None, kind: str, spread: int) -> DataFrame:
-    """rows, of which make, if given, makes postings in the same task, by bucket, sorted. They travel in compressed blocks of many postings."""
+    """rows, of which make, if given, makes postings in the same task, by bucket, sorted within tasks. They travel in compressed blocks of many postings.
+
+    Blocks are rebalanced, so that a bucket larger than Spark's advisory size becomes several tasks and files: what a task sorts doesn't grow with the input.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return packed(make(batches) if make else batches, spread)
 
-    own = rows.mapInArrow(run, "deal int, block binary").repartition("deal").mapInArrow(unpacked, f"doc {kind}, term string, dl int, positions array<int>, bucket int")
+    own = rows.mapInArrow(run, "deal int, block binary").hint("rebalance", "deal").mapInArrow(unpacked, f"doc {kind}, term string, dl int, positions array<int>, bucket int")
     own = own.select("doc", "term", "dl", F.size("positions").alias("tf"), "positions", "bucket")
     return own.sortWithinPartitions("bucket", "term", "doc")
 
@@ -200,6 +206,13 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "term", "dl", "positions", "bucket"])
 
 
+def _write(tx: Transaction, rows: DataFrame, append: bool = False) -> None:
+    """Postings as a table, or a part of it, made of few texts and blocks at a time."""
+    most = int(tx.spark.conf.get(ROWS_KEY, "0"))
+    with setting(tx.spark, ROWS_KEY, str(min(most, ROWS) if most > 0 else ROWS)):
+        tx.write("fts_postings", rows, append=append, partition="bucket")
+
+
 def _totals(tx: Transaction, language: str, docs: int, words: int) -> None:
     row = [(docs, words / docs if docs else None, words, language)]
     tx.write("fts_totals", tx.spark.createDataFrame(row, "docs bigint, avgdl double, words bigint, language string"))
@@ -213,7 +226,7 @@ def _size(lengths: DataFrame) -> tuple[int, int]:
 def put(tx: Transaction, entries: DataFrame, language: str, spread: int = 1) -> None:
     """Index these entries, in place of a former index."""
     rows, lengths = tables(entries, language, spread=spread)
-    tx.write("fts_postings", rows, partition="bucket")
+    _write(tx, rows)
     tx.state["tables"]["fts_postings"]["hash"] = HASH
     tx.write("fts_lengths", lengths)
     tx.forget("fts_gone")
@@ -244,7 +257,7 @@ def follow(tx: Transaction, ids: DataFrame, entries: DataFrame | None = None) ->
     if entries is not None:
         rows, lengths = tables(entries, total["language"], segment=segment)
         lengths = tx.stage(lengths)
-        tx.write("fts_postings", rows, append=True, partition="bucket")
+        _write(tx, rows, append=True)
         tx.write("fts_lengths", lengths, append=True)
         n, w = _size(lengths)
         docs, words = docs + n, words + w
@@ -272,7 +285,7 @@ def merge(tx: Transaction, whole: bool = False) -> None:
     lengths = tx.stage(live(tx.read("fts_lengths"), gone, "id"))
     kept = {k: v for k, v in tx.state["tables"]["fts_postings"].items() if k == "hash"}
     rows = _dealt(rows.drop("seg"), None, rows.schema["doc"].dataType.simpleString(), 1).withColumn("seg", F.lit(segment))
-    tx.write("fts_postings", rows, partition="bucket")
+    _write(tx, rows)
     tx.state["tables"]["fts_postings"] |= kept | {"parts": [*first, *tx.parts("fts_postings")], "segment": segment}
     tx.write("fts_lengths", lengths.withColumn("seg", F.when(F.col("seg") > 0, segment).otherwise(0)))
     if whole:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.operators import fts
-from corvane.sources import text_index
+from corvane.sources import commits, text_index
 from corvane.sources.store import Store
 
 TEXTS = ["Die Häuser, das Haus; die Haeuser", None, "", "haus " * 7 + "ende", "...", "Houses housed a house", "haus"]
@@ -97,3 +97,34 @@ def test_blocks_are_small(spark):
     assert sum(len(x) for x in blocks[0].column("block").to_pylist()) < 4 * n
     key = lambda rows: sorted((r["doc"], r["term"], r["dl"], r["positions"], r["bucket"]) for r in rows)
     assert key(r for x in text_index.unpacked(blocks) for r in x.to_pylist()) == key(r for x in made for r in x.to_pylist())
+
+
+def test_a_large_bucket_becomes_several_tasks(spark):
+    """What one task sorts is bounded by Spark's advisory size, not by a bucket's share of the input."""
+    d = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 9973}" for j in range(100))) for i in range(800)], "id int, text_content string").repartition(8)
+    with commits.setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k"):
+        rows, _ = text_index.tables(d, "english", buckets=1)
+        parts = [p for p in rows.rdd.glom().collect() if p]
+    assert len(parts) > 2 and max(map(len, parts)) < sum(map(len, parts)) / 2
+    assert all([(r["term"], r["doc"]) for r in p] == sorted((r["term"], r["doc"]) for r in p) for p in parts)
+    key = lambda r: (r["term"], r["doc"], r["dl"], r["tf"], r["positions"])
+    assert sorted(key(r) for p in parts for r in p) == sorted(map(key, fts.postings(d, language="english").collect()))
+
+
+@pytest.mark.parametrize(("own", "seen"), [(None, "500"), ("7", "7"), ("0", "500")])
+def test_postings_are_written_by_few_rows_at_a_time(spark, tmp_path, monkeypatch, own, seen):
+    key, write, at = "spark.sql.execution.arrow.maxRecordsPerBatch", commits.Transaction.write, {}
+
+    def spy(tx, name, *args, **options):
+        at[name] = spark.conf.get(key, None)
+        write(tx, name, *args, **options)
+
+    monkeypatch.setattr(commits.Transaction, "write", spy)
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, own) if own else spark.conf.unset(key)
+        st = Store(spark, str(tmp_path))
+        text_index.build(st, spark.createDataFrame([(1, "one")], "id int, text_content string"), "simple")
+        assert at["fts_postings"] == seen and at["fts_lengths"] == own == spark.conf.get(key, None)
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
