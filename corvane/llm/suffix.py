@@ -233,9 +233,33 @@ def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds.values())], names=list(kinds))
 
 
-#: An occurrence: anchor, hash of the fragment's bytes, text, first window, number of windows, anchor position, weight (1: wants an answer; 2: stands for several).
-SPOT = {"h": pa.int64(), "f": pa.int64(), "g": pa.int64(), "rid": pa.int64(), "s": pa.int32(), "n": pa.int32(), "p": pa.int32(), "w": pa.int32()}
-SPOT_DDL = "h long, f long, g long, rid long, s int, n int, p int, w int"
+#: Occurrences of a fragment that make a row.
+PIECE = 32
+#: A fragment as a task has it, with how often it has it: anchor, hash of the fragment's bytes, weight (1 for an occurrence that wants an answer; 2 for one that
+#: stands for several) and the least occurrence: text, first window, number of windows, anchor position. xs: windows of the occurrences that want an answer.
+SPOT = {"h": pa.int64(), "f": pa.int64(), "g": pa.int64(), "w": pa.int64(), "rid": pa.int64(), "s": pa.int32(), "n": pa.int32(), "p": pa.int32()}
+SPOT_DDL = "h long, f long, g long, w long, rid long, s int, n int, p int, xs array<struct<rid: long, s: int, e: int>>"
+
+
+def _gathered(rows: list[tuple]) -> pa.RecordBatch:
+    """Occurrences (h, f, g, rid, s, n, p, w) with a row for each PIECE of a fragment's: what is common in the texts of a task isn't joined once a text."""
+    own: list[list] = []
+    last: dict[tuple, list] = {}
+    for h, f, g, rid, s, n, p, w in rows:
+        x = last.get((h, f, g))
+        if x is None or len(x[2]) == PIECE:
+            x = last[h, f, g] = [0, (rid, s, n, p), [], (h, f, g)]
+            own.append(x)
+        x[0] += w
+        x[1] = min(x[1], (rid, s, n, p))
+        if w == 1:
+            x[2].append((rid, s, s + n - 1))
+    flat = [y for x in own for y in x[2]]
+    kinds = {"rid": pa.int64(), "s": pa.int32(), "e": pa.int32()}
+    each = pa.StructArray.from_arrays([pa.array([y[j] for y in flat], k) for j, k in enumerate(kinds.values())], names=list(kinds))
+    xs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[2]) for x in own)]), pa.int32()), each)
+    b = _batch([(*x[3], x[0], *x[1]) for x in own], **SPOT)
+    return pa.RecordBatch.from_arrays([*b.columns, xs], names=[*SPOT, "xs"])
 
 
 def _content(piece: bytes) -> tuple[int, int]:
@@ -244,7 +268,7 @@ def _content(piece: bytes) -> tuple[int, int]:
 
 
 def _spots(hit: DataFrame, length: int, k: int) -> DataFrame:
-    """The occurrences of repeated anchors; hit: rid, text, at (numbers of anchors), w."""
+    """The fragments of repeated anchors, with their occurrences; hit: rid, text, at (numbers of anchors), w."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,9 +278,9 @@ def _spots(hit: DataFrame, length: int, k: int) -> DataFrame:
                 p, s, n, h = (x.tolist() for x in anchors(raw, length, k))
                 rows += [(h[i], *_content(raw[s[i] : s[i] + n[i] - 1 + length]), rid, s[i], n[i], p[i], w) for i in at]
                 if len(rows) > 20_000:
-                    yield _batch(rows, **SPOT)
+                    yield _gathered(rows)
                     rows = []
-            yield _batch(rows, **SPOT)
+            yield _gathered(rows)
 
     return hit.select("rid", "text", "at", "w").mapInArrow(run, SPOT_DDL)
 
@@ -327,9 +351,9 @@ def _split(spots: DataFrame, texts: DataFrame, length: int, k: int, width: int)
                         s, n = p - hi, hi - lo + 1
                         rows.append((int.from_bytes(own, "little", signed=True), *_content(raw[s : s + n - 1 + length]), rid, s, n, p, 1 if x["lone"] else 2))
                 if len(rows) > 20_000:
-                    yield _batch(rows, **SPOT)
+                    yield _gathered(rows)
                     rows = []
-            yield _batch(rows, **SPOT)
+            yield _gathered(rows)
 
     return _with_text(spots, texts).mapInArrow(run, SPOT_DDL)
 
@@ -366,7 +390,8 @@ def _spans(docs: DataFrame, text: str, length: int, k: int, max_group: int) -> D
         parts = now.groupBy("h", "f", "g").agg(F.sum("w").alias("c"), F.min(F.struct("rid", "s", "n", "p")).alias("o"))
         parts = materialize(parts.select("h", "f", "g", "c", "o.*"))
         many = parts.filter("c > 1").select("h", "f", "g")
-        found.append(materialize(now.filter("w = 1").join(many, ["h", "f", "g"]).select("rid", "s", (F.col("s") + F.col("n") - 1).alias("e"))))
+        # common fragments stand in few tasks, so what is found is dealt anew before it becomes a row for each occurrence
+        found.append(materialize(now.filter(F.size("xs") > 0).join(many, ["h", "f", "g"]).select("xs").repartition("xs").select(F.inline("xs"))))
         keys = parts.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("lone")).filter("kinds > 1 and lone > 0")
         keys = materialize(keys.select("h", "kinds"))
         need = materialize(parts.join(keys, "h").select("h", "rid", "s", "n", "p", (F.col("c") == 1).alias("lone"), "kinds"))

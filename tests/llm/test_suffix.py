@@ -106,3 +106,29 @@ def test_characters():
     for a in range(len(raw)):
         for z in range(a, len(raw) + 1):
             suffix.cut_out(raw, suffix.whole_characters(raw, [a, z])).decode()
+
+
+def test_common_fragments_are_gathered(spark):
+    """A row for each fragment and 32 of its occurrences in a task; counts, the least occurrence and what wants an answer stay whole."""
+    passage = " ".join(f"word{i * i}" for i in range(90))
+    texts = [f"{i} " * 60 + passage + f" {i * 7}" * 60 for i in range(100)]
+    rows = [(i, t, list(range(len(suffix.anchors(t.encode(), 200, 32)[0]))), 1 + i % 2) for i, t in enumerate(texts)]
+    hit = spark.createDataFrame(rows, "rid long, text string, at array<int>, w int").repartition(1)
+    got = suffix._spots(hit, 200, 32).collect()
+    want: dict = {}
+    for rid, t, at, w in rows:
+        p, s, n, h = (x.tolist() for x in suffix.anchors(t.encode(), 200, 32))
+        for i in at:
+            want.setdefault((h[i], *suffix._content(t.encode()[s[i] : s[i] + n[i] + 199])), []).append((rid, s[i], n[i], p[i], w))
+    most = max(map(len, want.values()))
+    assert most == 100 and len(got) == sum(max(1, -(-sum(x[4] == 1 for x in xs) // 32)) for xs in want.values()) < sum(map(len, want.values())) / 2
+    for key, xs in want.items():
+        own = [r for r in got if (r["h"], r["f"], r["g"]) == key]
+        assert sum(r["w"] for r in own) == sum(x[4] for x in xs) and min((r["rid"], r["s"], r["n"], r["p"]) for r in own) == min(x[:4] for x in xs)
+        assert sorted(tuple(y) for r in own for y in r["xs"]) == sorted((x[0], x[1], x[1] + x[2] - 1) for x in xs if x[4] == 1) and all(len(r["xs"]) <= 32 for r in own)
+
+
+def test_a_passage_of_all_texts(spark):
+    passage = " ".join(f"word{i * i}" for i in range(90))
+    texts = [f"{i} " * 60 + passage + f" {i * 7}" * 60 for i in range(80)] + [passage, passage, passage * 2]
+    assert run(spark, texts) == brute(texts) == run(spark, texts, max_group=7)
