@@ -25,36 +25,57 @@ from .common import ascii_lower, broadcast_if_small, let, materialize, scratch,
 
 #: Windows of a text that are looked up together.
 STRETCH = 1024
-NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Letters of both cases are of words, as texts are also split as they are.
+NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def words(text: Column) -> Column:
+def words(text: Column, lower=ascii_lower) -> Column:
     """Runs of digits, lower-cased letters and everything beyond ASCII."""
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
+    return F.array_remove(F.split(lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
-def _grams(w: Column, k: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
+def count_words(text: Column) -> Column:
+    return F.size(words(text, lambda t: t)).cast("long")
+
+
+def _fold(text: Column) -> Column:
+    """All letters lower-cased, many times faster than A-Z alone. For fingerprints only: equal words stay equal, as each character
+    is mapped by itself but for the final sigma, which is made a common one. It moves no bound of a word."""
+    return F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
+
 
+def _runs_of(a: Column, n: int, pair) -> Column:
+    """pair over every n neighbours of a, from runs of at most half the length that may overlap; the array is n - 1 shorter."""
 
-def _starts(w: Column, m: int) -> Column:
-    return F.sequence(F.lit(1), F.size(w) - (m - 1))
+    def grow(x: Column, have: int) -> Column:
+        if have == n:
+            return F.slice(x, F.lit(1), F.size(x) - (n - 1))
+        more = min(2 * have, n)
+        later = F.slice(x, F.lit(more - have + 1), F.greatest(F.size(x) - (more - have), F.lit(0)))
+        return let(F.zip_with(x, later, pair), lambda y: grow(y, more))
+
+    return grow(a, 1)
+
+
+def _grams(w: Column, k: int) -> Column:
+    """Hashes of k words in a row."""
+    return F.transform(w, lambda x: F.xxhash64(x)) if k == 1 else _runs_of(w, k, lambda a, b: F.xxhash64(a, b))
 
 
 def _per_length(w: Column, m: int, gram: int, body, empty: str) -> Column:
-    """body(w, g) where w has a window of m words, g being its k-gram hashes."""
+    """body(v) where w has a window of m words, v being the fingerprints of its windows."""
     k = min(gram, m)
-    return F.when(F.size(w) >= m, let(_grams(w, k), lambda g: body(w, g, k))).otherwise(F.expr(empty))
+    return F.when(F.size(w) >= m, let(_grams(w, k), lambda g: let(_lows(g, m, k), body))).otherwise(F.expr(empty))
 
 
 def _prints(w: Column, lengths: list[int], gram: int) -> Column:
-    one = lambda m: _per_length(w, m, gram, lambda x, g, k: _lows(g, x, m, k), "cast(array() as array<bigint>)")
+    one = lambda m: _per_length(w, m, gram, lambda v: v, "cast(array() as array<bigint>)")
     return F.array_distinct(F.concat(*[one(m) for m in lengths]))
 
 
-def _lows(g: Column, x: Column, m: int, k: int) -> Column:
+def _lows(g: Column, m: int, k: int) -> Column:
     """The fingerprint of each window of m words, in order."""
-    return F.transform(_starts(x, m), lambda s: F.array_min(F.slice(g, s, m - k + 1)))
+    return _runs_of(g, m - k + 1, lambda a, b: F.least(a, b))
 
 
 def _marked(lows: Column, among: Column) -> Column:
@@ -73,15 +94,15 @@ def _marked(lows: Column, among: Column) -> Column:
 def _windows(w: Column, lengths: list[int], gram: int, among: Column | None = None) -> Column:
     """(start, length, words, fingerprint) of the windows, of those with a fingerprint in among if given."""
 
-    def one(m: int) -> Column:
-        def body(x: Column, g: Column, k: int) -> Column:
-            whole = lambda r: F.struct(r["start"].alias("start"), F.lit(m).alias("length"), F.slice(x, r["start"], m).alias("window"), r["print"].alias("print"))
-            each = lambda v: F.transform(v, lambda p, i: F.struct((i + 1).alias("start"), p.alias("print"))) if among is None else _marked(v, among)
-            return let(_lows(g, x, m, k), lambda v: F.transform(each(v), whole))
+    def one(folded: Column, m: int) -> Column:
+        def body(v: Column) -> Column:
+            whole = lambda r: F.struct(r["start"].alias("start"), F.lit(m).alias("length"), F.slice(w, r["start"], m).alias("window"), r["print"].alias("print"))
+            each = F.transform(v, lambda p, i: F.struct((i + 1).alias("start"), p.alias("print"))) if among is None else _marked(v, among)
+            return F.transform(each, whole)
 
-        return _per_length(w, m, gram, body, "cast(array() as array<struct<start:int,length:int,window:array<string>,print:bigint>>)")
+        return _per_length(folded, m, gram, body, "cast(array() as array<struct<start:int,length:int,window:array<string>,print:bigint>>)")
 
-    return F.concat(*[one(m) for m in lengths])
+    return let(F.transform(w, _fold), lambda folded: F.concat(*[one(folded, m) for m in lengths]))
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = 10, gram: int = 5) -> tuple[DataFrame, list[int]]:
@@ -107,7 +128,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
             return docs.sparkSession.createDataFrame([], "key binary, spans array<struct<start:int,length:int>>, items array<string>")
         prints = broadcast_if_small(materialize(bench.select(F.col("print").alias("p")).distinct()))
         keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
-        scanned = keyed.select("key", let(words(F.col("text")), lambda w: _prints(w, lengths, gram)).alias("ps"))
+        scanned = keyed.select("key", let(words(F.col("text"), _fold), lambda w: _prints(w, lengths, gram)).alias("ps"))
         found = materialize(scanned.select("key", F.explode("ps").alias("p")).join(prints, "p").groupBy("key").agg(F.collect_set("p").alias("ps")))
         # texts are joined once, and only where a fingerprint matched
         texts = keyed.join(broadcast_if_small(found), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("ps").alias("ps"))
@@ -135,7 +156,7 @@ def covered(spans: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, spans, items."""
     hits = find_hits(docs, benchmark, text=text, **options)
-    all_docs = docs.select(F.col(doc).alias("doc_id"), text_key(F.col(text)).alias("key"), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    all_docs = docs.select(F.col(doc).alias("doc_id"), text_key(F.col(text)).alias("key"), count_words(F.col(text)).alias("n_words"))
     return all_docs.join(broadcast_if_small(hits), "key", "left").select(
         "doc_id", "n_words", F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"), "spans", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
     )

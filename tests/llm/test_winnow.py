@@ -71,3 +71,31 @@ def test_a_long_text_that_is_an_item(spark):
     items = spark.createDataFrame([(7, " ".join(w)), (8, " ".join(w[1019:1031]))], "item_id long, text string")
     got = {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"]) for x in winnow.digest(winnow.decontaminate(docs, items)).collect()}
     assert got == {1: (5000, 5000, 2), 2: (5000, 4999, 2), 3: (9, 0, 0)}
+
+
+def test_fingerprints_of_every_length(spark):
+    """A window's fingerprint is the least hash of its k-grams, for all lengths, with the arrays of a text and no slice for each window."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    texts = [" ".join(r.choices("abcdefg", k=k)) for k in (1, 2, 5, 9, 10, 11, 40)]
+    df = spark.createDataFrame([(t.split(" "),) for t in texts], "w array<string>")
+    for m in range(1, 13):
+        k = min(5, m)
+        got = df.select("w", winnow._grams(F.col("w"), k).alias("g")).filter(F.size("w") >= m).select("g", winnow._lows(F.col("g"), m, k).alias("v"))
+        rows = got.collect()
+        assert len(rows) == sum(len(t.split(" ")) >= m for t in texts)
+        for g, v in rows:
+            assert v == [min(g[i : i + m - k + 1]) for i in range(len(g) - (m - k))]
+    # grams of equal words have equal hashes, those of other words or another order don't
+    for k in range(1, 8):
+        grams = [(tuple(w[i : i + k]), h) for w, g in df.filter(F.size("w") >= k).select("w", winnow._grams(F.col("w"), k)).collect() for i, h in enumerate(g)]
+        assert len({h for _, h in grams}) == len({x for x, _ in grams}) == len(set(grams))
+
+
+def test_letters_beyond_ascii(spark):
+    """Fingerprints fold all letters, windows only A-Z: what differs in other letters is found by its fingerprint, but is no hit."""
+    item = "ὈΔΥΣΣΕΎΣ Σ ΑΣ.Α İstanbul Kelvin ÉTÉ ẞ Ǆ one TWO three"
+    docs = [(1, item), (2, item.replace("TWO", "two").replace(".", "-'")), (3, item.lower()), (4, item.replace("É", "é")), (5, "ΑΣ'Σ " + item + ":Α"), (6, item.replace("K", "K"))]
+    assert run(spark, docs, [(1, item)]) == brute(docs, [(1, item)])
+    assert [r[2] > 0 for r in run(spark, docs, [(1, item)])] == [True, True, False, False, True, False]
