@@ -236,9 +236,10 @@ def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
 #: Occurrences of a fragment that make a row.
 PIECE = 32
 #: A fragment as a task has it, with how often it has it: anchor, hash of the fragment's bytes, weight (1 for an occurrence that wants an answer; 2 for one that
-#: stands for several) and the least occurrence: text, first window, number of windows, anchor position. xs: windows of the occurrences that want an answer.
-SPOT = {"h": pa.int64(), "f": pa.int64(), "g": pa.int64(), "w": pa.int64(), "rid": pa.int64(), "s": pa.int32(), "n": pa.int32(), "p": pa.int32()}
-SPOT_DDL = "h long, f long, g long, w long, rid long, s int, n int, p int, xs array<struct<rid: long, s: int, e: int>>"
+#: stands for several) and the least occurrence: text, first window, number of windows, anchor position. b: the block of texts that a task has gathered, named by one of them; a text is in one block only.
+#: xs: windows of the occurrences that want an answer.
+SPOT = {"h": pa.int64(), "f": pa.int64(), "g": pa.int64(), "w": pa.int64(), "rid": pa.int64(), "s": pa.int32(), "n": pa.int32(), "p": pa.int32(), "b": pa.int64()}
+SPOT_DDL = "h long, f long, g long, w long, rid long, s int, n int, p int, b long, xs array<struct<rid: long, s: int, e: int>>"
 
 
 def _gathered(rows: list[tuple]) -> pa.RecordBatch:
@@ -258,7 +259,7 @@ def _gathered(rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"rid": pa.int64(), "s": pa.int32(), "e": pa.int32()}
     each = pa.StructArray.from_arrays([pa.array([y[j] for y in flat], k) for j, k in enumerate(kinds.values())], names=list(kinds))
     xs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[2]) for x in own)]), pa.int32()), each)
-    b = _batch([(*x[3], x[0], *x[1]) for x in own], **SPOT)
+    b = _batch([(*x[3], x[0], *x[1], rows[0][3]) for x in own], **SPOT)
     return pa.RecordBatch.from_arrays([*b.columns, xs], names=[*SPOT, "xs"])
 
 
@@ -285,6 +286,25 @@ def _spots(hit: DataFrame, length: int, k: int) -> DataFrame:
     return hit.select("rid", "text", "at", "w").mapInArrow(run, SPOT_DDL)
 
 
+def _answered(spots: DataFrame, many: DataFrame) -> DataFrame:
+    """(rid, s, e): ranges of windows whose fragments are in many (each once), neighbours in one. The answers of a block of texts meet as they were
+    gathered and become rows of their texts there, so that a passage of several fragments isn't dealt to its texts fragment by fragment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in b.column("xs"):
+                rid, s, e = (x.to_numpy(zero_copy_only=False) for x in block.values.flatten().flatten())
+                order = np.lexsort((s, rid))
+                rid, s, e = rid[order], s[order], e[order]
+                new = np.concatenate([[True], (rid[1:] != rid[:-1]) | (s[1:] > e[:-1] + 1)])  # a text's fragments have no window in common
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(s)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(rid[first]), pa.array(s[first]), pa.array(e[last])], names=["rid", "s", "e"])
+
+    own = spots.filter(F.size("xs") > 0).join(many, ["h", "f", "g"]).groupBy("b").agg(F.collect_list("xs").alias("xs"))
+    return own.select("xs").mapInArrow(run, "rid long, s int, e int")
+
+
 def _with_text(spots: DataFrame, texts: DataFrame) -> DataFrame:
     """rid, text, xs: the spots of each text, so that a text travels once."""
     return spots.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "n", "p", "lone")).alias("xs")).join(texts, "rid").select("rid", "text", "xs")
@@ -390,8 +410,7 @@ def _spans(docs: DataFrame, text: str, length: int, k: int, max_group: int) -> D
         parts = now.groupBy("h", "f", "g").agg(F.sum("w").alias("c"), F.min(F.struct("rid", "s", "n", "p")).alias("o"))
         parts = materialize(parts.select("h", "f", "g", "c", "o.*"))
         many = parts.filter("c > 1").select("h", "f", "g")
-        # common fragments stand in few tasks, so what is found is dealt anew before it becomes a row for each occurrence
-        found.append(materialize(now.filter(F.size("xs") > 0).join(many, ["h", "f", "g"]).select("xs").repartition("xs").select(F.inline("xs"))))
+        found.append(materialize(_answered(now, many)))
         keys = parts.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("lone")).filter("kinds > 1 and lone > 0")
         keys = materialize(keys.select("h", "kinds"))
         need = materialize(parts.join(keys, "h").select("h", "rid", "s", "n", "p", (F.col("c") == 1).alias("lone"), "kinds"))

@@ -132,3 +132,24 @@ def test_a_passage_of_all_texts(spark):
     passage = " ".join(f"word{i * i}" for i in range(90))
     texts = [f"{i} " * 60 + passage + f" {i * 7}" * 60 for i in range(80)] + [passage, passage, passage * 2]
     assert run(spark, texts) == brute(texts) == run(spark, texts, max_group=7)
+
+
+def test_answers_are_rows_of_texts(spark):
+    """A passage of several fragments gives a row for each text that has it, so twice the texts give twice the rows."""
+    passage = " ".join(f"word{i * i}" for i in range(90))
+    made = []
+    for size in (50, 100):
+        rows, want = [], {}
+        for i in range(size):
+            t = f"{i} " * 60 + passage + f" {i * 7}" * 60
+            p, s, n, h = (x.tolist() for x in suffix.anchors(t.encode(), 200, 32))
+            at = [j for j in range(len(p)) if s[j] >= t.index("word0") and s[j] + n[j] + 199 <= t.index(passage) + len(passage)]
+            rows.append((i, t, at, 1))
+            want[i] = (s[at[0]], s[at[-1]] + n[at[-1]] - 1)
+            assert len(at) > 3
+        spots = suffix._spots(spark.createDataFrame(rows, "rid long, text string, at array<int>, w int").repartition(3), 200, 32)
+        many = spots.groupBy("h", "f", "g").agg({"w": "sum"}).filter("`sum(w)` > 1").select("h", "f", "g")
+        got = suffix._answered(spots, many).collect()
+        assert {r["rid"]: (r["s"], r["e"]) for r in got} == want
+        made.append(len(got))
+    assert made == [50, 100]
